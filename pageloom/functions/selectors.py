@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 import warnings
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,69 +20,94 @@ _SIMPLE = re.compile(
 )
 
 
-def any_of(conditions: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+def literal(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literals(values: Iterable[str]) -> str:
+    return ", ".join(map(literal, values))
 
 
 def has_class(*names: str) -> Column:
     """True when the node carries one of the classes; false, never null, without any class."""
-    return F.coalesce(F.arrays_overlap(F.col("cls"), F.array(*map(F.lit, names))), F.lit(False))
+    return F.expr(f"coalesce({_overlap(names)}, false)")
 
 
-def _attribute(name: str) -> Column:
-    return F.array_join(F.col("cls"), " ") if name == "class" else F.col(name)
+def _overlap(names: Iterable[str]) -> str:
+    return f"arrays_overlap(cls, array({literals(names)}))"
 
 
-def _attribute_test(name: str, op: str, value: str) -> Column:
-    column = _attribute(name)
-    test = F.contains(column, F.lit(value)) if op == "*=" else column == value
-    return F.coalesce(test, F.lit(False))
+def _attribute_test(name: str, op: str, value: str) -> str:
+    column = "array_join(cls, ' ')" if name == "class" else name
+    return f"contains({column}, {literal(value)})" if op == "*=" else f"{column} = {literal(value)}"
 
 
-def _child_step(parent: re.Match, child: Column) -> Column:
+def _parent_test(parent: re.Match) -> str:
     # `up` holds the parent's start tag for the nodes such rules may select.
-    opening = F.coalesce(F.lower(F.col("up")).rlike(rf"^<{parent['tag']}[\s/>]"), F.lit(False))
-    value = F.regexp_extract(F.col("up"), rf"(?si)[\s\"'/]{parent['attr']}\s*=\s*(\"[^\"]*+\"|'[^']*+'|[^\s>]*+)", 1)
-    return child & opening & F.contains(value, F.lit(parent["value"]))
+    opening = literal(rf"^<{parent['tag']}[\s/>]")
+    value = literal(rf"(?si)[\s\"'/]{parent['attr']}\s*=\s*(\"[^\"]*+\"|'[^']*+'|[^\s>]*+)")
+    return f"lower(up) RLIKE {opening} AND contains(regexp_extract(up, {value}, 1), {literal(parent['value'])})"
 
 
-def compile_rules(selectors: Iterable[str]) -> Column:
-    """One predicate that is true for the nodes any of the selectors picks.
+def rule_sql(selectors: Iterable[str]) -> str:
+    """SQL predicate that is true for the nodes any of the selectors picks.
 
     Rules of the common shapes are grouped by tag, so that a node is compared with sets of
-    names instead of with every rule.
+    names instead of with every rule, and nodes without class and id skip those sets.
     """
     tags: set[str] = set()
     classes: dict[str | None, set[str]] = {}
     ids: dict[str | None, set[str]] = {}
-    other: list[Column] = []
+    other: list[str] = []
     for selector in selectors:
         if re.search(r"\s[^\x00-\x7f]+$", selector):
             continue  # asks for an element whose name no tag can have
         steps = [_SIMPLE.fullmatch(step) for step in selector.split(" > ")]
-        if not all(steps) or len(steps) > 2 or not selector:
+        if not selector or not all(steps) or len(steps) > 2:
             warnings.warn(f"rule {selector!r} is not supported and is skipped", stacklevel=2)
             continue
         rule = steps[-1]
         names = re.findall(r"([.#])([\w-]+)", rule["names"])
-        if len(steps) == 1 and not rule["attr"] and len(names) == 1:
+        plain = len(steps) == 1 and not rule["attr"]
+        if plain and len(names) == 1:
             kind, name = names[0]
             (classes if kind == "." else ids).setdefault(rule["tag"], set()).add(name)
-        elif len(steps) == 1 and not rule["attr"] and not names:
+        elif plain and not names:
             tags.add(rule["tag"])
         else:
-            test = F.col("tag") == rule["tag"] if rule["tag"] else F.lit(True)
-            for kind, name in names:
-                test &= has_class(name) if kind == "." else F.col("id") == name
+            tests = [f"tag = {literal(rule['tag'])}"] if rule["tag"] else []
+            tests += [_overlap([name]) if kind == "." else f"id = {literal(name)}" for kind, name in names]
             if rule["attr"]:
-                test &= _attribute_test(rule["attr"], rule["op"], rule["value"])
-            other.append(_child_step(steps[0], test) if len(steps) == 2 else test)
+                tests.append(_attribute_test(rule["attr"], rule["op"], rule["value"]))
+            if len(steps) == 2:
+                tests.append(_parent_test(steps[0]))
+            other.append(" AND ".join(tests))
+
+    def scoped(tag: str | None, test: str) -> str:
+        return test if tag is None else f"tag = {literal(tag)} AND {test}"
+
+    named = [scoped(tag, _overlap(sorted(names))) for tag, names in classes.items()]
+    numbered = [scoped(tag, f"id IN ({literals(sorted(names))})") for tag, names in ids.items()]
+    options = [f"tag IN ({literals(sorted(tags))})"] if tags else []
+    options += [f"(cls IS NOT NULL AND ({' OR '.join(named)}))"] if named else []
+    options += [f"(id IS NOT NULL AND ({' OR '.join(numbered)}))"] if numbered else []
+    options += [f"({test})" for test in other]
+    return f"coalesce(tag IS NOT NULL AND ({' OR '.join(options)}), false)" if options else "false"
+
+
+def compile_rules(selectors: Iterable[str]) -> Column:
+    """`rule_sql` as a Column over `tag, id, cls, style, rel, up`."""
+    return F.expr(rule_sql(selectors))
+
+
+def rank_rules(selectors: Iterable[str]) -> Column:
+    """Index of the first selector that picks the node, else null."""
+    cases = [f"WHEN {rule_sql([s])} THEN {i}" for i, s in enumerate(selectors)]
+    return F.expr(f"CASE {' '.join(cases)} END" if cases else "CAST(NULL AS INT)")
 
-    def scoped(tag: str | None, test: Column) -> Column:
-        return test if tag is None else (F.col("tag") == tag) & test
 
-    by_class = any_of(scoped(tag, has_class(*sorted(names))) for tag, names in classes.items())
-    by_id = any_of(scoped(tag, F.col("id").isin(*sorted(names))) for tag, names in ids.items())
-    named = (F.col("cls").isNotNull() & by_class) | (F.col("id").isNotNull() & by_id)
-    by_tag = F.col("tag").isin(*sorted(tags)) if tags else F.lit(False)
-    return F.coalesce(F.col("tag").isNotNull() & (by_tag | named | any_of(other)), F.lit(False))
+def matching_rules(selectors: Iterable[str]) -> Column:
+    """Indexes of all selectors that pick the node."""
+    hits = [f"CASE WHEN {rule_sql([s])} THEN {i} END" for i, s in enumerate(selectors)]
+    return F.expr(f"array_compact(array({', '.join(hits)}))")

@@ -6,13 +6,11 @@ whose `pos` lies inside, so "below" is a range test and never needs a join.
 
 from __future__ import annotations
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pageloom.functions.text import decode_entities, strip
+from pageloom.operators.nesting import nest
 
 # Inside of a tag: quotes bind only after '='. Possessive, so long tags cost no stack.
 _INNER = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
@@ -31,24 +29,6 @@ TOKEN = (
 # Attributes in order; consuming quoted values whole keeps their content from matching.
 _ATTRIBUTE = r"""(?s)[^\s/=>"'<]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+"""
 
-# Elements without an end tag.
-VOID_TAGS = frozenset(
-    "area base basefont bgsound br col command embed frame hr image img input isindex keygen link "
-    "menuitem meta nextid param source spacer track wbr".split()
-)
-HEADING_TAGS = frozenset({"h2", "h3", "h4"})
-
-_INTS = T.ArrayType(T.IntegerType())
-_NESTING = T.StructType(
-    [
-        T.StructField("parent", _INTS),
-        T.StructField("last", _INTS),
-        T.StructField("head", _INTS),
-        T.StructField("items", T.ArrayType(_INTS)),
-    ]
-)
-
-
 def tokenize(html: Column) -> Column:
     """All tokens of a page, in order."""
     return F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0))
@@ -69,6 +49,10 @@ def token_kind(token: Column) -> Column:
     )
 
 
+def _tag(token: Column) -> Column:
+    return F.lower(F.regexp_extract(token, r"^<([a-zA-Z][^\s/>\x00]*+)", 1))
+
+
 def _op(token: Column) -> Column:
     """What a token does to the stack: '<name', '</name' or '' with '/' when self-closed and '!' for infobox starts."""
     name = F.lower(F.regexp_extract(token, r"^</?[a-zA-Z][^\s/>\x00]*+", 0))
@@ -78,70 +62,6 @@ def _op(token: Column) -> Column:
     return F.when(name != "", F.concat(name, F.coalesce(closed, F.lit("")), box)).otherwise("")
 
 
-def _scan(ops: list[int], codes: list[tuple[str, str, bool]], out: dict[str, list]) -> None:
-    """Nesting of one page: an end tag closes up to the nearest open element of its name, or nothing."""
-    stack: list[tuple[int, str, bool]] = []
-    opened: dict[str, int] = {}
-    heads: list[int] = []
-    items: list[int] = []
-    boxes = 0
-    base = len(out["last"])
-    for pos, code in enumerate(ops):
-        action, name, box = codes[code]
-        parent = stack[-1][0] if stack else -1
-        if action == "close":
-            while opened.get(name):
-                start, top, was_box = stack.pop()
-                opened[top] -= 1
-                out["last"][base + start] = pos - 1
-                boxes -= was_box
-                if top in HEADING_TAGS:
-                    heads.pop()
-                elif top == "li" and boxes:
-                    items.pop()
-                if top == name:
-                    break
-        elif action == "open":
-            stack.append((pos, name, box))
-            opened[name] = opened.get(name, 0) + 1
-            if name in HEADING_TAGS:
-                heads.append(pos)
-            elif name == "li" and boxes:
-                items.append(pos)
-            boxes += box
-        out["parent"].append(parent)
-        out["last"].append(pos)
-        out["head"].append(heads[-1] if heads else -1)
-        out["items"].append(items.copy() if action == "leaf" else [])
-    for start, _, _ in stack:
-        out["last"][base + start] = len(ops) - 1
-
-
-def _decode_op(op: str) -> tuple[str, str, bool]:
-    if op.startswith("</"):
-        return "close", op[2:].rstrip("!/"), False
-    name = op[1:].rstrip("!/")
-    leaf = not op or op.rstrip("!").endswith("/") or name in VOID_TAGS or name in ("script", "style")
-    return ("leaf" if leaf else "open"), name, op.endswith("!")
-
-
-@F.arrow_udf(_NESTING)
-def _nest(ops: pa.Array) -> pa.Array:
-    flat = ops.flatten().dictionary_encode()
-    codes = [_decode_op(op) for op in flat.dictionary.to_pylist()]
-    indices = flat.indices.to_pylist()
-    lengths = [n or 0 for n in pc.list_value_length(ops).to_pylist()]
-    out: dict[str, list] = {"parent": [], "last": [], "head": [], "items": []}
-    offsets = [0]
-    for length in lengths:
-        _scan(indices[offsets[-1] : offsets[-1] + length], codes, out)
-        offsets.append(offsets[-1] + length)
-    starts = pa.array(offsets, pa.int32())
-    kinds = {"items": pa.list_(pa.int32())}
-    arrays = [pa.ListArray.from_arrays(starts, pa.array(v, kinds.get(k, pa.int32()))) for k, v in out.items()]
-    return pa.StructArray.from_arrays(arrays, names=list(out))
-
-
 def _attr(name: str) -> Column:
     """Value of an attribute, the last one if repeated, '' if it has none, null if absent."""
     found = F.try_element_at(
@@ -149,23 +69,24 @@ def _attr(name: str) -> Column:
     )
     value = F.regexp_replace(found, r"(?s)^[^=]*+(?:=\s*+)?+", "")
     quoted = value.rlike("^[\"']")
-    return decode_entities(F.when(quoted, value.substr(F.lit(2), F.length(value) - 2)).otherwise(value))
+    return F.when(quoted, value.substr(F.lit(2), F.length(value) - 2)).otherwise(value)
 
 
-def nodes(pages: DataFrame, *, clustered: bool = False) -> DataFrame:
+def nodes(pages: DataFrame) -> DataFrame:
     """One row per node of every page; a page without any token keeps one row with a null kind.
 
-    `pages` has `page_id` (unique), `title` (may be null) and `html`. The pages are shuffled
-    once, before they unfold; with `clustered=True` the caller vouches for a layout bucketed
-    on `page_id`. Everything later that works page by page reuses this partitioning.
+    `pages` has `page_id` (unique), `title` (may be null) and `html`. Tokens and nesting are
+    found where the page is read. The pages are then shuffled once, still folded, because
+    Spark forgets the partitioning across a Python function; whatever later works page by
+    page reuses this partitioning.
     """
-    source = pages.select("page_id", "title", "html")
-    if not clustered:
-        source = source.repartition("page_id")
-    tokens = source.select("page_id", "title", F.nullif(F.col("html"), F.lit("")).alias("html")).select(
-        "page_id", "title", F.col("html").isNotNull().alias("fetched"), tokenize(F.col("html")).alias("tokens")
+    tokens = pages.select(
+        "page_id",
+        "title",
+        F.coalesce(F.col("html") != "", F.lit(False)).alias("fetched"),
+        tokenize(F.nullif(F.col("html"), F.lit(""))).alias("tokens"),
     )
-    nested = tokens.withColumn("ops", F.transform("tokens", _op)).withColumn("nest", _nest("ops"))
+    nested = tokens.withColumn("nest", nest(F.transform("tokens", _op))).repartition("page_id")
     unfolded = nested.select(
         "page_id",
         "title",
@@ -177,9 +98,7 @@ def nodes(pages: DataFrame, *, clustered: bool = False) -> DataFrame:
                 F.col("nest.last").alias("last"),
                 F.col("nest.head").alias("head"),
                 F.col("nest.items").alias("items"),
-                F.transform(
-                    F.col("nest.parent"), lambda p: F.regexp_extract(F.get(F.col("ops"), p), "^<([^!/]*)", 1)
-                ).alias("ptag"),
+                F.transform(F.col("nest.parent"), lambda p: _tag(F.get(F.col("tokens"), p))).alias("ptag"),
                 F.transform(
                     F.col("tokens"),
                     lambda t, i: F.when(
@@ -201,10 +120,7 @@ def nodes(pages: DataFrame, *, clustered: bool = False) -> DataFrame:
     ).filter((F.col("kind") != "end") | (F.col("pos") == 0) | F.col("kind").isNull())
     tagged = kinds.withColumns(
         {
-            "tag": F.when(
-                F.col("kind").isin("element", "raw"),
-                F.lower(F.regexp_extract("token", r"^<([a-zA-Z][^\s/>\x00]*+)", 1)),
-            ),
+            "tag": F.when(F.col("kind").isin("element", "raw"), _tag(F.col("token"))),
             "attrs": F.when(
                 (F.col("kind") == "element") & F.col("token").rlike(r"^<[^\s/>]++[\s/]++[^>]"),
                 F.regexp_extract_all("token", F.lit(_ATTRIBUTE), F.lit(0)),
@@ -219,8 +135,8 @@ def nodes(pages: DataFrame, *, clustered: bool = False) -> DataFrame:
         F.nullif(_attr("id"), F.lit("")).alias("id"),
         F.filter(F.split(_attr("class"), r"\s+"), lambda c: c != "").alias("cls"),
         _attr("style").alias("style"),
-        _attr("src").alias("src"),
-        _attr("alt").alias("alt"),
+        decode_entities(_attr("src")).alias("src"),
+        decode_entities(_attr("alt")).alias("alt"),
         _attr("rel").alias("rel"),
         "up",
         text.alias("text"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageloom.functions.selectors import compile_rules, has_class
+from pageloom.functions.selectors import compile_rules, has_class, literals, matching_rules, rank_rules
 from pageloom.functions.text import normalize_whitespace, strip
 from pageloom.operators.intervals import first_match, inside, ordered_text, within
 from pageloom.operators.nodes import has_text
@@ -16,14 +16,6 @@ QUIET_TAGS = ("rt", "rp", "template")
 CAPTION_CLASSES = ("thumbcaption", "gallerytext", "mw-caption-text")
 
 
-def rank_rules(selectors: tuple[str, ...]) -> Column:
-    """Index of the first selector that picks the node, else null."""
-    rank = F.lit(None).cast("int")
-    for index, selector in reversed(list(enumerate(selectors))):
-        rank = F.when(compile_rules([selector]), index).otherwise(rank)
-    return rank
-
-
 def flag_nodes(nodes: DataFrame, profile: Profile, *, keep_images: bool, keep_infobox: bool) -> DataFrame:
     """Evaluate every rule once per node and keep only what later steps read."""
     tag, cls = F.col("tag"), F.col("cls")
@@ -53,9 +45,7 @@ def flag_nodes(nodes: DataFrame, profile: Profile, *, keep_images: bool, keep_in
     if keep_images:
         keep += ["src", "alt"]
         columns["caption_rank"] = caption
-        columns["frame_ranks"] = F.array_compact(
-            F.array(*[F.when(compile_rules([s]), i) for i, s in enumerate(profile.image_containers)])
-        )
+        columns["frame_ranks"] = matching_rules(profile.image_containers)
     # Comments, declarations, scripts and blank strings end here; position 0 stands for its page.
     return nodes.select(*keep, *[c.alias(n) for n, c in columns.items()], "kind").filter(
         (F.col("kind") == "element") | F.col("text").isNotNull() | (F.col("pos") == 0)
@@ -121,7 +111,7 @@ def mark_trailing(zoned: DataFrame, keywords: tuple[str, ...]) -> DataFrame:
         }
     )
     name = F.lower(heading_text(F.col("head_texts"), F.col("headline"), " "))
-    named = F.exists(F.array(*map(F.lit, keywords)), lambda k: F.contains(name, k))
+    named = F.exists(F.expr(f"array({literals(keywords)})"), lambda k: F.contains(name, k))
     is_heading = element & (F.col("pos") == F.col("head_key"))
     titled = titled.withColumn("is_trailing", F.coalesce(F.when(is_heading, named), F.lit(False)))
 

@@ -21,11 +21,11 @@ FETCH_FAILED = "Failed to fetch HTML"
 
 
 def _pages(
-    pages: DataFrame, profile: Profile, *, text: bool, keep_images: bool, keep_infobox: bool, clustered: bool
+    pages: DataFrame, profile: Profile, *, text: bool, keep_images: bool, keep_infobox: bool
 ) -> DataFrame:
     """One row per page with the collected parts that were asked for."""
     marked = live_nodes(
-        nodes(pages, clustered=clustered), profile, keep_images=keep_images, keep_infobox=keep_infobox
+        nodes(pages), profile, keep_images=keep_images, keep_infobox=keep_infobox
     )
     unit: Column = F.when(F.col("zone") == "title", -1)
     unit_aggs: dict[str, Column] = {"title": F.max("title"), "fetched": F.bool_or("fetched")}
@@ -80,7 +80,6 @@ def articles(
     *,
     keep_images: bool = False,
     keep_infobox: bool = False,
-    clustered: bool = False,
 ) -> DataFrame:
     """One article per page: `page_id, input_title, title, url, content, sections, images, infobox_data, error_message`.
 
@@ -89,7 +88,7 @@ def articles(
     page order.
     """
     page = _pages(
-        pages, profile, text=True, keep_images=keep_images, keep_infobox=keep_infobox, clustered=clustered
+        pages, profile, text=True, keep_images=keep_images, keep_infobox=keep_infobox
     )
     ok = F.coalesce(F.col("fetched"), F.lit(False))
     has_area = F.coalesce(F.col("has_area"), F.lit(False))
@@ -116,22 +115,22 @@ def articles(
     )
 
 
-def infobox_rows(pages: DataFrame, profile: Profile = WIKI, *, clustered: bool = False) -> DataFrame:
+def infobox_rows(pages: DataFrame, profile: Profile = WIKI) -> DataFrame:
     """`page_id, ord, key, is_list, vals`: infobox pairs in page order."""
-    page = _pages(pages, profile, text=False, keep_images=False, keep_infobox=True, clustered=clustered)
+    page = _pages(pages, profile, text=False, keep_images=False, keep_infobox=True)
     return page.select("page_id", F.posexplode("entries").alias("ord", "e")).select(
         "page_id", "ord", F.col("e.key"), F.col("e.is_list"), F.col("e.vals")
     )
 
 
-def image_rows(pages: DataFrame, profile: Profile = WIKI, *, clustered: bool = False) -> DataFrame:
+def image_rows(pages: DataFrame, profile: Profile = WIKI) -> DataFrame:
     """`page_id, ord, src, alt, caption`: images in extraction order."""
-    page = _pages(pages, profile, text=False, keep_images=True, keep_infobox=False, clustered=clustered)
+    page = _pages(pages, profile, text=False, keep_images=True, keep_infobox=False)
     return page.select("page_id", F.posexplode("images").alias("ord", "i")).select("page_id", "ord", "i.*")
 
 
-def section_rows(pages: DataFrame, profile: Profile = WIKI, *, clustered: bool = False) -> DataFrame:
+def section_rows(pages: DataFrame, profile: Profile = WIKI) -> DataFrame:
     """`page_id, ord, section`: section names in page order."""
-    return articles(pages, profile, clustered=clustered).select(
+    return articles(pages, profile).select(
         "page_id", F.posexplode("sections").alias("ord", "section")
     )

@@ -22,6 +22,7 @@ def local_session(cores: str = "*", **extra: str) -> SparkSession:
         **SETTINGS,
         "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "16g",
         **extra,
     }
