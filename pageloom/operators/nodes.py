@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.functions.selectors import compile_rules
 from pageloom.functions.text import decode_entities, strip
+from pageloom.operators.intervals import first_match, inside, ordered_text
 from pageloom.operators.nesting import nest
 
 # Inside of a tag: quotes bind only after '='. Possessive, so long tags cost no stack.
@@ -148,3 +150,15 @@ def nodes(pages: DataFrame) -> DataFrame:
 def has_text(text: Column) -> Column:
     """True for text that is more than whitespace."""
     return F.coalesce(strip(text) != "", F.lit(False))
+
+
+def subtree_text(nodes: DataFrame, selector: str, separator: str) -> DataFrame:
+    """`page_id, text`: strings below the page's first match, stripped, blanks dropped, joined; null without a match."""
+    string = F.when(has_text(F.col("text")), F.struct("pos", strip(F.col("text")).alias("s")))
+    spans = nodes.withColumn("span", first_match(compile_rules([selector])))
+    below = inside(F.col("span"))
+    return spans.groupBy("page_id").agg(
+        F.when(
+            F.bool_or(F.col("span").isNotNull()), ordered_text(F.collect_list(F.when(below, string)), separator)
+        ).alias("text")
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions.selectors import compile_rules, has_class, literals, matching_rules, rank_rules
 from pageloom.functions.text import normalize_whitespace, strip
-from pageloom.operators.intervals import first_match, inside, ordered_text, within
+from pageloom.operators.intervals import FIRST, LAST, first_match, in_page, inside, ordered_text, within
 from pageloom.operators.nodes import has_text
 from pageloom.profiles import Profile
 
@@ -152,13 +152,23 @@ def drop_trailing(marked: DataFrame) -> DataFrame:
     )
 
 
-def live_nodes(nodes: DataFrame, profile: Profile, *, keep_images: bool, keep_infobox: bool) -> DataFrame:
-    """All removal steps in their order; images are dropped too unless they are kept."""
+def live_nodes(
+    nodes: DataFrame, profile: Profile, *, keep_images: bool, keep_infobox: bool, count_trailing: bool = False
+) -> DataFrame:
+    """All removal steps in their order; images are dropped too unless they are kept.
+
+    With `count_trailing` the page row also carries `n_trailing`, the number of headings that
+    started a removed section.
+    """
     zoned = assign_zones(
         flag_nodes(nodes, profile, keep_images=keep_images, keep_infobox=keep_infobox), keep_infobox=keep_infobox
     )
     if profile.trailing_keywords:
-        zoned = drop_trailing(mark_trailing(zoned, profile.trailing_keywords))
+        zoned = mark_trailing(zoned, profile.trailing_keywords)
+        if count_trailing:
+            counted = F.sum(F.col("is_trailing").cast("int")).over(in_page(FIRST, LAST))
+            zoned = zoned.withColumn("n_trailing", counted)
+        zoned = drop_trailing(zoned)
     else:
         zoned = zoned.drop("head")
     if profile.image_drop and not keep_images:

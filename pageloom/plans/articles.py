@@ -14,22 +14,25 @@ from pageloom.functions.jsontext import entries_json
 from pageloom.functions.text import page_url
 from pageloom.operators import images, infobox, render
 from pageloom.operators.nodes import nodes
+from pageloom.operators.outcome import FETCH_FAILED
 from pageloom.operators.prune import live_nodes
 from pageloom.profiles import WIKI, Profile
 
-FETCH_FAILED = "Failed to fetch HTML"
+
 
 
 def _pages(
-    pages: DataFrame, profile: Profile, *, text: bool, keep_images: bool, keep_infobox: bool
+    pages: DataFrame, profile: Profile, *, text: bool, keep_images: bool, keep_infobox: bool, count_trailing: bool = False
 ) -> DataFrame:
     """One row per page with the collected parts that were asked for."""
     marked = live_nodes(
-        nodes(pages), profile, keep_images=keep_images, keep_infobox=keep_infobox
+        nodes(pages), profile, keep_images=keep_images, keep_infobox=keep_infobox, count_trailing=count_trailing
     )
     unit: Column = F.when(F.col("zone") == "title", -1)
     unit_aggs: dict[str, Column] = {"title": F.max("title"), "fetched": F.bool_or("fetched")}
     page_aggs: dict[str, Column] = {"title": F.max("title"), "fetched": F.bool_or("fetched")}
+    if count_trailing:
+        unit_aggs["n_trailing"] = page_aggs["n_trailing"] = F.max("n_trailing")
     if keep_images:
         marked = images.mark_images(marked, profile)
         unit = unit.when(F.col("zone") == "image", images.image_unit())
@@ -134,3 +137,14 @@ def section_rows(pages: DataFrame, profile: Profile = WIKI) -> DataFrame:
     return articles(pages, profile).select(
         "page_id", F.posexplode("sections").alias("ord", "section")
     )
+
+
+def page_counters(pages: DataFrame, profile: Profile = WIKI) -> DataFrame:
+    """`page_id, n_images, n_infobox, n_trailing`: images found, infobox keys found, trailing sections removed."""
+    page = _pages(pages, profile, text=False, keep_images=True, keep_infobox=True, count_trailing=True)
+    return page.select(
+        "page_id",
+        F.size("images").alias("n_images"),
+        F.size("entries").alias("n_infobox"),
+        F.coalesce("n_trailing", F.lit(0)).cast("int").alias("n_trailing"),
+    )
