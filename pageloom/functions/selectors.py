@@ -11,8 +11,7 @@ import re
 import warnings
 from collections.abc import Iterable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pageloom.functions.sql import literal, literals
 
 _SIMPLE = re.compile(
     r"(?P<tag>[a-z][a-z0-9]*)?(?P<names>(?:[.#][\w-]+)*)"
@@ -20,18 +19,9 @@ _SIMPLE = re.compile(
 )
 
 
-def literal(value: str) -> str:
-    """A SQL string literal."""
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def literals(values: Iterable[str]) -> str:
-    return ", ".join(map(literal, values))
-
-
-def has_class(*names: str) -> Column:
+def has_class_sql(*names: str) -> str:
     """True when the node carries one of the classes; false, never null, without any class."""
-    return F.expr(f"coalesce({_overlap(names)}, false)")
+    return f"coalesce({_overlap(names)}, false)"
 
 
 def _overlap(names: Iterable[str]) -> str:
@@ -51,7 +41,7 @@ def _parent_test(parent: re.Match) -> str:
 
 
 def rule_sql(selectors: Iterable[str]) -> str:
-    """SQL predicate that is true for the nodes any of the selectors picks.
+    """SQL predicate over `tag, id, cls, style, rel, up` that is true for the nodes any of the selectors picks.
 
     Rules of the common shapes are grouped by tag, so that a node is compared with sets of
     names instead of with every rule, and nodes without class and id skip those sets.
@@ -96,18 +86,13 @@ def rule_sql(selectors: Iterable[str]) -> str:
     return f"coalesce(tag IS NOT NULL AND ({' OR '.join(options)}), false)" if options else "false"
 
 
-def compile_rules(selectors: Iterable[str]) -> Column:
-    """`rule_sql` as a Column over `tag, id, cls, style, rel, up`."""
-    return F.expr(rule_sql(selectors))
-
-
-def rank_rules(selectors: Iterable[str]) -> Column:
+def rank_sql(selectors: Iterable[str]) -> str:
     """Index of the first selector that picks the node, else null."""
     cases = [f"WHEN {rule_sql([s])} THEN {i}" for i, s in enumerate(selectors)]
-    return F.expr(f"CASE {' '.join(cases)} END" if cases else "CAST(NULL AS INT)")
+    return f"CASE {' '.join(cases)} END" if cases else "CAST(NULL AS INT)"
 
 
-def matching_rules(selectors: Iterable[str]) -> Column:
+def matching_sql(selectors: Iterable[str]) -> str:
     """Indexes of all selectors that pick the node."""
     hits = [f"CASE WHEN {rule_sql([s])} THEN {i} END" for i, s in enumerate(selectors)]
-    return F.expr(f"array_compact(array({', '.join(hits)}))")
+    return f"array_compact(array({', '.join(hits)}))"

@@ -1,13 +1,19 @@
-"""Whitespace, URL, file-name and entity functions, all JVM-side Column expressions."""
+"""Whitespace, URL, file-name and entity functions, all JVM-side expressions.
+
+Functions ending in `_sql` take and give SQL text; the others take and give Columns.
+"""
 
 from __future__ import annotations
 
 import json
+from functools import cache
 from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pageloom.functions.sql import literal
+
 PAGE_BASE = "https://en.wikipedia.org/"
 
 # The code points that count as whitespace (Unicode White_Space plus the
@@ -23,6 +29,18 @@ WS_CLASS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u
 FREQUENT_ENTITIES = ("amp", "nbsp", "quot", "lt", "gt", "ndash", "mdash", "copy", "middot", "apos")
 
 
+_TRIM_SET = "'" + "".join(f"\\u{ord(c):04x}" for c in WHITESPACE) + "'"
+_WS_RUN = literal(f"[{WS_CLASS}]+")
+
+
+def strip_sql(text: str) -> str:
+    return f"btrim({text}, {_TRIM_SET})"
+
+
+def normalize_sql(text: str) -> str:
+    return f"btrim(regexp_replace(coalesce({text}, ''), {_WS_RUN}, ' '), ' ')"
+
+
 def strip(text: Column) -> Column:
     """Trim Unicode whitespace at both ends, in linear time."""
     return F.btrim(text, F.lit(WHITESPACE))
@@ -56,18 +74,15 @@ def sanitize_filename(name: Column) -> Column:
     return F.regexp_replace(kept, f"[{WS_CLASS}-]+", "-")
 
 
-def _text_map(pairs: dict[str, str]) -> Column:
-    """A constant string map; the parser call is folded at planning time."""
-    return F.from_json(F.lit(json.dumps(pairs)), "map<string,string>")
-
-
-def _named_entities() -> dict[str, str]:
+@cache
+def _named_entities() -> tuple[tuple[str, str], ...]:
     names = {name[:-1]: value for name, value in html5.items() if name.endswith(";")}
     front = {name: names[name] for name in FREQUENT_ENTITIES}
-    return {**front, **names}
+    return tuple({**front, **names}.items())
 
 
-def _low_code_points() -> dict[str, str]:
+@cache
+def _low_code_points() -> tuple[tuple[str, str], ...]:
     """Numeric references 128-159 mean Windows-1252 characters where it defines one."""
     pairs = {}
     for code in range(128, 160):
@@ -75,41 +90,46 @@ def _low_code_points() -> dict[str, str]:
             pairs[str(code)] = bytes([code]).decode("cp1252")
         except UnicodeDecodeError:
             continue
-    return pairs
+    return tuple(pairs.items())
+
+
+_REFERENCE = literal(r"&(?:#[0-9]++|#[xX][0-9a-fA-F]++|[a-zA-Z][-.a-zA-Z0-9]*+);?|[^&]++|&")
+
+
+@cache
+def _map_sql(pairs: tuple[tuple[str, str], ...]) -> str:
+    """A constant string map; the parser call is folded at planning time."""
+    return f"from_json({literal(json.dumps(dict(pairs)))}, 'map<string,string>')"
+
 
+def decode_sql(text: str) -> str:
+    """Replace character references by characters; texts without '&' pass untouched.
 
-def _split_reference(piece: Column) -> Column:
-    """(piece, name, code): code is set for numeric references, -1 when too large for any character."""
-    name = F.regexp_extract(piece, r"^&([^;]*+)", 1)
-    decimal = F.regexp_extract(piece, r"^&#0*+([0-9]++)", 1)
-    hexadecimal = F.regexp_extract(piece, r"^&#[xX]0*+([0-9a-fA-F]++)", 1)
+    Two passes over the pieces: name and code of each reference, then its character. A code
+    is -1 when too large for any character; an unknown name stays, without its semicolon.
+    """
+    hexadecimal = f"regexp_extract(p, {literal('^&#[xX]0*+([0-9a-fA-F]++)')}, 1)"
+    decimal = f"regexp_extract(p, {literal('^&#0*+([0-9]++)')}, 1)"
     code = (
-        F.when(piece.rlike("^&#[xX]?0++;?$"), 0)
-        .when(F.length(decimal) > 9, -1)
-        .when(decimal != "", F.conv(decimal, 10, 10))
-        .when(F.length(hexadecimal) > 8, -1)
-        .when(hexadecimal != "", F.conv(hexadecimal, 16, 10))
+        f"CASE WHEN NOT startswith(p, '&#') THEN NULL WHEN p RLIKE '^&#[xX]?0++;?$' THEN 0 "
+        f"WHEN length({decimal}) > 9 OR length({hexadecimal}) > 8 THEN -1 "
+        f"WHEN {decimal} <> '' THEN conv({decimal}, 10, 10) ELSE conv({hexadecimal}, 16, 10) END"
     )
-    return F.struct(piece.alias("piece"), name.alias("name"), code.cast("bigint").alias("code"))
-
-
-def _resolve_reference(ref: Column) -> Column:
-    code = ref["code"]
-    valid = code.between(0, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code)), 8, "0")), "UTF-32")
-    low = F.try_element_at(_text_map(_low_code_points()), code.cast("string"))
-    named = F.try_element_at(_text_map(_named_entities()), ref["name"])
-    return (
-        F.when(~ref["piece"].startswith("&"), ref["piece"])
-        .when(code.isNotNull(), F.coalesce(low, char, F.lit("\ufffd")))
-        # An unknown name stays, without its semicolon.
-        .otherwise(F.coalesce(named, F.concat(F.lit("&"), ref["name"])))
+    split = f"named_struct('piece', p, 'name', regexp_extract(p, '^&([^;]*+)', 1), 'code', CAST({code} AS BIGINT))"
+    valid = "r.code BETWEEN 0 AND 1114111 AND r.code NOT BETWEEN 55296 AND 57343"
+    char = f"decode(unhex(lpad(hex(CASE WHEN {valid} THEN r.code END), 8, '0')), 'UTF-32')"
+    low = f"try_element_at({_map_sql(_low_code_points())}, CAST(r.code AS STRING))"
+    named = f"try_element_at({_map_sql(_named_entities())}, r.name)"
+    character = (
+        f"CASE WHEN NOT startswith(r.piece, '&') THEN r.piece "
+        f"WHEN r.code IS NOT NULL THEN coalesce({low}, {char}, '\\ufffd') "
+        f"ELSE coalesce({named}, concat('&', r.name)) END"
     )
+    pieces = f"regexp_extract_all({text}, {_REFERENCE}, 0)"
+    decoded = f"array_join(transform(transform({pieces}, p -> {split}), r -> {character}), '')"
+    return f"CASE WHEN contains({text}, '&') THEN {decoded} ELSE {text} END"
 
 
-def decode_entities(text: Column) -> Column:
-    """Replace character references by characters; texts without '&' pass untouched."""
-    pattern = r"&(?:#[0-9]++|#[xX][0-9a-fA-F]++|[a-zA-Z][-.a-zA-Z0-9]*+);?|[^&]++|&"
-    pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    decoded = F.transform(F.transform(pieces, _split_reference), _resolve_reference)
-    return F.when(F.contains(text, F.lit("&")), F.array_join(decoded, "")).otherwise(text)
+def decode_entities(column: str) -> Column:
+    """`decode_sql` of a column, by name."""
+    return F.expr(decode_sql(column))

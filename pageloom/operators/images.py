@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from pageloom.functions.text import normalize_whitespace, strip
-from pageloom.operators.intervals import FIRST, in_page, inside, ordered_text, within
+from pageloom.functions.sql import add
+from pageloom.functions.text import normalize_sql, strip_sql
+from pageloom.operators.intervals import UP_TO_HERE, collect, inside, ordered_text, within
 from pageloom.profiles import Profile
 
-IMAGE = "struct<rank:int,pos:int,src:string,alt:string,caption:string>"
+UNIT = "coalesce(owner.pos, pos)"
 
 
 def mark_images(live: DataFrame, profile: Profile) -> DataFrame:
@@ -19,71 +19,45 @@ def mark_images(live: DataFrame, profile: Profile) -> DataFrame:
     one among those of the same rule.
     """
     ranks = range(len(profile.image_containers))
-    here = F.col("zone") == "live"
-
-    def matches(rank: int) -> Column:
-        return here & F.array_contains("frame_ranks", rank)
-
-    outer = live.withColumns({f"outer_{r}": matches(r) & ~within(matches(r), strictly=True) for r in ranks})
-    spans = outer.withColumns(
-        {
-            f"span_{r}": F.max(
-                F.when(F.col(f"outer_{r}"), F.struct("pos", "last", F.lit(r).alias("rank")))
-            ).over(in_page(FIRST, 0))
-            for r in ranks
-        }
-    )
-    owner = F.coalesce(*(F.when(inside(F.col(f"span_{r}")), F.col(f"span_{r}")) for r in ranks))
-    owned = spans.withColumn("owner", F.when(here, owner)).drop(
-        "frame_ranks", *(f"{n}_{r}" for n in ("outer", "span") for r in ranks)
+    match = {r: f"(zone = 'live' AND array_contains(frame_ranks, {r}))" for r in ranks}
+    outer = {f"outer_{r}": f"{match[r]} AND NOT {within(match[r], strictly=True)}" for r in ranks}
+    spans = {
+        f"span_{r}": f"max(CASE WHEN outer_{r} THEN named_struct('pos', pos, 'last', last, 'rank', {r}) END) {UP_TO_HERE}"
+        for r in ranks
+    }
+    owner = ", ".join(f"CASE WHEN {inside(name)} THEN {name} END" for name in spans)
+    owned = add(add(add(live, **outer), **spans), owner=f"CASE WHEN zone = 'live' THEN coalesce({owner}) END")
+    owned = owned.drop("frame_ranks", *outer, *spans)
+    return add(
+        owned, zone="CASE WHEN zone = 'live' AND (owner IS NOT NULL OR tag = 'img') THEN 'image' ELSE zone END"
     )
-    taken = here & (F.col("owner").isNotNull() | (F.col("tag") == "img"))
-    return owned.withColumn("zone", F.when(taken, "image").otherwise(F.col("zone")))
 
 
-def image_unit() -> Column:
-    return F.coalesce(F.col("owner.pos"), F.col("pos"))
-
-
-def unit_aggregates(profile: Profile) -> dict[str, Column]:
+def unit_aggregates(profile: Profile) -> dict[str, str]:
     """First image, caption candidates and strings of one container (or loose image)."""
-    image = F.col("zone") == "image"
-    below = image & (F.coalesce(F.col("owner.pos") < F.col("pos"), F.lit(True)))
     loose = len(profile.image_containers)
-    caption = F.struct("caption_rank", "pos", "last")
+    below = "zone = 'image' AND coalesce(owner.pos < pos, true)"
     return {
-        "img": F.min(F.when(below & (F.col("tag") == "img"), F.struct("pos", "src", "alt"))),
-        "img_rank": F.max(F.when(image, F.coalesce(F.col("owner.rank"), F.lit(loose)))),
-        "img_caption": F.min(F.when(below & F.col("caption_rank").isNotNull() & F.col("owner").isNotNull(), caption)),
-        "img_texts": F.collect_list(
-            F.when(
-                image & F.col("text").isNotNull() & ~F.col("in_quiet"),
-                F.struct("pos", strip(F.col("text")).alias("s")),
-            )
+        "img": f"min(CASE WHEN {below} AND tag = 'img' THEN named_struct('pos', pos, 'src', src, 'alt', alt) END)",
+        "img_rank": f"max(CASE WHEN zone = 'image' THEN coalesce(owner.rank, {loose}) END)",
+        "img_caption": f"min(CASE WHEN {below} AND owner IS NOT NULL AND caption_rank IS NOT NULL "
+        "THEN named_struct('rank', caption_rank, 'pos', pos, 'last', last) END)",
+        "img_texts": collect(
+            "zone = 'image' AND text IS NOT NULL AND NOT in_quiet", "pos AS pos", f"{strip_sql('text')} AS s"
         ),
     }
 
 
-def unit_image() -> Column:
+def unit_image() -> str:
     """The image a container yields; null when its first image has no source."""
-    src = F.col("img.src")
-    caption = F.col("img_caption")
-    strings = F.filter("img_texts", lambda t: t["pos"].between(caption["pos"], caption["last"]))
-    return F.when(
-        src.isNotNull(),
-        F.struct(
-            F.col("img_rank").alias("rank"),
-            F.col("unit").alias("pos"),
-            F.when(src.startswith("//"), F.concat(F.lit("https:"), src)).otherwise(src).alias("src"),
-            normalize_whitespace(F.col("img.alt")).alias("alt"),
-            F.when(caption.isNotNull(), normalize_whitespace(ordered_text(strings, " ")))
-            .otherwise("")
-            .alias("caption"),
-        ).cast(IMAGE),
+    strings = "filter(img_texts, t -> t.pos BETWEEN img_caption.pos AND img_caption.last)"
+    caption = f"CASE WHEN img_caption IS NULL THEN '' ELSE {normalize_sql(ordered_text(strings, ' '))} END"
+    src = "CASE WHEN startswith(img.src, '//') THEN concat('https:', img.src) ELSE img.src END"
+    return (
+        "CASE WHEN zone = 'image' AND img.src IS NOT NULL THEN named_struct('rank', img_rank, 'pos', unit, "
+        f"'src', {src}, 'alt', {normalize_sql('img.alt')}, 'caption', {caption}) END"
     )
 
 
-def page_images(collected: Column) -> Column:
-    return F.transform(F.array_sort(collected), lambda i: F.struct(i["src"].alias("src"), i["alt"].alias("alt"), i["caption"].alias("caption")))
-
-
+def page_images(collected: str) -> str:
+    return f"transform(array_sort({collected}), i -> named_struct('src', i.src, 'alt', i.alt, 'caption', i.caption))"

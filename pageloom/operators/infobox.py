@@ -2,163 +2,117 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from pageloom.functions.text import normalize_whitespace, strip
-from pageloom.operators.intervals import FIRST, first_match, in_page, inside, latest, ordered_text, within
+from pageloom.functions.sql import add
+from pageloom.functions.text import normalize_sql, strip_sql
+from pageloom.operators.intervals import BEFORE_HERE, collect, first_match, inside, latest, ordered_text, within
 
-CAPTION_KEY = "_caption_"
-NOTES_KEY = "_infobox_notes_"
-ENTRY = "struct<ord:int,key:string,is_list:boolean,vals:array<string>>"
-# A noncharacter that no decoded text holds; it separates list items while they are joined.
-_ITEM_BREAK = "\uffff"
+UNIT = "coalesce(tr_pos, box.pos)"
+# A noncharacter; it separates list items while they are joined.
+_ITEM_BREAK = r"'￿'"
 
 
 def mark_box(zoned: DataFrame) -> DataFrame:
     """Row (`tr_pos`), cell (`cell`) and caption of every box node."""
-    box = F.col("zone") == "box"
-    rows = zoned.withColumns(
-        {
-            "row": latest(box & (F.col("tag") == "tr") & (F.col("parent") == F.col("box.pos"))),
-            "caption": first_match(box & (F.col("tag") == "caption")),
-            "in_note_mark": within(box & F.col("is_note_mark")),
-        }
-    ).withColumns(
-        {
-            "tr_pos": F.when(box & inside(F.col("row")), F.col("row.pos")),
-            "in_caption": box & inside(F.col("caption")),
-        }
+    rows = add(
+        zoned,
+        row=latest("zone = 'box' AND tag = 'tr' AND parent = box.pos"),
+        caption=first_match("zone = 'box' AND tag = 'caption'"),
+        in_note_mark=within("zone = 'box' AND is_note_mark"),
     )
-    direct = F.col("tag").isin("th", "td") & (F.col("parent") == F.col("tr_pos"))
-    rows = rows.withColumn("is_cell", F.coalesce(direct, F.lit(False)))
+    rows = add(
+        rows,
+        tr_pos=f"CASE WHEN zone = 'box' AND {inside('row')} THEN row.pos END",
+        in_caption=f"zone = 'box' AND {inside('caption')}",
+    ).drop("row", "caption")
+    rows = add(rows, is_cell="coalesce(tag IN ('th', 'td') AND parent = tr_pos, false)")
 
-    def first_of_row(tag: str) -> Column:
-        match = F.col("is_cell") & (F.col("tag") == tag)
-        earlier = F.max(F.when(match, F.col("tr_pos"))).over(in_page(FIRST, -1))
-        return match & F.coalesce(earlier < F.col("tr_pos"), F.lit(True))
+    def first_of_row(tag: str) -> str:
+        earlier = f"max(CASE WHEN is_cell AND tag = '{tag}' THEN tr_pos END) {BEFORE_HERE}"
+        return f"is_cell AND tag = '{tag}' AND coalesce({earlier} < tr_pos, true)"
 
-    firsts = rows.withColumns({"first_th": first_of_row("th"), "first_td": first_of_row("td")})
-    cells = firsts.withColumn("cell", latest(F.col("first_th") | F.col("first_td"), "tag"))
-    in_cell = F.col("tr_pos").isNotNull() & inside(F.col("cell"))
-    return cells.withColumn("cell", F.when(in_cell, F.col("cell"))).drop("row", "caption", "first_th", "first_td")
+    firsts = add(rows, first_th=first_of_row("th"), first_td=first_of_row("td"))
+    cells = add(firsts, cell=latest("first_th OR first_td", "tag")).drop("first_th", "first_td")
+    return add(cells, cell=f"CASE WHEN tr_pos IS NOT NULL AND {inside('cell')} THEN cell END")
 
 
-def box_unit() -> Column:
-    return F.coalesce(F.col("tr_pos"), F.col("box.pos"))
-
-
-def unit_aggregates() -> dict[str, Column]:
+def unit_aggregates() -> dict[str, str]:
     """Strings and list items of one infobox row."""
-    box = F.col("zone") == "box"
-    string = box & F.col("text").isNotNull() & ~F.col("in_quiet")
-    in_value = F.col("cell.tag") == "td"
-    kept = in_value & ~F.col("in_note_mark")
-    role = F.when(~in_value, "key").when(F.col("in_note_mark"), "mark").otherwise("value")
-    s = strip(F.col("text"))
-    below = F.transform(
-        F.filter("items", lambda i: i > F.col("cell.pos")),
-        lambda i: F.struct(i.alias("item"), F.col("pos").alias("pos"), F.concat(F.lit(" "), s).alias("s")),
+    string = "zone = 'box' AND text IS NOT NULL AND NOT in_quiet"
+    kept = "cell.tag = 'td' AND NOT in_note_mark"
+    role = "CASE WHEN cell.tag = 'th' THEN 'key' WHEN in_note_mark THEN 'mark' ELSE 'value' END"
+    s = strip_sql("text")
+    below = (
+        "transform(filter(items, i -> i > cell.pos), "
+        f"i -> named_struct('item', i, 'pos', pos, 's', concat(' ', {s})))"
     )
-    opening = F.array(F.struct(F.col("pos").alias("item"), F.col("pos").alias("pos"), F.lit(_ITEM_BREAK).alias("s")))
+    opening = f"array(named_struct('item', pos, 'pos', pos, 's', {_ITEM_BREAK}))"
     return {
-        "box_texts": F.collect_list(
-            F.when(string & F.col("cell").isNotNull(), F.struct("pos", role.alias("role"), s.alias("s")))
-        ),
-        "box_items": F.collect_list(
-            F.when(string & kept, below).when(box & kept & (F.col("tag") == "li"), opening)
-        ),
-        "box_cells": F.count_if(box & F.col("is_cell")),
-        "box_headers": F.count_if(box & F.col("is_cell") & (F.col("tag") == "th")),
-        "box_images": F.count_if(box & in_value & (F.col("tag") == "img")),
-        "box_captions": F.count_if(box & F.col("in_caption") & (F.col("tag") == "caption")),
-        "caption_texts": F.collect_list(F.when(string & F.col("in_caption"), F.struct("pos", s.alias("s")))),
+        "box_texts": collect(f"{string} AND cell IS NOT NULL", "pos AS pos", f"{role} AS role", f"{s} AS s"),
+        "box_items": f"collect_list(CASE WHEN {string} AND {kept} THEN {below} "
+        f"WHEN zone = 'box' AND {kept} AND tag = 'li' THEN {opening} END)",
+        "box_cells": "count_if(zone = 'box' AND is_cell)",
+        "box_headers": "count_if(zone = 'box' AND is_cell AND tag = 'th')",
+        "box_images": "count_if(zone = 'box' AND cell.tag = 'td' AND tag = 'img')",
+        "box_captions": "count_if(zone = 'box' AND in_caption AND tag = 'caption')",
+        "caption_texts": collect(f"{string} AND in_caption", "pos AS pos", f"{s} AS s"),
     }
 
 
-def _joined(*roles: str) -> Column:
-    return normalize_whitespace(ordered_text(F.filter("box_texts", lambda t: t["role"].isin(*roles)), " "))
+def _joined(roles: str) -> str:
+    return normalize_sql(ordered_text(f"filter(box_texts, t -> t.role IN ({roles}))", " "))
 
 
-def unit_entries() -> dict[str, Column]:
+def mark_entries(units: DataFrame) -> DataFrame:
     """`box_pair` and `box_note` of one infobox row, null where the row has none."""
-    has_th = F.col("box_headers") > 0
-    has_td = F.col("box_cells") > F.col("box_headers")
-    items = F.flatten("box_items")
-    is_list = F.size(items) > 0
-    listed = F.filter(
-        F.transform(F.split(ordered_text(items, ""), _ITEM_BREAK), normalize_whitespace),
-        lambda i: i != "",
+    read = add(units, key=_joined("'key'"), value=_joined("'value'"), note=_joined("'value', 'mark'"), listed="flatten(box_items)")
+    items = f"filter(transform(split({ordered_text('listed', '')}, {_ITEM_BREAK}), i -> {normalize_sql('i')}), i -> i <> '')"
+    has_value = "box_cells > box_headers"
+    return add(
+        read,
+        box_pair=f"CASE WHEN zone = 'box' AND box_headers > 0 AND {has_value} AND key <> '' THEN named_struct("
+        "'ord', unit, 'key', key, 'is_list', size(listed) > 0, "
+        f"'vals', CASE WHEN size(listed) > 0 THEN {items} ELSE array(value) END) END",
+        box_note=f"CASE WHEN zone = 'box' AND box_cells = 1 AND {has_value} AND box_images = 0 AND note <> '' "
+        "THEN named_struct('pos', unit, 's', note) END",
     )
-    pair = F.struct(
-        F.col("unit").alias("ord"),
-        _joined("key").alias("key"),
-        is_list.alias("is_list"),
-        F.when(is_list, listed).otherwise(F.array(_joined("value"))).alias("vals"),
-    ).cast(ENTRY)
-    note = _joined("value", "mark")
-    lone = ~has_th & has_td & (F.col("box_cells") == 1) & (F.col("box_images") == 0)
-    return {
-        "box_pair": F.when(has_th & has_td & (pair["key"] != ""), pair),
-        "box_note": F.when(lone & (note != ""), F.struct(F.col("unit").alias("pos"), note.alias("s"))),
-    }
 
 
-def page_aggregates() -> dict[str, Column]:
+def page_aggregates() -> dict[str, str]:
     return {
-        "box_pairs": F.collect_list("box_pair"),
-        "box_notes": F.collect_list("box_note"),
-        "caption_texts": F.flatten(F.collect_list("caption_texts")),
-        "box_captions": F.sum("box_captions"),
+        "box_pairs": "collect_list(box_pair)",
+        "box_notes": "collect_list(box_note)",
+        "caption_texts": "flatten(collect_list(caption_texts))",
+        "box_captions": "sum(box_captions)",
     }
 
 
-def page_entries(page: DataFrame) -> DataFrame:
-    """Replace the page aggregates by `entries`: one per key, first position, last value.
+def mark_page_entries(page: DataFrame) -> DataFrame:
+    """Add `entries`: one per key, first position, last value.
 
     Repeated keys meet by sorting on (key, position), so the work stays n log n in the
     number of rows of one infobox.
     """
-    caption = F.array(
-        F.struct(
-            F.lit(-1).alias("ord"),
-            F.lit(CAPTION_KEY).alias("key"),
-            F.lit(False).alias("is_list"),
-            F.array(normalize_whitespace(ordered_text(F.col("caption_texts"), " "))).alias("vals"),
-        ).cast(ENTRY)
-    )
-    notes = F.array(
-        F.struct(
-            F.array_min(F.col("box_notes.pos")).alias("ord"),
-            F.lit(NOTES_KEY).alias("key"),
-            F.lit(True).alias("is_list"),
-            F.transform(F.array_sort("box_notes"), lambda n: n["s"]).alias("vals"),
-        ).cast(ENTRY)
+    caption = (
+        "array(named_struct('ord', -1, 'key', '_caption_', 'is_list', false, "
+        f"'vals', array({normalize_sql(ordered_text('caption_texts', ' '))})))"
     )
-    none = F.array().cast(f"array<{ENTRY}>")
-    everything = F.concat(
-        F.when(F.col("box_captions") > 0, caption).otherwise(none),
-        F.col("box_pairs"),
-        F.when(F.size("box_notes") > 0, notes).otherwise(none),
+    notes = (
+        "array(named_struct('ord', array_min(box_notes.pos), 'key', '_infobox_notes_', 'is_list', true, "
+        "'vals', transform(array_sort(box_notes), n -> n.s)))"
     )
-    by_key = F.array_sort(
-        F.transform(
-            everything,
-            lambda e: F.struct(e["key"].alias("key"), e["ord"].alias("ord"), e["is_list"].alias("is_list"), e["vals"].alias("vals")),
-        )
+    everything = (
+        f"concat(CASE WHEN box_captions > 0 THEN {caption} ELSE filter({caption}, e -> false) END, box_pairs, "
+        f"CASE WHEN size(box_notes) > 0 THEN {notes} ELSE filter({notes}, e -> false) END)"
     )
-    runs = page.withColumn("by_key", by_key)
-    entry = F.col("by_key")
-    firsts = F.filter(entry, lambda e, i: (i == 0) | (F.get(entry, i - 1)["key"] != e["key"]))
-    lasts = F.filter(entry, lambda e, i: (i == F.size(entry) - 1) | (F.get(entry, i + 1)["key"] != e["key"]))
-    runs = runs.withColumns({"firsts": firsts, "lasts": lasts})
-    merged = F.zip_with(
-        "firsts",
-        "lasts",
-        lambda a, b: F.struct(
-            a["ord"].alias("ord"), b["key"].alias("key"), b["is_list"].alias("is_list"), b["vals"].alias("vals")
-        ),
+    by_key = f"array_sort(transform({everything}, e -> named_struct('key', e.key, 'ord', e.ord, 'is_list', e.is_list, 'vals', e.vals)))"
+    runs = add(
+        add(page, by_key=by_key),
+        firsts="filter(by_key, (e, i) -> i = 0 OR get(by_key, i - 1).key <> e.key)",
+        lasts="filter(by_key, (e, i) -> i = size(by_key) - 1 OR get(by_key, i + 1).key <> e.key)",
     )
-    return runs.withColumn("entries", F.array_sort(merged)).drop(
+    merged = "zip_with(firsts, lasts, (a, b) -> named_struct('ord', a.ord, 'key', b.key, 'is_list', b.is_list, 'vals', b.vals))"
+    return add(runs, entries=f"array_sort({merged})").drop(
         "by_key", "firsts", "lasts", "box_pairs", "box_notes", "caption_texts", "box_captions"
     )

@@ -1,46 +1,48 @@
-"""Subtree tests as windows over one page in document order."""
+"""Subtree tests as windows over one page in document order, as SQL text.
 
-from __future__ import annotations
-
-from pyspark.sql import Column, Window, WindowSpec
-from pyspark.sql import functions as F
-
-FIRST, LAST = Window.unboundedPreceding, Window.unboundedFollowing
+A node covers [pos, last] and intervals nest, so "below a matching node" is a comparison
+with the furthest end seen so far.
+"""
 
+from __future__ import annotations
 
-def in_page(start: int, end: int) -> WindowSpec:
-    """Frame over the page's nodes in document order."""
-    return Window.partitionBy("page_id").orderBy("pos").rowsBetween(start, end)
+from pageloom.functions.sql import literal
 
+_PAGE = "PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND"
+UP_TO_HERE = f"OVER ({_PAGE} CURRENT ROW)"
+BEFORE_HERE = f"OVER ({_PAGE} 1 PRECEDING)"
+WHOLE_PAGE = f"OVER ({_PAGE} UNBOUNDED FOLLOWING)"
 
-def within(condition: Column, *, strictly: bool = False) -> Column:
-    """True for everything below matching nodes, and unless `strictly` for those nodes themselves.
 
-    Intervals nest, so the furthest end seen so far decides.
-    """
-    end = F.max(F.when(condition, F.col("last"))).over(in_page(FIRST, -1 if strictly else 0))
-    return F.coalesce(F.col("pos") <= end, F.lit(False))
+def within(condition: str, *, strictly: bool = False) -> str:
+    """True for everything below matching nodes, and unless `strictly` for those nodes themselves."""
+    frame = BEFORE_HERE if strictly else UP_TO_HERE
+    return f"coalesce(pos <= max(CASE WHEN {condition} THEN last END) {frame}, false)"
 
 
-def first_match(*conditions: Column) -> Column:
+def first_match(*conditions: str) -> str:
     """(rank, pos, last) of the page's first node matching the earliest condition that matches at all."""
-    ranked = F.lit(None)
-    for rank, condition in reversed(list(enumerate(conditions))):
-        ranked = F.when(condition, F.struct(F.lit(rank).alias("rank"), "pos", "last")).otherwise(ranked)
-    return F.min(ranked).over(in_page(FIRST, LAST))
+    cases = [f"WHEN {c} THEN named_struct('rank', {i}, 'pos', pos, 'last', last)" for i, c in enumerate(conditions)]
+    return f"min(CASE {' '.join(cases)} END) {WHOLE_PAGE}"
 
 
-def latest(condition: Column, *columns: str) -> Column:
+def latest(condition: str, *extra: str) -> str:
     """(pos, last, ...) of the nearest earlier-or-same matching node; sound where matches do not nest."""
-    return F.max(F.when(condition, F.struct("pos", "last", *columns))).over(in_page(FIRST, 0))
+    fields = "".join(f", {literal(name)}, {name}" for name in extra)
+    return f"max(CASE WHEN {condition} THEN named_struct('pos', pos, 'last', last{fields}) END) {UP_TO_HERE}"
 
 
-def inside(span: Column) -> Column:
+def inside(span: str) -> str:
     """True for the node a span starts at and everything below it."""
-    here = F.col("pos")
-    return F.coalesce((here >= span["pos"]) & (here <= span["last"]), F.lit(False))
+    return f"coalesce(pos BETWEEN {span}.pos AND {span}.last, false)"
 
 
-def ordered_text(texts: Column, separator: str) -> Column:
+def ordered_text(texts: str, separator: str) -> str:
     """Strings of collected (pos, ..., s) structs in document order."""
-    return F.array_join(F.transform(F.array_sort(texts), lambda t: t["s"]), separator)
+    return f"array_join(transform(array_sort({texts}), t -> t.s), {literal(separator)})"
+
+
+def collect(condition: str, *fields: str) -> str:
+    """Collected structs of the rows that meet the condition; `fields` are 'expression AS name'."""
+    pairs = ", ".join(f"{literal(name)}, {text}" for text, name in (f.rsplit(" AS ", 1) for f in fields))
+    return f"collect_list(CASE WHEN {condition} THEN named_struct({pairs}) END)"

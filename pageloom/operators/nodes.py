@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.functions.selectors import compile_rules
-from pageloom.functions.text import decode_entities, strip
-from pageloom.operators.intervals import first_match, inside, ordered_text
+from pageloom.functions.selectors import rule_sql
+from pageloom.functions.sql import add, literal
+from pageloom.functions.text import decode_sql, strip_sql
+from pageloom.operators.intervals import collect, first_match, inside, ordered_text
 from pageloom.operators.nesting import nest
 
 # Inside of a tag: quotes bind only after '='. Possessive, so long tags cost no stack.
@@ -31,47 +32,55 @@ TOKEN = (
 # Attributes in order; consuming quoted values whole keeps their content from matching.
 _ATTRIBUTE = r"""(?s)[^\s/=>"'<]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+"""
 
+_RAW_START = literal(r"(?i)^<(?:script|style)[\s/>]")
+_TAG_NAME = literal(r"^<([a-zA-Z][^\s/>\x00]*+)")
+_OP_NAME = literal(r"^</?[a-zA-Z][^\s/>\x00]*+")
+_QUOTED = literal(r""""[^"]*+"|'[^']*+'""")
+_EMPTY_QUOTES = literal('""')
+_UNQUOTED_END = literal(r"""=\s*[^\s"'>][^\s>]*/>$""")
+_UP_TO_VALUE = literal(r"(?s)^[^=]*+(?:=\s*+)?+")
+_IN_QUOTES = literal(r"""(?s)^(["'])(.*)\1$""")
+_HAS_ATTRIBUTES = literal(r"^<[^\s/>]++[\s/]++[^>]")
+_ANCHOR = literal(r"(?i)^<a\s")
+_BLANKS = literal(r"\s+")
+
+
 def tokenize(html: Column) -> Column:
     """All tokens of a page, in order."""
     return F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0))
 
 
-def token_kind(token: Column) -> Column:
-    """element, end, raw (script and style with their text), comment, cdata, decl or text."""
+def kind_sql(token: str) -> str:
+    """element, end, raw (script and style with their text), comment, cdata, decl or text; null for no token."""
     return (
-        F.when(token.isNull(), None)
-        .when(~token.startswith("<"), "text")
-        .when(token.rlike(r"(?i)^<(?:script|style)[\s/>]"), "raw")
-        .when(token.rlike("^<[a-zA-Z].*"), "element")
-        .when(token.rlike("^</[a-zA-Z].*"), "end")
-        .when(token.startswith("<!--"), "comment")
-        .when(token.startswith("<![CDATA["), "cdata")
-        .when(token.rlike("^<(?:[!?]|/)"), "decl")
-        .otherwise("text")
+        f"CASE WHEN {token} IS NULL THEN NULL WHEN NOT startswith({token}, '<') THEN 'text' "
+        f"WHEN {token} RLIKE {_RAW_START} THEN 'raw' "
+        f"WHEN {token} RLIKE '^<[a-zA-Z].' THEN 'element' WHEN {token} RLIKE '^</[a-zA-Z].' THEN 'end' "
+        f"WHEN startswith({token}, '<!--') THEN 'comment' WHEN startswith({token}, '<![CDATA[') THEN 'cdata' "
+        f"WHEN {token} RLIKE '^<[!?/]' THEN 'decl' ELSE 'text' END"
     )
 
 
-def _tag(token: Column) -> Column:
-    return F.lower(F.regexp_extract(token, r"^<([a-zA-Z][^\s/>\x00]*+)", 1))
+def _tag(token: str) -> str:
+    return f"lower(regexp_extract({token}, {_TAG_NAME}, 1))"
 
 
-def _op(token: Column) -> Column:
-    """What a token does to the stack: '<name', '</name' or '' with '/' when self-closed and '!' for infobox starts."""
-    name = F.lower(F.regexp_extract(token, r"^</?[a-zA-Z][^\s/>\x00]*+", 0))
-    bare = F.regexp_replace(token, r""""[^"]*+"|'[^']*+'""", '""')
-    closed = F.when(token.endswith("/>"), F.when(~bare.rlike(r"""=\s*[^\s"'>][^\s>]*/>$"""), "/")).otherwise("")
-    box = F.when(F.contains(token, F.lit("infobox")), "!").otherwise("")
-    return F.when(name != "", F.concat(name, F.coalesce(closed, F.lit("")), box)).otherwise("")
+def _op(token: str) -> str:
+    """What a token does to the stack: '<name', '</name' or '', then '/' when self-closed and '!' for infobox starts."""
+    name = f"lower(regexp_extract({token}, {_OP_NAME}, 0))"
+    bare = f"regexp_replace({token}, {_QUOTED}, {_EMPTY_QUOTES})"
+    # In <a href=x/> the slash belongs to the value.
+    valued = f"{bare} RLIKE {_UNQUOTED_END}"
+    closed = f"CASE WHEN endswith({token}, '/>') AND NOT {valued} THEN '/' ELSE '' END"
+    box = f"CASE WHEN contains({token}, 'infobox') THEN '!' ELSE '' END"
+    return f"CASE WHEN {name} = '' THEN '' ELSE concat({name}, {closed}, {box}) END"
 
 
-def _attr(name: str) -> Column:
+def _attr(name: str) -> str:
     """Value of an attribute, the last one if repeated, '' if it has none, null if absent."""
-    found = F.try_element_at(
-        F.filter(F.col("attrs"), lambda a: a.rlike(rf"(?i)^{name}(?:[\s=]|$)")), F.lit(-1)
-    )
-    value = F.regexp_replace(found, r"(?s)^[^=]*+(?:=\s*+)?+", "")
-    quoted = value.rlike("^[\"']")
-    return F.when(quoted, value.substr(F.lit(2), F.length(value) - 2)).otherwise(value)
+    this_name = literal(rf"(?i)^{name}(?:[\s=]|$)")
+    found = f"try_element_at(filter(attrs, a -> a RLIKE {this_name}), -1)"
+    return f"regexp_replace(regexp_replace({found}, {_UP_TO_VALUE}, ''), {_IN_QUOTES}, '$2')"
 
 
 def nodes(pages: DataFrame) -> DataFrame:
@@ -82,83 +91,64 @@ def nodes(pages: DataFrame) -> DataFrame:
     Spark forgets the partitioning across a Python function; whatever later works page by
     page reuses this partitioning.
     """
-    tokens = pages.select(
+    tokens = pages.selectExpr(
         "page_id",
         "title",
-        F.coalesce(F.col("html") != "", F.lit(False)).alias("fetched"),
-        tokenize(F.nullif(F.col("html"), F.lit(""))).alias("tokens"),
+        "coalesce(html <> '', false) AS fetched",
+        f"regexp_extract_all(nullif(html, ''), {literal(TOKEN)}, 0) AS tokens",
+    )
+    scanned = tokens.withColumn("nest", nest(F.expr(f"transform(tokens, t -> {_op('t')})")))
+    folded = scanned.repartition("page_id").selectExpr(
+        "page_id", "title", "fetched", "tokens",
+        "nest.parent AS parent", "nest.last AS last", "nest.head AS head", "nest.items AS items",
+    )
+    up = (
+        f"transform(tokens, (t, i) -> CASE WHEN t RLIKE {_ANCHOR} AND contains(t, 'image') "
+        "THEN get(tokens, get(parent, i)) END)"
     )
-    nested = tokens.withColumn("nest", nest(F.transform("tokens", _op))).repartition("page_id")
-    unfolded = nested.select(
+    ptag = f"transform(parent, p -> {_tag('get(tokens, p)')})"
+    unfolded = folded.selectExpr(
         "page_id",
         "title",
         "fetched",
-        F.posexplode_outer(
-            F.arrays_zip(
-                F.col("tokens").alias("token"),
-                F.col("nest.parent").alias("parent"),
-                F.col("nest.last").alias("last"),
-                F.col("nest.head").alias("head"),
-                F.col("nest.items").alias("items"),
-                F.transform(F.col("nest.parent"), lambda p: _tag(F.get(F.col("tokens"), p))).alias("ptag"),
-                F.transform(
-                    F.col("tokens"),
-                    lambda t, i: F.when(
-                        t.rlike(r"(?i)^<a\s") & F.contains(t, F.lit("image")),
-                        F.get(F.col("tokens"), F.get(F.col("nest.parent"), i)),
-                    ),
-                ).alias("up"),
-            )
-        ).alias("pos", "node"),
+        f"posexplode_outer(arrays_zip(tokens, parent, last, head, items, {ptag}, {up})) AS (place, node)",
     )
-    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
-    kinds = unfolded.select(
+    first = "coalesce(place, 0) = 0"
+    named = unfolded.selectExpr(
         "page_id",
-        F.coalesce("pos", F.lit(0)).alias("pos"),
-        F.when(first, F.col("title")).alias("title"),
-        F.when(first, F.col("fetched")).alias("fetched"),
-        "node.*",
-        token_kind(F.col("node.token")).alias("kind"),
-    ).filter((F.col("kind") != "end") | (F.col("pos") == 0) | F.col("kind").isNull())
-    tagged = kinds.withColumns(
-        {
-            "tag": F.when(F.col("kind").isin("element", "raw"), _tag(F.col("token"))),
-            "attrs": F.when(
-                (F.col("kind") == "element") & F.col("token").rlike(r"^<[^\s/>]++[\s/]++[^>]"),
-                F.regexp_extract_all("token", F.lit(_ATTRIBUTE), F.lit(0)),
-            ),
-        }
+        "coalesce(place, 0) AS pos",
+        f"CASE WHEN {first} THEN title END AS title",
+        f"CASE WHEN {first} THEN fetched END AS fetched",
+        "node.tokens AS token", "node.parent", "node.last", "node.head", "node.items",
+        "node.`5` AS ptag", "node.`6` AS up",
+        f"{kind_sql('node.tokens')} AS kind",
+    ).filter("kind <> 'end' OR pos = 0 OR kind IS NULL")
+    tagged = add(
+        named,
+        tag=f"CASE WHEN kind IN ('element', 'raw') THEN {_tag('token')} END",
+        attrs=f"CASE WHEN kind = 'element' AND token RLIKE {_HAS_ATTRIBUTES} "
+        f"THEN regexp_extract_all(token, {literal(_ATTRIBUTE)}, 0) END",
+        string="CASE kind WHEN 'text' THEN token WHEN 'cdata' THEN substring(token, 10, length(token) - 12) END",
     )
-    text = F.when(F.col("kind") == "text", decode_entities(F.col("token"))).when(
-        F.col("kind") == "cdata", F.expr("substring(token, 10, length(token) - 12)")
-    )
-    return tagged.select(
+    valued = add(tagged, raw_src=_attr("src"), raw_alt=_attr("alt"))
+    return valued.selectExpr(
         "page_id", "pos", "last", "parent", "ptag", "head", "items", "kind", "tag",
-        F.nullif(_attr("id"), F.lit("")).alias("id"),
-        F.filter(F.split(_attr("class"), r"\s+"), lambda c: c != "").alias("cls"),
-        _attr("style").alias("style"),
-        decode_entities(_attr("src")).alias("src"),
-        decode_entities(_attr("alt")).alias("alt"),
-        _attr("rel").alias("rel"),
+        f"nullif({_attr('id')}, '') AS id",
+        f"filter(split({_attr('class')}, {_BLANKS}), c -> c <> '') AS cls",
+        f"{_attr('style')} AS style",
+        f"{decode_sql('raw_src')} AS src",
+        f"{decode_sql('raw_alt')} AS alt",
+        f"{_attr('rel')} AS rel",
         "up",
-        text.alias("text"),
-        "title",
-        "fetched",
+        f"CASE WHEN kind = 'text' THEN {decode_sql('string')} ELSE string END AS text",
+        "title", "fetched",
     )
 
 
-def has_text(text: Column) -> Column:
-    """True for text that is more than whitespace."""
-    return F.coalesce(strip(text) != "", F.lit(False))
-
-
 def subtree_text(nodes: DataFrame, selector: str, separator: str) -> DataFrame:
     """`page_id, text`: strings below the page's first match, stripped, blanks dropped, joined; null without a match."""
-    string = F.when(has_text(F.col("text")), F.struct("pos", strip(F.col("text")).alias("s")))
-    spans = nodes.withColumn("span", first_match(compile_rules([selector])))
-    below = inside(F.col("span"))
+    spans = add(nodes, span=first_match(rule_sql([selector])))
+    strings = collect(f"{inside('span')} AND {strip_sql('text')} <> ''", "pos AS pos", f"{strip_sql('text')} AS s")
     return spans.groupBy("page_id").agg(
-        F.when(
-            F.bool_or(F.col("span").isNotNull()), ordered_text(F.collect_list(F.when(below, string)), separator)
-        ).alias("text")
+        F.expr(f"CASE WHEN bool_or(span IS NOT NULL) THEN {ordered_text(strings, separator)} END").alias("text")
     )

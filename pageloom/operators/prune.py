@@ -2,91 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from pageloom.functions.selectors import compile_rules, has_class, literals, matching_rules, rank_rules
-from pageloom.functions.text import normalize_whitespace, strip
-from pageloom.operators.intervals import FIRST, LAST, first_match, in_page, inside, ordered_text, within
-from pageloom.operators.nodes import has_text
+from pageloom.functions.selectors import has_class_sql, matching_sql, rank_sql, rule_sql
+from pageloom.functions.sql import add, drop, literals
+from pageloom.functions.text import normalize_sql, strip_sql
+from pageloom.operators.intervals import WHOLE_PAGE, collect, first_match, inside, ordered_text, within
 from pageloom.profiles import Profile
 
-# Elements whose strings are no part of the text of their surroundings.
+# Elements whose strings are no part of the text of their surroundings, and
+# classes that mark a caption.
 QUIET_TAGS = ("rt", "rp", "template")
 CAPTION_CLASSES = ("thumbcaption", "gallerytext", "mw-caption-text")
+SECTION_TAGS = ("h2", "h3", "h4")
+
+_SPENT = (
+    "title_span", "is_title", "is_noise", "is_boilerplate", "is_picture", "in_noise", "in_boilerplate",
+    "is_quiet", "box_rank",
+)
 
 
 def flag_nodes(nodes: DataFrame, profile: Profile, *, keep_images: bool, keep_infobox: bool) -> DataFrame:
     """Evaluate every rule once per node and keep only what later steps read."""
-    tag, cls = F.col("tag"), F.col("cls")
     drop_with_images = () if keep_images else profile.image_drop
     drop_with_infobox = () if keep_infobox else profile.infobox
-    caption = (
-        F.when(tag.isin("figcaption", "div") & has_class(*CAPTION_CLASSES), 0)
-        .when(F.contains(F.array_join(cls, " "), F.lit("caption")), 1)
-    )
     columns = {
-        "text": F.when(has_text(F.col("text")), F.col("text")),
-        "is_title": compile_rules([profile.title]),
-        "is_noise": compile_rules(profile.preprocess),
-        "is_boilerplate": compile_rules(profile.boilerplate + drop_with_infobox),
-        "is_picture": compile_rules(drop_with_images),
-        "area_rank": rank_rules(profile.areas),
-        "is_headline": (tag == "span") & has_class("mw-headline"),
-        "is_hidden": (tag == "span") & F.contains(F.lower("style"), F.lit("display:none")),
-        "is_skipped": tag.isin(*profile.skip_tags) | has_class(*profile.skip_classes),
-        "is_quiet": tag.isin(*QUIET_TAGS),
+        "text": f"CASE WHEN {strip_sql('text')} <> '' THEN text END",
+        "is_title": rule_sql([profile.title]),
+        "is_noise": rule_sql(profile.preprocess),
+        "is_boilerplate": rule_sql(profile.boilerplate + drop_with_infobox),
+        "is_picture": rule_sql(drop_with_images),
+        "area_rank": rank_sql(profile.areas),
+        "is_headline": f"tag = 'span' AND {has_class_sql('mw-headline')}",
+        "is_hidden": "tag = 'span' AND contains(lower(style), 'display:none')",
+        "is_skipped": f"tag IN ({literals(profile.skip_tags)}) OR {has_class_sql(*profile.skip_classes)}",
+        "is_quiet": f"tag IN ({literals(QUIET_TAGS)})",
     }
-    keep = ["page_id", "pos", "last", "parent", "ptag", "tag", "head", "title", "fetched"]
+    keep = ["page_id", "pos", "last", "parent", "ptag", "tag", "head", "title", "fetched", "kind"]
     if keep_infobox:
         keep += ["items"]
-        columns["box_rank"] = rank_rules(profile.infobox)
-        columns["is_note_mark"] = (tag == "sup") & has_class("reference")
+        columns["box_rank"] = rank_sql(profile.infobox)
+        columns["is_note_mark"] = f"tag = 'sup' AND {has_class_sql('reference')}"
     if keep_images:
         keep += ["src", "alt"]
-        columns["caption_rank"] = caption
-        columns["frame_ranks"] = matching_rules(profile.image_containers)
+        columns["caption_rank"] = (
+            f"CASE WHEN tag IN ('figcaption', 'div') AND {has_class_sql(*CAPTION_CLASSES)} THEN 0 "
+            "WHEN contains(array_join(cls, ' '), 'caption') THEN 1 END"
+        )
+        columns["frame_ranks"] = matching_sql(profile.image_containers)
     # Comments, declarations, scripts and blank strings end here; position 0 stands for its page.
-    return nodes.select(*keep, *[c.alias(n) for n, c in columns.items()], "kind").filter(
-        (F.col("kind") == "element") | F.col("text").isNotNull() | (F.col("pos") == 0)
-    )
+    flagged = nodes.selectExpr(*keep, *(f"{text} AS {name}" for name, text in columns.items()))
+    return flagged.filter("kind = 'element' OR text IS NOT NULL OR pos = 0").drop("kind")
 
 
 def assign_zones(flagged: DataFrame, *, keep_infobox: bool) -> DataFrame:
     """`zone` = title, box, live or null; nodes of no zone are dropped."""
-    spans = flagged.withColumns(
-        {
-            "title_span": first_match(F.col("is_title")),
-            "in_noise": within(F.col("is_noise")),
-            "in_boilerplate": within(F.col("is_boilerplate")),
-            "in_picture": within(F.col("is_picture")),
-            "in_quiet": within(F.col("is_quiet")),
-        }
+    zoned = add(
+        flagged,
+        title_span=first_match("is_title"),
+        in_noise=within("is_noise"),
+        in_boilerplate=within("is_boilerplate"),
+        in_picture=within("is_picture"),
+        in_quiet=within("is_quiet"),
     )
-    in_title = inside(F.col("title_span"))
-    clean = ~in_title & ~F.col("in_noise")
-    zone = F.when(in_title, "title")
+    clean = f"NOT in_noise AND NOT {inside('title_span')}"
+    boxed = ""
     if keep_infobox:
-        spans = spans.withColumn(
-            "box", first_match(*(clean & (F.col("box_rank") == rank) for rank in (0, 1)))
-        )
-        zone = zone.when(clean & inside(F.col("box")), "box")
-    zone = zone.when(clean & ~F.col("in_boilerplate"), "live")
-    return (
-        spans.withColumn("zone", zone)
-        .filter(F.col("zone").isNotNull() | (F.col("pos") == 0))
-        .drop("title_span", "is_title", "is_noise", "is_boilerplate", "is_picture", "in_noise", "in_boilerplate",
-              "is_quiet", "box_rank")
-    )
+        zoned = add(zoned, box=first_match(*(f"{clean} AND box_rank = {rank}" for rank in (0, 1))))
+        boxed = f"WHEN {clean} AND {inside('box')} THEN 'box'"
+    zone = f"CASE WHEN {inside('title_span')} THEN 'title' {boxed} WHEN {clean} AND NOT in_boilerplate THEN 'live' END"
+    return drop(add(zoned, zone=zone).filter("zone IS NOT NULL OR pos = 0"), *_SPENT)
 
 
-def heading_text(texts: Column, headline: Column, separator: str) -> Column:
+def heading_sql(texts: str, headline: str, separator: str) -> str:
     """Text of a heading, or of its headline span where it has one."""
-    own = F.filter(
-        texts,
-        lambda t: headline.isNull() | t["pos"].between(headline["pos"], headline["last"]),
-    )
-    return normalize_whitespace(ordered_text(own, separator))
+    own = f"filter({texts}, t -> {headline} IS NULL OR t.pos BETWEEN {headline}.pos AND {headline}.last)"
+    return normalize_sql(ordered_text(own, separator))
 
 
 def mark_trailing(zoned: DataFrame, keywords: tuple[str, ...]) -> DataFrame:
@@ -95,61 +86,38 @@ def mark_trailing(zoned: DataFrame, keywords: tuple[str, ...]) -> DataFrame:
     A section takes the following siblings, elements only, up to a heading of its rank or
     above. That is a running comparison among siblings, so no heading meets another by join.
     """
-    live = F.col("zone") == "live"
-    element = live & F.col("tag").isNotNull()
-    head = F.when(live & (F.col("head") >= 0), F.col("head"))
-    own = Window.partitionBy("page_id", "head_key").orderBy("pos").rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
+    element = "zone = 'live' AND tag IS NOT NULL"
+    own = (
+        "OVER (PARTITION BY page_id, head_key ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
     )
-    string = F.struct("pos", strip(F.col("text")).alias("s"))
-    titled = zoned.withColumn("head_key", head).withColumns(
-        {
-            "head_texts": F.collect_list(
-                F.when(head.isNotNull() & F.col("text").isNotNull() & ~F.col("in_quiet"), string)
-            ).over(own),
-            "headline": F.min(F.when(head.isNotNull() & F.col("is_headline"), F.struct("pos", "last"))).over(own),
-        }
-    )
-    name = F.lower(heading_text(F.col("head_texts"), F.col("headline"), " "))
-    named = F.exists(F.expr(f"array({literals(keywords)})"), lambda k: F.contains(name, k))
-    is_heading = element & (F.col("pos") == F.col("head_key"))
-    titled = titled.withColumn("is_trailing", F.coalesce(F.when(is_heading, named), F.lit(False)))
-
-    siblings = Window.partitionBy("page_id", "parent").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    ranks = ("h2", "h3", "h4")
-    compared = titled.drop("head_texts", "headline", "head_key", "head").withColumns(
-        {
-            **{
-                f"start_{h}": F.max(F.when(F.col("is_trailing") & (F.col("tag") == h), F.col("pos"))).over(siblings)
-                for h in ranks
-            },
-            **{
-                f"stop_{h}": F.max(
-                    F.when(element & F.col("tag").startswith("h") & (F.col("tag") <= h), F.col("pos"))
-                ).over(siblings)
-                for h in ranks
-            },
-        }
-    )
-    taken = F.lit(False)
-    for h in ranks:
-        taken |= F.coalesce(F.col(f"start_{h}") >= F.col(f"stop_{h}"), F.lit(False))
-    spare = [f"{side}_{h}" for side in ("start", "stop") for h in ranks]
-    return (
-        compared.withColumn("is_taken", element & taken)
-        .drop(*spare)
-        .withColumn("in_trailing", within(F.col("is_taken")))
-        .drop("is_taken")
+    keyed = add(zoned, head_key="CASE WHEN zone = 'live' AND head >= 0 THEN head END")
+    strings = collect("head_key IS NOT NULL AND text IS NOT NULL AND NOT in_quiet", "pos AS pos", f"{strip_sql('text')} AS s")
+    titled = add(
+        keyed,
+        head_texts=f"{strings} {own}",
+        headline=f"min(CASE WHEN head_key IS NOT NULL AND is_headline THEN named_struct('pos', pos, 'last', last) END) {own}",
     )
+    name = f"lower({heading_sql('head_texts', 'headline', ' ')})"
+    named = f"exists(array({literals(keywords)}), k -> contains({name}, k))"
+    titled = add(
+        titled, is_trailing=f"coalesce(CASE WHEN {element} AND pos = head_key THEN {named} END, false)"
+    ).drop("head_texts", "headline", "head_key", "head")
+
+    siblings = "OVER (PARTITION BY page_id, parent ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    starts = {f"start_{h}": f"max(CASE WHEN is_trailing AND tag = '{h}' THEN pos END) {siblings}" for h in SECTION_TAGS}
+    stops = {
+        f"stop_{h}": f"max(CASE WHEN {element} AND startswith(tag, 'h') AND tag <= '{h}' THEN pos END) {siblings}"
+        for h in SECTION_TAGS
+    }
+    taken = " OR ".join(f"coalesce(start_{h} >= stop_{h}, false)" for h in SECTION_TAGS)
+    compared = add(add(titled, **starts, **stops), is_taken=f"{element} AND ({taken})").drop(*starts, *stops)
+    return add(compared, in_trailing=within("is_taken")).drop("is_taken")
 
 
-def drop_trailing(marked: DataFrame) -> DataFrame:
-    gone = F.col("in_trailing") & (F.col("zone") == "live")
-    return (
-        marked.withColumn("zone", F.when(gone, None).otherwise(F.col("zone")))
-        .filter(F.col("zone").isNotNull() | (F.col("pos") == 0))
-        .drop("is_trailing", "in_trailing")
-    )
+def _leave(frame: DataFrame, gone: str) -> DataFrame:
+    """Take nodes out of the live page."""
+    left = add(frame, zone=f"CASE WHEN zone = 'live' AND {gone} THEN NULL ELSE zone END")
+    return left.filter("zone IS NOT NULL OR pos = 0").drop(gone)
 
 
 def live_nodes(
@@ -160,20 +128,15 @@ def live_nodes(
     With `count_trailing` the page row also carries `n_trailing`, the number of headings that
     started a removed section.
     """
-    zoned = assign_zones(
-        flag_nodes(nodes, profile, keep_images=keep_images, keep_infobox=keep_infobox), keep_infobox=keep_infobox
-    )
+    flagged = flag_nodes(nodes, profile, keep_images=keep_images, keep_infobox=keep_infobox)
+    zoned = assign_zones(flagged, keep_infobox=keep_infobox)
     if profile.trailing_keywords:
         zoned = mark_trailing(zoned, profile.trailing_keywords)
         if count_trailing:
-            counted = F.sum(F.col("is_trailing").cast("int")).over(in_page(FIRST, LAST))
-            zoned = zoned.withColumn("n_trailing", counted)
-        zoned = drop_trailing(zoned)
+            zoned = add(zoned, n_trailing=f"sum(CAST(is_trailing AS INT)) {WHOLE_PAGE}")
+        zoned = _leave(zoned.drop("is_trailing"), "in_trailing")
     else:
         zoned = zoned.drop("head")
     if profile.image_drop and not keep_images:
-        gone = F.col("in_picture") & (F.col("zone") == "live")
-        zoned = zoned.withColumn("zone", F.when(gone, None).otherwise(F.col("zone"))).filter(
-            F.col("zone").isNotNull() | (F.col("pos") == 0)
-        )
+        return _leave(zoned, "in_picture")
     return zoned.drop("in_picture")

@@ -7,177 +7,139 @@ as it stands. What remains is a list of strings per page, joined in document ord
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from pageloom.functions.text import normalize_whitespace, strip
-from pageloom.operators.intervals import first_match, inside, latest, ordered_text, within
-from pageloom.operators.prune import heading_text
+from pageloom.functions.sql import add, literals
+from pageloom.functions.text import normalize_sql, strip_sql
+from pageloom.operators.intervals import collect, first_match, inside, latest, ordered_text, within
+from pageloom.operators.prune import heading_sql
 from pageloom.profiles import Profile
 
-HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+HEADINGS = "'h1', 'h2', 'h3', 'h4', 'h5', 'h6'"
+UNIT = "text_unit"
 
 
 def mark_area(live: DataFrame, profile: Profile) -> DataFrame:
     """Move the live nodes of the content area to zone `text`; the rest of the live page goes."""
-    here = F.col("zone") == "live"
-    found = live.withColumn(
-        "area", first_match(*(here & (F.col("area_rank") == r) for r in range(len(profile.areas))))
-    )
-    zone = F.when(here, F.when(inside(F.col("area")) & (F.col("pos") > F.col("area.pos")), "text")).otherwise(
-        F.col("zone")
-    )
+    ranks = range(len(profile.areas))
+    found = add(live, area=first_match(*(f"zone = 'live' AND area_rank = {r}" for r in ranks)))
+    below = f"{inside('area')} AND pos > area.pos"
     return (
-        found.withColumn("zone", zone)
-        .filter(F.col("zone").isNotNull() | (F.col("pos") == 0))
-        .withColumns({"is_root": F.col("parent") == F.col("area.pos"), "has_area": F.col("area").isNotNull()})
+        add(
+            found,
+            zone=f"CASE WHEN zone <> 'live' THEN zone WHEN {below} THEN 'text' END",
+            is_root="parent = area.pos",
+            has_area="area IS NOT NULL",
+        )
+        .filter("zone IS NOT NULL OR pos = 0")
         .drop("area", "area_rank")
     )
 
 
 def mark_units(area: DataFrame) -> DataFrame:
     """`text_unit`: the heading, paragraph, definition item or own position a node's output belongs to."""
-    here = F.col("zone") == "text"
-    tag = F.col("tag")
-    listed = F.col("ptag").isin("ul", "ol")
-    item = listed & (tag == "li")
-    barrier = (
-        F.when(listed & ~F.coalesce(item, F.lit(False)), "drop")
-        .when(F.col("text").isNotNull(), F.when(F.col("is_root"), "drop"))
-        .when(~F.col("is_root") & ~F.coalesce(item, F.lit(False)) & F.col("is_skipped"), "drop")
-        .when(tag.isin("p", "dl", *HEADINGS), "keep")
+    walls = add(area, is_item="coalesce(ptag IN ('ul', 'ol') AND tag = 'li', false)")
+    # In a list only items count; bare text of the area and skipped elements yield nothing.
+    walls = add(
+        walls,
+        barrier="CASE WHEN zone IS NULL OR zone <> 'text' THEN NULL "
+        "WHEN ptag IN ('ul', 'ol') AND NOT is_item THEN 'drop' "
+        "WHEN text IS NOT NULL THEN CASE WHEN is_root THEN 'drop' END "
+        "WHEN NOT is_root AND NOT is_item AND is_skipped THEN 'drop' "
+        f"WHEN tag IN ('p', 'dl', {HEADINGS}) THEN 'keep' END",
     )
-    walls = area.withColumn("barrier", F.when(here, barrier))
-    outer = walls.withColumn("is_inner", within(F.col("barrier").isNotNull(), strictly=True)).withColumn(
-        "barrier", F.when(~F.col("is_inner"), F.col("barrier"))
+    outer = add(walls, is_inner=within("barrier IS NOT NULL", strictly=True))
+    spans = add(
+        outer,
+        keep=latest("barrier = 'keep' AND NOT is_inner", "tag"),
+        in_drop=within("barrier = 'drop' AND NOT is_inner"),
     )
-    spans = outer.withColumns(
-        {"keep": latest(F.col("barrier") == "keep", "tag"), "in_drop": within(F.col("barrier") == "drop")}
-    ).withColumn("keep", F.when(here & inside(F.col("keep")), F.col("keep")))
-    items = spans.withColumns(
-        {
-            "in_hidden": within(F.col("is_hidden") & (F.col("keep.tag") == "p")),
-            "entry": latest(
-                (F.col("keep.tag") == "dl") & (F.col("parent") == F.col("keep.pos")) & tag.isin("dt", "dd")
-            ),
-        }
+    spans = add(spans, keep=f"CASE WHEN zone = 'text' AND {inside('keep')} THEN keep END")
+    entries = add(
+        spans,
+        in_hidden=within("is_hidden AND keep.tag = 'p'"),
+        entry=latest("keep.tag = 'dl' AND parent = keep.pos AND tag IN ('dt', 'dd')"),
     )
-    kept = F.col("keep").isNotNull()
-    in_entry = inside(F.col("entry"))
-    is_text = F.col("text").isNotNull()
-    silent = F.col("in_drop") | (kept & is_text & (F.col("in_quiet") | F.col("in_hidden")))
     unit = (
-        F.when(silent, None)
-        .when((F.col("keep.tag") == "dl") & (F.col("pos") > F.col("keep.pos")), F.when(in_entry, F.col("entry.pos")))
-        .when(kept, F.col("keep.pos"))
-        .when(is_text | tag.isin("ul", "ol", "br") | item, F.col("pos"))
-    )
-    return items.withColumn("text_unit", F.when(here, unit)).drop(
-        "barrier", "is_inner", "keep", "in_drop", "in_hidden", "entry"
+        "CASE WHEN zone IS NULL OR zone <> 'text' OR in_drop THEN NULL "
+        "WHEN keep IS NOT NULL AND text IS NOT NULL AND (in_quiet OR in_hidden) THEN NULL "
+        f"WHEN keep.tag = 'dl' AND pos > keep.pos THEN CASE WHEN {inside('entry')} THEN entry.pos END "
+        "WHEN keep IS NOT NULL THEN keep.pos "
+        "WHEN text IS NOT NULL OR tag IN ('ul', 'ol', 'br') OR is_item THEN pos END"
     )
+    return add(entries, text_unit=unit).drop("barrier", "is_inner", "keep", "in_drop", "in_hidden", "entry", "is_item")
 
 
-def unit_aggregates() -> dict[str, Column]:
-    here = F.col("zone") == "text"
-    own = here & (F.col("pos") == F.col("text_unit"))
+def unit_aggregates() -> dict[str, str]:
+    own = "zone = 'text' AND pos = text_unit"
     return {
-        "tag": F.max(F.when(own, F.coalesce(F.col("tag"), F.lit("#text")))),
-        "last": F.max(F.when(own, F.col("last"))),
-        "parent": F.max(F.when(own, F.col("parent"))),
-        "ptag": F.max(F.when(own, F.col("ptag"))),
-        "is_root": F.coalesce(F.bool_or(F.when(own, F.col("is_root"))), F.lit(False)),
-        "headline": F.min(F.when(here & F.col("is_headline"), F.struct("pos", "last"))),
-        "texts": F.collect_list(
-            F.when(
-                F.col("text").isNotNull() & (here | ((F.col("zone") == "title") & ~F.col("in_quiet"))),
-                F.struct("pos", F.col("text").alias("s")),
-            )
+        "tag": f"max(CASE WHEN {own} THEN coalesce(tag, '#text') END)",
+        "last": f"max(CASE WHEN {own} THEN last END)",
+        "parent": f"max(CASE WHEN {own} THEN parent END)",
+        "ptag": f"max(CASE WHEN {own} THEN ptag END)",
+        "is_root": f"coalesce(bool_or(CASE WHEN {own} THEN is_root END), false)",
+        "headline": "min(CASE WHEN zone = 'text' AND is_headline THEN named_struct('pos', pos, 'last', last) END)",
+        "texts": collect(
+            "text IS NOT NULL AND (zone = 'text' OR (zone = 'title' AND NOT in_quiet))", "pos AS pos", "text AS s"
         ),
     }
 
 
-def unit_strings(units: DataFrame, profile: Profile) -> DataFrame:
+def mark_strings(units: DataFrame, profile: Profile) -> DataFrame:
     """`opening` and `closing` strings of each unit, and `section` for top-level second-rank headings."""
-    stripped = F.transform(
-        "texts", lambda t: F.struct(t["pos"].alias("pos"), strip(t["s"]).alias("s"))
-    )
-    plain = normalize_whitespace(ordered_text(stripped, " "))
-    shown = units.withColumn(
-        "words",
-        F.when(F.col("tag") == "#text", F.col("texts")[0]["s"])
-        .when(F.col("tag").isin(*HEADINGS), heading_text(stripped, F.col("headline"), ""))
-        .when(F.size("texts") > 0, plain),
+    stripped = f"transform(texts, t -> named_struct('pos', t.pos, 's', {strip_sql('t.s')}))"
+    shown = add(
+        units,
+        words="CASE WHEN tag = '#text' THEN texts[0].s "
+        f"WHEN tag IN ({HEADINGS}) THEN {heading_sql(stripped, 'headline', '')} "
+        f"WHEN size(texts) > 0 THEN {normalize_sql(ordered_text(stripped, ' '))} END",
     )
-    named = F.col("tag").isin(*HEADINGS) & ~F.lower("words").isin(*profile.excluded_headings)
-    is_content = (
-        F.when(F.col("tag") == "#text", True)
-        .when(F.col("tag").isin(*HEADINGS), (F.col("words") != "") & named)
-        .when(F.col("tag").isin("p", "dt", "dd"), F.col("words") != "")
+    excluded = f"AND lower(words) NOT IN ({literals(profile.excluded_headings)})" if profile.excluded_headings else ""
+    content = add(
+        shown,
+        is_content="zone = 'text' AND coalesce(CASE WHEN tag = '#text' THEN true "
+        f"WHEN tag IN ({HEADINGS}) THEN words <> '' {excluded} "
+        "WHEN tag IN ('p', 'dt', 'dd') THEN words <> '' END, false)",
     )
-    shown = shown.withColumn("is_content", (F.col("zone") == "text") & F.coalesce(is_content, F.lit(False)))
-    content_pos = "CASE WHEN is_content THEN unit END"
-    page = "PARTITION BY page_id"
-    siblings = Window.partitionBy("page_id", "parent").orderBy("unit").rowsBetween(Window.unboundedPreceding, 0)
-    counted = shown.withColumn(
-        "number", F.sum(F.when((F.col("tag") == "li") & (F.col("ptag") == "ol"), 1)).over(siblings)
-    ).withColumn("next_content", F.expr(f"lead({content_pos}) IGNORE NULLS OVER ({page} ORDER BY unit)"))
-    holds_content = F.col("next_content") <= F.col("last")
-    words, tag = F.col("words"), F.col("tag")
-    opening = (
-        F.when(
-            F.col("is_content"),
-            F.when(tag == "#text", words)
-            .when(tag == "p", F.concat(words, F.lit("\n")))
-            .when(tag == "dt", F.concat(F.lit("**"), words, F.lit("**:\n")))
-            .when(tag == "dd", F.concat(F.lit("  "), words, F.lit("\n")))
-            .otherwise(
-                F.concat(F.lit("\n\n"), F.repeat(F.lit("#"), F.substring(tag, 2, 1).cast("int")), F.lit(" "), words, F.lit("\n"))
-            ),
-        )
-        .when(tag == "br", "\n")
-        .when(holds_content & tag.isin("ul", "ol", "dl"), "\n")
-        .when(holds_content & (tag == "li") & (F.col("ptag") == "ul"), "* ")
-        .when(holds_content & (tag == "li"), F.concat(F.col("number").cast("string"), F.lit(". ")))
+    siblings = "OVER (PARTITION BY page_id, parent ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    counted = add(content, number=f"sum(CASE WHEN tag = 'li' AND ptag = 'ol' THEN 1 END) {siblings}")
+    counted = add(
+        counted,
+        next_content="lead(CASE WHEN is_content THEN unit END) IGNORE NULLS OVER (PARTITION BY page_id ORDER BY unit)",
     )
-    closing = F.when(holds_content & tag.isin("ul", "ol", "dl", "li"), "\n")
-    here = F.col("zone") == "text"
-    return counted.withColumns(
-        {
-            "opening": F.when(here, opening),
-            "closing": F.when(here, closing),
-            "section": F.when(F.col("is_content") & F.col("is_root") & (tag == "h2"), words),
-        }
+    holds = "zone = 'text' AND next_content <= last"
+    return add(
+        counted,
+        opening="CASE WHEN is_content THEN CASE tag WHEN '#text' THEN words WHEN 'p' THEN concat(words, '\\n') "
+        "WHEN 'dt' THEN concat('**', words, '**:\\n') WHEN 'dd' THEN concat('  ', words, '\\n') "
+        "ELSE concat('\\n\\n', repeat('#', CAST(substring(tag, 2, 1) AS INT)), ' ', words, '\\n') END "
+        "WHEN zone = 'text' AND tag = 'br' THEN '\\n' "
+        f"WHEN {holds} AND tag IN ('ul', 'ol', 'dl') THEN '\\n' "
+        f"WHEN {holds} AND tag = 'li' THEN CASE ptag WHEN 'ol' THEN concat(CAST(number AS STRING), '. ') ELSE '* ' END END",
+        closing=f"CASE WHEN {holds} AND tag IN ('ul', 'ol', 'dl', 'li') THEN '\\n' END",
+        section="CASE WHEN is_content AND is_root AND tag = 'h2' THEN words END",
     )
 
 
-def page_aggregates() -> dict[str, Column]:
-    def piece(order: int, pos: str, text: str) -> Column:
-        return F.when(
-            F.col(text).isNotNull(), F.struct(F.col(pos).alias("pos"), F.lit(order).alias("order"), F.col(text).alias("s"))
-        )
-
+def page_aggregates() -> dict[str, str]:
+    opening = "CASE WHEN opening IS NOT NULL THEN named_struct('pos', unit, 'seq', 0, 's', opening) END"
+    closing = "CASE WHEN closing IS NOT NULL THEN named_struct('pos', last, 'seq', 1, 's', closing) END"
     return {
-        "pieces": F.flatten(
-            F.collect_list(F.array_compact(F.array(piece(0, "unit", "opening"), piece(1, "last", "closing"))))
-        ),
-        "heads": F.collect_list(
-            F.when(F.col("section").isNotNull(), F.struct(F.col("unit").alias("pos"), F.col("section").alias("s")))
-        ),
-        "found_title": F.max(F.when(F.col("zone") == "title", F.col("words"))),
+        "pieces": f"flatten(collect_list(array_compact(array({opening}, {closing}))))",
+        "heads": collect("section IS NOT NULL", "unit AS pos", "section AS s"),
+        "found_title": "max(CASE WHEN zone = 'title' THEN words END)",
     }
 
 
-def page_content() -> Column:
-    return normalize_whitespace(ordered_text(F.col("pieces"), ""))
+def content_sql() -> str:
+    return normalize_sql(ordered_text("pieces", ""))
 
 
-def page_sections(content: Column) -> Column:
+def sections_sql(content: str) -> str:
     """Section names, with a made-up first one where the text starts before any heading."""
-    names = F.transform(F.array_sort("heads"), lambda h: h["s"])
-    lead_in = F.lower(F.concat(F.lit("## "), names[0]))
+    names = "transform(array_sort(heads), h -> h.s)"
     return (
-        F.when(content == "", names)
-        .when(F.size("heads") == 0, F.array(F.lit("Content")))
-        .when(F.lower(content).startswith(lead_in), names)
-        .otherwise(F.concat(F.array(F.lit("Introduction")), names))
+        f"CASE WHEN {content} = '' THEN {names} WHEN size(heads) = 0 THEN array('Content') "
+        f"WHEN startswith(lower({content}), lower(concat('## ', {names}[0]))) THEN {names} "
+        f"ELSE concat(array('Introduction'), {names}) END"
     )

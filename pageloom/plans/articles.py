@@ -7,10 +7,11 @@ container) and then into one row per page.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions.jsontext import entries_json
+from pageloom.functions.sql import add
 from pageloom.functions.text import page_url
 from pageloom.operators import images, infobox, render
 from pageloom.operators.nodes import nodes
@@ -19,70 +20,67 @@ from pageloom.operators.prune import live_nodes
 from pageloom.profiles import WIKI, Profile
 
 
+def _aggregate(frame: DataFrame, keys: list[str], aggregates: dict[str, str]) -> DataFrame:
+    return frame.groupBy(*keys).agg(*(F.expr(f"{text} AS {name}") for name, text in aggregates.items()))
 
 
 def _pages(
-    pages: DataFrame, profile: Profile, *, text: bool, keep_images: bool, keep_infobox: bool, count_trailing: bool = False
+    pages: DataFrame,
+    profile: Profile,
+    *,
+    text: bool,
+    keep_images: bool,
+    keep_infobox: bool,
+    count_trailing: bool = False,
 ) -> DataFrame:
     """One row per page with the collected parts that were asked for."""
     marked = live_nodes(
         nodes(pages), profile, keep_images=keep_images, keep_infobox=keep_infobox, count_trailing=count_trailing
     )
-    unit: Column = F.when(F.col("zone") == "title", -1)
-    unit_aggs: dict[str, Column] = {"title": F.max("title"), "fetched": F.bool_or("fetched")}
-    page_aggs: dict[str, Column] = {"title": F.max("title"), "fetched": F.bool_or("fetched")}
+    unit = ["WHEN zone = 'title' THEN -1"]
+    per_unit = {"title": "max(title)", "fetched": "bool_or(fetched)"}
+    per_page = dict(per_unit)
     if count_trailing:
-        unit_aggs["n_trailing"] = page_aggs["n_trailing"] = F.max("n_trailing")
+        per_unit["n_trailing"] = per_page["n_trailing"] = "max(n_trailing)"
     if keep_images:
         marked = images.mark_images(marked, profile)
-        unit = unit.when(F.col("zone") == "image", images.image_unit())
-        unit_aggs |= images.unit_aggregates(profile)
-        page_aggs["images"] = F.collect_list("image")
+        unit.append(f"WHEN zone = 'image' THEN {images.UNIT}")
+        per_unit |= images.unit_aggregates(profile)
+        per_page["images"] = "collect_list(image)"
     if keep_infobox:
         marked = infobox.mark_box(marked)
-        unit = unit.when(F.col("zone") == "box", infobox.box_unit())
-        unit_aggs |= infobox.unit_aggregates()
-        page_aggs |= infobox.page_aggregates()
+        unit.append(f"WHEN zone = 'box' THEN {infobox.UNIT}")
+        per_unit |= infobox.unit_aggregates()
+        per_page |= infobox.page_aggregates()
     if text:
         marked = render.mark_units(render.mark_area(marked, profile))
-        unit = unit.when(F.col("zone") == "text", F.col("text_unit"))
-        unit_aggs |= render.unit_aggregates() | {"has_area": F.bool_or("has_area")}
-        page_aggs |= render.page_aggregates() | {"has_area": F.bool_or("has_area")}
-    placed = marked.withColumn("unit", unit)
-    page_row = F.col("unit").isNull() & (F.col("pos") == 0)
-    units = (
-        placed.withColumns(
-            {
-                "zone": F.when(page_row, "page").otherwise(F.col("zone")),
-                "unit": F.when(page_row, -2).otherwise(F.col("unit")),
-            }
-        )
-        .filter(F.col("unit").isNotNull())
-        .groupBy("page_id", "zone", "unit")
-        .agg(*(c.alias(n) for n, c in unit_aggs.items()))
+        unit.append(f"WHEN zone = 'text' THEN {render.UNIT}")
+        per_unit |= render.unit_aggregates() | {"has_area": "bool_or(has_area)"}
+        per_page |= render.page_aggregates() | {"has_area": "bool_or(has_area)"}
+    placed = add(marked, unit=f"CASE {' '.join(unit)} END")
+    # Position 0 carries the page's own columns even where it is part of nothing.
+    placed = add(
+        placed,
+        zone="CASE WHEN unit IS NULL AND pos = 0 THEN 'page' ELSE zone END",
+        unit="CASE WHEN unit IS NULL AND pos = 0 THEN -2 ELSE unit END",
     )
+    units = _aggregate(placed.filter("unit IS NOT NULL"), ["page_id", "zone", "unit"], per_unit)
     if keep_images:
-        units = units.withColumn("image", F.when(F.col("zone") == "image", images.unit_image()))
+        units = add(units, image=images.unit_image())
     if keep_infobox:
-        units = units.withColumns(
-            {n: F.when(F.col("zone") == "box", c) for n, c in infobox.unit_entries().items()}
-        )
+        units = infobox.mark_entries(units)
     if text:
-        units = render.unit_strings(units, profile)
-    folded = units.groupBy("page_id").agg(*(c.alias(n) for n, c in page_aggs.items()))
+        units = render.mark_strings(units, profile)
+    folded = _aggregate(units, ["page_id"], per_page)
     if keep_images:
-        folded = folded.withColumn("images", images.page_images(F.col("images")))
+        folded = add(folded, images=images.page_images("images"))
     if keep_infobox:
-        folded = infobox.page_entries(folded)
+        folded = infobox.mark_page_entries(folded)
     return folded
 
 
 def articles(
-    pages: DataFrame,
-    profile: Profile = WIKI,
-    *,
-    keep_images: bool = False,
-    keep_infobox: bool = False,
+    pages: DataFrame, profile: Profile = WIKI, *, keep_images: bool = False, keep_infobox: bool = False
 ) -> DataFrame:
     """One article per page: `page_id, input_title, title, url, content, sections, images, infobox_data, error_message`.
 
@@ -90,31 +88,28 @@ def articles(
     with `error_message` set and no content. `infobox_data` is JSON text with the keys in
     page order.
     """
-    page = _pages(
-        pages, profile, text=True, keep_images=keep_images, keep_infobox=keep_infobox
-    )
-    ok = F.coalesce(F.col("fetched"), F.lit(False))
-    has_area = F.coalesce(F.col("has_area"), F.lit(False))
-    page = page.withColumns(
-        {
-            "input_title": F.col("title"),
-            "title": F.coalesce(F.nullif(F.col("found_title"), F.lit("")), F.col("title")),
-            "content": F.when(has_area, render.page_content()).otherwise(""),
-        }
+    page = _pages(pages, profile, text=True, keep_images=keep_images, keep_infobox=keep_infobox)
+    page = add(
+        page,
+        ok="coalesce(fetched, false)",
+        has_area="coalesce(has_area, false)",
+        input_title="title",
+        title="coalesce(nullif(found_title, ''), title)",
+        content=f"CASE WHEN has_area THEN {render.content_sql()} ELSE '' END",
     )
-    no_images = F.array().cast("array<struct<src:string,alt:string,caption:string>>")
-    found_images = F.col("images") if keep_images else F.when(~has_area, no_images)
-    found_box = entries_json(F.col("entries")) if keep_infobox else F.lit(None).cast("string")
+    # Without images a page with a content area has none at all, a page without one an empty list.
+    empty = "CAST(array() AS ARRAY<STRUCT<src: STRING, alt: STRING, caption: STRING>>)"
+    ok = F.col("ok")
     return page.select(
         "page_id",
         "input_title",
         "title",
         F.when(ok, page_url(F.col("title"))).alias("url"),
-        F.when(ok, F.col("content")).alias("content"),
-        F.when(ok, render.page_sections(F.col("content"))).alias("sections"),
-        F.when(ok, found_images).alias("images"),
-        F.when(ok, found_box).alias("infobox_data"),
-        F.when(~ok, FETCH_FAILED).alias("error_message"),
+        F.expr("CASE WHEN ok THEN content END AS content"),
+        F.expr(f"CASE WHEN ok THEN {render.sections_sql('content')} END AS sections"),
+        F.expr(f"CASE WHEN ok THEN {'images' if keep_images else f'CASE WHEN NOT has_area THEN {empty} END'} END AS images"),
+        (F.when(ok, entries_json(F.col("entries"))) if keep_infobox else F.lit(None).cast("string")).alias("infobox_data"),
+        F.expr(f"CASE WHEN NOT ok THEN '{FETCH_FAILED}' END AS error_message"),
     )
 
 
