@@ -79,10 +79,12 @@ def _scan(ops: list[int], codes: list[tuple[str, str, bool]], out: dict[str, lis
 
 
 def _decode_op(op: str) -> tuple[str, str, bool]:
+    if not op.startswith("<"):
+        return "leaf", "", False
     if op.startswith("</"):
         return "close", op[2:].rstrip("!/"), False
     name = op[1:].rstrip("!/")
-    leaf = not op or op.rstrip("!").endswith("/") or name in VOID_TAGS or name in ("script", "style")
+    leaf = op.rstrip("!").endswith("/") or name in VOID_TAGS or name in ("script", "style")
     return ("leaf" if leaf else "open"), name, op.endswith("!")
 
 

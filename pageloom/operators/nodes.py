@@ -51,40 +51,45 @@ def tokenize(html: Column) -> Column:
 
 
 def kind_sql(token: str) -> str:
-    """element, end, raw (script and style with their text), comment, cdata, decl or text; null for no token."""
+    """element, end, raw (script and style with their text), comment, cdata, decl or text; null for no token.
+
+    Character tests only: the optimizer repeats this wherever it moves a filter on the kind.
+    """
+    letter = "upper(substring({}, {}, 1)) BETWEEN 'A' AND 'Z'"
+    raw = f"lower(substring({token}, 2, 5)) IN ('scrip', 'style') AND {token} RLIKE {_RAW_START}"
     return (
-        f"CASE WHEN {token} IS NULL THEN NULL WHEN NOT startswith({token}, '<') THEN 'text' "
-        f"WHEN {token} RLIKE {_RAW_START} THEN 'raw' "
-        f"WHEN {token} RLIKE '^<[a-zA-Z].' THEN 'element' WHEN {token} RLIKE '^</[a-zA-Z].' THEN 'end' "
+        f"CASE WHEN {token} IS NULL THEN NULL WHEN NOT startswith({token}, '<') OR length({token}) = 1 THEN 'text' "
+        f"WHEN {letter.format(token, 2)} THEN CASE WHEN {raw} THEN 'raw' ELSE 'element' END "
+        f"WHEN startswith({token}, '</') THEN CASE WHEN {letter.format(token, 3)} THEN 'end' ELSE 'decl' END "
         f"WHEN startswith({token}, '<!--') THEN 'comment' WHEN startswith({token}, '<![CDATA[') THEN 'cdata' "
-        f"WHEN {token} RLIKE '^<[!?/]' THEN 'decl' ELSE 'text' END"
+        f"WHEN substring({token}, 2, 1) IN ('!', '?') THEN 'decl' ELSE 'text' END"
     )
 
 
 def _tag(token: str) -> str:
-    return f"lower(regexp_extract({token}, {_TAG_NAME}, 1))"
+    return f"CASE WHEN startswith({token}, '<') THEN nullif(lower(regexp_extract({token}, {_TAG_NAME}, 1)), '') END"
 
 
 def _op(token: str) -> str:
-    """What a token does to the stack: '<name', '</name' or '', then '/' when self-closed and '!' for infobox starts."""
+    """What a token does to the stack: '<name' or '</name', then '/' when self-closed and '!' for infobox starts."""
     name = f"lower(regexp_extract({token}, {_OP_NAME}, 0))"
     bare = f"regexp_replace({token}, {_QUOTED}, {_EMPTY_QUOTES})"
     # In <a href=x/> the slash belongs to the value.
     valued = f"{bare} RLIKE {_UNQUOTED_END}"
     closed = f"CASE WHEN endswith({token}, '/>') AND NOT {valued} THEN '/' ELSE '' END"
     box = f"CASE WHEN contains({token}, 'infobox') THEN '!' ELSE '' END"
-    return f"CASE WHEN {name} = '' THEN '' ELSE concat({name}, {closed}, {box}) END"
+    return f"CASE WHEN startswith({token}, '<') THEN concat({name}, {closed}, {box}) ELSE '' END"
 
 
 def _attr(name: str) -> str:
     """Value of an attribute, the last one if repeated, '' if it has none, null if absent."""
     this_name = literal(rf"(?i)^{name}(?:[\s=]|$)")
-    found = f"try_element_at(filter(attrs, a -> a RLIKE {this_name}), -1)"
+    found = f"try_element_at(filter(attrs, a -> startswith(lower(a), '{name}') AND a RLIKE {this_name}), -1)"
     return f"regexp_replace(regexp_replace({found}, {_UP_TO_VALUE}, ''), {_IN_QUOTES}, '$2')"
 
 
 def nodes(pages: DataFrame) -> DataFrame:
-    """One row per node of every page; a page without any token keeps one row with a null kind.
+    """One row per node of every page, blank strings left out; a page without tokens keeps one row of null kind.
 
     `pages` has `page_id` (unique), `title` (may be null) and `html`. Tokens and nesting are
     found where the page is read. The pages are then shuffled once, still folded, because
@@ -101,17 +106,18 @@ def nodes(pages: DataFrame) -> DataFrame:
     folded = scanned.repartition("page_id").selectExpr(
         "page_id", "title", "fetched", "tokens",
         "nest.parent AS parent", "nest.last AS last", "nest.head AS head", "nest.items AS items",
+        f"transform(tokens, t -> {_tag('t')}) AS tags",
     )
     up = (
         f"transform(tokens, (t, i) -> CASE WHEN t RLIKE {_ANCHOR} AND contains(t, 'image') "
         "THEN get(tokens, get(parent, i)) END)"
     )
-    ptag = f"transform(parent, p -> {_tag('get(tokens, p)')})"
+    ptag = "transform(parent, p -> get(tags, p))"
     unfolded = folded.selectExpr(
         "page_id",
         "title",
         "fetched",
-        f"posexplode_outer(arrays_zip(tokens, parent, last, head, items, {ptag}, {up})) AS (place, node)",
+        f"posexplode_outer(arrays_zip(tokens, tags, parent, last, head, items, {ptag}, {up})) AS (place, node)",
     )
     first = "coalesce(place, 0) = 0"
     named = unfolded.selectExpr(
@@ -120,12 +126,11 @@ def nodes(pages: DataFrame) -> DataFrame:
         f"CASE WHEN {first} THEN title END AS title",
         f"CASE WHEN {first} THEN fetched END AS fetched",
         "node.tokens AS token", "node.parent", "node.last", "node.head", "node.items",
-        "node.`5` AS ptag", "node.`6` AS up",
+        "node.tags AS tag", "node.`6` AS ptag", "node.`7` AS up",
         f"{kind_sql('node.tokens')} AS kind",
-    ).filter("kind <> 'end' OR pos = 0 OR kind IS NULL")
+    ).filter(f"pos = 0 OR (kind <> 'end' AND {strip_sql('token')} <> '')")
     tagged = add(
         named,
-        tag=f"CASE WHEN kind IN ('element', 'raw') THEN {_tag('token')} END",
         attrs=f"CASE WHEN kind = 'element' AND token RLIKE {_HAS_ATTRIBUTES} "
         f"THEN regexp_extract_all(token, {literal(_ATTRIBUTE)}, 0) END",
         string="CASE kind WHEN 'text' THEN token WHEN 'cdata' THEN substring(token, 10, length(token) - 12) END",

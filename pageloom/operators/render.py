@@ -86,13 +86,17 @@ def unit_aggregates() -> dict[str, str]:
 
 
 def mark_strings(units: DataFrame, profile: Profile) -> DataFrame:
-    """`opening` and `closing` strings of each unit, and `section` for top-level second-rank headings."""
+    """`opening` and `closing` strings of each unit, and `section` for top-level second-rank headings.
+
+    Whitespace inside paragraphs is left to the final pass over the whole content.
+    """
     stripped = f"transform(texts, t -> named_struct('pos', t.pos, 's', {strip_sql('t.s')}))"
     shown = add(
         units,
         words="CASE WHEN tag = '#text' THEN texts[0].s "
         f"WHEN tag IN ({HEADINGS}) THEN {heading_sql(stripped, 'headline', '')} "
-        f"WHEN size(texts) > 0 THEN {normalize_sql(ordered_text(stripped, ' '))} END",
+        f"WHEN zone = 'title' THEN {normalize_sql(ordered_text(stripped, ' '))} "
+        f"WHEN size(texts) > 0 THEN {ordered_text(stripped, ' ')} END",
     )
     excluded = f"AND lower(words) NOT IN ({literals(profile.excluded_headings)})" if profile.excluded_headings else ""
     content = add(
