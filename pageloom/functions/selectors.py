@@ -19,13 +19,24 @@ _SIMPLE = re.compile(
 )
 
 
+def keys_sql() -> str:
+    """What short selectors can name about a node: tag, .class, tag.class, #id, tag#id. Null for non-elements."""
+    classes = "CASE WHEN cls IS NULL THEN array() ELSE concat(transform(cls, c -> concat('.', c)), transform(cls, c -> concat(tag, '.', c))) END"
+    ids = "CASE WHEN id IS NULL THEN array() ELSE array(concat('#', id), concat(tag, '#', id)) END"
+    return f"CASE WHEN tag IS NULL THEN NULL WHEN cls IS NULL AND id IS NULL THEN array(tag) ELSE concat(array(tag), {classes}, {ids}) END"
+
+
 def has_class_sql(*names: str) -> str:
     """True when the node carries one of the classes; false, never null, without any class."""
-    return f"coalesce({_overlap(names)}, false)"
+    return _any_key(f".{name}" for name in names)
 
 
-def _overlap(names: Iterable[str]) -> str:
-    return f"arrays_overlap(cls, array({literals(names)}))"
+def _any_key(keys: Iterable[str]) -> str:
+    """One set lookup per key, for any number of names."""
+    names = list(keys)
+    if len(names) == 1:
+        return f"coalesce(array_contains(keys, {literal(names[0])}), false)"
+    return f"coalesce(exists(keys, k -> k IN ({literals(names)})), false)"
 
 
 def _attribute_test(name: str, op: str, value: str) -> str:
@@ -41,14 +52,8 @@ def _parent_test(parent: re.Match) -> str:
 
 
 def rule_sql(selectors: Iterable[str]) -> str:
-    """SQL predicate over `tag, id, cls, style, rel, up` that is true for the nodes any of the selectors picks.
-
-    Rules of the common shapes are grouped by tag, so that a node is compared with sets of
-    names instead of with every rule, and nodes without class and id skip those sets.
-    """
-    tags: set[str] = set()
-    classes: dict[str | None, set[str]] = {}
-    ids: dict[str | None, set[str]] = {}
+    """SQL predicate over `keys, tag, cls, style, rel, up` that is true for the nodes any of the selectors picks."""
+    keys: list[str] = []
     other: list[str] = []
     for selector in selectors:
         if re.search(r"\s[^\x00-\x7f]+$", selector):
@@ -58,32 +63,20 @@ def rule_sql(selectors: Iterable[str]) -> str:
             warnings.warn(f"rule {selector!r} is not supported and is skipped", stacklevel=2)
             continue
         rule = steps[-1]
-        names = re.findall(r"([.#])([\w-]+)", rule["names"])
-        plain = len(steps) == 1 and not rule["attr"]
-        if plain and len(names) == 1:
-            kind, name = names[0]
-            (classes if kind == "." else ids).setdefault(rule["tag"], set()).add(name)
-        elif plain and not names:
-            tags.add(rule["tag"])
-        else:
-            tests = [f"tag = {literal(rule['tag'])}"] if rule["tag"] else []
-            tests += [_overlap([name]) if kind == "." else f"id = {literal(name)}" for kind, name in names]
-            if rule["attr"]:
-                tests.append(_attribute_test(rule["attr"], rule["op"], rule["value"]))
-            if len(steps) == 2:
-                tests.append(_parent_test(steps[0]))
-            other.append(" AND ".join(tests))
-
-    def scoped(tag: str | None, test: str) -> str:
-        return test if tag is None else f"tag = {literal(tag)} AND {test}"
-
-    named = [scoped(tag, _overlap(sorted(names))) for tag, names in classes.items()]
-    numbered = [scoped(tag, f"id IN ({literals(sorted(names))})") for tag, names in ids.items()]
-    options = [f"tag IN ({literals(sorted(tags))})"] if tags else []
-    options += [f"(cls IS NOT NULL AND ({' OR '.join(named)}))"] if named else []
-    options += [f"(id IS NOT NULL AND ({' OR '.join(numbered)}))"] if numbered else []
-    options += [f"({test})" for test in other]
-    return f"coalesce(tag IS NOT NULL AND ({' OR '.join(options)}), false)" if options else "false"
+        names = re.findall(r"[.#][\w-]+", rule["names"])
+        tag = rule["tag"] or ""
+        named = [tag + name for name in names] or [tag]
+        if len(steps) == 1 and not rule["attr"] and len(named) == 1:
+            keys.append(named[0])
+            continue
+        tests = [_any_key([name]) for name in named if name]
+        if rule["attr"]:
+            tests.append(_attribute_test(rule["attr"], rule["op"], rule["value"]))
+        if len(steps) == 2:
+            tests.append(_parent_test(steps[0]))
+        other.append(f"coalesce({' AND '.join(tests)}, false)")
+    options = ([_any_key(sorted(set(keys)))] if keys else []) + other
+    return f"({' OR '.join(options)})" if options else "false"
 
 
 def rank_sql(selectors: Iterable[str]) -> str:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.functions.selectors import rule_sql
+from pageloom.functions.selectors import keys_sql, rule_sql
 from pageloom.functions.sql import add, literal
 from pageloom.functions.text import decode_sql, strip_sql
 from pageloom.operators.intervals import collect, first_match, inside, ordered_text
@@ -136,7 +136,7 @@ def nodes(pages: DataFrame) -> DataFrame:
         string="CASE kind WHEN 'text' THEN token WHEN 'cdata' THEN substring(token, 10, length(token) - 12) END",
     )
     valued = add(tagged, raw_src=_attr("src"), raw_alt=_attr("alt"))
-    return valued.selectExpr(
+    named = valued.selectExpr(
         "page_id", "pos", "last", "parent", "ptag", "head", "items", "kind", "tag",
         f"nullif({_attr('id')}, '') AS id",
         f"filter(split({_attr('class')}, {_BLANKS}), c -> c <> '') AS cls",
@@ -148,6 +148,7 @@ def nodes(pages: DataFrame) -> DataFrame:
         f"CASE WHEN kind = 'text' THEN {decode_sql('string')} ELSE string END AS text",
         "title", "fetched",
     )
+    return add(named, keys=keys_sql())
 
 
 def subtree_text(nodes: DataFrame, selector: str, separator: str) -> DataFrame:
