@@ -38,7 +38,7 @@ def flag_nodes(nodes: DataFrame, profile: Profile, *, keep_images: bool, keep_in
         "is_skipped": f"tag IN ({literals(profile.skip_tags)}) OR {has_class_sql(*profile.skip_classes)}",
         "is_quiet": f"tag IN ({literals(QUIET_TAGS)})",
     }
-    keep = ["page_id", "pos", "last", "parent", "ptag", "tag", "head", "title", "fetched", "kind"]
+    keep = ["page_id", "pos", "last", "parent", "ptag", "tag", "head", "title", "fetched"]
     if keep_infobox:
         keep += ["items"]
         columns["box_rank"] = rank_sql(profile.infobox)
@@ -50,9 +50,10 @@ def flag_nodes(nodes: DataFrame, profile: Profile, *, keep_images: bool, keep_in
             "WHEN contains(array_join(cls, ' '), 'caption') THEN 1 END"
         )
         columns["frame_ranks"] = matching_sql(profile.image_containers)
-    # Comments, declarations, scripts and blank strings end here; position 0 stands for its page.
-    flagged = nodes.selectExpr(*keep, *(f"{text} AS {name}" for name, text in columns.items()))
-    return flagged.filter("kind = 'element' OR text IS NOT NULL OR pos = 0").drop("kind")
+    # Comments, declarations and scripts end here; position 0 stands for its page. The filter
+    # reads `kind` alone, because it moves below the decoding of the texts and would repeat it.
+    kept = nodes.filter("kind IN ('element', 'text', 'cdata') OR pos = 0")
+    return kept.selectExpr(*keep, *(f"{text} AS {name}" for name, text in columns.items()))
 
 
 def assign_zones(flagged: DataFrame, *, keep_infobox: bool) -> DataFrame:
