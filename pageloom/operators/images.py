@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pageloom.functions.sql import add
 from pageloom.functions.text import normalize_sql, strip_sql
 from pageloom.operators.intervals import UP_TO_HERE, collect, inside, ordered_text, within
+from pageloom.operators.marks import has
 from pageloom.profiles import Profile
 
 UNIT = "coalesce(owner.pos, pos)"
@@ -19,7 +20,7 @@ def mark_images(live: DataFrame, profile: Profile) -> DataFrame:
     one among those of the same rule.
     """
     ranks = range(len(profile.image_containers))
-    match = {r: f"(zone = 'live' AND array_contains(frame_ranks, {r}))" for r in ranks}
+    match = {r: f"(zone = 'live' AND array_contains(frames, {r}))" for r in ranks}
     outer = {f"outer_{r}": f"{match[r]} AND NOT {within(match[r], strictly=True)}" for r in ranks}
     spans = {
         f"span_{r}": f"max(CASE WHEN outer_{r} THEN named_struct('pos', pos, 'last', last, 'rank', {r}) END) {UP_TO_HERE}"
@@ -27,7 +28,7 @@ def mark_images(live: DataFrame, profile: Profile) -> DataFrame:
     }
     owner = ", ".join(f"CASE WHEN {inside(name)} THEN {name} END" for name in spans)
     owned = add(add(add(live, **outer), **spans), owner=f"CASE WHEN zone = 'live' THEN coalesce({owner}) END")
-    owned = owned.drop("frame_ranks", *outer, *spans)
+    owned = owned.drop("frames", *outer, *spans)
     return add(
         owned, zone="CASE WHEN zone = 'live' AND (owner IS NOT NULL OR tag = 'img') THEN 'image' ELSE zone END"
     )
@@ -40,10 +41,10 @@ def unit_aggregates(profile: Profile) -> dict[str, str]:
     return {
         "img": f"min(CASE WHEN {below} AND tag = 'img' THEN named_struct('pos', pos, 'src', src, 'alt', alt) END)",
         "img_rank": f"max(CASE WHEN zone = 'image' THEN coalesce(owner.rank, {loose}) END)",
-        "img_caption": f"min(CASE WHEN {below} AND owner IS NOT NULL AND caption_rank IS NOT NULL "
-        "THEN named_struct('rank', caption_rank, 'pos', pos, 'last', last) END)",
+        "img_caption": f"min(CASE WHEN {below} AND owner IS NOT NULL AND ({has('caption_0')} OR {has('caption_1')}) "
+        f"THEN named_struct('rank', CASE WHEN {has('caption_0')} THEN 0 ELSE 1 END, 'pos', pos, 'last', last) END)",
         "img_texts": collect(
-            "zone = 'image' AND text IS NOT NULL AND NOT in_quiet", "pos AS pos", f"{strip_sql('text')} AS s"
+            f"zone = 'image' AND text IS NOT NULL AND NOT {has('in_quiet')}", "pos AS pos", f"{strip_sql('text')} AS s"
         ),
     }
 

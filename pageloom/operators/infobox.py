@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame
 from pageloom.functions.sql import add
 from pageloom.functions.text import normalize_sql, strip_sql
 from pageloom.operators.intervals import BEFORE_HERE, collect, first_match, inside, latest, ordered_text, within
+from pageloom.operators.marks import has
 
-UNIT = "coalesce(tr_pos, box.pos)"
+UNIT = "coalesce(tr_pos, box_pos)"
 # A noncharacter; it separates list items while they are joined.
 _ITEM_BREAK = r"'￿'"
 
@@ -17,9 +18,9 @@ def mark_box(zoned: DataFrame) -> DataFrame:
     """Row (`tr_pos`), cell (`cell`) and caption of every box node."""
     rows = add(
         zoned,
-        row=latest("zone = 'box' AND tag = 'tr' AND parent = box.pos"),
+        row=latest("zone = 'box' AND tag = 'tr' AND parent = box_pos"),
         caption=first_match("zone = 'box' AND tag = 'caption'"),
-        in_note_mark=within("zone = 'box' AND is_note_mark"),
+        in_note_mark=within(f"zone = 'box' AND {has('note')}"),
     )
     rows = add(
         rows,
@@ -39,7 +40,7 @@ def mark_box(zoned: DataFrame) -> DataFrame:
 
 def unit_aggregates() -> dict[str, str]:
     """Strings and list items of one infobox row."""
-    string = "zone = 'box' AND text IS NOT NULL AND NOT in_quiet"
+    string = f"zone = 'box' AND text IS NOT NULL AND NOT {has('in_quiet')}"
     kept = "cell.tag = 'td' AND NOT in_note_mark"
     role = "CASE WHEN cell.tag = 'th' THEN 'key' WHEN in_note_mark THEN 'mark' ELSE 'value' END"
     s = strip_sql("text")

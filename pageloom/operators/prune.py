@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from pageloom.functions.selectors import has_class_sql, matching_sql, rank_sql, rule_sql
-from pageloom.functions.sql import add, drop, literals
+from pageloom.functions.selectors import has_class_sql, matching_sql, rule_sql
+from pageloom.functions.sql import add, literals
 from pageloom.functions.text import normalize_sql, strip_sql
 from pageloom.operators.intervals import WHOLE_PAGE, collect, first_match, inside, ordered_text, within
+from pageloom.operators.marks import BIT, has, pack
 from pageloom.profiles import Profile
 
 # Elements whose strings are no part of the text of their surroundings, and
@@ -16,63 +17,68 @@ QUIET_TAGS = ("rt", "rp", "template")
 CAPTION_CLASSES = ("thumbcaption", "gallerytext", "mw-caption-text")
 SECTION_TAGS = ("h2", "h3", "h4")
 
-_SPENT = (
-    "title_span", "is_title", "is_noise", "is_boilerplate", "is_picture", "in_noise", "in_boilerplate",
-    "is_quiet", "box_rank",
+# Elements that shape the output; the others matter only as siblings of a heading.
+SHAPING_TAGS = (
+    "h1", "h2", "h3", "h4", "h5", "h6", "p", "ul", "ol", "li", "dl", "dt", "dd", "br", "img", "table",
+    "figure", "sup", "tr", "th", "td", "caption",
 )
 
 
 def flag_nodes(nodes: DataFrame, profile: Profile, *, keep_images: bool, keep_infobox: bool) -> DataFrame:
     """Evaluate every rule once per node and keep only what later steps read."""
-    drop_with_images = () if keep_images else profile.image_drop
-    drop_with_infobox = () if keep_infobox else profile.infobox
+    marks = {
+        "title": rule_sql([profile.title]),
+        "noise": rule_sql(profile.preprocess),
+        "boilerplate": rule_sql(profile.boilerplate + (() if keep_infobox else profile.infobox)),
+        "picture": rule_sql(() if keep_images else profile.image_drop),
+        "headline": f"tag = 'span' AND {has_class_sql('mw-headline')}",
+        "hidden": "tag = 'span' AND contains(lower(style), 'display:none')",
+        "skipped": f"tag IN ({literals(profile.skip_tags)}) OR {has_class_sql(*profile.skip_classes)}",
+        "quiet": f"tag IN ({literals(QUIET_TAGS)})",
+    }
+    marks |= {f"area_{rank}": rule_sql([rule]) for rank, rule in enumerate(profile.areas)}
     columns = {
+        # The page's own columns ride on position 0; of the parent only list tags matter.
+        "page": "CASE WHEN pos = 0 THEN named_struct('title', title, 'fetched', fetched) END",
+        "list": "CASE ptag WHEN 'ul' THEN 1 WHEN 'ol' THEN 2 END",
         "text": f"CASE WHEN {strip_sql('text')} <> '' THEN text END",
-        "is_title": rule_sql([profile.title]),
-        "is_noise": rule_sql(profile.preprocess),
-        "is_boilerplate": rule_sql(profile.boilerplate + drop_with_infobox),
-        "is_picture": rule_sql(drop_with_images),
-        "area_rank": rank_sql(profile.areas),
-        "is_headline": f"tag = 'span' AND {has_class_sql('mw-headline')}",
-        "is_hidden": "tag = 'span' AND contains(lower(style), 'display:none')",
-        "is_skipped": f"tag IN ({literals(profile.skip_tags)}) OR {has_class_sql(*profile.skip_classes)}",
-        "is_quiet": f"tag IN ({literals(QUIET_TAGS)})",
     }
-    keep = ["page_id", "pos", "last", "parent", "ptag", "tag", "head", "title", "fetched"]
+    keep = ["page_id", "pos", "last", "parent", "tag", "head"]
     if keep_infobox:
         keep += ["items"]
-        columns["box_rank"] = rank_sql(profile.infobox)
-        columns["is_note_mark"] = f"tag = 'sup' AND {has_class_sql('reference')}"
+        marks |= {f"box_{rank}": rule_sql([rule]) for rank, rule in enumerate(profile.infobox)}
+        marks["note"] = f"tag = 'sup' AND {has_class_sql('reference')}"
     if keep_images:
         keep += ["src", "alt"]
-        columns["caption_rank"] = (
-            f"CASE WHEN tag IN ('figcaption', 'div') AND {has_class_sql(*CAPTION_CLASSES)} THEN 0 "
-            "WHEN contains(array_join(cls, ' '), 'caption') THEN 1 END"
-        )
-        columns["frame_ranks"] = matching_sql(profile.image_containers)
+        marks["caption_0"] = f"tag IN ('figcaption', 'div') AND {has_class_sql(*CAPTION_CLASSES)}"
+        marks["caption_1"] = "contains(array_join(cls, ' '), 'caption')"
+        columns["frames"] = matching_sql(profile.image_containers)
     # Comments, declarations and scripts end here; position 0 stands for its page. The filter
     # reads `kind` alone, because it moves below the decoding of the texts and would repeat it.
     kept = nodes.filter("kind IN ('element', 'text', 'cdata') OR pos = 0")
-    return kept.selectExpr(*keep, *(f"{text} AS {name}" for name, text in columns.items()))
+    return kept.selectExpr(*keep, *(f"{text} AS {name}" for name, text in columns.items()), f"{pack(marks)} AS marks")
 
 
 def assign_zones(flagged: DataFrame, *, keep_infobox: bool) -> DataFrame:
     """`zone` = title, box, live or null; nodes of no zone are dropped."""
     zoned = add(
         flagged,
-        title_span=first_match("is_title"),
-        in_noise=within("is_noise"),
-        in_boilerplate=within("is_boilerplate"),
-        in_picture=within("is_picture"),
-        in_quiet=within("is_quiet"),
+        title_span=first_match(has("title")),
+        in_noise=within(has("noise")),
+        in_boilerplate=within(has("boilerplate")),
+        in_picture=within(has("picture")),
+        in_quiet=within(has("quiet")),
     )
     clean = f"NOT in_noise AND NOT {inside('title_span')}"
-    boxed = ""
+    boxed, spent = "", ["title_span", "in_noise", "in_boilerplate", "in_picture", "in_quiet"]
+    columns = {"marks": f"marks | {pack({'in_picture': 'in_picture', 'in_quiet': 'in_quiet'})}"}
     if keep_infobox:
-        zoned = add(zoned, box=first_match(*(f"{clean} AND box_rank = {rank}" for rank in (0, 1))))
+        zoned = add(zoned, box=first_match(*(f"{clean} AND {has(f'box_{rank}')}" for rank in (0, 1))))
         boxed = f"WHEN {clean} AND {inside('box')} THEN 'box'"
-    zone = f"CASE WHEN {inside('title_span')} THEN 'title' {boxed} WHEN {clean} AND NOT in_boilerplate THEN 'live' END"
-    return drop(add(zoned, zone=zone).filter("zone IS NOT NULL OR pos = 0"), *_SPENT)
+        columns["box_pos"] = f"CASE WHEN {clean} AND {inside('box')} THEN box.pos END"
+        spent.append("box")
+    columns["zone"] = f"CASE WHEN {inside('title_span')} THEN 'title' {boxed} WHEN {clean} AND NOT in_boilerplate THEN 'live' END"
+    return add(zoned, **columns).filter("zone IS NOT NULL OR pos = 0").drop(*spent)
 
 
 def heading_sql(texts: str, headline: str, separator: str) -> str:
@@ -92,11 +98,12 @@ def mark_trailing(zoned: DataFrame, keywords: tuple[str, ...]) -> DataFrame:
         "OVER (PARTITION BY page_id, head_key ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
     )
     keyed = add(zoned, head_key="CASE WHEN zone = 'live' AND head >= 0 THEN head END")
-    strings = collect("head_key IS NOT NULL AND text IS NOT NULL AND NOT in_quiet", "pos AS pos", f"{strip_sql('text')} AS s")
+    quiet = has("in_quiet")
+    strings = collect(f"head_key IS NOT NULL AND text IS NOT NULL AND NOT {quiet}", "pos AS pos", f"{strip_sql('text')} AS s")
     titled = add(
         keyed,
         head_texts=f"{strings} {own}",
-        headline=f"min(CASE WHEN head_key IS NOT NULL AND is_headline THEN named_struct('pos', pos, 'last', last) END) {own}",
+        headline=f"min(CASE WHEN head_key IS NOT NULL AND {has('headline')} THEN named_struct('pos', pos, 'last', last) END) {own}",
     )
     name = f"lower({heading_sql('head_texts', 'headline', ' ')})"
     named = f"exists(array({literals(keywords)}), k -> contains({name}, k))"
@@ -118,7 +125,7 @@ def mark_trailing(zoned: DataFrame, keywords: tuple[str, ...]) -> DataFrame:
 def _leave(frame: DataFrame, gone: str) -> DataFrame:
     """Take nodes out of the live page."""
     left = add(frame, zone=f"CASE WHEN zone = 'live' AND {gone} THEN NULL ELSE zone END")
-    return left.filter("zone IS NOT NULL OR pos = 0").drop(gone)
+    return left.filter("zone IS NOT NULL OR pos = 0")
 
 
 def live_nodes(
@@ -135,9 +142,12 @@ def live_nodes(
         zoned = mark_trailing(zoned, profile.trailing_keywords)
         if count_trailing:
             zoned = add(zoned, n_trailing=f"sum(CAST(is_trailing AS INT)) {WHOLE_PAGE}")
-        zoned = _leave(zoned.drop("is_trailing"), "in_trailing")
+        zoned = _leave(zoned, "in_trailing").drop("is_trailing", "in_trailing")
     else:
         zoned = zoned.drop("head")
     if profile.image_drop and not keep_images:
-        return _leave(zoned, "in_picture")
-    return zoned.drop("in_picture")
+        zoned = _leave(zoned, has("in_picture"))
+    # Plain wrappers have no further part in the page; in a list anything that is no item is a barrier.
+    telling = ~(BIT["in_quiet"] | BIT["in_picture"]) & (2 * max(BIT.values()) - 1)
+    shaping = f"text IS NOT NULL OR list IS NOT NULL OR tag IN ({literals(SHAPING_TAGS)}) OR (marks & {telling}) <> 0 OR pos = 0"
+    return zoned.filter(f"{shaping} OR size(frames) > 0" if keep_images else shaping)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pageloom.functions.sql import add, literals
 from pageloom.functions.text import normalize_sql, strip_sql
 from pageloom.operators.intervals import collect, first_match, inside, latest, ordered_text, within
+from pageloom.operators.marks import has
 from pageloom.operators.prune import heading_sql
 from pageloom.profiles import Profile
 
@@ -22,7 +23,7 @@ UNIT = "text_unit"
 def mark_area(live: DataFrame, profile: Profile) -> DataFrame:
     """Move the live nodes of the content area to zone `text`; the rest of the live page goes."""
     ranks = range(len(profile.areas))
-    found = add(live, area=first_match(*(f"zone = 'live' AND area_rank = {r}" for r in ranks)))
+    found = add(live, area=first_match(*(f"zone = 'live' AND {has(f'area_{r}')}" for r in ranks)))
     below = f"{inside('area')} AND pos > area.pos"
     return (
         add(
@@ -32,20 +33,20 @@ def mark_area(live: DataFrame, profile: Profile) -> DataFrame:
             has_area="area IS NOT NULL",
         )
         .filter("zone IS NOT NULL OR pos = 0")
-        .drop("area", "area_rank")
+        .drop("area")
     )
 
 
 def mark_units(area: DataFrame) -> DataFrame:
     """`text_unit`: the heading, paragraph, definition item or own position a node's output belongs to."""
-    walls = add(area, is_item="coalesce(ptag IN ('ul', 'ol') AND tag = 'li', false)")
+    walls = add(area, is_item="coalesce(list IS NOT NULL AND tag = 'li', false)")
     # In a list only items count; bare text of the area and skipped elements yield nothing.
     walls = add(
         walls,
         barrier="CASE WHEN zone IS NULL OR zone <> 'text' THEN NULL "
-        "WHEN ptag IN ('ul', 'ol') AND NOT is_item THEN 'drop' "
+        "WHEN list IS NOT NULL AND NOT is_item THEN 'drop' "
         "WHEN text IS NOT NULL THEN CASE WHEN is_root THEN 'drop' END "
-        "WHEN NOT is_root AND NOT is_item AND is_skipped THEN 'drop' "
+        f"WHEN NOT is_root AND NOT is_item AND {has('skipped')} THEN 'drop' "
         f"WHEN tag IN ('p', 'dl', {HEADINGS}) THEN 'keep' END",
     )
     outer = add(walls, is_inner=within("barrier IS NOT NULL", strictly=True))
@@ -57,12 +58,12 @@ def mark_units(area: DataFrame) -> DataFrame:
     spans = add(spans, keep=f"CASE WHEN zone = 'text' AND {inside('keep')} THEN keep END")
     entries = add(
         spans,
-        in_hidden=within("is_hidden AND keep.tag = 'p'"),
+        in_hidden=within(f"{has('hidden')} AND keep.tag = 'p'"),
         entry=latest("keep.tag = 'dl' AND parent = keep.pos AND tag IN ('dt', 'dd')"),
     )
     unit = (
         "CASE WHEN zone IS NULL OR zone <> 'text' OR in_drop THEN NULL "
-        "WHEN keep IS NOT NULL AND text IS NOT NULL AND (in_quiet OR in_hidden) THEN NULL "
+        f"WHEN keep IS NOT NULL AND text IS NOT NULL AND ({has('in_quiet')} OR in_hidden) THEN NULL "
         f"WHEN keep.tag = 'dl' AND pos > keep.pos THEN CASE WHEN {inside('entry')} THEN entry.pos END "
         "WHEN keep IS NOT NULL THEN keep.pos "
         "WHEN text IS NOT NULL OR tag IN ('ul', 'ol', 'br') OR is_item THEN pos END"
@@ -76,11 +77,11 @@ def unit_aggregates() -> dict[str, str]:
         "tag": f"max(CASE WHEN {own} THEN coalesce(tag, '#text') END)",
         "last": f"max(CASE WHEN {own} THEN last END)",
         "parent": f"max(CASE WHEN {own} THEN parent END)",
-        "ptag": f"max(CASE WHEN {own} THEN ptag END)",
+        "list": f"max(CASE WHEN {own} THEN list END)",
         "is_root": f"coalesce(bool_or(CASE WHEN {own} THEN is_root END), false)",
-        "headline": "min(CASE WHEN zone = 'text' AND is_headline THEN named_struct('pos', pos, 'last', last) END)",
+        "headline": f"min(CASE WHEN zone = 'text' AND {has('headline')} THEN named_struct('pos', pos, 'last', last) END)",
         "texts": collect(
-            "text IS NOT NULL AND (zone = 'text' OR (zone = 'title' AND NOT in_quiet))", "pos AS pos", "text AS s"
+            f"text IS NOT NULL AND (zone = 'text' OR (zone = 'title' AND NOT {has('in_quiet')}))", "pos AS pos", "text AS s"
         ),
     }
 
@@ -106,7 +107,7 @@ def mark_strings(units: DataFrame, profile: Profile) -> DataFrame:
         "WHEN tag IN ('p', 'dt', 'dd') THEN words <> '' END, false)",
     )
     siblings = "OVER (PARTITION BY page_id, parent ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    counted = add(content, number=f"sum(CASE WHEN tag = 'li' AND ptag = 'ol' THEN 1 END) {siblings}")
+    counted = add(content, number=f"sum(CASE WHEN tag = 'li' AND list = 2 THEN 1 END) {siblings}")
     counted = add(
         counted,
         next_content="lead(CASE WHEN is_content THEN unit END) IGNORE NULLS OVER (PARTITION BY page_id ORDER BY unit)",
@@ -119,7 +120,7 @@ def mark_strings(units: DataFrame, profile: Profile) -> DataFrame:
         "ELSE concat('\\n\\n', repeat('#', CAST(substring(tag, 2, 1) AS INT)), ' ', words, '\\n') END "
         "WHEN zone = 'text' AND tag = 'br' THEN '\\n' "
         f"WHEN {holds} AND tag IN ('ul', 'ol', 'dl') THEN '\\n' "
-        f"WHEN {holds} AND tag = 'li' THEN CASE ptag WHEN 'ol' THEN concat(CAST(number AS STRING), '. ') ELSE '* ' END END",
+        f"WHEN {holds} AND tag = 'li' THEN CASE list WHEN 2 THEN concat(CAST(number AS STRING), '. ') ELSE '* ' END END",
         closing=f"CASE WHEN {holds} AND tag IN ('ul', 'ol', 'dl', 'li') THEN '\\n' END",
         section="CASE WHEN is_content AND is_root AND tag = 'h2' THEN words END",
     )

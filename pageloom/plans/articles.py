@@ -38,7 +38,7 @@ def _pages(
         nodes(pages), profile, keep_images=keep_images, keep_infobox=keep_infobox, count_trailing=count_trailing
     )
     unit = ["WHEN zone = 'title' THEN -1"]
-    per_unit = {"title": "max(title)", "fetched": "bool_or(fetched)"}
+    per_unit = {"page": "max(page)"}
     per_page = dict(per_unit)
     if count_trailing:
         per_unit["n_trailing"] = per_page["n_trailing"] = "max(n_trailing)"
@@ -91,10 +91,10 @@ def articles(
     page = _pages(pages, profile, text=True, keep_images=keep_images, keep_infobox=keep_infobox)
     page = add(
         page,
-        ok="coalesce(fetched, false)",
+        ok="coalesce(page.fetched, false)",
         has_area="coalesce(has_area, false)",
-        input_title="title",
-        title="coalesce(nullif(found_title, ''), title)",
+        input_title="page.title",
+        title="coalesce(nullif(found_title, ''), page.title)",
         content=f"CASE WHEN has_area THEN {render.content_sql()} ELSE '' END",
     )
     # Without images a page with a content area has none at all, a page without one an empty list.
