@@ -61,4 +61,4 @@ def unit_image() -> str:
 
 
 def page_images(collected: str) -> str:
-    return f"transform(array_sort({collected}), i -> named_struct('src', i.src, 'alt', i.alt, 'caption', i.caption))"
+    return f"transform(sort_array({collected}), i -> named_struct('src', i.src, 'alt', i.alt, 'caption', i.caption))"

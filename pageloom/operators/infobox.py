@@ -101,19 +101,19 @@ def mark_page_entries(page: DataFrame) -> DataFrame:
     )
     notes = (
         "array(named_struct('ord', array_min(box_notes.pos), 'key', '_infobox_notes_', 'is_list', true, "
-        "'vals', transform(array_sort(box_notes), n -> n.s)))"
+        "'vals', transform(sort_array(box_notes), n -> n.s)))"
     )
     everything = (
         f"concat(CASE WHEN box_captions > 0 THEN {caption} ELSE filter({caption}, e -> false) END, box_pairs, "
         f"CASE WHEN size(box_notes) > 0 THEN {notes} ELSE filter({notes}, e -> false) END)"
     )
-    by_key = f"array_sort(transform({everything}, e -> named_struct('key', e.key, 'ord', e.ord, 'is_list', e.is_list, 'vals', e.vals)))"
+    by_key = f"sort_array(transform({everything}, e -> named_struct('key', e.key, 'ord', e.ord, 'is_list', e.is_list, 'vals', e.vals)))"
     runs = add(
         add(page, by_key=by_key),
         firsts="filter(by_key, (e, i) -> i = 0 OR get(by_key, i - 1).key <> e.key)",
         lasts="filter(by_key, (e, i) -> i = size(by_key) - 1 OR get(by_key, i + 1).key <> e.key)",
     )
     merged = "zip_with(firsts, lasts, (a, b) -> named_struct('ord', a.ord, 'key', b.key, 'is_list', b.is_list, 'vals', b.vals))"
-    return add(runs, entries=f"array_sort({merged})").drop(
+    return add(runs, entries=f"sort_array({merged})").drop(
         "by_key", "firsts", "lasts", "box_pairs", "box_notes", "caption_texts", "box_captions"
     )

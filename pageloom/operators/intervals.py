@@ -39,7 +39,7 @@ def inside(span: str) -> str:
 
 def ordered_text(texts: str, separator: str) -> str:
     """Strings of collected (pos, ..., s) structs in document order."""
-    return f"array_join(transform(array_sort({texts}), t -> t.s), {literal(separator)})"
+    return f"array_join(transform(sort_array({texts}), t -> t.s), {literal(separator)})"
 
 
 def collect(condition: str, *fields: str) -> str:

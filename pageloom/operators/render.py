@@ -142,7 +142,7 @@ def content_sql() -> str:
 
 def sections_sql(content: str) -> str:
     """Section names, with a made-up first one where the text starts before any heading."""
-    names = "transform(array_sort(heads), h -> h.s)"
+    names = "transform(sort_array(heads), h -> h.s)"
     return (
         f"CASE WHEN {content} = '' THEN {names} WHEN size(heads) = 0 THEN array('Content') "
         f"WHEN startswith(lower({content}), lower(concat('## ', {names}[0]))) THEN {names} "
