@@ -3,6 +3,7 @@
 from pageloom.llm.itq import op7_embedding_dedup
 from pageloom.llm.langid import op3_language
 from pageloom.llm.mixing import OP6_SQL, op6_mixing
+from pageloom.llm.packing import op9_packing
 from pageloom.llm.quality import op10_quality
 from pageloom.llm.secrets import OP8_SQL, op8_secrets
 from pageloom.llm.sharding import OP4_SQL, op4_sharding
@@ -15,6 +16,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_secrets": op8_secrets,
+    "op9_packing": op9_packing,
     "op10_quality": op10_quality,
 }
 SQL = {"op1_top_k": OP1_SQL, "op4_sharding": OP4_SQL, "op6_mixing": OP6_SQL, "op8_secrets": OP8_SQL}
