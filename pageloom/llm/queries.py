@@ -2,6 +2,7 @@
 
 from pageloom.llm.itq import op7_embedding_dedup
 from pageloom.llm.langid import op3_language
+from pageloom.llm.minhash import op5_minhash
 from pageloom.llm.mixing import OP6_SQL, op6_mixing
 from pageloom.llm.packing import op9_packing
 from pageloom.llm.quality import op10_quality
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_top_k": op1_top_k,
     "op3_language": op3_language,
     "op4_sharding": op4_sharding,
+    "op5_minhash": op5_minhash,
     "op6_mixing": op6_mixing,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_secrets": op8_secrets,
