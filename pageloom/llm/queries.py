@@ -8,10 +8,12 @@ from pageloom.llm.packing import op9_packing
 from pageloom.llm.quality import op10_quality
 from pageloom.llm.secrets import OP8_SQL, op8_secrets
 from pageloom.llm.sharding import OP4_SQL, op4_sharding
+from pageloom.llm.substrings import op2_substrings
 from pageloom.llm.topk import OP1_SQL, op1_top_k
 
 QUERIES = {
     "op1_top_k": op1_top_k,
+    "op2_substrings": op2_substrings,
     "op3_language": op3_language,
     "op4_sharding": op4_sharding,
     "op5_minhash": op5_minhash,

@@ -108,3 +108,11 @@ def whole(first: np.ndarray, n: int, count: int) -> np.ndarray:
         at = first[1:-1] - back
         ok[at[at >= 0]] = False
     return ok[:count]
+
+
+def rolling(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of each n consecutive values from one running sum; needs `hashes` to have run on their bytes."""
+    count = max(0, len(h) - n + 1)
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _STATE["powers"][: len(h)], out=total[1:])
+    return mix((total[n : n + count] - total[:count]) * _STATE["inverse"][:count])
