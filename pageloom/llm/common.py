@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,13 +14,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def checkpoint(frame: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of `spark.checkpoint.dir`; beside the warehouse where that is unset."""
-    spark = frame.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of `spark.checkpoint.dir`, which all executors see; beside the warehouse where that is unset."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
+    return context.getCheckpointDir()
+
+
+def checkpoint(frame: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint()
 
 
@@ -58,3 +65,10 @@ def components(edges: DataFrame) -> DataFrame:
         )
     roots = links.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     return links.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(roots)
+
+
+def materialised(frame: DataFrame) -> DataFrame:
+    """Write to the shared folder as Parquet and read again: what follows starts from the files."""
+    path = f"{shared_folder(frame.sparkSession)}/table-{uuid.uuid4()}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.parquet(path)
