@@ -75,11 +75,16 @@ def _assigned(rows: DataFrame, settled: list[DataFrame]) -> DataFrame:
 
 
 def shards(
-    docs: DataFrame, *, limit_bytes: int = LIMIT_BYTES, key_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame,
+    *,
+    limit_bytes: int = LIMIT_BYTES,
+    key_column: str = "doc_id",
+    text_column: str = "text",
+    columns: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """The documents with `shard`, `depth` and `shard_bytes`."""
+    """The documents, or the given columns of them, with `shard`, `depth` and `shard_bytes`."""
     rows = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "depth", "shard_bytes"))).alias("doc"),
+        F.struct(*(F.col(f"`{c}`") for c in columns or docs.columns if c not in ("shard", "depth", "shard_bytes"))).alias("doc"),
         _hex(F.col(key_column)).alias("hex"),
         F.coalesce(F.octet_length(text_column), F.lit(0)).cast("long").alias("bytes"),
         F.col(text_column).alias("body"),
@@ -115,10 +120,9 @@ def write_shards(sharded: DataFrame, path: str) -> None:
 
 def op4_sharding(spark, folder: str) -> DataFrame:
     """All documents in shards of at most 8 MiB of text."""
-    docs = table(spark, folder, "documents")
-    return shards(docs).select(
-        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), "shard", "depth", "shard_bytes"
-    )
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    docs = table(spark, folder, "documents").select("doc_id", "text", size.alias("bytes"))
+    return shards(docs, columns=("doc_id", "bytes"))
 
 
 OP4_SQL = f"""
