@@ -138,43 +138,40 @@ def _vote(names: list[str], machines, numbers: np.ndarray, first: np.ndarray, si
     return best, belief[np.arange(len(size)), best] / rivals if len(names) > 1 else np.ones(len(size))
 
 
-def _predictor(model):
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        for batch in batches:
-            langs, scores = [], [np.zeros(0)]
-            for _, data, offsets in slices(batch.column(0)):
-                numbers, first = trigrams(data, offsets)
-                size = np.maximum(1, np.diff(first))
-                lang, score = np.full(len(size), "und", object), np.zeros(len(size))
-                if m["families"]:
-                    best, sure = _vote(m["families"], m["top"], numbers, first, size)
-                    for f, family in enumerate(m["families"]):
-                        names, machines = m["within"][family]
-                        inner, confident = _vote(names, machines, numbers, first, size)
-                        mine = best == f
-                        lang[mine] = np.array(names, object)[inner[mine]]
-                        score[mine] = np.minimum(sure, confident)[mine]
-                blank = np.diff(first) == 0
-                lang[blank], score[blank] = "und", 0.0
-                langs += lang.tolist()
-                scores.append(score)
-            yield pa.record_batch(
-                [pa.array(langs, pa.string()), pa.array(np.concatenate(scores)), *batch.columns[1:]],
-                names=["lang_pred", "score", *batch.schema.names[1:]],
-            )
-
-    return predict
+def predictions(texts: pa.Array, model: dict) -> pa.Array:
+    """Struct of language and score of each text."""
+    langs, scores = [], [np.zeros(0)]
+    for _, data, offsets in slices(texts):
+        numbers, first = trigrams(data, offsets)
+        size = np.maximum(1, np.diff(first))
+        lang, score = np.full(len(size), "und", object), np.zeros(len(size))
+        if model["families"]:
+            best, sure = _vote(model["families"], model["top"], numbers, first, size)
+            for f, family in enumerate(model["families"]):
+                names, machines = model["within"][family]
+                inner, confident = _vote(names, machines, numbers, first, size)
+                mine = best == f
+                lang[mine] = np.array(names, object)[inner[mine]]
+                score[mine] = np.minimum(sure, confident)[mine]
+        blank = np.diff(first) == 0
+        lang[blank], score[blank] = "und", 0.0
+        langs += lang.tolist()
+        scores.append(score)
+    return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores))], names=["lang_pred", "score"])
 
 
 def identified(docs: DataFrame, model: dict) -> DataFrame:
-    """The documents with `held_out`, `lang_pred` and `score`."""
+    """The documents with `held_out`, `lang_pred` and `score`; only texts travel to Python."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(texts: pa.Array) -> pa.Array:
+        return predictions(texts, shared.value)
+
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
     text = F.when(F.rlike("text", F.lit(r"\p{L}")), F.concat(F.lit(" "), F.lower("text"), F.lit(" ")))
-    rows = docs.select(text.alias("body"), F.struct(*keep).alias("doc"), held_out().alias("held_out"))
-    schema = "lang_pred string, score double, doc " + rows.schema["doc"].dataType.simpleString() + ", held_out boolean"
-    return rows.mapInArrow(_predictor(shared), schema).select("doc.*", "held_out", "lang_pred", "score")
+    rows = docs.select(*keep, held_out().alias("held_out"), predict(text).alias("__language__"))
+    return rows.select(*keep, "held_out", "__language__.lang_pred", "__language__.score")
 
 
 def op3_language(spark, folder: str) -> DataFrame:

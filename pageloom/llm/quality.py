@@ -3,7 +3,7 @@
 Tokens are runs of letters and digits (and any byte beyond ASCII) and runs of other visible
 characters; a feature is the hash of one token or of two in a row, modulo `FEATURES`; a token that follows itself is one
 feature whatever the token, and so is one that comes back after one other. A text's value
-of a feature is its share among the text's features, scaled. The model is learned on the driver from
+of a feature is its share among the text's features, scaled. The model is learned in one task from
 at most `sample` labelled documents, chosen by a hash of the id; scoring is a sparse dot product of
 each whole text with the weights, in Arrow batches.
 
@@ -16,7 +16,7 @@ and never learned from. Rows are scored each; columns of the input come along, a
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,11 +65,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, data, offsets in slices(batch.column(0)):
             found, first = features(data, offsets)
             lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(found.astype(np.int32)))
-            yield pa.record_batch([lists, batch.column(1).slice(row, len(first) - 1)], names=["features", "label"])
+            rest = [c.slice(row, len(first) - 1) for c in batch.columns[1:]]
+            yield pa.record_batch([lists, *rest], names=["features", "label", "place"])
 
 
 def train_ftrl(
-    examples: list[tuple[np.ndarray, int]],
+    examples: Iterable[tuple[np.ndarray, int]],
     *,
     epochs: int = EPOCHS,
     alpha: float = 2.0,
@@ -90,7 +91,7 @@ def train_ftrl(
     for numbers, label in examples:
         at, counts = np.unique(numbers, return_counts=True)
         value = counts * (SCALE / max(1, len(numbers)))
-        rows.append((np.append(at, FEATURES), np.append(value, 1.0), label))
+        rows.append((np.append(at, FEATURES).astype(np.int32), np.append(value, 1.0).astype(np.float32), label))
     for _ in range(epochs):
         for i in order.permutation(len(rows)):
             at, value, label = rows[i]
@@ -103,50 +104,50 @@ def train_ftrl(
     return every[:-1].astype(np.float32), float(every[-1])
 
 
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    examples = (
+        (lists.values.to_numpy(), label)
+        for batch in batches
+        for lists, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True)
+    )
+    weights, bias = train_ftrl(examples)
+    yield pa.record_batch([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], names=["weights", "bias"])
+
+
 def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """The model of documents that are not held out; at most `sample` of them reach the driver, as feature numbers."""
+    """The model of documents that are not held out; one task learns from at most `sample` of them."""
     known = labels.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("label")).where("label IN (0, 1)")
     mine = docs.select(F.col("doc_id"), "text").where(~held_out())
     # Ids are chosen before any text moves.
     chosen = mine.select("doc_id").join(known, F.col("doc_id") == F.col("label_id")).select("doc_id", "label")
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample).withColumnRenamed("doc_id", "label_id")
-    picked = mine.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text", "label")
-    got = picked.mapInArrow(_features, "features array<int>, label int").toArrow()
-    lists, answers = got.column(0).combine_chunks(), got.column(1).to_pylist()
-    if not answers:
+    picked = mine.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text", "label", F.xxhash64("doc_id", "text").alias("place"))
+    made = picked.mapInArrow(_features, "features array<int>, label int, place long")
+    fit = made.repartition(1).sortWithinPartitions("place", "label").mapInArrow(_fit, "weights binary, bias double").head()
+    if fit is None:
         return np.zeros(FEATURES, np.float32), 0.0
-    values, ends = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().cumsum()
-    rows = sorted(
-        ((values[e - n : e], a) for e, n, a in zip(ends, np.diff(ends, prepend=0), answers, strict=True)),
-        key=lambda r: (len(r[0]), r[0].tobytes(), r[1]),
-    )
-    return train_ftrl(rows)
-
-
-def _scorer(weights, bias):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = weights.value
-        for batch in batches:
-            out = [np.zeros(0)]
-            for _, data, offsets in slices(batch.column(0)):
-                found, first = features(data, offsets)
-                total = np.zeros(len(found) + 1)
-                np.cumsum(w[found], out=total[1:])
-                size = np.maximum(1, np.diff(first))
-                out.append(1 / (1 + np.exp(-(bias + SCALE * np.diff(total[first]) / size))))
-            yield pa.record_batch([pa.array(np.concatenate(out)), *batch.columns[1:]], names=["score", *batch.schema.names[1:]])
-
-    return score
+    return np.frombuffer(fit.weights, np.float32), fit.bias
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float], *, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents with `held_out`, `score` and `predicted`."""
-    weights = docs.sparkSession.sparkContext.broadcast(model[0])
+    """The documents with `held_out`, `score` and `predicted`; only texts travel to Python."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        weights, bias = shared.value
+        out = [np.zeros(0)]
+        for _, data, offsets in slices(texts):
+            found, first = features(data, offsets)
+            total = np.zeros(len(found) + 1)
+            np.cumsum(weights[found], out=total[1:])
+            size = np.maximum(1, np.diff(first))
+            out.append(1 / (1 + np.exp(-(bias + SCALE * np.diff(total[first]) / size))))
+        return pa.array(np.concatenate(out))
+
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("held_out", "score", "predicted")]
-    rows = docs.select(F.col("text").alias("body"), F.struct(*keep).alias("doc"), held_out().alias("held_out"))
-    schema = "score double, doc " + rows.schema["doc"].dataType.simpleString() + ", held_out boolean"
-    rows = rows.mapInArrow(_scorer(weights, model[1]), schema)
-    return rows.select("doc.*", "held_out", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+    rows = docs.select(*keep, held_out().alias("held_out"), score(F.col("text")).alias("score"))
+    return rows.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
 def op10_quality(spark, folder: str) -> DataFrame:
