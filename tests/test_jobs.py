@@ -2,22 +2,24 @@
 
 import json
 import random
+import warnings
 
 import pytest
 from conftest import wiki
 from pyspark.sql import functions as F
 
-from pageloom import articles
+from pageloom import Profile, articles
 from pageloom.functions.text import page_url
 from pageloom.operators import outcome
 from pageloom.operators.pacing import pace_requests
 from pageloom.plans.harvest import harvest
+from pageloom.plans.run import run
 from pageloom.plans.template import article_json, check_template, default_template, shape
 from pageloom.sinks import writers
 from pageloom.sources import titles as T
 from pageloom.sources.pages import read_html_files, read_pages
 from pageloom.sources.templates import load_template
-from pageloom.streaming.harvest import PAGE_SCHEMA, stream_articles
+from pageloom.streaming.harvest import PAGE_SCHEMA, bucket, latest_articles, stream_articles, written_before
 
 
 def listed(spark, *names):
@@ -55,14 +57,21 @@ def test_empty_title_list_is_an_error(spark, tmp_path):
 def test_titles_override_the_number(spark):
     with pytest.warns(UserWarning, match="ignored"):
         assert T.requested_count(listed(spark, "a", "b", "a"), 10).first().n_pages == 3
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        assert T.requested_count(listed(spark, "a", "b", "a"), 3).first().n_pages == 3
+    lines = spark.createDataFrame([(1, "a\rb\r\nc\n\n d")], "k int, text string")
+    assert [(r.ord, r.title) for r in T.lines_as_titles(lines, "k", "text").collect()] == [(0, "a"), (1, "b"), (2, "c"), (4, "d")]
     assert T.requested_count(None, 7) == 7
     with pytest.raises(ValueError):
         T.requested_count(None, None)
 
 
 def test_draws_and_limits(spark):
-    names = ["a", "b", "a", "Talk:a", "user_talk: x", "Re: b", "c"]
+    names = ["a", "b", "a", "Talk:a", "user_talk: x", "Re: b", "c", "TimedText:x.en.srt", "Image:Foo", "WP:About"]
     titles = listed(spark, *names)
+    numbered = titles.withColumn("namespace", F.col("ord") % 2)
+    assert [r.ord for r in T.main_namespace(numbered).collect()] == [0, 2, 4, 6, 8]
     drawn = {r.title for r in T.random_titles(titles, 10, "s").collect()}
     assert drawn == {"a", "b", "c", "Re: b"}
     assert [r.title for r in T.random_titles(titles, 2, "s").collect()] == [
@@ -76,7 +85,11 @@ def test_draws_and_limits(spark):
 def test_page_sources(spark, tmp_path):
     (tmp_path / "html").mkdir()
     (tmp_path / "html" / "a.html").write_text("<p>\nx</p>")
-    assert read_html_files(spark, str(tmp_path / "html")).first().html == "<p>\nx</p>"
+    (tmp_path / "html" / "B_c%2Bd.HTM").write_text(wiki("<p>b</p>", ""))
+    files = read_html_files(spark, str(tmp_path / "html"))
+    assert {(r.title, r.html[:3]) for r in files.collect()} == {("a", "<p>"), ("B c%2Bd", "<ht")}
+    assert sorted((r.title, r.content) for r in articles(files).collect()) == [("B c%2Bd", "b"), ("a", "")]
+    assert files.select("page_id").exceptAll(read_html_files(spark, str(tmp_path / "html")).select("page_id")).count() == 0
     spark.createDataFrame([(1, "u", "h", 9)], "page_id int, url string, html string, other int").write.parquet(
         str(tmp_path / "p")
     )
@@ -185,6 +198,34 @@ def test_writers(spark, two, tmp_path):
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "failed")).collect()] == [(1, "Given", "Failed to fetch HTML")]
 
 
+def test_one_run_cleans_once(spark, tmp_path):
+    pages = spark.createDataFrame([(i, name, wiki(f"<p>about {i}</p>", "")) for i, name in enumerate("ab")], "page_id bigint, url string, html string")
+    pages = pages.withColumn("url", page_url(F.col("url")))
+    report = run(listed(spark, "a", "none", "b", "a"), pages, str(tmp_path / "out"))
+    assert tuple(report["summary"]) == (4, 3, 1) and tuple(report["left_out"]) == (1, 0)
+    assert [tuple(r) for r in report["failures"]] == [(1, "none", "Failed to fetch HTML")]
+    written = [json.loads(line) for line in read_parts(tmp_path / "out" / "articles").splitlines()]
+    assert sorted(a["content"] for a in written) == ["about 0", "about 0", "about 1"]
+    plan = harvest(listed(spark, "a"), pages)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_repeated_and_null_ids_stay_apart(spark):
+    html = wiki("<p>{}</p>", "T")
+    rows = [(7, "x", html.format("first")), (7, "x", html.format("second")), (None, "n", html.format("third")), (None, "n", html.format("third")), (8, "e", None), (8, "e", "")]
+    got = articles(spark.createDataFrame(rows, "page_id bigint, title string, html string")).collect()
+    assert sorted((r.title, r.content or "-") for r in got) == [("T", "first"), ("T", "second"), ("T", "third"), ("T", "third"), ("e", "-"), ("e", "-")]
+
+
+def test_profiles_of_any_length(spark, pages):
+    areas = tuple(f"div.a{i}" for i in range(12))
+    boxes = tuple(f"table.b{i}" for i in range(5))
+    profile = Profile(title="h1#t", areas=areas, infobox=boxes)
+    html = '<div class="a11"><p>last</p></div><div class="a9"><p>ninth</p><table class="b4"><tr><th>k</th><td>v</td></tr></table></div>'
+    row = articles(pages(html), profile, keep_infobox=True).first()
+    assert (row.content, row.infobox_data) == ("ninth", '{"k":"v"}')
+
+
 def test_pacing_against_the_rule(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice("aaaab"), rng.randint(0, 4000)) for i in range(2000)]
@@ -208,10 +249,27 @@ def test_stream_writes_each_page_once(spark, tmp_path):
     def run():
         query = stream_articles(spark, source, output, checkpoint, files_per_batch=1)
         query.awaitTermination()
-        return sorted((r.page_id, r.content) for r in spark.read.parquet(output).collect())
+        return sorted(((r.page_id, r.content) for r in spark.read.parquet(output).collect()), key=repr)
+
+    def hold(*rows):
+        spark.createDataFrame(rows, PAGE_SCHEMA).coalesce(1).write.mode("append").parquet(source)
 
     arrive(1, 2, 2)
     assert run() == [(1, "page 1"), (2, "page 2")]
     arrive(2, 3)
     arrive(4, 1)
     assert run() == [(i, f"page {i}") for i in (1, 2, 3, 4)]
+    # A page that failed may come back; of two versions the one with HTML is taken.
+    hold((5, "t5", ""), (6, "t6", None), (6, "t6", wiki("<p>page 6</p>")))
+    run()
+    arrive(5)
+    run()
+    shown = sorted((r.page_id, r.content) for r in latest_articles(spark, output).collect())
+    assert shown == [(i, f"page {i}") for i in (1, 2, 3, 4, 5, 6)]
+    first = spark.range(1).select(F.lit(1).cast("long").alias("page_id")).select(bucket()).head()[0]
+    done = written_before(spark, output, 99, [first])
+    assert f"bucket={first}" in str(done.inputFiles()) and all(f"bucket={first}/" in f for f in done.inputFiles())
+    assert written_before(spark, output + "/none", 99, [first]) is None
+    (tmp_path / "bad" / f"bucket={first}").mkdir(parents=True)
+    with pytest.raises(Exception, match="schema|SCHEMA"):
+        written_before(spark, str(tmp_path / "bad"), 99, [first])
