@@ -56,8 +56,6 @@ def rule_sql(selectors: Iterable[str]) -> str:
     keys: list[str] = []
     other: list[str] = []
     for selector in selectors:
-        if re.search(r"\s[^\x00-\x7f]+$", selector):
-            continue  # asks for an element whose name no tag can have
         steps = [_SIMPLE.fullmatch(step) for step in selector.split(" > ")]
         if not selector or not all(steps) or len(steps) > 2:
             warnings.warn(f"rule {selector!r} is not supported and is skipped", stacklevel=2)

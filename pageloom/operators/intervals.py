@@ -8,7 +8,11 @@ from __future__ import annotations
 
 from pageloom.functions.sql import literal
 
-_PAGE = "PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND"
+# What tells pages apart: ids may repeat or be null, and then the content and a number decide.
+KEYS = ("page_id", "page_hash", "page_copy")
+BY_PAGE = f"PARTITION BY {', '.join(KEYS)}"
+
+_PAGE = f"{BY_PAGE} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND"
 UP_TO_HERE = f"OVER ({_PAGE} CURRENT ROW)"
 BEFORE_HERE = f"OVER ({_PAGE} 1 PRECEDING)"
 WHOLE_PAGE = f"OVER ({_PAGE} UNBOUNDED FOLLOWING)"
@@ -20,10 +24,12 @@ def within(condition: str, *, strictly: bool = False) -> str:
     return f"coalesce(pos <= max(CASE WHEN {condition} THEN last END) {frame}, false)"
 
 
-def first_match(*conditions: str) -> str:
-    """(rank, pos, last) of the page's first node matching the earliest condition that matches at all."""
-    cases = [f"WHEN {c} THEN named_struct('rank', {i}, 'pos', pos, 'last', last)" for i, c in enumerate(conditions)]
-    return f"min(CASE {' '.join(cases)} END) {WHOLE_PAGE}"
+def first_match(condition: str, rank: str = "0") -> str:
+    """(rank, pos, last) of the page's first matching node of the lowest rank; a null rank is no match."""
+    return (
+        f"min(CASE WHEN {condition} AND {rank} IS NOT NULL THEN named_struct('rank', {rank}, 'pos', pos, 'last', last) END) "
+        f"{WHOLE_PAGE}"
+    )
 
 
 def latest(condition: str, *extra: str) -> str:

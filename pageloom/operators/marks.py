@@ -7,7 +7,7 @@ from __future__ import annotations
 
 _NAMES = (
     "title", "noise", "boilerplate", "picture", "headline", "hidden", "skipped", "quiet", "note",
-    "in_quiet", "in_picture", *(f"area_{rank}" for rank in range(8)), "box_0", "box_1", "caption_0", "caption_1",
+    "in_quiet", "in_picture", "caption_0", "caption_1",
 )
 BIT = {name: 1 << place for place, name in enumerate(_NAMES)}
 

@@ -70,7 +70,7 @@ def _scan(ops: list[int], codes: list[tuple[str, str, bool]], out: dict[str, lis
             boxes += box
         out["parent"].append(parent)
         out["last"].append(pos)
-        out["head"].append(heads[-1] if heads else -1)
+        out["head"].append(heads[0] if heads else -1)
         chains.append(items.copy() if action == "leaf" else [])
     for start, _, _ in stack:
         out["last"][base + start] = len(ops) - 1

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pageloom.functions.selectors import keys_sql, rule_sql
 from pageloom.functions.sql import add, literal
 from pageloom.functions.text import decode_sql, strip_sql
-from pageloom.operators.intervals import collect, first_match, inside, ordered_text
+from pageloom.operators.intervals import KEYS, collect, first_match, inside, ordered_text
 from pageloom.operators.nesting import nest
 
 # Inside of a tag: quotes bind only after '='. Possessive, so long tags cost no stack.
@@ -91,20 +91,22 @@ def _attr(name: str) -> str:
 def nodes(pages: DataFrame) -> DataFrame:
     """One row per node of every page, blank strings left out; a page without tokens keeps one row of null kind.
 
-    `pages` has `page_id` (unique), `title` (may be null) and `html`. Tokens and nesting are
+    `pages` has `page_id`, `title` (may be null) and `html`. Every row is a page of its own, told
+    apart by `page_hash` and `page_copy` where an id repeats or is null. Tokens and nesting are
     found where the page is read. The pages are then shuffled once, still folded, because
     Spark forgets the partitioning across a Python function; whatever later works page by
     page reuses this partitioning.
     """
     tokens = pages.selectExpr(
         "page_id",
+        "xxhash64(title, html) AS page_hash",
         "title",
+        f"{'address' if 'address' in pages.columns else 'CAST(NULL AS STRING)'} AS address",
         "coalesce(html <> '', false) AS fetched",
         f"regexp_extract_all(nullif(html, ''), {literal(TOKEN)}, 0) AS tokens",
     )
-    scanned = tokens.withColumn("nest", nest(F.expr(f"transform(tokens, t -> {_op('t')})")))
-    folded = scanned.repartition("page_id").selectExpr(
-        "page_id", "title", "fetched", "tokens",
+    scanned = tokens.withColumn("nest", nest(F.expr(f"transform(tokens, t -> {_op('t')})"))).selectExpr(
+        "page_id", "page_hash", "title", "address", "fetched", "tokens",
         "nest.parent AS parent", "nest.last AS last", "nest.head AS head", "nest.items AS items",
         f"transform(tokens, t -> {_tag('t')}) AS tags",
     )
@@ -113,31 +115,53 @@ def nodes(pages: DataFrame) -> DataFrame:
         "THEN get(tokens, get(parent, i)) END)"
     )
     ptag = "transform(parent, p -> get(tags, p))"
-    unfolded = folded.selectExpr(
-        "page_id",
-        "title",
-        "fetched",
-        f"posexplode_outer(arrays_zip(tokens, tags, parent, last, head, items, {ptag}, {up})) AS (place, node)",
+    # What is no node goes before the shuffle: end tags, comments, blank strings and the inside of scripts.
+    numbered = f"arrays_zip(sequence(0, size(tokens) - 1), tokens, tags, parent, last, head, items, {ptag}, {up})"
+    dead = (
+        f"x.tokens LIKE '</%' AND upper(substring(x.tokens, 3, 1)) BETWEEN 'A' AND 'Z' OR startswith(x.tokens, '<!--') "
+        f"OR NOT startswith(x.tokens, '<') AND {strip_sql('x.tokens')} = ''"
+    )
+    bare = f"CASE WHEN x.tags IN ('script', 'style') AND {kind_sql('x.tokens')} = 'raw' THEN concat('<', x.tags, '>') ELSE x.tokens END"
+    fields = ("tags", "parent", "last", "head", "items")
+    struct = ", ".join(f"'{name}', x.{name}" for name in fields)
+    live = (
+        f"transform(filter({numbered}, x -> x.`0` = 0 OR NOT ({dead})), x -> named_struct('place', x.`0`, 'token', {bare}, "
+        f"{struct}, 'ptag', x.`7`, 'up', x.`8`))"
     )
-    first = "coalesce(place, 0) = 0"
+    folded = (
+        scanned.selectExpr(
+            "page_id", "page_hash", "title", "address", "fetched", f"CASE WHEN size(tokens) > 0 THEN {live} END AS live"
+        )
+        .repartition("page_id", "page_hash")
+        .selectExpr(
+            "page_id", "page_hash",
+            "row_number() OVER (PARTITION BY page_id, page_hash ORDER BY page_hash) AS page_copy",
+            "title", "address", "fetched", "live",
+        )
+    )
+    unfolded = folded.selectExpr(*KEYS, "title", "address", "fetched", "explode_outer(live) AS node")
+    first = "coalesce(node.place, 0) = 0"
     named = unfolded.selectExpr(
-        "page_id",
-        "coalesce(place, 0) AS pos",
+        *KEYS,
+        "coalesce(node.place, 0) AS pos",
         f"CASE WHEN {first} THEN title END AS title",
+        f"CASE WHEN {first} THEN address END AS address",
         f"CASE WHEN {first} THEN fetched END AS fetched",
-        "node.tokens AS token", "node.parent", "node.last", "node.head", "node.items",
-        "node.tags AS tag", "node.`6` AS ptag", "node.`7` AS up",
-        f"{kind_sql('node.tokens')} AS kind",
-    ).filter(f"pos = 0 OR (kind <> 'end' AND {strip_sql('token')} <> '')")
+        "node.token", "node.parent", "node.last", "node.head", "node.items",
+        "node.tags AS tag", "node.ptag", "node.up",
+        f"{kind_sql('node.token')} AS kind",
+    ).filter("pos = 0 OR kind <> 'end'")
     tagged = add(
         named,
         attrs=f"CASE WHEN kind = 'element' AND token RLIKE {_HAS_ATTRIBUTES} "
         f"THEN regexp_extract_all(token, {literal(_ATTRIBUTE)}, 0) END",
         string="CASE kind WHEN 'text' THEN token WHEN 'cdata' THEN substring(token, 10, length(token) - 12) END",
+        aside="CASE WHEN kind = 'decl' THEN CASE WHEN startswith(token, '<?') THEN substring(token, 3, length(token) - 3) "
+        "WHEN startswith(lower(token), '<!doctype') THEN substring(token, 11, length(token) - 11) END END",
     )
     valued = add(tagged, raw_src=_attr("src"), raw_alt=_attr("alt"))
     named = valued.selectExpr(
-        "page_id", "pos", "last", "parent", "ptag", "head", "items", "kind", "tag",
+        *KEYS, "pos", "last", "parent", "ptag", "head", "items", "kind", "tag",
         f"nullif({_attr('id')}, '') AS id",
         f"filter(split({_attr('class')}, {_BLANKS}), c -> c <> '') AS cls",
         f"{_attr('style')} AS style",
@@ -146,7 +170,7 @@ def nodes(pages: DataFrame) -> DataFrame:
         f"{_attr('rel')} AS rel",
         "up",
         f"CASE WHEN kind = 'text' THEN {decode_sql('string')} ELSE string END AS text",
-        "title", "fetched",
+        "aside", "title", "address", "fetched",
     )
     return add(named, keys=keys_sql())
 
@@ -155,6 +179,5 @@ def subtree_text(nodes: DataFrame, selector: str, separator: str) -> DataFrame:
     """`page_id, text`: strings below the page's first match, stripped, blanks dropped, joined; null without a match."""
     spans = add(nodes, span=first_match(rule_sql([selector])))
     strings = collect(f"{inside('span')} AND {strip_sql('text')} <> ''", "pos AS pos", f"{strip_sql('text')} AS s")
-    return spans.groupBy("page_id").agg(
-        F.expr(f"CASE WHEN bool_or(span IS NOT NULL) THEN {ordered_text(strings, separator)} END").alias("text")
-    )
+    text = F.expr(f"CASE WHEN bool_or(span IS NOT NULL) THEN {ordered_text(strings, separator)} END")
+    return spans.groupBy(*KEYS).agg(text.alias("text")).select("page_id", "text")

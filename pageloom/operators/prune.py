@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from pageloom.functions.selectors import has_class_sql, matching_sql, rule_sql
+from pageloom.functions.selectors import has_class_sql, matching_sql, rank_sql, rule_sql
 from pageloom.functions.sql import add, literals
 from pageloom.functions.text import normalize_sql, strip_sql
-from pageloom.operators.intervals import WHOLE_PAGE, collect, first_match, inside, ordered_text, within
+from pageloom.operators.intervals import BY_PAGE, KEYS, WHOLE_PAGE, collect, first_match, inside, ordered_text, within
 from pageloom.operators.marks import BIT, has, pack
 from pageloom.profiles import Profile
 
@@ -34,28 +34,29 @@ def flag_nodes(nodes: DataFrame, profile: Profile, *, keep_images: bool, keep_in
         "headline": f"tag = 'span' AND {has_class_sql('mw-headline')}",
         "hidden": "tag = 'span' AND contains(lower(style), 'display:none')",
         "skipped": f"tag IN ({literals(profile.skip_tags)}) OR {has_class_sql(*profile.skip_classes)}",
-        "quiet": f"tag IN ({literals(QUIET_TAGS)})",
+        "quiet": f"tag IN ({literals(QUIET_TAGS)}) OR kind = 'decl'",
     }
-    marks |= {f"area_{rank}": rule_sql([rule]) for rank, rule in enumerate(profile.areas)}
     columns = {
         # The page's own columns ride on position 0; of the parent only list tags matter.
-        "page": "CASE WHEN pos = 0 THEN named_struct('title', title, 'fetched', fetched) END",
+        "page": "CASE WHEN pos = 0 THEN named_struct('title', title, 'address', address, 'fetched', fetched) END",
+        "area_rank": rank_sql(profile.areas),
         "list": "CASE ptag WHEN 'ul' THEN 1 WHEN 'ol' THEN 2 END",
-        "text": f"CASE WHEN {strip_sql('text')} <> '' THEN text END",
+        # Instructions and doctypes are strings of the text around them, but of no title, heading or paragraph.
+        "text": f"CASE WHEN {strip_sql('text')} <> '' THEN text WHEN {strip_sql('aside')} <> '' THEN aside END",
     }
-    keep = ["page_id", "pos", "last", "parent", "tag", "head"]
+    keep = [*KEYS, "pos", "last", "parent", "tag", "head"]
     if keep_infobox:
         keep += ["items"]
-        marks |= {f"box_{rank}": rule_sql([rule]) for rank, rule in enumerate(profile.infobox)}
+        columns["box_rank"] = rank_sql(profile.infobox)
         marks["note"] = f"tag = 'sup' AND {has_class_sql('reference')}"
     if keep_images:
         keep += ["src", "alt"]
         marks["caption_0"] = f"tag IN ('figcaption', 'div') AND {has_class_sql(*CAPTION_CLASSES)}"
         marks["caption_1"] = "contains(array_join(cls, ' '), 'caption')"
         columns["frames"] = matching_sql(profile.image_containers)
-    # Comments, declarations and scripts end here; position 0 stands for its page. The filter
+    # Comments and scripts end here; position 0 stands for its page. The filter
     # reads `kind` alone, because it moves below the decoding of the texts and would repeat it.
-    kept = nodes.filter("kind IN ('element', 'text', 'cdata') OR pos = 0")
+    kept = nodes.filter("kind IN ('element', 'text', 'cdata', 'decl') OR pos = 0")
     return kept.selectExpr(*keep, *(f"{text} AS {name}" for name, text in columns.items()), f"{pack(marks)} AS marks")
 
 
@@ -73,10 +74,10 @@ def assign_zones(flagged: DataFrame, *, keep_infobox: bool) -> DataFrame:
     boxed, spent = "", ["title_span", "in_noise", "in_boilerplate", "in_picture", "in_quiet"]
     columns = {"marks": f"marks | {pack({'in_picture': 'in_picture', 'in_quiet': 'in_quiet'})}"}
     if keep_infobox:
-        zoned = add(zoned, box=first_match(*(f"{clean} AND {has(f'box_{rank}')}" for rank in (0, 1))))
+        zoned = add(zoned, box=first_match(clean, rank="box_rank"))
         boxed = f"WHEN {clean} AND {inside('box')} THEN 'box'"
         columns["box_pos"] = f"CASE WHEN {clean} AND {inside('box')} THEN box.pos END"
-        spent.append("box")
+        spent += ["box", "box_rank"]
     columns["zone"] = f"CASE WHEN {inside('title_span')} THEN 'title' {boxed} WHEN {clean} AND NOT in_boilerplate THEN 'live' END"
     return add(zoned, **columns).filter("zone IS NOT NULL OR pos = 0").drop(*spent)
 
@@ -95,23 +96,30 @@ def mark_trailing(zoned: DataFrame, keywords: tuple[str, ...]) -> DataFrame:
     """
     element = "zone = 'live' AND tag IS NOT NULL"
     own = (
-        "OVER (PARTITION BY page_id, head_key ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+        f"OVER ({BY_PAGE}, head_key ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
     )
+    # The outermost heading gathers strings; a heading inside it reads those of its own range.
     keyed = add(zoned, head_key="CASE WHEN zone = 'live' AND head >= 0 THEN head END")
     quiet = has("in_quiet")
     strings = collect(f"head_key IS NOT NULL AND text IS NOT NULL AND NOT {quiet}", "pos AS pos", f"{strip_sql('text')} AS s")
     titled = add(
         keyed,
         head_texts=f"{strings} {own}",
-        headline=f"min(CASE WHEN head_key IS NOT NULL AND {has('headline')} THEN named_struct('pos', pos, 'last', last) END) {own}",
+        headlines=f"{collect(f'head_key IS NOT NULL AND {has('headline')}', 'pos AS pos', 'last AS last')} {own}",
+    )
+    titled = add(
+        titled,
+        head_texts="filter(head_texts, t -> t.pos BETWEEN pos AND last)",
+        headline="array_min(filter(headlines, t -> t.pos BETWEEN pos AND last))",
     )
     name = f"lower({heading_sql('head_texts', 'headline', ' ')})"
     named = f"exists(array({literals(keywords)}), k -> contains({name}, k))"
     titled = add(
-        titled, is_trailing=f"coalesce(CASE WHEN {element} AND pos = head_key THEN {named} END, false)"
-    ).drop("head_texts", "headline", "head_key", "head")
+        titled,
+        is_trailing=f"coalesce(CASE WHEN {element} AND head_key IS NOT NULL AND tag IN ({literals(SECTION_TAGS)}) THEN {named} END, false)",
+    ).drop("head_texts", "headlines", "headline", "head_key", "head")
 
-    siblings = "OVER (PARTITION BY page_id, parent ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    siblings = f"OVER ({BY_PAGE}, parent ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     starts = {f"start_{h}": f"max(CASE WHEN is_trailing AND tag = '{h}' THEN pos END) {siblings}" for h in SECTION_TAGS}
     stops = {
         f"stop_{h}": f"max(CASE WHEN {element} AND startswith(tag, 'h') AND tag <= '{h}' THEN pos END) {siblings}"
@@ -149,5 +157,5 @@ def live_nodes(
         zoned = _leave(zoned, has("in_picture"))
     # Plain wrappers have no further part in the page; in a list anything that is no item is a barrier.
     telling = ~(BIT["in_quiet"] | BIT["in_picture"]) & (2 * max(BIT.values()) - 1)
-    shaping = f"text IS NOT NULL OR list IS NOT NULL OR tag IN ({literals(SHAPING_TAGS)}) OR (marks & {telling}) <> 0 OR pos = 0"
+    shaping = f"text IS NOT NULL OR list IS NOT NULL OR tag IN ({literals(SHAPING_TAGS)}) OR (marks & {telling}) <> 0 OR area_rank IS NOT NULL OR pos = 0"
     return zoned.filter(f"{shaping} OR size(frames) > 0" if keep_images else shaping)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from pageloom.functions.sql import add, literals
 from pageloom.functions.text import normalize_sql, strip_sql
-from pageloom.operators.intervals import collect, first_match, inside, latest, ordered_text, within
+from pageloom.operators.intervals import BY_PAGE, collect, first_match, inside, latest, ordered_text, within
 from pageloom.operators.marks import has
 from pageloom.operators.prune import heading_sql
 from pageloom.profiles import Profile
@@ -20,10 +20,9 @@ HEADINGS = "'h1', 'h2', 'h3', 'h4', 'h5', 'h6'"
 UNIT = "text_unit"
 
 
-def mark_area(live: DataFrame, profile: Profile) -> DataFrame:
+def mark_area(live: DataFrame) -> DataFrame:
     """Move the live nodes of the content area to zone `text`; the rest of the live page goes."""
-    ranks = range(len(profile.areas))
-    found = add(live, area=first_match(*(f"zone = 'live' AND {has(f'area_{r}')}" for r in ranks)))
+    found = add(live, area=first_match("zone = 'live'", rank="area_rank"))
     below = f"{inside('area')} AND pos > area.pos"
     return (
         add(
@@ -33,7 +32,7 @@ def mark_area(live: DataFrame, profile: Profile) -> DataFrame:
             has_area="area IS NOT NULL",
         )
         .filter("zone IS NOT NULL OR pos = 0")
-        .drop("area")
+        .drop("area", "area_rank")
     )
 
 
@@ -106,19 +105,23 @@ def mark_strings(units: DataFrame, profile: Profile) -> DataFrame:
         f"WHEN tag IN ({HEADINGS}) THEN words <> '' {excluded} "
         "WHEN tag IN ('p', 'dt', 'dd') THEN words <> '' END, false)",
     )
-    siblings = "OVER (PARTITION BY page_id, parent ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    siblings = f"OVER ({BY_PAGE}, parent ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     counted = add(content, number=f"sum(CASE WHEN tag = 'li' AND list = 2 THEN 1 END) {siblings}")
     counted = add(
         counted,
-        next_content="lead(CASE WHEN is_content THEN unit END) IGNORE NULLS OVER (PARTITION BY page_id ORDER BY unit)",
+        next_content=f"lead(CASE WHEN is_content THEN unit END) IGNORE NULLS OVER ({BY_PAGE} ORDER BY unit)",
     )
     holds = "zone = 'text' AND next_content <= last"
+    # A break inside a list item without content goes with the item.
+    bare = f"zone = 'text' AND tag = 'li' AND list IS NOT NULL AND NOT coalesce({holds}, false)"
+    upto = f"OVER ({BY_PAGE} ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    counted = add(counted, in_bare=f"coalesce(unit <= max(CASE WHEN {bare} THEN last END) {upto}, false)")
     return add(
         counted,
         opening="CASE WHEN is_content THEN CASE tag WHEN '#text' THEN words WHEN 'p' THEN concat(words, '\\n') "
         "WHEN 'dt' THEN concat('**', words, '**:\\n') WHEN 'dd' THEN concat('  ', words, '\\n') "
         "ELSE concat('\\n\\n', repeat('#', CAST(substring(tag, 2, 1) AS INT)), ' ', words, '\\n') END "
-        "WHEN zone = 'text' AND tag = 'br' THEN '\\n' "
+        "WHEN zone = 'text' AND tag = 'br' AND NOT in_bare THEN '\\n' "
         f"WHEN {holds} AND tag IN ('ul', 'ol', 'dl') THEN '\\n' "
         f"WHEN {holds} AND tag = 'li' THEN CASE list WHEN 2 THEN concat(CAST(number AS STRING), '. ') ELSE '* ' END END",
         closing=f"CASE WHEN {holds} AND tag IN ('ul', 'ol', 'dl', 'li') THEN '\\n' END",

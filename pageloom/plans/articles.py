@@ -14,6 +14,7 @@ from pageloom.functions.jsontext import entries_json
 from pageloom.functions.sql import add
 from pageloom.functions.text import page_url
 from pageloom.operators import images, infobox, render
+from pageloom.operators.intervals import KEYS
 from pageloom.operators.nodes import nodes
 from pageloom.operators.outcome import FETCH_FAILED
 from pageloom.operators.prune import live_nodes
@@ -53,7 +54,7 @@ def _pages(
         per_unit |= infobox.unit_aggregates()
         per_page |= infobox.page_aggregates()
     if text:
-        marked = render.mark_units(render.mark_area(marked, profile))
+        marked = render.mark_units(render.mark_area(marked))
         unit.append(f"WHEN zone = 'text' THEN {render.UNIT}")
         per_unit |= render.unit_aggregates() | {"has_area": "bool_or(has_area)"}
         per_page |= render.page_aggregates() | {"has_area": "bool_or(has_area)"}
@@ -64,14 +65,14 @@ def _pages(
         zone="CASE WHEN unit IS NULL AND pos = 0 THEN 'page' ELSE zone END",
         unit="CASE WHEN unit IS NULL AND pos = 0 THEN -2 ELSE unit END",
     )
-    units = _aggregate(placed.filter("unit IS NOT NULL"), ["page_id", "zone", "unit"], per_unit)
+    units = _aggregate(placed.filter("unit IS NOT NULL"), [*KEYS, "zone", "unit"], per_unit)
     if keep_images:
         units = add(units, image=images.unit_image())
     if keep_infobox:
         units = infobox.mark_entries(units)
     if text:
         units = render.mark_strings(units, profile)
-    folded = _aggregate(units, ["page_id"], per_page)
+    folded = _aggregate(units, list(KEYS), per_page)
     if keep_images:
         folded = add(folded, images=images.page_images("images"))
     if keep_infobox:
@@ -84,8 +85,8 @@ def articles(
 ) -> DataFrame:
     """One article per page: `page_id, input_title, title, url, content, sections, images, infobox_data, error_message`.
 
-    `pages` has `page_id` (unique), `title` and `html`. A page without HTML keeps its row,
-    with `error_message` set and no content. `infobox_data` is JSON text with the keys in
+    `pages` has `page_id`, `title` and `html`; every row gives one article, also where ids repeat or are null. A page without HTML keeps its row,
+    with `error_message` set and no content. A column `address` of `pages` comes along. `infobox_data` is JSON text with the keys in
     page order.
     """
     page = _pages(pages, profile, text=True, keep_images=keep_images, keep_infobox=keep_infobox)
@@ -102,6 +103,7 @@ def articles(
     ok = F.col("ok")
     return page.select(
         "page_id",
+        *([F.col("page.address").alias("address")] if "address" in pages.columns else []),
         "input_title",
         "title",
         F.when(ok, page_url(F.col("title"))).alias("url"),

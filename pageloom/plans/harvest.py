@@ -29,10 +29,10 @@ def harvest(
         "url", "asked_url"
     )
     wanted = pages_for(asked.select(F.col("asked_url").alias("url")), pages)
-    untitled = wanted.select("page_id", F.lit(None).cast("string").alias("title"), "html")
+    # The address rides along with its page, so pages and titles meet once.
+    untitled = wanted.select("page_id", F.lit(None).cast("string").alias("title"), "html", F.col("url").alias("address"))
     cleaned = articles(untitled, profile, keep_images=keep_images, keep_infobox=keep_infobox)
-    keys = wanted.select("page_id", F.col("url").alias("asked_url"))
-    answers = keys.join(cleaned.drop("input_title", "url"), "page_id").withColumnRenamed("title", "found_title")
+    answers = cleaned.drop("input_title", "url").withColumnsRenamed({"title": "found_title", "address": "asked_url"})
     title = F.coalesce(F.col("found_title"), F.col("input_title"))
     missing = F.col("page_id").isNull()
     return asked.join(answers, "asked_url", "left").select(

@@ -41,7 +41,7 @@ WIKI = Profile(
         "table.metadata", "div#siteSub", "div#jump-to-nav", "div.printfooter", "div.catlinks",
         "div#p-search", "div#p-lang-btn", "div#p-namespaces", "div#p-personal", "div#p-views",
         "div#p-navigation", "div#p-interaction", "div#p-tb", "div#p-coll-print_export", "div#footer",
-        "span.mw-editsection", "sup.reference", "sup.noprint", ".noprint", ".mw-cite- είχε",
+        "span.mw-editsection", "sup.reference", "sup.noprint", ".noprint",
         ".citation-needed-content", "figure", "gallery", "ul.gallery", "table.gallery",
         "table.wikitable.sidebar", "div.thumbcaption[style*='display:none']", "div.hatnote",
         "div.rellink", "div.Dablink", "table.fmbox-system", "div.authority-control",

@@ -41,6 +41,13 @@ CONTENT = {
     "<p>&lt;b&gt; &amp;amp;&nbsp;x</p>": "<b> &amp; x",
     "<div class='mw-jump-link'>no</div><p class='Noprint'>case</p>": "case",
     "<p>open <p>nested": "open nested",
+    "<div>foo<ul><li><br></li></ul>bar</div>": "foobar",
+    "<div>foo<ol><li><br><ul><li> <br></li></ul></li></ol>bar</div>": "foobar",
+    "<div>foo<ul><li>x<br>y</li></ul>bar</div>": "foo * x y bar",
+    "<div>foo<?pi x?>baz</div>": "foopi x?baz",
+    "<div>foo<!DOCTYPE html>baz</div>": "foohtmlbaz",
+    "<div>foo<!bar>baz</div>": "foobaz",
+    "<p>foo<?pi x?>baz</p><h3>a<?pi x?>b</h3><ul><li>c<?pi?></li></ul>": "foo baz ### ab * cpi?",
     "<figure class='image'><img src=x><figcaption>no</figcaption></figure><p>t</p>": "t",
 }
 
@@ -72,6 +79,8 @@ def test_sections(spark, pages):
 
 
 TRAILING = {
+    "<p>a</p><h2>See <h3>also</h3></h2><p>gone</p>": "a",
+    "<p>a</p><h2>My <span class='mw-headline'>own <h3>page</h3></span></h2><p>stays</p>": "a ## ownpage stays",
     "<h2>A</h2><p>a</p><h2>References</h2><p>r</p>": "## A a",
     "<h2>Liner notes</h2><p>r</p><h3>s</h3><p>r</p><h2>B</h2><p>b</p>": "## B b",
     "<h3>See also</h3><p>r</p><h4>x</h4><h3>C</h3><h2>Data sources</h2><h1>T</h1><p>t</p>": "### C # T t",
