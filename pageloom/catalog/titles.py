@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.catalog.fixtures import esc, wrap
+from pageloom.catalog.raw_pages import ARTICLES_SQL
 from pageloom.catalog.registry import WS, norm, query, stripped, table, wiki_url
 from pageloom.functions.text import normalize_whitespace, page_url, sanitize_filename, squeeze_blank_lines, strip
 from pageloom.operators import outcome
 from pageloom.operators.pacing import pace_requests
 from pageloom.plans.harvest import harvest
+from pageloom.profiles import GENERIC
 from pageloom.sources import titles as T
 from pageloom.sources.pages import lookup
 
+_LINES = r"string_split_regex(text, '\r\n|\r|\n')"
 LINES_SQL = f"""
     SELECT doc_id, (ord - 1)::INTEGER AS ord, {stripped('line')} AS title
-    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
-                 generate_subscripts(string_split(text, chr(10)), 1) AS ord FROM documents)
+    FROM (SELECT doc_id, unnest({_LINES}) AS line, generate_subscripts({_LINES}, 1) AS ord FROM documents)
     WHERE {stripped('line')} <> ''"""
 
 
@@ -28,7 +32,10 @@ def title_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("titles_decide_count", f"SELECT count(*) AS n_pages FROM ({LINES_SQL})")
 def titles_decide_count(spark: SparkSession, folder: str) -> DataFrame:
-    return T.requested_count(title_lines(spark, folder), None)
+    """One page is asked for, but the titles decide."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return T.requested_count(title_lines(spark, folder), 1)
 
 
 @query(
@@ -52,6 +59,12 @@ def main_namespace_titles(spark: SparkSession, folder: str) -> DataFrame:
     return titled.filter(T.is_main_namespace(F.col("title")))
 
 
+@query("main_namespace_by_number", "SELECT p_partkey, p_name AS title FROM part WHERE p_size % 3 = 0")
+def main_namespace_by_number(spark: SparkSession, folder: str) -> DataFrame:
+    numbered = table(spark, folder, "part").selectExpr("p_partkey", "p_name AS title", "p_size % 3 AS namespace")
+    return T.main_namespace(numbered).select("p_partkey", "title")
+
+
 @query("keep_first_titles", "SELECT p_name AS title, min(p_partkey) AS ord FROM part GROUP BY p_name")
 def keep_first_titles(spark: SparkSession, folder: str) -> DataFrame:
     return T.keep_first(table(spark, folder, "part").select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("title")))
@@ -191,15 +204,15 @@ def failures_left_out(spark: SparkSession, folder: str) -> DataFrame:
     return outcome.failures_left_out(_lookup_outcomes(spark, folder))
 
 
-@query(
-    "harvest",
-    f"""SELECT ord, input_title, CASE WHEN error_message IS NULL THEN content_title ELSE input_title END AS title,
+HARVEST_SQL = f"""SELECT ord, input_title, CASE WHEN error_message IS NULL THEN content_title ELSE input_title END AS title,
                CASE WHEN error_message IS NULL THEN {wiki_url('content_title')} END AS url,
                CASE WHEN error_message IS NULL THEN 'About ' || input_title END AS content, error_message
         FROM (SELECT p_partkey AS ord, p_name AS input_title, 'The ' || p_name AS content_title,
                      NULL::VARCHAR AS error_message FROM part
-              UNION ALL SELECT c_custkey + 10000000, c_name, c_name, 'Failed to fetch HTML' FROM customer)""",
-)
+              UNION ALL SELECT c_custkey + 10000000, c_name, c_name, 'Failed to fetch HTML' FROM customer)"""
+
+
+@query("harvest", HARVEST_SQL)
 def harvest_titles(spark: SparkSession, folder: str) -> DataFrame:
     """Titles that repeat (few distinct part names) and titles that miss, against pages keyed by address."""
     part = table(spark, folder, "part")
@@ -219,6 +232,30 @@ def harvest_titles(spark: SparkSession, folder: str) -> DataFrame:
     return harvest(titles, pages).select("ord", "input_title", "title", "url", "content", "error_message")
 
 
+@query(
+    "harvest_summary",
+    f"""SELECT count(*) AS attempted, count(*) FILTER (error_message IS NULL) AS succeeded,
+        count(error_message) AS failed FROM ({HARVEST_SQL})""",
+)
+def harvest_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return outcome.run_summary(harvest_titles(spark, folder))
+
+
+@query(
+    "harvest_pages",
+    f"""SELECT p.page_id AS ord, p.url AS input_title, a.title, a.url, a.content, NULL::VARCHAR AS error_message
+        FROM pages p JOIN (SELECT url, min(page_id) AS page_id FROM pages GROUP BY url) f ON p.url = f.url
+        JOIN ({ARTICLES_SQL}) a ON a.page_id = f.page_id""",
+)
+def harvest_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The page table, looked up by its own addresses taken as titles."""
+    pages = table(spark, folder, "pages")
+    titles = pages.select(F.col("page_id").alias("ord"), F.col("url").alias("title"))
+    stored = pages.select("page_id", page_url(F.col("url")).alias("url"), "html")
+    done = harvest(titles, stored, GENERIC)
+    return done.select("ord", "input_title", "title", "url", "content", "error_message")
+
+
 GAP_US = 6 * 3600 * 1_000_000
 
 

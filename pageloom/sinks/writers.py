@@ -27,18 +27,23 @@ def write_json_lines(articles: DataFrame, template: dict[str, Any], path: str, m
     json_lines(articles, template).write.mode(mode).text(path)
 
 
-def json_array_lines(articles: DataFrame, template: dict[str, Any], order: str) -> DataFrame:
-    """`order, value`: lines that in order form one JSON array. The order column is unique.
+def _framed(keyed: DataFrame, order: str, low: Any, high: Any) -> DataFrame:
+    opening = F.when(F.col(order) == low, "[").otherwise("")
+    closing = F.when(F.col(order) == high, "]").otherwise(",")
+    return keyed.select(order, F.concat(opening, F.col("json"), closing).alias("value"))
+
+
+def json_array_lines(articles: DataFrame, template: dict[str, Any], order: str, pages: DataFrame) -> DataFrame:
+    """`order, value`: lines that in order form one JSON array; the one line `[]` without articles.
 
-    Only the first and last order values are looked up; no row meets another.
+    The order column is unique. Its first and last value come from the pages that the articles
+    were made of, where HTML decides which of them are articles; no page is cleaned for that.
     """
     valid = valid_articles(articles)
     keyed = valid.select(order, article_json(valid, template).alias("json"))
-    ends = valid.agg(F.min(order).alias("low"), F.max(order).alias("high"))
-    low, high = ends.select("low").scalar(), ends.select("high").scalar()
-    opening = F.when(F.col(order) == low, "[").otherwise("")
-    closing = F.when(F.col(order) == high, "]").otherwise(",")
-    return keyed.select(order, F.concat(opening, F.col("json"), closing).alias("value"))
+    ends = pages.filter("html <> ''").agg(F.min(order).alias("low"), F.max(order).alias("high"))
+    none = ends.filter("low IS NULL").select(F.col("low").alias(order), F.lit("[]").alias("value"))
+    return _framed(keyed, order, ends.select("low").scalar(), ends.select("high").scalar()).union(none)
 
 
 def write_json_array(
@@ -46,12 +51,19 @@ def write_json_array(
 ) -> None:
     """A folder whose part files, concatenated by name, are one JSON array; `[]` without articles.
 
-    Rows are spread by ranges of the order column, so no task holds the whole array.
+    Rows are spread by ranges of the order column, so no task holds the whole array. The articles
+    are made once: their lines are kept while the ends are looked up and the ranges are sampled.
     """
-    lines = json_array_lines(articles, template, order)
-    if valid_articles(articles).isEmpty():
-        lines = articles.sparkSession.range(1).select(F.lit(0).alias(order), F.lit("[]").alias("value"))
-    lines.orderBy(order).select("value").write.mode(mode).text(path)
+    valid = valid_articles(articles)
+    keyed = valid.select(order, article_json(valid, template).alias("json")).persist()
+    try:
+        low, high = keyed.agg(F.min(order), F.max(order)).head()
+        lines = _framed(keyed, order, low, high)
+        if low is None:
+            lines = articles.sparkSession.range(1).select(F.lit(0).alias(order), F.lit("[]").alias("value"))
+        lines.orderBy(order).select("value").write.mode(mode).text(path)
+    finally:
+        keyed.unpersist()
 
 
 def write_failures(outcomes: DataFrame, path: str, mode: str = "errorifexists") -> None:

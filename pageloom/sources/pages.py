@@ -14,9 +14,18 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_html_files(spark: SparkSession, path: str) -> DataFrame:
-    """`url, html` from a folder of HTML files, one page per file."""
+    """`page_id, url, title, html` from a folder of HTML files, one page per file.
+
+    The id is a hash of the file's address, so it stays the same in every run; the title is the
+    file's name without its ending, with underscores read as spaces.
+    """
+    url = F.col("_metadata.file_path")
+    name = F.regexp_replace(F.substring_index(url, "/", -1), r"(?i)\.x?html?$", "")
     return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("url"), F.col("value").alias("html")
+        F.xxhash64(url).alias("page_id"),
+        url.alias("url"),
+        F.replace(F.coalesce(F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), name), F.lit("_"), F.lit(" ")).alias("title"),
+        F.col("value").alias("html"),
     )
 
 

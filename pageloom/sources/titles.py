@@ -9,18 +9,22 @@ from pyspark.sql import functions as F
 
 from pageloom.functions.text import strip
 
-# Title prefixes of the namespaces other than the main one.
+# Title prefixes of the namespaces other than the main one, and their short and older forms.
 OTHER_NAMESPACES = (
     "Talk", "User", "User talk", "Wikipedia", "Wikipedia talk", "File", "File talk", "MediaWiki",
     "MediaWiki talk", "Template", "Template talk", "Help", "Help talk", "Category", "Category talk",
     "Portal", "Portal talk", "Draft", "Draft talk", "Module", "Module talk", "Special", "Media",
+    "TimedText", "TimedText talk", "Book", "Book talk", "Gadget", "Gadget talk", "Gadget definition",
+    "Gadget definition talk", "Education Program", "Education Program talk", "MOS", "MOS talk", "Topic",
+    "WP", "WT", "Project", "Project talk", "Image", "Image talk", "TM",
 )
 
 
 def read_titles(spark: SparkSession, path: str) -> DataFrame:
     """`ord, title` from a UTF-8 file with one title per line; blank lines go, order and duplicates stay.
 
-    Lines are numbered by split: each split counts its own, and only the counts meet.
+    Lines are numbered by split: each split counts its own, and only the counts meet. Both
+    sides are one plan over one file listing, so they are cut into the same splits.
     """
     lines = spark.read.text(path).select(
         "_metadata.file_path", "_metadata.file_block_start", strip(F.col("value")).alias("title")
@@ -45,7 +49,7 @@ def require_titles(titles: DataFrame) -> DataFrame:
 
 def lines_as_titles(table: DataFrame, key: str, text: str) -> DataFrame:
     """`key, ord, title`: the non-blank lines of a text column."""
-    lines = table.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("ord", "line"))
+    lines = table.select(key, F.posexplode(F.split(F.col(text), "\r\n|\r|\n")).alias("ord", "line"))
     return lines.select(key, "ord", strip(F.col("line")).alias("title")).filter(F.col("title") != "")
 
 
@@ -55,9 +59,10 @@ def requested_count(titles: DataFrame | None, asked: int | None) -> DataFrame |
         if asked is None:
             raise ValueError("give either titles or a number of pages")
         return asked
-    if asked is not None:
+    counted = titles.agg(F.count("*").alias("n_pages"))
+    if asked is not None and counted.head()[0] != asked:
         warnings.warn("the number of pages is ignored because titles are given", stacklevel=2)
-    return titles.agg(F.count("*").alias("n_pages"))
+    return counted
 
 
 def is_main_namespace(title: Column) -> Column:
@@ -67,6 +72,11 @@ def is_main_namespace(title: Column) -> Column:
     return ~prefixed
 
 
+def main_namespace(titles: DataFrame, namespace: str = "namespace") -> DataFrame:
+    """Titles of the main namespace: by its number where the table has one, otherwise by prefix."""
+    return titles.filter(F.col(namespace) == 0 if namespace in titles.columns else is_main_namespace(F.col("title")))
+
+
 def keep_first(titles: DataFrame) -> DataFrame:
     """Distinct titles, each with its first `ord`; partial sums before the shuffle absorb hot titles."""
     return titles.groupBy("title").agg(F.min("ord").alias("ord"))
@@ -79,6 +89,6 @@ def first_titles(titles: DataFrame, n: int) -> DataFrame:
 
 def random_titles(titles: DataFrame, n: int, seed: str) -> DataFrame:
     """`rank_key, title`: up to `n` distinct main-namespace titles, the same ones for the same seed."""
-    distinct = titles.filter(is_main_namespace(F.col("title"))).select("title").distinct()
+    distinct = main_namespace(titles).select("title").distinct()
     keyed = distinct.select(F.md5(F.concat(F.lit(seed), F.col("title"))).alias("rank_key"), "title")
     return keyed.orderBy("rank_key", "title").limit(max(n, 0))
