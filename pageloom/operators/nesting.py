@@ -8,7 +8,10 @@ one short code per token, never the text.
 from __future__ import annotations
 
 import sys
+from array import array
+from collections.abc import Iterable, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
@@ -36,14 +39,14 @@ _NESTING = T.StructType(
 )
 
 
-def _scan(ops: list[int], codes: list[tuple[str, str, bool]], out: dict[str, list]) -> None:
+def _scan(ops: Iterable[int], codes: Sequence[tuple[str, str, bool]], out: dict) -> None:
     """Nesting of one page: an end tag closes up to the nearest open element of its name, or nothing."""
     stack: list[tuple[int, str, bool]] = []
     opened: dict[str, int] = {}
     heads: list[int] = []
     items: list[int] = []
     boxes = 0
-    chains: list[list[int]] = []
+    chains: dict[int, list[int]] = {}
     base = len(out["last"])
     for pos, code in enumerate(ops):
         action, name, box = codes[code]
@@ -71,11 +74,12 @@ def _scan(ops: list[int], codes: list[tuple[str, str, bool]], out: dict[str, lis
         out["parent"].append(parent)
         out["last"].append(pos)
         out["head"].append(heads[0] if heads else -1)
-        chains.append(items.copy() if action == "leaf" else [])
+        if items and action == "leaf":
+            chains[pos] = items.copy()
     for start, _, _ in stack:
-        out["last"][base + start] = len(ops) - 1
+        out["last"][base + start] = len(out["last"]) - base - 1
     # Only pages with list items in an infobox pay for a chain per token.
-    out["items"].append(chains if any(chains) else [])
+    out["items"].append([chains.get(pos, ()) for pos in range(len(out["last"]) - base)] if chains else [])
 
 
 def _decode_op(op: str) -> tuple[str, str, bool]:
@@ -92,15 +96,16 @@ def _decode_op(op: str) -> tuple[str, str, bool]:
 def nest(ops: pa.Array) -> pa.Array:
     flat = ops.flatten().dictionary_encode()
     codes = [_decode_op(op) for op in flat.dictionary.to_pylist()]
-    indices = flat.indices.to_pylist()
+    indices = array("i", flat.indices.to_numpy().astype(np.int32).tobytes())
     lengths = [n or 0 for n in pc.list_value_length(ops).to_pylist()]
-    out: dict[str, list] = {"parent": [], "last": [], "head": [], "items": []}
+    # Four bytes a token and column; a batch may hold millions.
+    out: dict = {"parent": array("i"), "last": array("i"), "head": array("i"), "items": []}
     offsets = [0]
     for length in lengths:
         _scan(indices[offsets[-1] : offsets[-1] + length], codes, out)
         offsets.append(offsets[-1] + length)
     starts = pa.array(offsets, pa.int32())
-    flat_lists = {k: pa.ListArray.from_arrays(starts, pa.array(out[k], pa.int32())) for k in ("parent", "last", "head")}
+    flat_lists = {k: pa.ListArray.from_arrays(starts, pa.array(np.frombuffer(out[k], np.int32))) for k in ("parent", "last", "head")}
     chains = pa.array(out["items"], pa.list_(pa.list_(pa.int32())))
     return pa.StructArray.from_arrays([*flat_lists.values(), chains], names=[*flat_lists, "items"])
 

@@ -64,12 +64,18 @@ def _constant(value: Any) -> Column:
     return F.lit(value)
 
 
-def shape(articles: DataFrame, template: dict[str, Any]) -> DataFrame:
-    """One column per template key, in template order."""
+def shape(articles: DataFrame, template: dict[str, Any], *, objects: bool = False) -> DataFrame:
+    """One column per template key, in template order.
+
+    `infobox_data` is JSON text with its keys in page order; with `objects` it is a VARIANT, which writers
+    put out as an object, keys sorted.
+    """
     columns = []
     for key, value in template.items():
         name = placeholder(value)
         column = _constant(value) if name is None else _field(articles, name)
+        if objects and name == "infobox_data":
+            column = F.parse_json(column)
         columns.append(column.alias(key))
     return articles.select(*columns)
 

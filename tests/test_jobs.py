@@ -176,6 +176,8 @@ def test_shape(two):
     row = shaped.first()
     assert (row.b, row.a, row.k.x, row.k.y, row.t) == ("Head", None, 1, ["p"], True)
     assert shape(two.drop("images"), {"i": "{images}"}).first().i is None
+    boxes = shape(two, {"id": "{title}", "box": "{infobox_data}"}, objects=True).select(F.to_json(F.struct("box")).alias("j"))
+    assert json.loads(boxes.first().j) == {"box": {"z": '"é"', "a": ["1"]}}
 
 
 def read_parts(folder):
