@@ -119,7 +119,8 @@ def nodes(pages: DataFrame) -> DataFrame:
     numbered = f"arrays_zip(sequence(0, size(tokens) - 1), tokens, tags, parent, last, head, items, {ptag}, {up})"
     dead = (
         f"x.tokens LIKE '</%' AND upper(substring(x.tokens, 3, 1)) BETWEEN 'A' AND 'Z' OR startswith(x.tokens, '<!--') "
-        f"OR NOT startswith(x.tokens, '<') AND {strip_sql('x.tokens')} = ''"
+        # Most strings begin with a visible ASCII character, which is cheap to see.
+        f"OR NOT startswith(x.tokens, '<') AND ascii(x.tokens) NOT BETWEEN 33 AND 126 AND {strip_sql('x.tokens')} = ''"
     )
     bare = f"CASE WHEN x.tags IN ('script', 'style') AND {kind_sql('x.tokens')} = 'raw' THEN concat('<', x.tags, '>') ELSE x.tokens END"
     fields = ("tags", "parent", "last", "head", "items")
