@@ -38,6 +38,7 @@ from pageloom.llm.words import _STATE, blank_kinds, constants, grams, hashes, mi
 
 SHINGLE = 5
 THRESHOLD = 0.8
+LEAST = THRESHOLD - 1e-9  # sums of weights are rounded; a pair at the threshold itself is linked
 BANDS, ROWS = 12, 4
 RARE = 1 / 1000
 TABLE_BITS, TILE_BITS = 21, 13
@@ -223,7 +224,7 @@ def _sketches(shared):
 def similarity(a, b) -> float:
     """Weighted Jaccard of two documents as (shingles, weights, total weight)."""
     low = min(a[2], b[2])
-    if low < THRESHOLD * max(a[2], b[2]):
+    if low < LEAST * max(a[2], b[2]):
         return 0.0
     x, y = (a, b) if len(a[0]) <= len(b[0]) else (b, a)
     place = np.minimum(np.searchsorted(y[0], x[0]), len(y[0]) - 1)
@@ -257,7 +258,7 @@ def _stars(shared):
             for hub, doc, own in zip(hubs, docs, _vectors(batch.column(2), idf), strict=True):
                 if hub == doc:
                     centre, vector = hub, own
-                elif hub == centre and similarity(vector, own) >= THRESHOLD:
+                elif hub == centre and similarity(vector, own) >= LEAST:
                     found.append((doc, hub))
             if found:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=LINK)
@@ -282,14 +283,14 @@ def _blocks(shared):
         for i, (band, _, _, block, doc, component, own, bands) in enumerate(rows):
             for j in range(i - 1, -1, -1):
                 other = rows[j]
-                if other[6][2] < THRESHOLD * own[2]:  # and all before it
+                if other[6][2] < LEAST * own[2]:  # and all before it
                     break
                 if low != high and other[3] == block or root(component) == root(other[5]):
                     continue
                 # A pair that shares several bands is compared in the first.
                 if next(x for x, y in zip(bands, other[7], strict=True) if x == y) != band:
                     continue
-                if similarity(own, other[6]) >= THRESHOLD:
+                if similarity(own, other[6]) >= LEAST:
                     found.append((doc, other[4]))
                     joined[root(component)] = root(other[5])
         return found

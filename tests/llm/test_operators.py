@@ -4,8 +4,10 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,6 +165,37 @@ def test_minhash(documents, monkeypatch):
     assert minhash.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_minhash_links_pairs_at_the_threshold_itself(documents):
+    word = iter(range(10**6))
+    new = lambda n: [f"n{next(word)}" for _ in range(n)]
+    texts = {}
+    for i, (long, short) in enumerate([(65, 52), (75, 60)] * 3):  # shingles, all of them rare
+        texts[2 * i] = new(long + 4)
+        texts[2 * i + 1] = texts[2 * i][: short + 4]
+    for i in (20, 22):  # 171 each, 152 of them shared
+        texts[i] = new(156)
+        texts[i + 1] = texts[i] + new(19)
+        texts[i] = texts[i] + new(19)
+    texts[30] = new(69)
+    texts[31] = texts[30][:55]  # 51 of 65
+    frame = documents([(i, " ".join(t), None, None) for i, t in texts.items()] + [(i, None, None, None) for i in range(100, 2100)])
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(frame).where("doc_id < 100").collect()}
+    assert got == {i: i if i >= 30 else i - i % 2 for i in texts}
+
+
+def test_minhash_blocks_link_pairs_at_the_threshold_itself():
+    idf = (np.zeros(1 << minhash.TABLE_BITS, bool), np.zeros(0, np.uint64), np.zeros(0), 1 - float(np.log(minhash.RARE)))
+    lost = []
+    for k in range(1, 60):
+        words = [f"n{i}" for i in range(5 * k + 4)]
+        texts = [" ".join(words), " ".join(words[: 4 * k + 4])]
+        rows = [pa.array(c) for c in zip(*((7, 0, 0, 0, i, i) for i in (0, 1)), strict=True)]
+        batch = pa.record_batch([*rows, pa.array(texts), pa.array([[7], [7]])], names=list("abcdefgh"))
+        if sum(b.num_rows for b in minhash._blocks(SimpleNamespace(value=idf))([batch])) != 1:
+            lost.append(k)
+    assert lost == []
+
+
 def test_mixing(documents):
     rng = random.Random(4)
     rows = [(i, prose(rng, rng.randrange(1, 40)), None, ("b", "a", None, "hot", "hot", "hot", "z")[i % 7]) for i in range(400)]
