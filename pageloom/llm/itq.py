@@ -12,7 +12,11 @@
 5. Links give components.
 
 Every vector is indexed. The sample only shapes the rotation; the number of tables follows from the
-wanted chance to meet (`recall`) at the threshold itself, closer pairs meet more surely.
+wanted chance to meet (`recall`) at the threshold itself, closer pairs meet more surely. Centring widens
+the angle of a pair, at most to a cosine of `1 - (1 - threshold) / (1 - |mean|)^2`. Where that is close to
+the threshold, the learned tables are as many as it needs. Where vectors share a large part and it is not,
+as many tables of random rotations without a mean join them as the threshold itself needs; there the
+angle is that of the vectors, whatever their mean.
 
 Rules. Vectors that are null, zero, hold null or non-finite components or have no id link with
 nothing: `n_links` 0, their own component, kept. Vectors of different length never link. Repeated
@@ -35,6 +39,7 @@ from pageloom.llm.topk import finite
 BLOCK = 512
 SAMPLE_VALUES = 1_000_000  # components of the vectors that the rotation is learned from, at most
 SAMPLE_ROWS = 10_000
+MORE_TABLES = 1.25  # learned tables alone where centring asks for no more than so many times the tables
 
 
 def learn_rotation(sample: np.ndarray, seed: int, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
@@ -62,18 +67,51 @@ def _unit(batch_vectors: pa.Array, dim: int) -> np.ndarray:
     return flat / np.sqrt((flat * flat).sum(1, keepdims=True))
 
 
-def _coded(models: dict[int, list], bits: int, tables: int):
-    weights = 1 << np.arange(bits, dtype=np.int64)
+def tables_for(cosine: float, bits: int, recall: float) -> float:
+    """Tables of so many random bits in which vectors at this cosine meet once with this chance."""
+    agree = 1 - math.acos(max(-1.0, min(1.0, cosine))) / math.pi
+    meet = agree**bits
+    if meet >= recall:
+        return 1
+    return math.ceil(math.log(1 - recall) / math.log1p(-meet)) if meet > 1e-12 else math.inf
 
+
+def families(sample: np.ndarray, n: int, bits: int, threshold: float, recall: float, seed: int) -> list[tuple[list, int, int]]:
+    """(rotations with their means, bits, tables) of the vectors of one length, of which these are a sample."""
+    dim = sample.shape[1]
+    least = int(tables_for(threshold, bits, recall))
+    off = float(np.linalg.norm(sample.mean(0))) if len(sample) > 1 else 0.0
+    centred = tables_for(1 - (1 - threshold) / max(1e-9, 1 - off) ** 2, bits, recall)
+    enough = centred <= MORE_TABLES * least
+    tables = int(centred) if enough else least
+    out = [([learn_rotation(sample, seed + s) for s in range(-(-bits * tables // dim))], bits, tables)]
+    if not enough:
+        # More bits where unlike vectors would crowd the buckets: a vector travels once for every block it meets.
+        some = sample[:1000]
+        agree = 1 - np.arccos(np.clip(some @ some.T, -1, 1)[np.triu_indices(len(some), 1)]) / math.pi
+        cost = {b: tables_for(threshold, b, recall) * (1 + n * float((agree**b).mean()) / BLOCK) for b in range(bits, 31)}
+        wide = min(cost, key=cost.get)
+        tables = int(tables_for(threshold, wide, recall))
+        rng = np.random.default_rng([seed, dim])
+        turns = [np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(-(-wide * tables // dim))]
+        out.append(([(np.zeros(dim), turn) for turn in turns], wide, tables))
+    return out
+
+
+def _coded(models: dict[int, list], bits: int, threshold: float, recall: float):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths = batch.column(1).value_lengths().to_numpy()
             for dim in np.unique(lengths).tolist():
                 mine = batch.filter(pa.array(lengths == dim))
                 unit = _unit(mine.column(1), dim)
-                got = models.get(dim) or [learn_rotation(np.zeros((0, dim)), s) for s in range(-(-bits * tables // dim))]
-                signs = np.concatenate([(unit - mean) @ turn >= 0 for mean, turn in got], axis=1)
-                codes = signs[:, : bits * tables].reshape(len(unit), tables, bits) @ weights
+                got = models.get(dim) or families(np.zeros((0, dim)), 0, bits, threshold, recall, 0)
+                codes = []
+                for rotations, width, tables in got:
+                    signs = np.concatenate([(unit - mean) @ turn >= 0 for mean, turn in rotations], axis=1)
+                    codes.append(signs[:, : width * tables].reshape(len(unit), tables, width) @ (1 << np.arange(width, dtype=np.int64)))
+                codes = np.concatenate(codes, axis=1)
+                tables = codes.shape[1]
                 keys = codes + (np.arange(tables, dtype=np.int64) << 32)
                 offsets = pa.array(np.arange(len(unit) + 1) * tables, pa.int32())
                 wide = pa.array([u.tobytes() for u in unit], pa.binary())
@@ -85,7 +123,7 @@ def _coded(models: dict[int, list], bits: int, tables: int):
     return encode
 
 
-def _linked(threshold: float, tables: int):
+def _linked(threshold: float):
     def forest(adjacent: np.ndarray) -> np.ndarray:
         """The smallest place that each reaches."""
         labels = np.arange(len(adjacent))
@@ -172,21 +210,16 @@ def near_duplicates(
     distinct = distinct.withColumn("node", F.col("rep"))
     n, longest = distinct.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).head()
     bits = min(30, max(8, math.ceil(math.log2(max(2, n))) + 3))
-    agree = 1 - math.acos(threshold) / math.pi
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - agree**bits))
     take = max(2, min(SAMPLE_ROWS, SAMPLE_VALUES // max(1, longest)))
     sample = distinct.orderBy("h2").limit(take).select("v").toArrow().column(0).combine_chunks()
     lengths = sample.value_lengths().to_numpy() if len(sample) else np.zeros(0)
     models = {
-        dim: [
-            learn_rotation(_unit(sample.filter(pa.array(lengths == dim)), dim), seed + s)
-            for s in range(-(-bits * tables // dim))
-        ]
+        dim: families(_unit(sample.filter(pa.array(lengths == dim)), dim), n, bits, threshold, recall, seed)
         for dim in np.unique(lengths).astype(int).tolist()
     }
     coded = checkpoint(
         distinct.select("node", "v", "copies").mapInArrow(
-            _coded(models, bits, tables), "rep long, copies long, unit binary, keys array<long>"
+            _coded(models, bits, threshold, recall), "rep long, copies long, unit binary, keys array<long>"
         )
     )
     members = coded.select("rep", F.explode("keys").alias("key"))
@@ -201,7 +234,7 @@ def near_duplicates(
         .select("key", "low", "high", "block", "rep", "copies", "unit", "keys")
         .repartition(shuffle_partitions(spark), "key", "low", "high")
         .sortWithinPartitions("key", "low", "high")
-        .mapInArrow(_linked(threshold, tables), "rep long, links long, root long")
+        .mapInArrow(_linked(threshold), "rep long, links long, root long")
     )
     found = checkpoint(found)
     joined = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))

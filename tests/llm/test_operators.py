@@ -84,6 +84,26 @@ def test_embedding_near_duplicates(spark, monkeypatch):
     assert itq.near_duplicates(vectors(spark, rows).limit(0)).count() == 0
 
 
+def test_embedding_near_duplicates_of_vectors_with_a_common_part(spark):
+    rng = np.random.default_rng(2)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    common = unit(rng.standard_normal((1, 64)))
+    first = unit(np.sqrt(0.7) * common + np.sqrt(0.3) * unit(rng.standard_normal((600, 64))))
+    first[:100] = unit(common + 0.3 * unit(rng.standard_normal((100, 64))) * rng.random((100, 1)))  # near the mean
+    aside = rng.standard_normal((600, 64))
+    aside = unit(aside - (aside * first).sum(1, keepdims=True) * first)
+    data = np.concatenate([first, 0.952 * first + np.sqrt(1 - 0.952**2) * aside])
+    near = unit(data) @ unit(data).T >= 0.95
+    np.fill_diagonal(near, False)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    got = {r.id: r.n_links for r in itq.near_duplicates(frame).collect()}
+    assert all(got[i] <= near[i].sum() for i in range(1200))
+    pairs = [i for i in range(100, 600) if near[i].sum() == 1]
+    print("links", sum(got.values()), "of", near.sum(), "pairs", sum(got[i] for i in pairs), "of", len(pairs))
+    assert len(pairs) > 400 and sum(got[i] for i in pairs) >= 0.99 * len(pairs)
+    assert sum(got.values()) >= 0.99 * near.sum()
+
+
 def removed(texts):
     """What the contract says, for documents by id."""
     least = {}
