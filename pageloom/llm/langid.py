@@ -101,11 +101,12 @@ def _machines(rows: dict[str, list]) -> list[tuple[str, str, np.ndarray]]:
 def learn(docs: DataFrame, *, sample: int = SAMPLE) -> dict:
     """{"families": names, "top": machines, "within": {family: (languages, machines)}}"""
     mine = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(~held_out())
-    ids = mine.select("doc_id", "lang").selectExpr(
+    ids = mine.select("doc_id", "lang").distinct().selectExpr(
         "doc_id AS id", "lang AS tongue", "row_number() OVER (PARTITION BY lang ORDER BY xxhash64(doc_id), doc_id) AS nth"
     )
-    ids = ids.where(F.col("nth") <= sample).select("id", "tongue").distinct()
+    ids = ids.where(F.col("nth") <= sample).select("id", "tongue")
     picked = mine.join(F.broadcast(ids), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("tongue")))
+    picked = picked.groupBy("id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     text = F.concat(F.lit(" "), F.lower("text"), F.lit(" "))
     got = picked.select(text.alias("body"), "lang").mapInArrow(_features, "features array<int>, lang string").toArrow()
     lists = got.column(0).combine_chunks()

@@ -8,7 +8,8 @@ at most `sample` labelled documents, chosen by a hash of the id; scoring is a sp
 each whole text with the weights, in Arrow batches.
 
 Rules. Null and empty texts have the bias alone. Without labelled documents every score is 0.5. A
-document with several labels counts with each; null labels are ignored. Null ids are never held out
+document with several labels counts with each, once; null labels are ignored. Rows that share an id are one
+document to learn from: the one whose text has the least hash. Null ids are never held out
 and never learned from. Rows are scored each; columns of the input come along, and `held_out`,
 `score` and `predicted` replace columns of that name.
 """
@@ -118,10 +119,13 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> tuple[
     """The model of documents that are not held out; one task learns from at most `sample` of them."""
     known = labels.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("label")).where("label IN (0, 1)")
     mine = docs.select(F.col("doc_id"), "text").where(~held_out())
-    # Ids are chosen before any text moves.
-    chosen = mine.select("doc_id").join(known, F.col("doc_id") == F.col("label_id")).select("doc_id", "label")
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample).withColumnRenamed("doc_id", "label_id")
-    picked = mine.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text", "label", F.xxhash64("doc_id", "text").alias("place"))
+    # Ids are chosen before any text moves, each once: neither repeated ids nor repeated labels multiply.
+    ids = mine.where("doc_id IS NOT NULL").select("doc_id").distinct()
+    chosen = known.distinct().join(ids, F.col("doc_id") == F.col("label_id"), "left_semi")
+    chosen = chosen.orderBy(F.xxhash64("label_id"), "label_id", "label").limit(sample)
+    picked = mine.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "label", "text")
+    picked = picked.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    picked = picked.select("text", "label", F.xxhash64("doc_id", "text").alias("place"))
     made = picked.mapInArrow(_features, "features array<int>, label int, place long")
     fit = made.repartition(1).sortWithinPartitions("place", "label").mapInArrow(_fit, "weights binary, bias double").head()
     if fit is None:

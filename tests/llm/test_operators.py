@@ -374,3 +374,33 @@ def test_language(documents):
     assert langid.identified(frame.limit(0), langid.learn(frame.limit(0))).count() == 0
 
 
+
+
+def test_quality_sample_counts_rows(spark, documents, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 20), None, None) for i in range(40)] + [(1, prose(rng, 20), None, None) for _ in range(300)]
+    labels = [(i, i % 2, 0) for i in range(40)] + [(1, 1, 0)] * 30
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+    def count(batches):
+        n = [b.num_rows for b in batches]
+        yield pa.record_batch([pa.array([np.array([sum(n)], np.float32).tobytes()], pa.binary()), pa.array([0.0])], names=["weights", "bias"])
+
+    monkeypatch.setattr(quality, "_fit", count)
+    free = sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in range(40))
+    assert quality.learn(documents(rows), labels)[0][0] == free
+    assert quality.learn(documents(rows), labels, sample=10)[0][0] == 10
+
+
+def test_language_sample_counts_rows(documents, monkeypatch):
+    rng = random.Random(10)
+    rows = [(i, prose(rng, 20) + " abc", "en", None) for i in range(40)] + [(1, prose(rng, 20) + " abc", "en", None) for _ in range(300)]
+    rows += [(i, prose(rng, 20) + " abc", "de", None) for i in range(50, 60)]
+    seen = {}
+    monkeypatch.setattr(langid, "_machines", lambda own: seen.update({k: len(v) for k, v in own.items()}) or [])
+    langid.learn(documents(rows), sample=10)
+    assert seen["en"] == 10 and seen["de"] == sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in range(50, 60))
+    again = {}
+    monkeypatch.setattr(langid, "_machines", lambda own: again.update({k: len(v) for k, v in own.items()}) or [])
+    langid.learn(documents(rows))
+    assert again["en"] == sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in range(40))
