@@ -11,7 +11,7 @@ depth `WINDOW` or more: a deep node. A window is repeated if its deep node holds
 2. Subtrees. A task takes anchors in order, as many as fit its memory, and follows their suffixes down
    by prefixes of doubling length; branches that hold one document end there. What is left at depth
    `WINDOW` are the deep nodes.
-3. Anchors of more than `HEAVY` documents would make a group too large for a task. There the prefix that
+3. Anchors of more than `HEAVY` documents or `HEAVY_BYTES` of pieces would make a group too large for a task. There the prefix that
    splits the suffixes is as long as the window, so every group is one deep node, and its smallest
    document is a grouped minimum.
 
@@ -36,6 +36,7 @@ from pageloom.llm.words import blank_kinds, hashes, mix, rolling, slices, spans,
 WINDOW = 50
 SEED = 8
 HEAVY = 5000
+HEAVY_BYTES = 8 << 20
 GROUP_BYTES = 1 << 20
 
 
@@ -70,15 +71,17 @@ def anchored(data: np.ndarray, offsets: np.ndarray):
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, data, offsets in slices(batch.column(2)):
-            *_, anchor, text = anchored(data, offsets)
+            starts, ends, _, _, window, many, anchor, text = anchored(data, offsets)
             order = np.lexsort((anchor, text))
+            size = (ends[window + many + WINDOW - 2] - starts[window])[order]
             anchor, text = anchor[order], text[order]
             new = np.ones(len(anchor), bool)
             new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
             place = pa.array(text[new] + row)
+            size = np.add.reduceat(size, np.flatnonzero(new)) if len(size) else size
             yield pa.record_batch(
-                [batch.column(0).take(place), batch.column(1).take(place), pa.array(anchor[new].view(np.int64))],
-                names=["doc", "body", "anchor"],
+                [batch.column(0).take(place), batch.column(1).take(place), pa.array(anchor[new].view(np.int64)), pa.array(size, pa.int64())],
+                names=["doc", "body", "anchor", "size"],
             )
 
 
@@ -173,11 +176,20 @@ def _repeats(rows: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
+def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """All rows in one batch; offsets of 64 bits, as those of 32 end at 2 GB of pieces."""
+    whole = pa.Table.from_batches(batches)
+    at = whole.schema.get_field_index("piece")
+    whole = whole.set_column(at, "piece", whole.column(at).cast(pa.large_string())).combine_chunks()
+    (out,) = whole.to_batches()
+    return out
+
+
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
 
     def groups(last: bool) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        rows = joined(held)
         anchor = rows.column(0).to_numpy()
         size = np.cumsum(pc.binary_length(rows.column(4)).to_numpy())
         borders = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
@@ -193,7 +205,7 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         if batch.num_rows:
-            held.append(batch)
+            held.append(joined([batch]))
             yield from groups(False)
     if held:
         yield from groups(True)
@@ -218,10 +230,12 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc, body, spans): word ranges of documents `(doc, body, text)` that repeat a smaller document."""
     parts = shuffle_partitions(docs.sparkSession)
-    found = docs.where("doc IS NOT NULL").mapInArrow(_anchors, "doc long, body long, anchor long")
-    shared = found.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n"))
-    shared = shared.where("low <> high").select("anchor", F.expr(f"n > {HEAVY}").alias("heavy"))
-    lists = found.join(shared, "anchor").groupBy("doc", "body").agg(
+    found = docs.where("doc IS NOT NULL").mapInArrow(_anchors, "doc long, body long, anchor long, size long")
+    shared = found.groupBy("anchor").agg(
+        F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n"), F.sum("size").alias("bytes")
+    )
+    shared = shared.where("low <> high").select("anchor", F.expr(f"n > {HEAVY} OR bytes > {HEAVY_BYTES}").alias("heavy"))
+    lists = found.drop("size").join(shared, "anchor").groupBy("doc", "body").agg(
         F.collect_list(F.when(~F.col("heavy"), F.col("anchor"))).alias("light"),
         F.collect_list(F.when(F.col("heavy"), F.col("anchor"))).alias("heavy"),
     )

@@ -140,6 +140,31 @@ def test_substrings(documents, monkeypatch, heavy):
         assert substrings.without_repeats(frame.limit(0)).count() == 0
 
 
+def test_substrings_of_anchors_with_many_bytes(documents, monkeypatch):
+    monkeypatch.setattr(substrings, "HEAVY_BYTES", 20_000, raising=False)
+
+    def small(batches):  # no group may hold more than the bytes of a light anchor
+        held = {}
+        for batch in batches:
+            for anchor, piece in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                held[anchor] = held.get(anchor, 0) + len(piece)
+            if max(held.values(), default=0) > 20_000:
+                raise ValueError("a group is too large")
+            yield from plain([batch])
+
+    plain = substrings._subtrees
+    rng = random.Random(11)
+    copy = prose(rng, 60)
+    texts = {i: f"{prose(rng, 20)} {'the same line ' * 600} {prose(rng, 20)}" for i in range(12)}
+    texts |= {20: copy, 21: f"a {copy} b"}
+    frame = documents([(i, t, None, None) for i, t in texts.items()])
+    monkeypatch.setattr(substrings, "_subtrees", small)
+    assert substrings.repeats(frame.selectExpr("doc_id AS doc", "xxhash64(text) AS body", "text")).count() == 12
+    monkeypatch.setattr(substrings, "_subtrees", plain)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in substrings.without_repeats(frame).collect()}
+    assert got == removed(texts)
+
+
 def classes(texts):
     """Components of weighted Jaccard similarity over all pairs."""
     bags = {}

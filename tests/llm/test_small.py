@@ -176,6 +176,13 @@ def test_deep_nodes_hold_windows_of_smaller_documents():
     assert got.tolist() == [d == 2 and tuple(h[s : s + 50]) in windows for s, d in zip(suffix, docs, strict=True)]
 
 
+def test_pieces_are_joined_with_wide_offsets():
+    # Columns of 32-bit offsets stay in several chunks above 2 GB.
+    batch = pa.record_batch([pa.array([5, 5]), pa.array(["a", "b"])], names=["anchor", "piece"])
+    got = substrings.joined([batch] * 3)
+    assert got.num_rows == 6 and got.schema.field("piece").type == pa.large_string()
+
+
 def test_families_split_known_languages():
     assert {langid.family_of(x) for x in ("en", "de")} == {"germanic"}
     assert {langid.family_of(x) for x in ("fr", "es", "pt-BR")} == {"romance"}
