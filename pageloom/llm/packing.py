@@ -14,7 +14,7 @@ filling dominates, fullest first, takes one as often as the counts allow, and go
 It starts from the best-fit-decreasing packing, replaces it by better ones, prunes by the waste that
 any completion must add, and stops at a packing that meets the lower bound, or after `WORK`.
 
-Rules. Null text is empty and has the end token alone. Null and repeated ids are documents each.
+Rules. Null text is empty and has the end token alone. The string of an added token is that token. Null and repeated ids are documents each.
 An empty table gives no pieces. Columns of the documents other than id and text are ignored.
 """
 
@@ -45,11 +45,11 @@ SLICE_ROWS = 500_000
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _load(path: str):
+def _load(path: str, added: bool):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    tokenizer.encode_special_tokens = not added
     return tokenizer
 
 
@@ -84,12 +84,17 @@ class _Words(dict):
         return ids
 
 
-def encoder(path: str):
-    """Text to little-endian unsigned 32-bit ids, as the tokenizer gives them for the whole text."""
+def encoder(path: str, *, added: bool = False):
+    """Text to little-endian unsigned 32-bit ids, as the tokenizer gives them for the whole text.
+
+    With `added`, strings of added tokens in a text are these tokens, as by default in the tokenizer; else ordinary text.
+    """
     kept = sys.modules.setdefault("_pageloom_worker", types.ModuleType("_pageloom_worker")).__dict__
-    if path in kept:  # a worker process serves many tasks
-        return kept[path]
-    tokenizer = _load(path)
+    name = f"{path} {added}"
+    if name in kept:  # a worker process serves many tasks
+        return kept[name]
+    tokenizer = _load(path, added)
+    marks = [t.content for t in tokenizer.get_added_tokens_decoder().values()] if added else []
     words = _Words(_fast(path) or (lambda text: tokenizer.encode(text, add_special_tokens=False).ids))
 
     def whole(text: str) -> bytes:
@@ -97,14 +102,14 @@ def encoder(path: str):
 
     def encode(text: str) -> bytes:
         first, *rest = text.split(" ")
-        if not rest or not first or first[-1].isspace():
+        if not rest or not first or first[-1].isspace() or any(m in text for m in marks):
             return whole(text)
         try:
             return whole(first) + b"".join(map(words.__getitem__, rest))
         except KeyError:  # runs of white space
             return whole(text)
 
-    kept[path] = encode
+    kept[name] = encode
     return encode
 
 
@@ -117,7 +122,7 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def _pieces(path: str, capacity: int):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, added=True)
         end = np.array([END], "<u4").tobytes()
         schema = pa.schema(
             [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())]

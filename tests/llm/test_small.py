@@ -95,6 +95,16 @@ def test_encoder_gives_the_ids_of_the_tokenizer(text):
     assert np.frombuffer(packing.encoder(path)(text), "<u4").tolist() == wanted
 
 
+def test_pieces_hold_the_ids_of_the_tokenizer_at_its_defaults():
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|>b c d", "a b  <|endoftext|><|endoftext|>", "no mark <|endoftext |>", None]
+    path = packing.default_tokenizer()
+    plain = Tokenizer.from_file(path)
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    got = [ids for b in packing._pieces(path, 1024)(iter([batch])) for ids in b.column(4).to_pylist()]
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == [*plain.encode(text or "", add_special_tokens=False).ids, packing.END]
+
+
 def fewest(lengths, capacity):
     best = [len(lengths)]
 
