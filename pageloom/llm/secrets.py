@@ -55,6 +55,13 @@ RULES = (
     Rule("address_login", r"://[^\s/:@]{1,64}:[^\s/:@]{1,64}@"),
 )
 MASK = "[SECRET]"
+# What belongs to a private key after its first line: all to its last line, or the body where that is missing.
+_GAP, _CODE = r"""(?:[\s"'+,>#*|]|\\+[nrt])""", "[A-Za-z0-9+/]"
+KEY_REST = (
+    r"^(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_GAP}*+(?:Proc-Type|DEK-Info): [^\r\n\\]*+)*+(?:{_GAP}*+[A-Za-z0-9+/=]{{16,}}+)*+"
+    rf"(?:[ \t]*+(?:[\r\n]|\\+[nr]){_GAP}*+{_CODE}++={{0,2}}(?=[ \t]*+(?:[\r\n\"'\\]|\z))|{_GAP}++{_CODE}++(?:={{1,2}}|\z))?)"
+)
 MOST_STRINGS = 64
 
 
@@ -177,16 +184,19 @@ def scan(
     return rows.select("doc.*", F.array_sort(F.concat(*spans)).alias("spans"))
 
 
-def masked(scanned: DataFrame, text_column: str = "text") -> Column:
-    """The text with every span, or run of overlapping spans, replaced by the mask."""
+def masked(scanned: DataFrame, text_column: str = "text", *, rules: tuple[Rule, ...] = RULES) -> Column:
+    """The text with every span, or run of overlapping spans, replaced by the mask; of private keys all that follows their first line, too."""
     text = F.col(text_column)
+    keys = [n for n, rule in enumerate(rules) if rule.kind == "private_key"]
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, span: Column) -> Column:
         new = span["start"] >= state["at"]
+        rest = F.length(F.regexp_extract(F.substr(text, span["end"] + 1), KEY_REST, 0))
+        end = span["end"] + F.when(span["kind"].isin(keys), rest).otherwise(0)
         gap = F.substr(text, state["at"] + 1, span["start"] - state["at"])
         return F.struct(
-            F.greatest(state["at"], span["end"]).alias("at"),
+            F.greatest(state["at"], end).alias("at"),
             F.when(new, F.concat(state["out"], gap, F.lit(MASK))).otherwise(state["out"]).alias("out"),
         )
 

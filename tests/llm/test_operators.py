@@ -325,6 +325,33 @@ def test_secrets(documents):
     assert secrets.scan(frame.limit(0)).count() == 0
 
 
+def test_masks_cover_private_keys_whole(documents):
+    rng = random.Random(12)
+    lines = ["".join(rng.choices("ABCxyz0189+/", k=64)) for _ in range(20)] + ["".join(rng.choices("ABCxyz0189", k=11)) + "=="]
+    first, last = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    info = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n"
+    mask, body = secrets.MASK, "\n".join(lines)
+    texts = {
+        0: (f"é {first}\n{body}\n{last}\nafter", f"é {mask}\nafter"),
+        1: (f"{first}\n{info}{body}\n{last} after", f"{mask} after"),
+        2: (f"{first}\n{info}{body}\nThe end.", f"{mask}\nThe end."),
+        3: (f"{first}\n{body}", mask),
+        4: (f'k = "{first}\\n' + "\\n".join(lines) + f'\\n{last}\\n" x', f'k = "{mask}\\n" x'),
+        5: (f"{first} {' '.join(lines)} and more", f"{mask} and more"),
+        6: (f"{first}\n{body}\n{first}\n{body}\n{last}.", f"{mask}\n{mask}."),
+        7: (f"{first}\n{body[:90]}", mask),
+        8: (f"The line {first} opens a key.", f"The line {mask} opens a key."),
+        9: (f"{first}\n" + "- -" * 100_000 + f"{body}\n{last}!", f"{mask}!"),
+        10: (f"token=abcdef{first}\r\n" + "\r\n".join(lines) + f"\r\n{last}", None),
+    }
+    frame = documents([(i, t, None, None) for i, (t, _) in texts.items()])
+    scanned = secrets.scan(frame)
+    got = {r.doc_id: r.masked for r in scanned.select("doc_id", secrets.masked(F.col("text")).alias("masked")).collect()}
+    for i, (_, wanted) in texts.items():
+        assert not any(line in got[i] for line in lines), i
+        assert wanted is None or got[i] == wanted, i
+
+
 def test_packing(documents):
     rng = random.Random(6)
     texts = [None, "", "a"] + [prose(rng, rng.randrange(1, 900)) for _ in range(40)] + ["same words"] * 5
