@@ -8,11 +8,11 @@ extension; the total of a prefix is its own element one level up (the stripe of
 the empty word, their number); the largest element of a stripe, and the largest element among stripes that differ in their first word
 alone, tell whether a longer phrase takes a phrase in.
 
-Passes go by length. A phrase with enough occurrences has its first and its last words among the
-frequent phrases one word shorter, so a pass counts only phrases whose two parts pass a bit filter of the
-level before. The filter has at most 2^`SIEVE_BITS` bits whatever the data; where it fills up, more phrases are
-counted in vain and none is lost. Within a task phrases are told apart by 64-bit hashes, between tasks
-by their words.
+Which phrases can be frequent is found first, by length: passes that count 64-bit hashes, eight bytes a phrase. A phrase with
+enough occurrences has its first and its last words among the frequent phrases one word shorter, so a pass counts only
+phrases whose two parts pass a bit filter of the level before. A filter has at most 2^`SIEVE_BITS` bits whatever the data; where it fills
+up, more phrases are counted in vain and none is lost. Stripes are then made of the phrases that pass, all lengths in one
+pass, and merged by their words, so two phrases of one hash don't mix: hashes tell phrases apart within a task alone.
 
 Rules. Null texts are empty, a null lang is `und`; A-Z alone is lower-cased. Pieces end at `[.,;:!?]` and line breaks,
 words at blanks and tabs. Texts of any length are read whole. Repeated rows count each. Equal scores rank by `a`, then by
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ LEAST = 30
 TOP = 2000
 SEGMENTS = 64
 SIEVE_BITS = 26
+BUCKET_BITS = 14
+RANK_SHARES = 64
 _STRIPE = "lang string, prefix string, segment int, next array<string>, n array<long>"
 
 
@@ -92,7 +95,39 @@ def _passes(sieve: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _emit(held: tuple | None) -> Iterator[pa.RecordBatch]:
+def _sizes(found: _Words, size: int, sieves: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the slice's phrases of one size, and where they are, as far as both shorter parts may be frequent."""
+    g, inside = found.phrases(size)
+    if 1 < size <= len(sieves) + 1 and len(g):
+        known = _passes(sieves[size - 2], found.phrases(size - 1)[0])
+        inside = inside & known[:-1] & known[1:]
+    return g, np.flatnonzero(inside)
+
+
+def _hash_counts(size: int, sieves: list[np.ndarray], batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Sorted hashes of phrases and their counts in this task, cut by the first bits of the hash."""
+    tally = Tally(limit)
+
+    def emit(held: tuple | None) -> Iterator[pa.RecordBatch]:
+        if held is not None:
+            keys, (n,), _ = held
+            share = (keys >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+            cut = np.flatnonzero(np.concatenate([[True], share[1:] != share[:-1]]))
+            starts = pa.array(np.append(cut, len(keys)).astype(np.int32))
+            columns = [pa.array(share[cut]), *(pa.ListArray.from_arrays(starts, pa.array(v)) for v in (keys.view(np.int64), n))]
+            yield pa.record_batch(columns, names=["bucket", "key", "n"])
+
+    for batch in batches:
+        langs = _language_keys(batch.column(1))
+        for row, data, offsets in slices(batch.column(0)):
+            g, at = _sizes(_Words(data, offsets, langs[row : row + len(offsets) - 1]), size, sieves)
+            key, n = np.unique(g[at], return_counts=True)
+            if tally.add(key, [n.astype(np.int64)], []):
+                yield from emit(tally.drain())
+    yield from emit(tally.drain())
+
+
+def _emit_stripes(held: tuple | None) -> Iterator[pa.RecordBatch]:
     """Stripes of the rows held, one per (language, prefix, segment) among them."""
     if held is None:
         return
@@ -114,103 +149,90 @@ def _emit(held: tuple | None) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch(columns, names=["lang", "prefix", "segment", "next", "n"])
 
 
-def _stripes_of(size: int, sieve: np.ndarray | None, batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+def _stripe_parts(sizes: range, sieves: list[np.ndarray], batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     tally = Tally(limit)
     for batch in batches:
         keys = _language_keys(batch.column(1))
         for row, data, offsets in slices(batch.column(0)):
             count = len(offsets) - 1
-            langs = batch.column(1).slice(row, count)
-            found = _Words(data, offsets, keys[row : row + count])
-            whole, inside = found.phrases(size)
-            if sieve is not None:
-                shorter, _ = found.phrases(size - 1)
-                known = _passes(sieve, shorter)
-                inside = inside & known[:-1] & known[1:] if len(known) else inside
-            at = np.flatnonzero(inside)
-            key, first, n = np.unique(whole[at], return_index=True, return_counts=True)
-            at = at[first]
+            own, langs = keys[row : row + count], batch.column(1).slice(row, count)
+            found = _Words(data, offsets, own)
             strings = word_strings(found.data, found.starts, found.ends)
-            parts = [strings.take(pa.array(at + j)) for j in range(size)]
-            own = keys[row : row + count]
-            text = found.text[at]
-            if size > 1:
-                prefix, word = pc.binary_join_element_wise(*parts[:-1], pa.scalar(" ", pa.large_string())), parts[-1]
-                prefix_key = found.phrases(size - 1)[0][at]
-            else:
-                # The number of words stands under the empty word.
-                empty = pa.array([""] * count, pa.large_string())
-                key = np.concatenate([key, own])
-                n = np.concatenate([n, np.bincount(found.text, minlength=count)])
-                text = np.concatenate([text, np.arange(count)])
-                word = pa.concat_arrays([parts[0], empty])
-                prefix, prefix_key = pa.array([""] * len(key), pa.large_string()), own[text]
-            if tally.add(key, [n.astype(np.int64)], [langs.take(pa.array(text)), prefix, pa.array(prefix_key), word]):
-                yield from _emit(tally.drain())
-    yield from _emit(tally.drain())
-
-
-def stripes(docs: DataFrame, size: int, sieve=None, *, limit: int = 400_000) -> DataFrame:
-    """`lang, prefix, next, n`: the merged stripes of prefixes of `size` - 1 words, one row per element.
-
-    `sieve` is a broadcast filter of the frequent phrases of `size` - 1 words, or None for all.
+            empty = pa.array([""] * count, pa.large_string())
+            # The number of words stands under the empty word.
+            full = tally.add(own, [np.bincount(found.text, minlength=count)], [langs, empty, pa.array(own), empty])
+            for size in sizes:
+                g, at = _sizes(found, size, sieves)
+                at = at[_passes(sieves[size - 1], g[at])] if size <= len(sieves) else at
+                key, first, n = np.unique(g[at], return_index=True, return_counts=True)
+                at = at[first]
+                words = [strings.take(pa.array(at + j)) for j in range(size)]
+                if size > 1:
+                    prefix = pc.binary_join_element_wise(*words[:-1], pa.scalar(" ", pa.large_string()))
+                    prefix_key = found.phrases(size - 1)[0][at]
+                else:
+                    prefix, prefix_key = pa.array([""] * len(at), pa.large_string()), own[found.text[at]]
+                labels = [langs.take(pa.array(found.text[at])), prefix, pa.array(prefix_key), words[-1]]
+                full = tally.add(key, [n.astype(np.int64)], labels)
+            if full:
+                yield from _emit_stripes(tally.drain())
+    yield from _emit_stripes(tally.drain())
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
+
+
+def sieves_of(docs: DataFrame, longest: int, least: int, *, limit: int = 1_000_000) -> list[np.ndarray]:
+    """One bit filter per length: the hashes of all phrases with at least `least` occurrences pass it."""
+    sieves: list[np.ndarray] = []
+    for size in range(1, longest + 1):
+        shared = docs.sparkSession.sparkContext.broadcast(sieves)
+
+        def counted(batches, size=size, shared=shared) -> Iterator[pa.RecordBatch]:
+            return _hash_counts(size, shared.value, batches, limit)
+
+        packed = _texts(docs).mapInArrow(counted, "bucket int, key array<long>, n array<long>").repartition("bucket")
+        # The exchange by bucket serves the sums as it is.
+        summed = packed.selectExpr("bucket", "inline(arrays_zip(key, n))").groupBy("bucket", "key").agg(F.sum("n").alias("n"))
+        enough = materialised(summed.where(F.col("n") >= least).select("key"))
+        shared.destroy()
+        bits = min(SIEVE_BITS, max(16, (16 * enough.count()).bit_length()))
+        sieve = np.zeros(1 << (bits - 6), np.uint64)
+        mask = (1 << bits) - 1
+        probes = f"array(key & {mask}L, shiftrightunsigned(key, {64 - bits}) & {mask}L)"
+        placed = enough.selectExpr(f"explode({probes}) AS probe").selectExpr("shiftright(probe, 6) AS place", "shiftleft(1L, CAST(probe & 63 AS INT)) AS bit")
+        rows = placed.groupBy("place").agg(F.expr("bit_or(bit)").alias("bit")).toArrow()  # at most 2^(SIEVE_BITS - 6) rows
+        sieve[rows["place"].to_numpy()] = rows["bit"].to_numpy().view(np.uint64)
+        sieves.append(sieve)
+    return sieves
+
+
+def stripes(docs: DataFrame, sizes: range, shared: Broadcast, *, limit: int = 400_000) -> DataFrame:
+    """`lang, prefix, next, n`: the merged stripes of the phrases of these sizes that pass the filters, one row per element.
+
+    `shared` holds the filters of the first lengths; longer phrases are counted all.
     """
-    texts = docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _stripes_of(size, None if sieve is None else sieve.value, batches, limit)
+        return _stripe_parts(sizes, shared.value, batches, limit)
 
-    dealt = texts.mapInArrow(made, _STRIPE).repartition("lang", "prefix", "segment")
+    dealt = _texts(docs).mapInArrow(made, _STRIPE).repartition("lang", "prefix", "segment")
     elements = dealt.selectExpr("lang", "prefix", "segment", "inline(arrays_zip(next, n))")
     # The exchange by (lang, prefix, segment) serves the merge as it is.
     merged = elements.groupBy("lang", "prefix", "segment", "next").agg(F.sum("n").alias("n"))
     return merged.drop("segment")
 
 
-def _sieve(level: DataFrame, size: int) -> np.ndarray:
-    """Filter of a level's phrases, at least 16 bits for each while the bound allows."""
-    bits = min(SIEVE_BITS, max(16, (16 * level.count()).bit_length()))
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = _language_keys(batch.column(1))
-            for row, data, offsets in slices(batch.column(0)):
-                g, inside = _Words(data, offsets, keys[row : row + len(offsets) - 1]).phrases(size)
-                at = np.concatenate(_probes(g[inside], bits))
-                yield pa.record_batch(
-                    [pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))],
-                    names=["place", "bit"],
-                )
-
-    set_bits = level.select("phrase", "lang").mapInArrow(placed, "place long, bit long")
-    rows = set_bits.groupBy("place").agg(F.expr("bit_or(bit)").alias("bit")).toArrow()
-    sieve = np.zeros(1 << (bits - 6), np.uint64)
-    sieve[rows["place"].to_numpy()] = rows["bit"].to_numpy().view(np.uint64)
-    return sieve
-
-
 def frequent_phrases(docs: DataFrame, *, longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(`lang, size, phrase, prefix, f` of all phrases that occur at least `least` times, `lang, n` words of each language)."""
-    spark = docs.sparkSession
-    levels, totals, sieve = [], None, None
-    for size in range(1, longest + 1):
-        merged = stripes(docs, size, sieve)
-        enough = merged.where((F.col("n") >= least) | (F.col("next") == ""))
-        phrase = F.concat_ws(" ", "prefix", "next") if size > 1 else F.col("next")
-        level = materialised(enough.select("lang", F.lit(size).alias("size"), phrase.alias("phrase"), "prefix", F.col("n").alias("f")))
-        if sieve is not None:
-            sieve.destroy()
-        if size == 1:
-            totals = level.where("phrase = ''").select("lang", F.col("f").alias("n"))
-            level = level.where("phrase <> ''")
-        levels.append(level)
-        if size == longest or level.isEmpty():
-            break
-        sieve = spark.sparkContext.broadcast(_sieve(level, size))
-    every = levels[0]
-    for level in levels[1:]:
-        every = every.unionByName(level)
-    return every, totals
+    shared = docs.sparkSession.sparkContext.broadcast(sieves_of(docs, longest, least))
+    merged = stripes(docs, range(1, longest + 1), shared)
+    phrase = F.when(F.col("prefix") == "", F.col("next")).otherwise(F.concat_ws(" ", "prefix", "next"))
+    enough = merged.where((F.col("n") >= least) | (F.col("next") == "")).select("lang", phrase.alias("phrase"), "prefix", F.col("n").alias("f"))
+    kept = materialised(enough.withColumn("size", F.size(F.split("phrase", " "))))
+    shared.destroy()
+    return kept.where("phrase <> ''"), kept.where("phrase = ''").select("lang", F.col("f").alias("n"))
 
 
 def collocations(docs: DataFrame, *, longest: int = LONGEST, least: int = LEAST, top: int = TOP) -> DataFrame:
@@ -248,10 +270,11 @@ def collocations(docs: DataFrame, *, longest: int = LONGEST, least: int = LEAST,
         "(CAST(a AS DECIMAL(20,0)) * CAST(2000000 AS DECIMAL(7,0))) div (CAST(l AS DECIMAL(20,0)) + CAST(r AS DECIMAL(20,0))) AS score",
     )
     lowest = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
-    ranked = lowest.selectExpr(
-        "lang", "phrase", "a", "cut.l", "cut.r", "cut.score",
-        "row_number() OVER (PARTITION BY lang ORDER BY cut.score DESC, a DESC, phrase) AS place",
-    ).where(F.col("place") <= top)
+    # Shares of a language are ranked first, so that one task sees at most `top` rows of each share.
+    best = lowest.selectExpr("lang", "phrase", "a", "cut.l", "cut.r", "cut.score", f"pmod(xxhash64(phrase), {RANK_SHARES}) AS share")
+    order = "ORDER BY score DESC, a DESC, phrase"
+    best = best.selectExpr("*", f"row_number() OVER (PARTITION BY lang, share {order}) AS near").where(F.col("near") <= top)
+    ranked = best.selectExpr("*", f"row_number() OVER (PARTITION BY lang {order}) AS place").where(F.col("place") <= top)
     return ranked.join(totals.withColumnRenamed("lang", "total_lang"), F.col("lang") == F.col("total_lang")).selectExpr(
         "lang", "CAST(place AS BIGINT) AS rank", "phrase", "a", "l", "r", "n", "CAST(score AS BIGINT) AS score"
     )

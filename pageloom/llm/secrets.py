@@ -16,6 +16,7 @@ along; `spans` replaces a column of that name.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from re import _constants as sre
 from re import _parser as parser
@@ -55,6 +56,7 @@ RULES = (
     Rule("address_login", r"://[^\s/:@]{1,64}:[^\s/:@]{1,64}@"),
 )
 MASK = "[SECRET]"
+RUN, CHUNK = 64, 256
 # What belongs to a private key after its first line: all to its last line, or the body where that is missing.
 _GAP, _CODE = r"""(?:[\s"'+,>#*|]|\\+[nrt])""", "[A-Za-z0-9+/]"
 KEY_REST = (
@@ -118,24 +120,50 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
     return list(dict.fromkeys(best)) if all(best) else []
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, merge: Callable[[Column, Column], Column], depth: int = 2) -> Column:
+    """For each element the merge of all before it, from 0; by blocks of blocks, so the work stays near the number of elements."""
+    zero = F.lit(0)
+
+    def within(block: Column) -> Column:
+        return F.transform(block, lambda _, i: F.aggregate(F.slice(block, F.lit(1), i), zero, merge))
+
+    def whole(block: Column) -> Column:
+        return F.aggregate(block, zero, merge)
+
+    def blocked(items: Column) -> Column:
+        last = F.ceil(F.size(items) / RUN).cast("int") - 1
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(items, b * RUN + 1, F.lit(RUN)))
+
+        def joined(parts: Column) -> Column:
+            before = running(F.transform(parts, whole), merge, depth - 1)
+            return F.flatten(F.zip_with(F.transform(parts, within), before, lambda w, o: F.transform(w, lambda x: merge(x, o))))
+
+        return F.when(F.size(items) > 0, _let(blocks, joined)).otherwise(F.array().cast("array<int>"))
+
+    return _let(values, blocked if depth else within)
+
+
 def _positions(rule: Rule, number: int, text: Column) -> Column:
     """array<struct<start, kind, end>> of one rule, in code points."""
-    matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    parts = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    pieces = F.split(text, rule.pattern, -1)
-    rows = F.arrays_zip(
-        F.transform(pieces, F.length).alias("gap"), F.transform(matches, F.length).alias("size"), F.transform(parts, F.length).alias("part")
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out"))
-
-    def step(state: Column, row: Column) -> Column:
-        begin = state["at"] + row["gap"]
-        end = begin + F.coalesce(row["size"], F.lit(0))
-        span = F.struct(begin.alias("start"), F.lit(number).alias("kind"), end.alias("end"))
-        out = F.when(row["part"] >= max(rule.least, 1), F.concat(state["out"], F.array(span))).otherwise(state["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
+    sizes = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.length)
+    parts = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), F.length)
+    gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
+
+    def placed(rows: Column) -> Column:
+        steps = F.transform(rows, lambda r: r["gap"] + F.coalesce(r["size"], F.lit(0)))
+        both = F.arrays_zip(rows.alias("row"), running(steps, lambda x, y: x + y).alias("before"))
+        hits = F.filter(both, lambda b: b["0"]["part"] >= max(rule.least, 1))
+        begin = lambda b: b["1"] + b["0"]["gap"]
+        return F.transform(
+            hits, lambda b: F.struct(begin(b).alias("start"), F.lit(number).alias("kind"), (begin(b) + b["0"]["size"]).alias("end"))
+        )
 
-    return F.aggregate(rows, start, step, lambda state: state["out"])
+    return _let(F.arrays_zip(gaps.alias("gap"), sizes.alias("size"), parts.alias("part")), placed)
 
 
 def postings(rows: DataFrame, trigrams: list[str]) -> DataFrame:
@@ -184,24 +212,46 @@ def scan(
     return rows.select("doc.*", F.array_sort(F.concat(*spans)).alias("spans"))
 
 
-def masked(scanned: DataFrame, text_column: str = "text", *, rules: tuple[Rule, ...] = RULES) -> Column:
-    """The text with every span, or run of overlapping spans, replaced by the mask; of private keys all that follows their first line, too."""
-    text = F.col(text_column)
+def _piece(chunks: Column, start: Column, stop: Column) -> Column:
+    """Code points [start, stop) of a text in chunks; reads those chunks alone."""
+    first = F.floor(start / CHUNK).cast("int")
+    held = F.array_join(F.slice(chunks, first + 1, F.floor(stop / CHUNK).cast("int") - first + 1), "")
+    return F.substring(held, start - first * CHUNK + 1, stop - start)
+
+
+def masked(text_column: Column | str = "text", *, spans: str = "spans", rules: tuple[Rule, ...] = RULES) -> Column:
+    """The text with every span, or run of overlapping spans, replaced by the mask; of private keys all that follows their first line, too.
+
+    The text is cut into chunks once, and every chunk is read for the gaps it touches, so many spans in a long text cost no more than
+    few. What follows a key ends before the next key, whose first dashes are shown to the expression.
+    """
+    text = F.col(text_column) if isinstance(text_column, str) else text_column
     keys = [n for n, rule in enumerate(rules) if rule.kind == "private_key"]
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, span: Column) -> Column:
-        new = span["start"] >= state["at"]
-        rest = F.length(F.regexp_extract(F.substr(text, span["end"] + 1), KEY_REST, 0))
-        end = span["end"] + F.when(span["kind"].isin(keys), rest).otherwise(0)
-        gap = F.substr(text, state["at"] + 1, span["start"] - state["at"])
-        return F.struct(
-            F.greatest(state["at"], end).alias("at"),
-            F.when(new, F.concat(state["out"], gap, F.lit(MASK))).otherwise(state["out"]).alias("out"),
-        )
+    is_key = lambda s: s["kind"].isin(keys)
+
+    def over(chunks: Column) -> Column:
+        def extended(own: Column) -> Column:
+            def one(span: Column, i: Column) -> Column:
+                stop = F.coalesce(F.get(own, i + 1)["start"] + 5, F.length(text))
+                rest = F.length(F.regexp_extract(_piece(chunks, span["end"], stop), KEY_REST, 0))
+                return F.struct(span["start"].alias("start"), span["kind"].alias("kind"), (span["end"] + rest).alias("end"))
+
+            return F.transform(own, one)
+
+        every = F.array_sort(F.concat(F.filter(spans, lambda s: ~is_key(s)), _let(F.filter(spans, is_key), extended)))
+
+        def joined(all_spans: Column) -> Column:
+            ends = F.transform(all_spans, lambda s: s["end"])
+            seen = F.arrays_zip(all_spans.alias("span"), running(ends, lambda x, y: F.greatest(x, y)).alias("at"))
+            new = F.filter(seen, lambda b: b["0"]["start"] >= b["1"])
+            gaps = F.transform(new, lambda b: F.concat(_piece(chunks, b["1"], b["0"]["start"]), F.lit(MASK)))
+            tail = _let(F.array_max(ends), lambda last: _piece(chunks, last, F.length(text)))
+            return F.concat(F.array_join(gaps, ""), tail)
+
+        return _let(every, joined)
 
-    whole = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1)))
-    return F.when(F.size("spans") > 0, whole).otherwise(text)
+    whole = _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), over)
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
 def _text(spans: Column, rules: tuple[Rule, ...]) -> Column:
