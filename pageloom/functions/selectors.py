@@ -19,28 +19,32 @@ _SIMPLE = re.compile(
 )
 
 
-def keys_sql() -> str:
-    """What short selectors can name about a node: tag, .class, tag.class, #id, tag#id. Null for non-elements."""
-    classes = "CASE WHEN cls IS NULL THEN array() ELSE concat(transform(cls, c -> concat('.', c)), transform(cls, c -> concat(tag, '.', c))) END"
-    ids = "CASE WHEN id IS NULL THEN array() ELSE array(concat('#', id), concat(tag, '#', id)) END"
-    return f"CASE WHEN tag IS NULL THEN NULL WHEN cls IS NULL AND id IS NULL THEN array(tag) ELSE concat(array(tag), {classes}, {ids}) END"
+def keys_sql(at: str = "") -> str:
+    """What short selectors can name about a node: tag, .class, tag.class, #id, tag#id. Null for non-elements.
 
+    `at` stands before the columns read, here and below: '' for columns, 'n.' for the fields of `n`.
+    """
+    tag, cls, own = f"{at}tag", f"{at}cls", f"{at}id"
+    classes = f"CASE WHEN {cls} IS NULL THEN array() ELSE concat(transform({cls}, c -> concat('.', c)), transform({cls}, c -> concat({tag}, '.', c))) END"
+    ids = f"CASE WHEN {own} IS NULL THEN array() ELSE array(concat('#', {own}), concat({tag}, '#', {own})) END"
+    return f"CASE WHEN {tag} IS NULL THEN NULL WHEN {cls} IS NULL AND {own} IS NULL THEN array({tag}) ELSE concat(array({tag}), {classes}, {ids}) END"
 
-def has_class_sql(*names: str) -> str:
+
+def has_class_sql(*names: str, at: str = "") -> str:
     """True when the node carries one of the classes; false, never null, without any class."""
-    return _any_key(f".{name}" for name in names)
+    return _any_key((f".{name}" for name in names), at)
 
 
-def _any_key(keys: Iterable[str]) -> str:
+def _any_key(keys: Iterable[str], at: str = "") -> str:
     """One set lookup per key, for any number of names."""
     names = list(keys)
     if len(names) == 1:
-        return f"coalesce(array_contains(keys, {literal(names[0])}), false)"
-    return f"coalesce(exists(keys, k -> k IN ({literals(names)})), false)"
+        return f"coalesce(array_contains({at}keys, {literal(names[0])}), false)"
+    return f"coalesce(exists({at}keys, k -> k IN ({literals(names)})), false)"
 
 
-def _attribute_test(name: str, op: str, value: str) -> str:
-    column = "array_join(cls, ' ')" if name == "class" else name
+def _attribute_test(name: str, op: str, value: str, at: str) -> str:
+    column = f"array_join({at}cls, ' ')" if name == "class" else f"{at}{name}"
     return f"contains({column}, {literal(value)})" if op == "*=" else f"{column} = {literal(value)}"
 
 
@@ -51,7 +55,13 @@ def _parent_test(parent: re.Match) -> str:
     return f"lower(up) RLIKE {opening} AND contains(regexp_extract(up, {value}, 1), {literal(parent['value'])})"
 
 
-def rule_sql(selectors: Iterable[str]) -> str:
+def split_parents(selectors: Iterable[str]) -> tuple[list[str], list[tuple[str, str]]]:
+    """Selectors of one step, and (parent, child) of those of two; the order stays."""
+    steps = [(selector, selector.split(" > ")) for selector in selectors]
+    return [s for s, parts in steps if len(parts) != 2], [(parts[0], parts[1]) for _, parts in steps if len(parts) == 2]
+
+
+def rule_sql(selectors: Iterable[str], at: str = "") -> str:
     """SQL predicate over `keys, tag, cls, style, rel, up` that is true for the nodes any of the selectors picks."""
     keys: list[str] = []
     other: list[str] = []
@@ -67,23 +77,23 @@ def rule_sql(selectors: Iterable[str]) -> str:
         if len(steps) == 1 and not rule["attr"] and len(named) == 1:
             keys.append(named[0])
             continue
-        tests = [_any_key([name]) for name in named if name]
+        tests = [_any_key([name], at) for name in named if name]
         if rule["attr"]:
-            tests.append(_attribute_test(rule["attr"], rule["op"], rule["value"]))
+            tests.append(_attribute_test(rule["attr"], rule["op"], rule["value"], at))
         if len(steps) == 2:
             tests.append(_parent_test(steps[0]))
         other.append(f"coalesce({' AND '.join(tests)}, false)")
-    options = ([_any_key(sorted(set(keys)))] if keys else []) + other
+    options = ([_any_key(sorted(set(keys)), at)] if keys else []) + other
     return f"({' OR '.join(options)})" if options else "false"
 
 
-def rank_sql(selectors: Iterable[str]) -> str:
+def rank_sql(selectors: Iterable[str], at: str = "") -> str:
     """Index of the first selector that picks the node, else null."""
-    cases = [f"WHEN {rule_sql([s])} THEN {i}" for i, s in enumerate(selectors)]
+    cases = [f"WHEN {rule_sql([s], at)} THEN {i}" for i, s in enumerate(selectors)]
     return f"CASE {' '.join(cases)} END" if cases else "CAST(NULL AS INT)"
 
 
-def matching_sql(selectors: Iterable[str]) -> str:
+def matching_sql(selectors: Iterable[str], at: str = "") -> str:
     """Indexes of all selectors that pick the node."""
-    hits = [f"CASE WHEN {rule_sql([s])} THEN {i} END" for i, s in enumerate(selectors)]
+    hits = [f"CASE WHEN {rule_sql([s], at)} THEN {i} END" for i, s in enumerate(selectors)]
     return f"array_compact(array({', '.join(hits)}))"

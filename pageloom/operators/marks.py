@@ -1,19 +1,23 @@
 """What the rules say about a node, packed into one integer.
 
-Every window copies its rows, so a dozen flag columns would cost more than the comparisons.
+A page carries one such integer per token and a row of a window one in place of a dozen flags. Above the flags
+stand the place of the node's rule among the rules for content areas and infoboxes, counted from 1.
 """
 
 from __future__ import annotations
 
 _NAMES = (
     "title", "noise", "boilerplate", "picture", "headline", "hidden", "skipped", "quiet", "note",
-    "in_quiet", "in_picture", "caption_0", "caption_1",
+    "in_title", "in_quiet", "in_picture", "caption_0", "caption_1", "frame",
 )
 BIT = {name: 1 << place for place, name in enumerate(_NAMES)}
+# Rules that name a parent take one more flag for each side, from here on.
+FREE_BIT = len(_NAMES)
+AREA_SHIFT, BOX_SHIFT, RANK_MASK = 31, 46, (1 << 15) - 1
 
 
-def has(name: str) -> str:
-    return f"(marks & {BIT[name]}) <> 0"
+def has(name: str, marks: str = "marks") -> str:
+    return f"({marks} & {BIT[name]}) <> 0"
 
 
 def pack(conditions: dict[str, str]) -> str:

@@ -2,14 +2,15 @@
 
 Which element an end tag closes depends on all elements open at that point, and real pages
 leave many open, so neither windows nor counts per tag can tell. The scan is linear and sees
-one short code per token, never the text.
+one short code and one integer of rule marks per token, never the text. What an element says about everything
+below it (its marks, the paragraph it starts, the area it opens) rides on the stack, so rules about subtrees cost nothing more.
 """
 
 from __future__ import annotations
 
 import sys
 from array import array
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pageloom.operators.marks import AREA_SHIFT, BIT, BOX_SHIFT, RANK_MASK
+
 # Executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -27,59 +30,147 @@ VOID_TAGS = frozenset(
     "menuitem meta nextid param source spacer track wbr".split()
 )
 HEADING_TAGS = frozenset({"h2", "h3", "h4"})
+# Elements whose text is gathered as one piece, and those that put out something of their own.
+GATHERED = frozenset({"p", "dl", "h1", "h2", "h3", "h4", "h5", "h6"})
+SPEAKING = frozenset({"ul", "ol", "br"})
+LISTS = frozenset({"ul", "ol"})
+ENTRIES = frozenset({"dt", "dd"})
+
+_OWN = (1 << AREA_SHIFT) - 1
+_DEAD = BIT["noise"] | BIT["boilerplate"] | BIT["in_title"]
+_UNCLEAN = BIT["noise"] | BIT["in_title"]
+_FREE, _SKIP, _GATHER = 0, 1, 2
 
 _INTS = T.ArrayType(T.IntegerType())
+_LONGS = T.ArrayType(T.LongType())
 _NESTING = T.StructType(
     [
         T.StructField("parent", _INTS),
         T.StructField("last", _INTS),
+        T.StructField("mask", _LONGS),
+        T.StructField("unit", _INTS),
         T.StructField("head", _INTS),
+        T.StructField("until", _INTS),
+        T.StructField("linked", _LONGS),
+        T.StructField("box", T.IntegerType()),
         T.StructField("items", T.ArrayType(_INTS)),
     ]
 )
 
 
-def _scan(ops: Iterable[int], codes: Sequence[tuple[str, str, bool]], out: dict) -> None:
+class _Open:
+    """An open element and what holds below it."""
+
+    __slots__ = ("pos", "name", "box", "mask", "own", "area", "rank", "wall", "unit", "kind", "hidden", "entry", "waiting")
+
+    def __init__(self, pos: int, name: str, box: bool, mask: int, own: int):
+        self.pos, self.name, self.box, self.mask, self.own = pos, name, box, mask, own
+        self.area, self.rank, self.wall, self.unit, self.kind, self.hidden, self.entry = -1, RANK_MASK, _FREE, -1, "", False, -1
+        self.waiting: list[tuple[str, int]] = []
+
+
+def _place(node: _Open, top: _Open, text: bool) -> int:
+    """The position whose output a node belongs to, or -1; sets what holds below the node.
+
+    The outermost wall below an area decides: what it skips yields nothing, what it gathers belongs to it.
+    """
+    pos, name = node.pos, node.name
+    node.area, node.rank, node.wall, node.unit, node.kind = top.area, top.rank, top.wall, top.unit, top.kind
+    node.hidden, node.entry = top.hidden, top.entry
+    if top.area < 0:
+        return -1
+    listed, in_area = top.name in LISTS, top.pos == top.area
+    item = listed and name == "li"
+    if node.wall == _FREE:
+        if (listed and not item) or (text and in_area) or (not text and not in_area and not item and node.own & BIT["skipped"]):
+            node.wall = _SKIP
+        elif name in GATHERED:
+            node.wall, node.unit, node.kind = _GATHER, pos, name
+    if node.wall == _SKIP:
+        return -1
+    if node.wall == _FREE:
+        return pos if text or item or name in SPEAKING else -1
+    if node.kind == "dl" and top.pos == node.unit and name in ENTRIES:
+        node.entry = pos
+    node.hidden = node.hidden or (node.kind == "p" and bool(node.own & BIT["hidden"]))
+    if text and (node.hidden or node.mask & BIT["quiet"]):
+        return -1
+    return node.entry if node.kind == "dl" and pos > node.unit else node.unit
+
+
+def _scan(ops: Iterable[int], own: Sequence[int], codes: Sequence[tuple[str, str, bool]], links: Sequence[tuple[int, int, int]], out: dict) -> None:
     """Nesting of one page: an end tag closes up to the nearest open element of its name, or nothing."""
-    stack: list[tuple[int, str, bool]] = []
+    stack = [_Open(-1, "", False, 0, 0)]
     opened: dict[str, int] = {}
-    heads: list[int] = []
     items: list[int] = []
-    boxes = 0
+    boxes, titled, box = 0, False, (RANK_MASK + 1, -1)
     chains: dict[int, list[int]] = {}
-    base = len(out["last"])
+    base, heads = len(out["last"]), len(out["head"])
+    pos = -1
     for pos, code in enumerate(ops):
-        action, name, box = codes[code]
-        parent = stack[-1][0] if stack else -1
+        action, name, is_box = codes[code]
+        top = stack[-1]
+        node = unit = None
+        mask = 0
         if action == "close":
             while opened.get(name):
-                start, top, was_box = stack.pop()
-                opened[top] -= 1
-                out["last"][base + start] = pos - 1
-                boxes -= was_box
-                if top in HEADING_TAGS:
-                    heads.pop()
-                elif top == "li" and boxes:
+                gone = stack.pop()
+                opened[gone.name] -= 1
+                out["last"][base + gone.pos] = pos - 1
+                for _, head in gone.waiting:
+                    out["until"][head] = pos - 1
+                boxes -= gone.box
+                if gone.name == "li" and boxes:
                     items.pop()
-                if top == name:
+                if gone.name == name:
                     break
-        elif action == "open":
-            stack.append((pos, name, box))
-            opened[name] = opened.get(name, 0) + 1
-            if name in HEADING_TAGS:
-                heads.append(pos)
-            elif name == "li" and boxes:
-                items.append(pos)
-            boxes += box
-        out["parent"].append(parent)
+        else:
+            marks = own[pos] if own else 0
+            for number, (child, parent, result) in enumerate(links):
+                if marks & child and top.own & parent:
+                    marks |= result
+                    out["linked"].append(pos * len(links) + number)
+            if marks & BIT["title"] and not titled:
+                titled, marks = True, marks | BIT["in_title"]
+            mask = top.mask | (marks & _OWN)
+            node = _Open(pos, name, is_box, mask, marks)
+            unit = _place(node, top, not name)
+            rank = marks >> BOX_SHIFT & RANK_MASK
+            if rank and not mask & _UNCLEAN:
+                box = min(box, (rank, pos))
+            rank = marks >> AREA_SHIFT & RANK_MASK
+            if rank and rank < node.rank:
+                # Text is read from the best area alone; what holds above it ends here.
+                node.area, node.rank, node.wall, node.unit, node.hidden, node.entry = pos, rank, _FREE, -1, False, -1
+            if name.startswith("h") and name <= "h4" and not mask & _DEAD:
+                # A heading ends the sections of its siblings of the same or a lower rank.
+                while top.waiting and top.waiting[-1][0] >= name:
+                    out["until"][top.waiting.pop()[1]] = pos - 1
+                if action == "open" and name in HEADING_TAGS:
+                    top.waiting.append((name, len(out["head"])))
+                    out["head"].append(pos)
+                    out["until"].append(-1)
+            if action == "open":
+                stack.append(node)
+                opened[name] = opened.get(name, 0) + 1
+                if name == "li" and boxes:
+                    items.append(pos)
+                boxes += is_box
+            elif items:
+                chains[pos] = items.copy()
+        out["parent"].append(top.pos)
         out["last"].append(pos)
-        out["head"].append(heads[0] if heads else -1)
-        if items and action == "leaf":
-            chains[pos] = items.copy()
-    for start, _, _ in stack:
-        out["last"][base + start] = len(out["last"]) - base - 1
+        out["mask"].append(mask)
+        out["unit"].append(-1 if unit is None else unit)
+    for left in stack:
+        if left.pos >= 0:
+            out["last"][base + left.pos] = pos
+        for _, head in left.waiting:
+            out["until"][head] = pos
+    out["heads"].append(len(out["head"]) - heads)
+    out["box"].append(box[1])
     # Only pages with list items in an infobox pay for a chain per token.
-    out["items"].append([chains.get(pos, ()) for pos in range(len(out["last"]) - base)] if chains else [])
+    out["items"].append([chains.get(at, ()) for at in range(pos + 1)] if chains else [])
 
 
 def _decode_op(op: str) -> tuple[str, str, bool]:
@@ -92,21 +183,50 @@ def _decode_op(op: str) -> tuple[str, str, bool]:
     return ("leaf" if leaf else "open"), name, op.endswith("!")
 
 
-@F.arrow_udf(_NESTING)
-def nest(ops: pa.Array) -> pa.Array:
-    flat = ops.flatten().dictionary_encode()
-    codes = [_decode_op(op) for op in flat.dictionary.to_pylist()]
-    indices = array("i", flat.indices.to_numpy().astype(np.int32).tobytes())
-    lengths = [n or 0 for n in pc.list_value_length(ops).to_pylist()]
-    # Four bytes a token and column; a batch may hold millions.
-    out: dict = {"parent": array("i"), "last": array("i"), "head": array("i"), "items": []}
-    offsets = [0]
-    for length in lengths:
-        _scan(indices[offsets[-1] : offsets[-1] + length], codes, out)
-        offsets.append(offsets[-1] + length)
-    starts = pa.array(offsets, pa.int32())
-    flat_lists = {k: pa.ListArray.from_arrays(starts, pa.array(np.frombuffer(out[k], np.int32))) for k in ("parent", "last", "head")}
-    chains = pa.array(out["items"], pa.list_(pa.list_(pa.int32())))
-    return pa.StructArray.from_arrays([*flat_lists.values(), chains], names=[*flat_lists, "items"])
+def _lists(values: array, lengths: Sequence[int], kind: type) -> pa.Array:
+    starts = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths, out=starts[1:])
+    return pa.ListArray.from_arrays(pa.array(starts), pa.array(np.frombuffer(values, kind) if len(values) else np.zeros(0, kind)))
+
+
+def nesting(links: Sequence[tuple[int, int, int]] = ()) -> Callable:
+    """The function `nest(ops, own)` of a page's codes and marks (no marks: an empty list).
+
+    `links` are (child, parent, result): a token with the marks `child` below an element with the marks `parent` also
+    has the marks `result`. Per token: `parent`, `last`, `mask` (marks of the token and all around it) and `unit`; per
+    live heading: `head` and `until`, the end of the siblings it stands over; `linked` (position and link of each hit), `box`
+    (position of the best infobox, or -1), and `items`, the list items around a string in an infobox.
+    """
+    links = tuple(links)
 
+    @F.arrow_udf(_NESTING)
+    def nest(ops: pa.Array, own: pa.Array) -> pa.Array:
+        flat = ops.flatten().dictionary_encode()
+        codes = [_decode_op(op) for op in flat.dictionary.to_pylist()]
+        indices = array("i", flat.indices.to_numpy().astype(np.int32).tobytes())
+        marks = array("q", own.flatten().to_numpy(zero_copy_only=False).astype(np.int64).tobytes())
+        lengths = [n or 0 for n in pc.list_value_length(ops).to_pylist()]
+        marked = [n or 0 for n in pc.list_value_length(own).to_pylist()]
+        # Four or eight bytes a token and column; a batch may hold millions.
+        out: dict = {k: array("i") for k in ("parent", "last", "unit", "head", "until")}
+        out |= {"mask": array("q"), "linked": array("q"), "items": [], "heads": [], "box": []}
+        hits, at, mark = [], 0, 0
+        for length, own_length in zip(lengths, marked, strict=True):
+            before = len(out["linked"])
+            _scan(indices[at : at + length], marks[mark : mark + own_length], codes, links, out)
+            at, mark = at + length, mark + own_length
+            hits.append(len(out["linked"]) - before)
+        columns = {
+            "parent": _lists(out["parent"], lengths, np.int32),
+            "last": _lists(out["last"], lengths, np.int32),
+            "mask": _lists(out["mask"], lengths, np.int64),
+            "unit": _lists(out["unit"], lengths, np.int32),
+            "head": _lists(out["head"], out["heads"], np.int32),
+            "until": _lists(out["until"], out["heads"], np.int32),
+            "linked": _lists(out["linked"], hits, np.int64),
+            "box": pa.array(out["box"], pa.int32()),
+            "items": pa.array(out["items"], pa.list_(pa.list_(pa.int32()))),
+        }
+        return pa.StructArray.from_arrays([*columns.values()], names=[*columns])
 
+    return nest

@@ -13,7 +13,8 @@ from pageloom.functions.selectors import keys_sql, rule_sql
 from pageloom.functions.sql import add, literal
 from pageloom.functions.text import decode_sql, strip_sql
 from pageloom.operators.intervals import KEYS, collect, first_match, inside, ordered_text
-from pageloom.operators.nesting import nest
+from pageloom.operators.nesting import nesting
+from pageloom.session import spread
 
 # Inside of a tag: quotes bind only after '='. Possessive, so long tags cost no stack.
 _INNER = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
@@ -42,7 +43,9 @@ _UP_TO_VALUE = literal(r"(?s)^[^=]*+(?:=\s*+)?+")
 _IN_QUOTES = literal(r"""(?s)^(["'])(.*)\1$""")
 _HAS_ATTRIBUTES = literal(r"^<[^\s/>]++[\s/]++[^>]")
 _ANCHOR = literal(r"(?i)^<a\s")
-_BLANKS = literal(r"\s+")
+BLANKS = literal(r"\s+")
+NEST = nesting()
+NO_MARKS = "CAST(array() AS ARRAY<BIGINT>)"
 
 
 def tokenize(html: Column) -> Column:
@@ -66,13 +69,17 @@ def kind_sql(token: str) -> str:
     )
 
 
-def _tag(token: str) -> str:
+def tag_sql(token: str) -> str:
     return f"CASE WHEN startswith({token}, '<') THEN nullif(lower(regexp_extract({token}, {_TAG_NAME}, 1)), '') END"
 
 
-def _op(token: str) -> str:
-    """What a token does to the stack: '<name' or '</name', then '/' when self-closed and '!' for infobox starts."""
+def op_sql(token: str, tag: str | None = None) -> str:
+    """What a token does to the stack: '<name' or '</name', then '/' when self-closed and '!' for infobox starts.
+
+    `tag` is the name of a start tag where it has been read already.
+    """
     name = f"lower(regexp_extract({token}, {_OP_NAME}, 0))"
+    name = f"CASE WHEN {tag} IS NOT NULL THEN concat('<', {tag}) ELSE {name} END" if tag else name
     bare = f"regexp_replace({token}, {_QUOTED}, {_EMPTY_QUOTES})"
     # In <a href=x/> the slash belongs to the value.
     valued = f"{bare} RLIKE {_UNQUOTED_END}"
@@ -81,34 +88,75 @@ def _op(token: str) -> str:
     return f"CASE WHEN startswith({token}, '<') THEN concat({name}, {closed}, {box}) ELSE '' END"
 
 
-def _attr(name: str) -> str:
-    """Value of an attribute, the last one if repeated, '' if it has none, null if absent."""
+def attributes_sql(token: str) -> str:
+    """The attributes of a start tag as written, null where it has none."""
+    return f"CASE WHEN {token} RLIKE {_HAS_ATTRIBUTES} THEN regexp_extract_all({token}, {literal(_ATTRIBUTE)}, 0) END"
+
+
+def attr_sql(name: str, attrs: str = "attrs", token: str | None = None) -> str:
+    """Value of an attribute, the last one if repeated, '' if it has none, null if absent.
+
+    With the start tag at hand, those without the name in them are not looked at further.
+    """
     this_name = literal(rf"(?i)^{name}(?:[\s=]|$)")
-    found = f"try_element_at(filter(attrs, a -> startswith(lower(a), '{name}') AND a RLIKE {this_name}), -1)"
+    if token:
+        return f"CASE WHEN contains(lower({token}), '{name}') THEN {attr_sql(name, attrs)} END"
+    found = f"try_element_at(filter({attrs}, a -> startswith(lower(a), '{name}') AND a RLIKE {this_name}), -1)"
     return f"regexp_replace(regexp_replace({found}, {_UP_TO_VALUE}, ''), {_IN_QUOTES}, '$2')"
 
 
-def nodes(pages: DataFrame) -> DataFrame:
-    """One row per node of every page, blank strings left out; a page without tokens keeps one row of null kind.
+def page_tokens(pages: DataFrame) -> DataFrame:
+    """Every row as a page of its own: the keys that tell pages apart, what a page carries along, and its tokens.
 
-    `pages` has `page_id`, `title` (may be null) and `html`. Every row is a page of its own, told
-    apart by `page_hash` and `page_copy` where an id repeats or is null. Tokens and nesting are
-    found where the page is read. The pages are then shuffled once, still folded, because
-    Spark forgets the partitioning across a Python function; whatever later works page by
-    page reuses this partitioning.
+    `pages` has `page_id`, `title` (may be null) and `html`. Where an id repeats or is null, `page_hash` and `page_copy` tell rows apart;
+    the copy's number only has to differ among equal pages, which meet in one place from one attempt of each task.
     """
-    tokens = pages.selectExpr(
+    return spread(pages).selectExpr(
         "page_id",
         "xxhash64(title, html) AS page_hash",
+        "monotonically_increasing_id() AS page_copy",
         "title",
         f"{'address' if 'address' in pages.columns else 'CAST(NULL AS STRING)'} AS address",
         "coalesce(html <> '', false) AS fetched",
         f"regexp_extract_all(nullif(html, ''), {literal(TOKEN)}, 0) AS tokens",
     )
-    scanned = tokens.withColumn("nest", nest(F.expr(f"transform(tokens, t -> {_op('t')})"))).selectExpr(
-        "page_id", "page_hash", "title", "address", "fetched", "tokens",
-        "nest.parent AS parent", "nest.last AS last", "nest.head AS head", "nest.items AS items",
-        f"transform(tokens, t -> {_tag('t')}) AS tags",
+
+
+def string_sql(token: str, kind: str) -> tuple[str, str]:
+    """The string of a text token, still encoded, and the one of an instruction or doctype."""
+    string = f"CASE {kind} WHEN 'text' THEN {token} WHEN 'cdata' THEN substring({token}, 10, length({token}) - 12) END"
+    aside = (
+        f"CASE WHEN {kind} = 'decl' THEN CASE WHEN startswith({token}, '<?') THEN substring({token}, 3, length({token}) - 3) "
+        f"WHEN startswith(lower({token}), '<!doctype') THEN substring({token}, 11, length({token}) - 11) END END"
+    )
+    return string, aside
+
+
+def end_sql(token: str) -> str:
+    """True for end tags."""
+    return f"startswith({token}, '</') AND upper(substring({token}, 3, 1)) BETWEEN 'A' AND 'Z'"
+
+
+def blank_sql(token: str) -> str:
+    """True for comments and blank strings, which no element's place depends on."""
+    # Most strings begin with a visible ASCII character, which is cheap to see.
+    return f"CASE WHEN startswith({token}, '<') THEN startswith({token}, '<!--') WHEN ascii({token}) BETWEEN 33 AND 126 THEN false ELSE {strip_sql(token)} = '' END"
+
+
+def nodes(pages: DataFrame) -> DataFrame:
+    """One row per node of every page, blank strings left out; a page without tokens keeps one row of null kind.
+
+    Tokens and nesting are found where the page is read. The pages are then shuffled once, still folded, because
+    Spark forgets the partitioning across a Python function; whatever later works page by
+    page reuses this partitioning.
+    """
+    scanned = (
+        page_tokens(pages)
+        .withColumn("nest", NEST(F.expr(f"transform(tokens, t -> {op_sql('t')})"), F.expr(NO_MARKS)))
+        .selectExpr(
+            *KEYS, "title", "address", "fetched", "tokens",
+            "nest.parent AS parent", "nest.last AS last", f"transform(tokens, t -> {tag_sql('t')}) AS tags",
+        )
     )
     up = (
         f"transform(tokens, (t, i) -> CASE WHEN t RLIKE {_ANCHOR} AND contains(t, 'image') "
@@ -116,30 +164,16 @@ def nodes(pages: DataFrame) -> DataFrame:
     )
     ptag = "transform(parent, p -> get(tags, p))"
     # What is no node goes before the shuffle: end tags, comments, blank strings and the inside of scripts.
-    numbered = f"arrays_zip(sequence(0, size(tokens) - 1), tokens, tags, parent, last, head, items, {ptag}, {up})"
-    dead = (
-        f"x.tokens LIKE '</%' AND upper(substring(x.tokens, 3, 1)) BETWEEN 'A' AND 'Z' OR startswith(x.tokens, '<!--') "
-        # Most strings begin with a visible ASCII character, which is cheap to see.
-        f"OR NOT startswith(x.tokens, '<') AND ascii(x.tokens) NOT BETWEEN 33 AND 126 AND {strip_sql('x.tokens')} = ''"
-    )
+    numbered = f"arrays_zip(sequence(0, size(tokens) - 1), tokens, tags, parent, last, {ptag}, {up})"
     bare = f"CASE WHEN x.tags IN ('script', 'style') AND {kind_sql('x.tokens')} = 'raw' THEN concat('<', x.tags, '>') ELSE x.tokens END"
-    fields = ("tags", "parent", "last", "head", "items")
-    struct = ", ".join(f"'{name}', x.{name}" for name in fields)
+    struct = ", ".join(f"'{name}', x.{name}" for name in ("tags", "parent", "last"))
     live = (
-        f"transform(filter({numbered}, x -> x.`0` = 0 OR NOT ({dead})), x -> named_struct('place', x.`0`, 'token', {bare}, "
-        f"{struct}, 'ptag', x.`7`, 'up', x.`8`))"
+        f"transform(filter({numbered}, x -> x.`0` = 0 OR NOT ({end_sql('x.tokens')} OR {blank_sql('x.tokens')})), x -> named_struct('place', x.`0`, 'token', {bare}, "
+        f"{struct}, 'ptag', x.`5`, 'up', x.`6`))"
     )
-    folded = (
-        scanned.selectExpr(
-            "page_id", "page_hash", "title", "address", "fetched", f"CASE WHEN size(tokens) > 0 THEN {live} END AS live"
-        )
-        .repartition("page_id", "page_hash")
-        .selectExpr(
-            "page_id", "page_hash",
-            "row_number() OVER (PARTITION BY page_id, page_hash ORDER BY page_hash) AS page_copy",
-            "title", "address", "fetched", "live",
-        )
-    )
+    folded = scanned.selectExpr(
+        *KEYS, "title", "address", "fetched", f"CASE WHEN size(tokens) > 0 THEN {live} END AS live"
+    ).repartition("page_id", "page_hash")
     unfolded = folded.selectExpr(*KEYS, "title", "address", "fetched", "explode_outer(live) AS node")
     first = "coalesce(node.place, 0) = 0"
     named = unfolded.selectExpr(
@@ -148,27 +182,21 @@ def nodes(pages: DataFrame) -> DataFrame:
         f"CASE WHEN {first} THEN title END AS title",
         f"CASE WHEN {first} THEN address END AS address",
         f"CASE WHEN {first} THEN fetched END AS fetched",
-        "node.token", "node.parent", "node.last", "node.head", "node.items",
+        "node.token", "node.parent", "node.last",
         "node.tags AS tag", "node.ptag", "node.up",
         f"{kind_sql('node.token')} AS kind",
     ).filter("pos = 0 OR kind <> 'end'")
-    tagged = add(
-        named,
-        attrs=f"CASE WHEN kind = 'element' AND token RLIKE {_HAS_ATTRIBUTES} "
-        f"THEN regexp_extract_all(token, {literal(_ATTRIBUTE)}, 0) END",
-        string="CASE kind WHEN 'text' THEN token WHEN 'cdata' THEN substring(token, 10, length(token) - 12) END",
-        aside="CASE WHEN kind = 'decl' THEN CASE WHEN startswith(token, '<?') THEN substring(token, 3, length(token) - 3) "
-        "WHEN startswith(lower(token), '<!doctype') THEN substring(token, 11, length(token) - 11) END END",
-    )
-    valued = add(tagged, raw_src=_attr("src"), raw_alt=_attr("alt"))
+    string, aside = string_sql("token", "kind")
+    tagged = add(named, attrs=f"CASE WHEN kind = 'element' THEN {attributes_sql('token')} END", string=string, aside=aside)
+    valued = add(tagged, raw_src=attr_sql("src"), raw_alt=attr_sql("alt"))
     named = valued.selectExpr(
-        *KEYS, "pos", "last", "parent", "ptag", "head", "items", "kind", "tag",
-        f"nullif({_attr('id')}, '') AS id",
-        f"filter(split({_attr('class')}, {_BLANKS}), c -> c <> '') AS cls",
-        f"{_attr('style')} AS style",
+        *KEYS, "pos", "last", "parent", "ptag", "kind", "tag",
+        f"nullif({attr_sql('id')}, '') AS id",
+        f"filter(split({attr_sql('class')}, {BLANKS}), c -> c <> '') AS cls",
+        f"{attr_sql('style')} AS style",
         f"{decode_sql('raw_src')} AS src",
         f"{decode_sql('raw_alt')} AS alt",
-        f"{_attr('rel')} AS rel",
+        f"{attr_sql('rel')} AS rel",
         "up",
         f"CASE WHEN kind = 'text' THEN {decode_sql('string')} ELSE string END AS text",
         "aside", "title", "address", "fetched",

@@ -1,85 +1,141 @@
-"""Structural removal: which nodes belong to the title, the infobox, the live page, or nothing."""
+"""What of a page has a part in the result, decided while the page is still one row.
+
+Rules are evaluated per token as expressions and packed into one integer. The stack scan hands every token the marks of all
+around it, so what lies below a removed element is known without a window or a join. Trailing sections, the content
+area and the infobox are found on the folded page as well. Only what is left is shuffled and becomes rows.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from pageloom.functions.selectors import has_class_sql, matching_sql, rank_sql, rule_sql
+from pageloom.functions.selectors import has_class_sql, keys_sql, rank_sql, rule_sql, split_parents
 from pageloom.functions.sql import add, literals
-from pageloom.functions.text import normalize_sql, strip_sql
-from pageloom.operators.intervals import BY_PAGE, KEYS, WHOLE_PAGE, collect, first_match, inside, ordered_text, within
-from pageloom.operators.marks import BIT, has, pack
+from pageloom.functions.text import decode_sql, normalize_sql, strip_sql
+from pageloom.operators.intervals import KEYS, ordered_text
+from pageloom.operators.marks import AREA_SHIFT, BIT, BOX_SHIFT, FREE_BIT, RANK_MASK, has, pack
+from pageloom.operators.nesting import nesting
+from pageloom.operators.nodes import (
+    BLANKS, attr_sql, attributes_sql, blank_sql, end_sql, kind_sql, op_sql, page_tokens, string_sql, tag_sql,
+)
 from pageloom.profiles import Profile
 
 # Elements whose strings are no part of the text of their surroundings, and
 # classes that mark a caption.
 QUIET_TAGS = ("rt", "rp", "template")
 CAPTION_CLASSES = ("thumbcaption", "gallerytext", "mw-caption-text")
-SECTION_TAGS = ("h2", "h3", "h4")
 
-# Elements that shape the output; the others matter only as siblings of a heading.
-SHAPING_TAGS = (
-    "h1", "h2", "h3", "h4", "h5", "h6", "p", "ul", "ol", "li", "dl", "dt", "dd", "br", "img", "table",
-    "figure", "sup", "tr", "th", "td", "caption",
-)
+# Elements that shape an infobox or an image; the others there matter only by their marks.
+SHAPING_TAGS = ("li", "img", "figure", "sup", "tr", "th", "td", "caption")
 
+_DEAD = BIT["noise"] | BIT["boilerplate"] | BIT["in_title"]
+_PARENT_SIDE, _CHILD_SIDE = 0, 1
 
-def flag_nodes(nodes: DataFrame, profile: Profile, *, keep_images: bool, keep_infobox: bool) -> DataFrame:
-    """Evaluate every rule once per node and keep only what later steps read."""
-    marks = {
-        "title": rule_sql([profile.title]),
-        "noise": rule_sql(profile.preprocess),
-        "boilerplate": rule_sql(profile.boilerplate + (() if keep_infobox else profile.infobox)),
-        "picture": rule_sql(() if keep_images else profile.image_drop),
-        "headline": f"tag = 'span' AND {has_class_sql('mw-headline')}",
-        "hidden": "tag = 'span' AND contains(lower(style), 'display:none')",
-        "skipped": f"tag IN ({literals(profile.skip_tags)}) OR {has_class_sql(*profile.skip_classes)}",
-        "quiet": f"tag IN ({literals(QUIET_TAGS)}) OR kind = 'decl'",
-    }
-    columns = {
-        # The page's own columns ride on position 0; of the parent only list tags matter.
-        "page": "CASE WHEN pos = 0 THEN named_struct('title', title, 'address', address, 'fetched', fetched) END",
-        "area_rank": rank_sql(profile.areas),
-        "list": "CASE ptag WHEN 'ul' THEN 1 WHEN 'ol' THEN 2 END",
-        # Instructions and doctypes are strings of the text around them, but of no title, heading or paragraph.
-        "text": f"CASE WHEN {strip_sql('text')} <> '' THEN text WHEN {strip_sql('aside')} <> '' THEN aside END",
-    }
-    keep = [*KEYS, "pos", "last", "parent", "tag", "head"]
-    if keep_infobox:
-        keep += ["items"]
-        columns["box_rank"] = rank_sql(profile.infobox)
-        marks["note"] = f"tag = 'sup' AND {has_class_sql('reference')}"
-    if keep_images:
-        keep += ["src", "alt"]
-        marks["caption_0"] = f"tag IN ('figcaption', 'div') AND {has_class_sql(*CAPTION_CLASSES)}"
-        marks["caption_1"] = "contains(array_join(cls, ' '), 'caption')"
-        columns["frames"] = matching_sql(profile.image_containers)
-    # Comments and scripts end here; position 0 stands for its page. The filter
-    # reads `kind` alone, because it moves below the decoding of the texts and would repeat it.
-    kept = nodes.filter("kind IN ('element', 'text', 'cdata', 'decl') OR pos = 0")
-    return kept.selectExpr(*keep, *(f"{text} AS {name}" for name, text in columns.items()), f"{pack(marks)} AS marks")
-
-
-def assign_zones(flagged: DataFrame, *, keep_infobox: bool) -> DataFrame:
-    """`zone` = title, box, live or null; nodes of no zone are dropped."""
-    zoned = add(
-        flagged,
-        title_span=first_match(has("title")),
-        in_noise=within(has("noise")),
-        in_boilerplate=within(has("boilerplate")),
-        in_picture=within(has("picture")),
-        in_quiet=within(has("quiet")),
+
+class Marks:
+    """The marks of a profile: what a token says by itself, and the rules that also name its parent."""
+
+    def __init__(self, profile: Profile, *, keep_images: bool, keep_infobox: bool):
+        self.profile, self.keep_images, self.keep_infobox = profile, keep_images, keep_infobox
+        self.links: list[tuple[int, int, int]] = []
+        self.sides: dict[tuple[str, int], int] = {}
+        self.frames, self.frame_links = profile.image_containers if keep_images else (), {}
+        groups = {
+            "title": [profile.title],
+            "noise": profile.preprocess,
+            "boilerplate": profile.boilerplate + (() if keep_infobox else profile.infobox),
+            "picture": () if keep_images else profile.image_drop,
+            "frame": self.frames,
+        }
+        self.rules = {name: self._split(name, rules) for name, rules in groups.items()}
+
+    def _side(self, selector: str, side: int) -> int:
+        place = self.sides.setdefault((selector, side), FREE_BIT + len(self.sides))
+        if place >= AREA_SHIFT:
+            raise ValueError("too many rules that name a parent")
+        return 1 << place
+
+    def _split(self, name: str, rules: Iterable[str]) -> list[str]:
+        """The rules about a node alone; the others become links."""
+        simple, pairs = split_parents(rules)
+        for parent, child in pairs:
+            if name == "frame":
+                self.frame_links[len(self.links)] = list(rules).index(f"{parent} > {child}")
+            self.links.append((self._side(child, _CHILD_SIDE), self._side(parent, _PARENT_SIDE), BIT[name]))
+        return simple
+
+    def sql(self, node: str) -> str:
+        """Marks of an element or declaration from the fields of `node`, null for other tokens."""
+        at = f"{node}."
+        tag = f"{at}tag"
+        marks = {name: rule_sql(rules, at) for name, rules in self.rules.items() if rules}
+        marks |= {
+            "headline": f"{tag} = 'span' AND {has_class_sql('mw-headline', at=at)}",
+            "hidden": f"{tag} = 'span' AND contains(lower({at}style), 'display:none')",
+            "skipped": f"{tag} IN ({literals(self.profile.skip_tags)}) OR {has_class_sql(*self.profile.skip_classes, at=at)}",
+            "quiet": f"{tag} IN ({literals(QUIET_TAGS)}) OR {at}decl",
+        }
+        if self.keep_infobox:
+            marks["note"] = f"{tag} = 'sup' AND {has_class_sql('reference', at=at)}"
+        if self.keep_images:
+            marks["caption_0"] = f"{tag} IN ('figcaption', 'div') AND {has_class_sql(*CAPTION_CLASSES, at=at)}"
+            marks["caption_1"] = f"contains(array_join({at}cls, ' '), 'caption')"
+        sides = " | ".join(
+            f"CASE WHEN {rule_sql([selector], at)} THEN {1 << place}L ELSE 0L END" for (selector, _), place in self.sides.items()
+        )
+        area = f"shiftleft(CAST(coalesce({rank_sql(self.profile.areas, at)} + 1, 0) AS BIGINT), {AREA_SHIFT})"
+        box = rank_sql(self.profile.infobox if self.keep_infobox else (), at)
+        box = f"shiftleft(CAST(coalesce({box} + 1, 0) AS BIGINT), {BOX_SHIFT})"
+        own = " | ".join(filter(None, [f"CAST({pack(marks)} AS BIGINT)", sides, area, box]))
+        return f"CASE WHEN {node} IS NULL THEN 0L ELSE {own} END"
+
+    def frames_sql(self, node: str, own: str) -> str:
+        """Numbers of the image containers an element is by itself, null for none."""
+        hits = [f"CASE WHEN {rule_sql([rule], f'{node}.')} THEN {i} END" for i, rule in enumerate(self.frames) if " > " not in rule]
+        return f"CASE WHEN {has('frame', own)} THEN array_compact(array({', '.join(hits)})) END"
+
+    def all_frames_sql(self, node: str, linked: str) -> str:
+        """The same with the containers that are known by their parent."""
+        hits = [
+            f"CASE WHEN array_contains({linked}, {node}.place * {len(self.links)}L + {link}) THEN {rank} END"
+            for link, rank in self.frame_links.items()
+        ]
+        if not hits:
+            return f"{node}.frames"
+        found = f"array_compact(concat(coalesce({node}.frames, CAST(array() AS ARRAY<INT>)), array({', '.join(hits)})))"
+        return f"CASE WHEN {has('frame', f'{node}.mask')} THEN {found} END"
+
+
+def _parsed(token: str) -> str:
+    """Tag, classes, id, style and rel of a start tag; null for strings, end tags and comments."""
+    letter = f"upper(substring({token}, 2, 1)) BETWEEN 'A' AND 'Z'"
+    decl = f"substring({token}, 2, 1) IN ('!', '?', '/') AND {kind_sql(token)} = 'decl'"
+    # Other attributes are no part of any rule.
+    asked = " OR ".join(f"contains(lower({token}), '{name}')" for name in ("class", "id", "style", "rel"))
+    attrs = f"CASE WHEN {asked} THEN {attributes_sql(token)} END"
+    read = f"named_struct('tag', {tag_sql(token)}, 'token', {token}, 'attrs', {attrs}, 'decl', false)"
+    none = "CAST(NULL AS STRING)"
+    blank = f"named_struct('tag', {none}, 'token', {none}, 'attrs', CAST(NULL AS ARRAY<STRING>), 'decl', true)"
+    return f"CASE WHEN NOT startswith({token}, '<') THEN NULL WHEN {letter} THEN {read} WHEN {decl} THEN {blank} END"
+
+
+def _named(node: str) -> str:
+    def value(name: str) -> str:
+        return attr_sql(name, f"{node}.attrs", f"{node}.token")
+
+    classes = f"filter(split({value('class')}, {BLANKS}), c -> c <> '')"
+    none = "CAST(NULL AS STRING)"
+    with_keys = (
+        f"named_struct('tag', {node}.tag, 'decl', {node}.decl, 'cls', {classes}, 'id', nullif({value('id')}, ''), "
+        f"'style', {value('style')}, 'rel', {value('rel')})"
     )
-    clean = f"NOT in_noise AND NOT {inside('title_span')}"
-    boxed, spent = "", ["title_span", "in_noise", "in_boilerplate", "in_picture", "in_quiet"]
-    columns = {"marks": f"marks | {pack({'in_picture': 'in_picture', 'in_quiet': 'in_quiet'})}"}
-    if keep_infobox:
-        zoned = add(zoned, box=first_match(clean, rank="box_rank"))
-        boxed = f"WHEN {clean} AND {inside('box')} THEN 'box'"
-        columns["box_pos"] = f"CASE WHEN {clean} AND {inside('box')} THEN box.pos END"
-        spent += ["box", "box_rank"]
-    columns["zone"] = f"CASE WHEN {inside('title_span')} THEN 'title' {boxed} WHEN {clean} AND NOT in_boilerplate THEN 'live' END"
-    return add(zoned, **columns).filter("zone IS NOT NULL OR pos = 0").drop(*spent)
+    bare = (
+        f"named_struct('tag', {node}.tag, 'decl', {node}.decl, 'cls', CAST(NULL AS ARRAY<STRING>), 'id', {none}, 'style', {none}, 'rel', {none})"
+    )
+    return f"CASE WHEN {node} IS NULL THEN NULL WHEN {node}.attrs IS NULL THEN {bare} ELSE {with_keys} END"
 
 
 def heading_sql(texts: str, headline: str, separator: str) -> str:
@@ -88,74 +144,170 @@ def heading_sql(texts: str, headline: str, separator: str) -> str:
     return normalize_sql(ordered_text(own, separator))
 
 
-def mark_trailing(zoned: DataFrame, keywords: tuple[str, ...]) -> DataFrame:
-    """`is_trailing` on headings that name a trailing section, `in_trailing` on all such a section removes.
+def _shown(marks: Marks, *, text: bool) -> tuple[str, str]:
+    """Which tokens `x` of a folded page become rows, and the zone of each."""
+    titled, quiet = has("in_title", "x.mask"), has("quiet", "x.mask")
+    boxed = f"{_IN_BOX} AND NOT {has('noise', 'x.mask')}" if marks.keep_infobox else "false"
+    telling = "x.tags IS NULL OR x.ptag IN ('ul', 'ol') OR x.tags IN ({}) OR (x.own & {}) <> 0".format(
+        literals(SHAPING_TAGS), sum(BIT[n] for n in ("note", "caption_0", "caption_1", "quiet"))
+    )
+    live = [f"({titled} AND x.tags IS NULL AND NOT {quiet})"]
+    if marks.keep_infobox:
+        live.append(f"({boxed} AND NOT {titled} AND ({telling}))")
+    framed = f"({has('frame', 'x.mask')} OR x.tags <=> 'img')" if marks.keep_images else "false"
+    if marks.keep_images:
+        live.append(f"({_live('x')} AND {framed} AND ({telling} OR size(x.frames) > 0 OR {has('frame', 'x.mask')} AND size(linked) > 0))")
+    if text:
+        speaks = f"x.tags IS NULL OR x.place = x.unit OR {has('headline', 'x.own')}"
+        below = "x.place > area.pos AND x.place <= area.last"
+        live.append(f"({_live('x')} AND {below} AND x.unit >= 0 AND NOT {framed} AND NOT {has('picture', 'x.mask')} AND ({speaks}))")
+    zone = f"CASE WHEN {titled} THEN 'title' WHEN {boxed} THEN 'box' WHEN {framed} THEN 'live' ELSE 'text' END"
+    alive = f"NOT coalesce(x.tags IN ('script', 'style'), false) AND NOT ({end_sql('x.tokens')})"
+    return f"({' OR '.join(live)}) AND {alive}", zone
+
+
+_IN_BOX = "x.place BETWEEN box_pos AND box_last"
+
+
+def _live(node: str) -> str:
+    """True outside of the title, the infobox and everything removed by rule."""
+    return f"({node}.mask & {_DEAD}) = 0 AND NOT ({node}.place BETWEEN box_pos AND box_last)"
 
-    A section takes the following siblings, elements only, up to a heading of its rank or
-    above. That is a running comparison among siblings, so no heading meets another by join.
+
+def _with_trailing(folded: DataFrame, keywords: tuple[str, ...]) -> DataFrame:
+    """`trail`, the headings that name a trailing section, and `tokens_left`, the page without what those sections take.
+
+    A section takes the following siblings, elements only, up to a heading of its rank or above; the scan has found
+    where that is. Outermost sections don't overlap, so the page is cut at their ends.
     """
-    element = "zone = 'live' AND tag IS NOT NULL"
-    own = (
-        f"OVER ({BY_PAGE}, head_key ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    around = "slice(every, h.head + 1, get(last, h.head) - h.head + 1)"
+    live = add(
+        folded,
+        heading=f"transform(filter(arrays_zip(head, until), h -> NOT (h.head BETWEEN box_pos AND box_last)), h -> named_struct("
+        f"'pos', h.head, 'until', h.until, 'parent', get(parent, h.head), 'inner', filter({around}, x -> {_live('x')})))",
     )
-    # The outermost heading gathers strings; a heading inside it reads those of its own range.
-    keyed = add(zoned, head_key="CASE WHEN zone = 'live' AND head >= 0 THEN head END")
-    quiet = has("in_quiet")
-    strings = collect(f"head_key IS NOT NULL AND text IS NOT NULL AND NOT {quiet}", "pos AS pos", f"{strip_sql('text')} AS s")
-    titled = add(
-        keyed,
-        head_texts=f"{strings} {own}",
-        headlines=f"{collect(f'head_key IS NOT NULL AND {has('headline')}', 'pos AS pos', 'last AS last')} {own}",
+    kind = kind_sql("x.tokens")
+    string, _ = string_sql("x.tokens", kind)
+    string = f"CASE WHEN {kind} = 'text' THEN {decode_sql('x.tokens')} ELSE {string} END"
+    strings = f"filter(h.inner, x -> x.tags IS NULL AND NOT {has('quiet', 'x.mask')} AND NOT ({end_sql('x.tokens')}))"
+    texts = f"transform({strings}, x -> named_struct('pos', x.place, 's', {strip_sql(string)}))"
+    spans = f"transform(filter(h.inner, x -> {has('headline', 'x.own')}), x -> named_struct('pos', x.place, 'last', x.last))"
+    read = add(
+        live,
+        heading=f"transform(heading, h -> named_struct('pos', h.pos, 'until', h.until, 'parent', h.parent, "
+        f"'texts', {texts}, 'headline', array_min({spans})))",
     )
-    titled = add(
-        titled,
-        head_texts="filter(head_texts, t -> t.pos BETWEEN pos AND last)",
-        headline="array_min(filter(headlines, t -> t.pos BETWEEN pos AND last))",
+    name = f"lower({heading_sql('h.texts', 'h.headline', ' ')})"
+    named = add(read, heading=f"transform(heading, h -> named_struct('pos', h.pos, 'until', h.until, 'parent', h.parent, 'name', {name}))")
+    found = add(named, trail=f"filter(heading, h -> exists(array({literals(keywords)}), k -> contains(h.name, k)))").drop("heading")
+    outer = add(found, outer="filter(trail, (h, i) -> NOT exists(slice(trail, 1, i), g -> g.until >= h.pos))")
+    stays = f"x.tags IS NULL AND x.parent = h.parent OR {has('in_title', 'x.mask')} OR {_IN_BOX}"
+    cut = (
+        "flatten(concat(array(slice(every, 1, outer[0].pos)), "
+        f"transform(outer, h -> filter(slice(every, h.pos + 1, h.until - h.pos + 1), x -> {stays})), "
+        "transform(outer, (h, i) -> slice(every, h.until + 2, coalesce(get(outer, i + 1).pos, size(every)) - h.until - 1))))"
     )
-    name = f"lower({heading_sql('head_texts', 'headline', ' ')})"
-    named = f"exists(array({literals(keywords)}), k -> contains({name}, k))"
-    titled = add(
-        titled,
-        is_trailing=f"coalesce(CASE WHEN {element} AND head_key IS NOT NULL AND tag IN ({literals(SECTION_TAGS)}) THEN {named} END, false)",
-    ).drop("head_texts", "headlines", "headline", "head_key", "head")
-
-    siblings = f"OVER ({BY_PAGE}, parent ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    starts = {f"start_{h}": f"max(CASE WHEN is_trailing AND tag = '{h}' THEN pos END) {siblings}" for h in SECTION_TAGS}
-    stops = {
-        f"stop_{h}": f"max(CASE WHEN {element} AND startswith(tag, 'h') AND tag <= '{h}' THEN pos END) {siblings}"
-        for h in SECTION_TAGS
-    }
-    taken = " OR ".join(f"coalesce(start_{h} >= stop_{h}, false)" for h in SECTION_TAGS)
-    compared = add(add(titled, **starts, **stops), is_taken=f"{element} AND ({taken})").drop(*starts, *stops)
-    return add(compared, in_trailing=within("is_taken")).drop("is_taken")
-
-
-def _leave(frame: DataFrame, gone: str) -> DataFrame:
-    """Take nodes out of the live page."""
-    left = add(frame, zone=f"CASE WHEN zone = 'live' AND {gone} THEN NULL ELSE zone END")
-    return left.filter("zone IS NOT NULL OR pos = 0")
+    return add(outer, tokens_left=f"CASE WHEN size(outer) > 0 THEN {cut} ELSE every END").drop("outer", "every")
 
 
 def live_nodes(
-    nodes: DataFrame, profile: Profile, *, keep_images: bool, keep_infobox: bool, count_trailing: bool = False
+    pages: DataFrame, profile: Profile, *, text: bool, keep_images: bool, keep_infobox: bool, count_trailing: bool = False
 ) -> DataFrame:
-    """All removal steps in their order; images are dropped too unless they are kept.
+    """One row per node that has a part in the result, and one of zone `page` per page with the page's own columns.
 
-    With `count_trailing` the page row also carries `n_trailing`, the number of headings that
-    started a removed section.
+    Zones: `title`, `box` (the infobox), `live` (images and their containers), `text` (what the content area puts out). Text rows
+    have `text_unit`, the position of the heading, paragraph, definition item or own position their output belongs to. With
+    `count_trailing` rows also carry `n_trailing`, the number of headings that started a removed section.
     """
-    flagged = flag_nodes(nodes, profile, keep_images=keep_images, keep_infobox=keep_infobox)
-    zoned = assign_zones(flagged, keep_infobox=keep_infobox)
+    marks = Marks(profile, keep_images=keep_images, keep_infobox=keep_infobox)
+    parsed = f"transform(transform(tokens, t -> {_parsed('t')}), p -> {_named('p')})"
+    with_keys = (
+        "transform(parsed, n -> CASE WHEN n IS NULL THEN NULL ELSE named_struct('tag', n.tag, 'decl', n.decl, 'cls', n.cls, 'id', n.id, "
+        f"'style', n.style, 'rel', n.rel, 'keys', {keys_sql('n.')}) END)"
+    )
+    read = add(page_tokens(pages), tokens=f"filter(tokens, t -> NOT ({blank_sql('t')}))")
+    read = add(read, parsed=parsed)
+    read = add(read, parsed=with_keys)
+    read = add(read, own=f"transform(parsed, n -> {marks.sql('n')})", tags="transform(parsed, n -> n.tag)")
+    if keep_images:
+        read = add(read, frames=f"zip_with(parsed, own, (n, o) -> {marks.frames_sql('n', 'o')})")
+    ops = F.expr(f"zip_with(tokens, tags, (t, g) -> {op_sql('t', 'g')})")
+    scanned = read.drop("parsed").withColumn("nest", nesting(marks.links)(ops, F.col("own")))
+    scanned = add(
+        scanned,
+        place="CASE WHEN size(tokens) > 0 THEN sequence(0, size(tokens) - 1) END",
+        ptag="transform(nest.parent, p -> get(tags, p))",
+        box_pos="nest.box",
+        box_last="coalesce(get(nest.last, nest.box), -2)",
+        **{name: f"nest.{name}" for name in ("parent", "last", "mask", "unit", "head", "until", "linked", "items")},
+    ).drop("nest")
+    fields = ["place", "tokens", "tags", "own", "mask", "parent", "last", "unit", "ptag"]
+    fields += ["frames"] * keep_images + ["items"] * keep_infobox
+    folded = add(scanned, every=f"arrays_zip({', '.join(fields)})")
     if profile.trailing_keywords:
-        zoned = mark_trailing(zoned, profile.trailing_keywords)
-        if count_trailing:
-            zoned = add(zoned, n_trailing=f"sum(CAST(is_trailing AS INT)) {WHOLE_PAGE}")
-        zoned = _leave(zoned, "in_trailing").drop("is_trailing", "in_trailing")
+        folded = _with_trailing(folded, profile.trailing_keywords)
     else:
-        zoned = zoned.drop("head")
-    if profile.image_drop and not keep_images:
-        zoned = _leave(zoned, has("in_picture"))
-    # Plain wrappers have no further part in the page; in a list anything that is no item is a barrier.
-    telling = ~(BIT["in_quiet"] | BIT["in_picture"]) & (2 * max(BIT.values()) - 1)
-    shaping = f"text IS NOT NULL OR list IS NOT NULL OR tag IN ({literals(SHAPING_TAGS)}) OR (marks & {telling}) <> 0 OR area_rank IS NOT NULL OR pos = 0"
-    return zoned.filter(f"{shaping} OR size(frames) > 0" if keep_images else shaping)
+        folded = folded.withColumnRenamed("every", "tokens_left")
+    if text:
+        rank = f"shiftright(x.own, {AREA_SHIFT}) & {RANK_MASK}"
+        gone = f"(x.mask & {BIT['picture'] | BIT['frame']}) <> 0"
+        areas = f"filter(tokens_left, x -> ({rank}) > 0 AND {_live('x')} AND NOT {gone})"
+        folded = add(folded, area=f"array_min(transform({areas}, x -> named_struct('rank', {rank}, 'pos', x.place, 'last', x.last)))")
+    shown, zone = _shown(marks, text=text)
+    quiet = f"CASE WHEN {has('quiet', 'x.mask')} THEN {BIT['in_quiet']} ELSE 0 END"
+    columns = {
+        "pos": ("INT", "x.place"),
+        "last": ("INT", "x.last"),
+        "parent": ("INT", "x.parent"),
+        "tag": ("STRING", "x.tags"),
+        "list": ("INT", "CASE x.ptag WHEN 'ul' THEN 1 WHEN 'ol' THEN 2 END"),
+        "marks": ("INT", f"CAST(x.own & {(1 << AREA_SHIFT) - 1} AS INT) | {quiet}"),
+        "token": ("STRING", "CASE WHEN x.tags IS NULL OR x.tags = 'img' THEN x.tokens END"),
+        "text_unit": ("INT", "x.unit"),
+        "zone": ("STRING", zone),
+    }
+    if keep_images:
+        columns["frames"] = ("ARRAY<INT>", marks.all_frames_sql("x", "linked"))
+    if keep_infobox:
+        columns["items"] = ("ARRAY<INT>", "x.items")
+    own = {"pos": "-1", "zone": "'page'"}
+    page = ", ".join(f"'{name}', {own.get(name, f'CAST(NULL AS {kind})')}" for name, (kind, _) in columns.items())
+    node = ", ".join(f"'{name}', {value}" for name, (_, value) in columns.items())
+    rows = f"concat(array(named_struct({page})), coalesce(transform(filter(tokens_left, x -> {shown}), x -> named_struct({node})), array()))"
+    carried = {"box_pos": "box_pos"} if keep_infobox else {}
+    if text:
+        carried["area_pos"] = "area.pos"
+    if count_trailing:
+        carried["n_trailing"] = "size(trail)" if profile.trailing_keywords else "0"
+    dealt = folded.selectExpr(
+        *KEYS, "title", "address", "fetched", *(f"{value} AS {name}" for name, value in carried.items()), f"{rows} AS live"
+    ).repartition("page_id", "page_hash")
+    unfolded = dealt.selectExpr(*KEYS, "title", "address", "fetched", *carried, "explode_outer(live) AS n").selectExpr(
+        *KEYS,
+        "CASE WHEN n.zone = 'page' THEN named_struct('title', title, 'address', address, 'fetched', fetched) END AS page",
+        *carried,
+        "n.*",
+    )
+    return _decoded(unfolded, keep_images=keep_images, keep_infobox=keep_infobox, text=text)
+
+
+def _decoded(rows: DataFrame, *, keep_images: bool, keep_infobox: bool, text: bool) -> DataFrame:
+    """Strings and image attributes of the rows; a string that is blank once decoded is null."""
+    kind = kind_sql("token")
+    read = add(rows, kind=f"CASE WHEN tag IS NULL THEN {kind} END")
+    string, aside = string_sql("token", "kind")
+    read = add(read, string=string, aside=aside)
+    read = add(read, string=f"CASE WHEN kind = 'text' THEN {decode_sql('string')} ELSE string END")
+    # Instructions and doctypes are strings of the text around them, but of no title, heading or paragraph.
+    shown = f"CASE WHEN {strip_sql('string')} <> '' THEN string WHEN {strip_sql('aside')} <> '' THEN aside END"
+    # No filter here: it would move below the decoding and repeat it.
+    read = add(read, text=shown).drop("string", "aside", "kind")
+    if keep_images:
+        read = add(read, attrs=f"CASE WHEN tag = 'img' THEN {attributes_sql('token')} END")
+        read = add(read, src=attr_sql("src"), alt=attr_sql("alt")).drop("attrs")
+        read = add(read, src=decode_sql("src"), alt=decode_sql("alt"))
+    if keep_infobox:
+        read = add(read, box_pos="CASE WHEN zone = 'box' THEN box_pos END")
+    if text:
+        read = add(read, is_root="zone = 'text' AND parent = area_pos", has_area="area_pos IS NOT NULL").drop("area_pos")
+    return read.drop("token")

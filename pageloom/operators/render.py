@@ -1,8 +1,7 @@
 """Text of the content area with light Markdown markers.
 
-Walking a tree is replaced by barriers: the outermost barrier above a node decides whether
-it is skipped, captured as the text of a heading, paragraph or definition list, or emitted
-as it stands. What remains is a list of strings per page, joined in document order.
+The rows that arrive know the unit they belong to: a heading, a paragraph, a definition item or their own
+position. Units become strings, and the strings of a page are joined in document order.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from pageloom.functions.sql import add, literals
 from pageloom.functions.text import normalize_sql, strip_sql
-from pageloom.operators.intervals import BY_PAGE, collect, first_match, inside, latest, ordered_text, within
+from pageloom.operators.intervals import BY_PAGE, collect, ordered_text
 from pageloom.operators.marks import has
 from pageloom.operators.prune import heading_sql
 from pageloom.profiles import Profile
@@ -20,56 +19,6 @@ HEADINGS = "'h1', 'h2', 'h3', 'h4', 'h5', 'h6'"
 UNIT = "text_unit"
 
 
-def mark_area(live: DataFrame) -> DataFrame:
-    """Move the live nodes of the content area to zone `text`; the rest of the live page goes."""
-    found = add(live, area=first_match("zone = 'live'", rank="area_rank"))
-    below = f"{inside('area')} AND pos > area.pos"
-    return (
-        add(
-            found,
-            zone=f"CASE WHEN zone <> 'live' THEN zone WHEN {below} THEN 'text' END",
-            is_root="parent = area.pos",
-            has_area="area IS NOT NULL",
-        )
-        .filter("zone IS NOT NULL OR pos = 0")
-        .drop("area", "area_rank")
-    )
-
-
-def mark_units(area: DataFrame) -> DataFrame:
-    """`text_unit`: the heading, paragraph, definition item or own position a node's output belongs to."""
-    walls = add(area, is_item="coalesce(list IS NOT NULL AND tag = 'li', false)")
-    # In a list only items count; bare text of the area and skipped elements yield nothing.
-    walls = add(
-        walls,
-        barrier="CASE WHEN zone IS NULL OR zone <> 'text' THEN NULL "
-        "WHEN list IS NOT NULL AND NOT is_item THEN 'drop' "
-        "WHEN text IS NOT NULL THEN CASE WHEN is_root THEN 'drop' END "
-        f"WHEN NOT is_root AND NOT is_item AND {has('skipped')} THEN 'drop' "
-        f"WHEN tag IN ('p', 'dl', {HEADINGS}) THEN 'keep' END",
-    )
-    outer = add(walls, is_inner=within("barrier IS NOT NULL", strictly=True))
-    spans = add(
-        outer,
-        keep=latest("barrier = 'keep' AND NOT is_inner", "tag"),
-        in_drop=within("barrier = 'drop' AND NOT is_inner"),
-    )
-    spans = add(spans, keep=f"CASE WHEN zone = 'text' AND {inside('keep')} THEN keep END")
-    entries = add(
-        spans,
-        in_hidden=within(f"{has('hidden')} AND keep.tag = 'p'"),
-        entry=latest("keep.tag = 'dl' AND parent = keep.pos AND tag IN ('dt', 'dd')"),
-    )
-    unit = (
-        "CASE WHEN zone IS NULL OR zone <> 'text' OR in_drop THEN NULL "
-        f"WHEN keep IS NOT NULL AND text IS NOT NULL AND ({has('in_quiet')} OR in_hidden) THEN NULL "
-        f"WHEN keep.tag = 'dl' AND pos > keep.pos THEN CASE WHEN {inside('entry')} THEN entry.pos END "
-        "WHEN keep IS NOT NULL THEN keep.pos "
-        "WHEN text IS NOT NULL OR tag IN ('ul', 'ol', 'br') OR is_item THEN pos END"
-    )
-    return add(entries, text_unit=unit).drop("barrier", "is_inner", "keep", "in_drop", "in_hidden", "entry", "is_item")
-
-
 def unit_aggregates() -> dict[str, str]:
     own = "zone = 'text' AND pos = text_unit"
     return {
@@ -93,7 +42,7 @@ def mark_strings(units: DataFrame, profile: Profile) -> DataFrame:
     stripped = f"transform(texts, t -> named_struct('pos', t.pos, 's', {strip_sql('t.s')}))"
     shown = add(
         units,
-        words="CASE WHEN tag = '#text' THEN texts[0].s "
+        words="CASE WHEN tag = '#text' THEN get(texts, 0).s "
         f"WHEN tag IN ({HEADINGS}) THEN {heading_sql(stripped, 'headline', '')} "
         f"WHEN zone = 'title' THEN {normalize_sql(ordered_text(stripped, ' '))} "
         f"WHEN size(texts) > 0 THEN {ordered_text(stripped, ' ')} END",
@@ -101,7 +50,7 @@ def mark_strings(units: DataFrame, profile: Profile) -> DataFrame:
     excluded = f"AND lower(words) NOT IN ({literals(profile.excluded_headings)})" if profile.excluded_headings else ""
     content = add(
         shown,
-        is_content="zone = 'text' AND coalesce(CASE WHEN tag = '#text' THEN true "
+        is_content="zone = 'text' AND coalesce(CASE WHEN tag = '#text' THEN size(texts) > 0 "
         f"WHEN tag IN ({HEADINGS}) THEN words <> '' {excluded} "
         "WHEN tag IN ('p', 'dt', 'dd') THEN words <> '' END, false)",
     )

@@ -1,7 +1,7 @@
 """From pages to articles, infobox rows, image rows and section rows.
 
-One plan, one shuffle: pages are placed by `page_id`, unfold into nodes, are pruned and
-marked by windows, fold into units (a heading, a paragraph, an infobox row, an image
+One plan, one shuffle: pages are pruned while they are one row each, placed by `page_id`, and what is left
+unfolds into nodes, folds into units (a heading, a paragraph, an infobox row, an image
 container) and then into one row per page.
 """
 
@@ -15,7 +15,6 @@ from pageloom.functions.sql import add
 from pageloom.functions.text import page_url
 from pageloom.operators import images, infobox, render
 from pageloom.operators.intervals import KEYS
-from pageloom.operators.nodes import nodes
 from pageloom.operators.outcome import FETCH_FAILED
 from pageloom.operators.prune import live_nodes
 from pageloom.profiles import WIKI, Profile
@@ -36,7 +35,7 @@ def _pages(
 ) -> DataFrame:
     """One row per page with the collected parts that were asked for."""
     marked = live_nodes(
-        nodes(pages), profile, keep_images=keep_images, keep_infobox=keep_infobox, count_trailing=count_trailing
+        pages, profile, text=text, keep_images=keep_images, keep_infobox=keep_infobox, count_trailing=count_trailing
     )
     unit = ["WHEN zone = 'title' THEN -1"]
     per_unit = {"page": "max(page)"}
@@ -54,17 +53,12 @@ def _pages(
         per_unit |= infobox.unit_aggregates()
         per_page |= infobox.page_aggregates()
     if text:
-        marked = render.mark_units(render.mark_area(marked))
         unit.append(f"WHEN zone = 'text' THEN {render.UNIT}")
         per_unit |= render.unit_aggregates() | {"has_area": "bool_or(has_area)"}
         per_page |= render.page_aggregates() | {"has_area": "bool_or(has_area)"}
+    # A row of its own carries the page's columns.
+    unit.append("WHEN zone = 'page' THEN -2")
     placed = add(marked, unit=f"CASE {' '.join(unit)} END")
-    # Position 0 carries the page's own columns even where it is part of nothing.
-    placed = add(
-        placed,
-        zone="CASE WHEN unit IS NULL AND pos = 0 THEN 'page' ELSE zone END",
-        unit="CASE WHEN unit IS NULL AND pos = 0 THEN -2 ELSE unit END",
-    )
     units = _aggregate(placed.filter("unit IS NOT NULL"), [*KEYS, "zone", "unit"], per_unit)
     if keep_images:
         units = add(units, image=images.unit_image())

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class Profile:
-    """Rules for one site family; see `compile_rules` for the selector forms."""
+    """Rules for one site family; see `functions.selectors` for the forms of selectors."""
 
     title: str
     areas: tuple[str, ...]

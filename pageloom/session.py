@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -27,3 +27,15 @@ def local_session(cores: str = "*", **extra: str) -> SparkSession:
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def spread(frame: DataFrame, bytes_a_core: int = 8 << 20) -> DataFrame:
+    """Rows of a small input dealt over all cores; a large input has splits enough and stays where it is read.
+
+    Small is what its tables say they hold, `bytes_a_core` for each core. One file of one row group would
+    otherwise keep one core busy, whatever is done to its rows.
+    """
+    leaves = frame._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if cores > 1 and size <= cores * bytes_a_core else frame

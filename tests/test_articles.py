@@ -6,6 +6,7 @@ import pytest
 from conftest import wiki
 
 from pageloom import GENERIC, articles, image_rows, infobox_rows
+from pageloom.session import spread
 from pageloom.plans.articles import page_counters
 
 
@@ -244,3 +245,46 @@ def test_one_shuffle(spark, pages, kept):
     plan = articles(pages(wiki("<p>x</p>")), **kept)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
     assert "Join" not in plan
+
+
+def test_rules_act_before_the_shuffle(pages):
+    """Removed subtrees, trailing sections and all outside of the area leave while a page is one row."""
+    plan = articles(pages(wiki("<p>x</p>")))._jdf.queryExecution().executedPlan().toString()
+    nodes = [line.lstrip(" :+-*()0123456789").split(" ")[0].split("(")[0] for line in plan.splitlines()]
+    assert nodes.count("Window") <= 3 and nodes.count("Sort") <= 2
+    below = plan[plan.index("Exchange") :]
+    assert "tokens_left" in below and "tokens_left" not in plan[: plan.index("Exchange")]
+    assert "Window" not in below and "Window" in plan
+
+
+def test_a_small_input_is_dealt_over_the_cores(spark, tmp_path):
+    frame = spark.range(40).selectExpr("id AS page_id", "'t' AS title", "'<p>x</p>' AS html").coalesce(1)
+    frame.write.parquet(str(tmp_path / "p"))
+    stored = spark.read.parquet(str(tmp_path / "p"))
+    assert "RoundRobinPartitioning" in spread(stored)._jdf.queryExecution().executedPlan().toString()
+    assert spread(stored, bytes_a_core=1) is stored
+
+
+def test_nested_areas_and_walls(pages):
+    """What stands around the area has no say in it; the best area wins wherever it is."""
+    inner = '<div class="mw-parser-output"><p>in <b>bold</b></p><ul><li>one</li></ul>{}</div>'
+    around = '<table><tr><td><p><div id="mw-content-text">{}</div></p></td></tr></table>'
+    htmls = (
+        around.format(inner.format("")),
+        around.format("<p>outer</p>" + inner.format("") + "<p>tail</p>"),
+        '<div id="mw-content-text"><h2>See also</h2>' + inner.format("") + "<h2>Kept</h2><p>left</p></div>",
+        '<div class="navbox">' + inner.format("") + '</div><div id="mw-content-text"><p>alive</p></div>',
+        inner.format('<h2>Notes</h2>bare<p>gone</p><div><h3>x</h3></div><h3>also gone</h3><h2>Back</h2><p>here</p>'),
+        inner.format('<div><h3>Notes</h3><p>gone</p>&nbsp;<p>too</p></div><p>after</p>'),
+        inner.format('<dl><dt>t<sup>1</sup></dt>loose<dd>d <p>p</p></dd></dl><h2>Sources <span class="mw-headline">Real</span></h2><p>stays</p>'),
+    )
+    rows = sorted(articles(pages(*htmls)).collect())
+    assert [r.content for r in rows] == [
+        "in bold * one",
+        "in bold * one",
+        "## Kept left",
+        "alive",
+        "in bold * one ## Back here",
+        "in bold * one after",
+        "in bold * one **t 1**: d p ## Real stays",
+    ]
