@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,13 +39,37 @@ def titles_decide_count(spark: SparkSession, folder: str) -> DataFrame:
         return T.requested_count(title_lines(spark, folder), 1)
 
 
+@query(
+    "file_titles",
+    f"""SELECT (row_number() OVER (ORDER BY p_partkey) - 1)::BIGINT AS ord, {stripped("title")} AS title
+        FROM (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN '  ' ELSE p_name || ' ' END AS title FROM part) WHERE {stripped("title")} <> ''""",
+)
+def file_titles(spark: SparkSession, folder: str) -> DataFrame:
+    """A title list from text files: blank lines go, lines are numbered across files in their order."""
+    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/titles-{uuid.uuid4()}"
+    line = F.when(F.col("p_size") % 5 == 0, "  ").otherwise(F.concat("p_name", F.lit(" ")))
+    table(spark, folder, "part").orderBy("p_partkey").select(line.alias("value")).write.text(path)
+    return T.read_titles(spark, path)
+
+
 @query(
     "random_titles",
     "SELECT md5('loom-7:' || p_name) AS rank_key, p_name AS title FROM (SELECT DISTINCT p_name FROM part) "
     "ORDER BY 1, 2 LIMIT 20",
 )
 def random_titles(spark: SparkSession, folder: str) -> DataFrame:
-    return T.random_titles(table(spark, folder, "part").select(F.col("p_name").alias("title")), 20, "loom-7:")
+    drawn = T.random_titles(table(spark, folder, "part").select(F.col("p_name").alias("title")), 20, "loom-7:")
+    return drawn.select("rank_key", "title")
+
+
+@query(
+    "random_order",
+    """SELECT (row_number() OVER (ORDER BY md5('draw' || c_name), c_name) - 1)::BIGINT AS ord, c_name AS title
+       FROM (SELECT DISTINCT c_name FROM customer) ORDER BY ord LIMIT 50""",
+)
+def random_order(spark: SparkSession, folder: str) -> DataFrame:
+    """A draw that can be harvested: titles with their place."""
+    return T.random_titles(table(spark, folder, "customer").select(F.col("c_name").alias("title")), 50, "draw").select("ord", "title")
 
 
 _PREFIXED = "CASE p_type WHEN 'PROMO' THEN 'Talk:' WHEN 'LARGE' THEN 'user_talk: ' WHEN 'SMALL' THEN 'Re: ' ELSE '' END"
@@ -212,24 +237,35 @@ HARVEST_SQL = f"""SELECT ord, input_title, CASE WHEN error_message IS NULL THEN
               UNION ALL SELECT c_custkey + 10000000, c_name, c_name, 'Failed to fetch HTML' FROM customer)"""
 
 
+def _part_pages(part: DataFrame) -> DataFrame:
+    """One page per part name, keyed by its address."""
+    name = F.col("p_name")
+    html = wrap(F.concat(F.lit("The "), name), "<p>About ", esc(name), "</p>")
+    return part.groupBy("p_name").agg(F.min("p_partkey").alias("page_id")).select("page_id", page_url(name).alias("url"), html.alias("html"))
+
+
 @query("harvest", HARVEST_SQL)
 def harvest_titles(spark: SparkSession, folder: str) -> DataFrame:
     """Titles that repeat (few distinct part names) and titles that miss, against pages keyed by address."""
     part = table(spark, folder, "part")
-    name = F.col("p_name")
-    pages = (
-        part.groupBy("p_name")
-        .agg(F.min("p_partkey").alias("page_id"))
-        .select(
-            "page_id",
-            page_url(name).alias("url"),
-            wrap(F.concat(F.lit("The "), name), "<p>About ", esc(name), "</p>").alias("html"),
-        )
-    )
-    titles = part.select(F.col("p_partkey").alias("ord"), name.alias("title")).unionAll(
+    titles = part.select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("title")).unionAll(
         table(spark, folder, "customer").select(F.col("c_custkey") + 10_000_000, "c_name")
     )
-    return harvest(titles, pages).select("ord", "input_title", "title", "url", "content", "error_message")
+    return harvest(titles, _part_pages(part)).select("ord", "input_title", "title", "url", "content", "error_message")
+
+
+@query(
+    "random_harvest",
+    f"""SELECT ord, input_title, title, {wiki_url('title')} AS url, content, error_message FROM (
+          SELECT (row_number() OVER (ORDER BY md5('tour' || p_name), p_name) - 1)::BIGINT AS ord, p_name AS input_title,
+                 'The ' || p_name AS title, 'About ' || p_name AS content, NULL::VARCHAR AS error_message
+          FROM (SELECT DISTINCT p_name FROM part)) ORDER BY ord LIMIT 12""",
+)
+def random_harvest(spark: SparkSession, folder: str) -> DataFrame:
+    """N random pages as one job: titles are drawn, looked up and cleaned."""
+    part = table(spark, folder, "part")
+    drawn = T.random_titles(part.select(F.col("p_name").alias("title")), 12, "tour")
+    return harvest(drawn, _part_pages(part)).select("ord", "input_title", "title", "url", "content", "error_message")
 
 
 @query(

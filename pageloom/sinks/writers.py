@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.operators.outcome import failures
@@ -51,19 +52,30 @@ def write_json_array(
 ) -> None:
     """A folder whose part files, concatenated by name, are one JSON array; `[]` without articles.
 
-    Rows are spread by ranges of the order column, so no task holds the whole array. The articles
-    are made once: their lines are kept while the ends are looked up and the ranges are sampled.
+    The articles are made once, as lines in a folder beside the result, which goes when the array is written. Those lines
+    are spread by ranges of the order column, so no task holds the array; the first row of the first part opens
+    the array, and one more row, which sorts last, closes it.
     """
+    spark = articles.sparkSession
     valid = valid_articles(articles)
-    keyed = valid.select(order, article_json(valid, template).alias("json")).persist()
+    aside = f"{path.rstrip('/')}.lines-{uuid.uuid4()}"
     try:
-        low, high = keyed.agg(F.min(order), F.max(order)).head()
-        lines = _framed(keyed, order, low, high)
-        if low is None:
-            lines = articles.sparkSession.range(1).select(F.lit(0).alias(order), F.lit("[]").alias("value"))
-        lines.orderBy(order).select("value").write.mode(mode).text(path)
+        valid.select(order, article_json(valid, template).alias("json")).write.parquet(aside)
+        lines = spark.read.parquet(aside).select(F.lit(False).alias("is_end"), order, "json")
+        closing = spark.range(1).select(F.lit(True).alias("is_end"), F.lit(None).cast(lines.schema[order].dataType).alias(order), F.lit("]").alias("json"))
+        placed = lines.unionAll(closing).orderBy("is_end", order)
+        # Row numbers follow the sorted parts, and the first part is never empty.
+        opened = placed.select("is_end", "json", (F.monotonically_increasing_id() == 0).alias("is_first"))
+        frame = F.when(F.col("is_first"), "[").otherwise(F.when(F.col("is_end"), "").otherwise(","))
+        opened.select(F.concat(frame, "json").alias("value")).write.mode(mode).text(path)
     finally:
-        keyed.unpersist()
+        remove_folder(spark, aside)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that a job made for itself, in whatever store it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def write_failures(outcomes: DataFrame, path: str, mode: str = "errorifexists") -> None:

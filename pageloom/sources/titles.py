@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 import warnings
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions.text import strip
 
+# Executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Title prefixes of the namespaces other than the main one, and their short and older forms.
 OTHER_NAMESPACES = (
     "Talk", "User", "User talk", "Wikipedia", "Wikipedia talk", "File", "File talk", "MediaWiki",
@@ -23,20 +31,20 @@ OTHER_NAMESPACES = (
 def read_titles(spark: SparkSession, path: str) -> DataFrame:
     """`ord, title` from a UTF-8 file with one title per line; blank lines go, order and duplicates stay.
 
-    Lines are numbered by split: each split counts its own, and only the counts meet. Both
-    sides are one plan over one file listing, so they are cut into the same splits.
+    The files are read once and their lines dealt by split. Each split counts its own lines, and only the counts
+    meet; counts and lines come from the same exchange, so lines are numbered as they were read.
     """
     lines = spark.read.text(path).select(
         "_metadata.file_path", "_metadata.file_block_start", strip(F.col("value")).alias("title")
     )
     lines = lines.filter(F.col("title") != "").withColumn("row", F.monotonically_increasing_id())
-    splits = lines.groupBy("file_path", "file_block_start").agg(
-        F.min("row").alias("first_row"), F.count("*").alias("size")
-    )
+    dealt = lines.repartition("file_path", "file_block_start")
+    # All columns are read here too, else there would be a second, narrower scan.
+    splits = dealt.groupBy("file_path", "file_block_start").agg(F.min("row").alias("first_row"), F.count("title").alias("size"))
     # One row per file split, not per title.
     earlier = Window.orderBy("file_path", "file_block_start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.withColumn("offset", F.coalesce(F.sum("size").over(earlier), F.lit(0))).drop("size")
-    numbered = lines.join(offsets, ["file_path", "file_block_start"])
+    numbered = dealt.join(offsets, ["file_path", "file_block_start"])
     return numbered.select((F.col("offset") + F.col("row") - F.col("first_row")).alias("ord"), "title")
 
 
@@ -87,8 +95,31 @@ def first_titles(titles: DataFrame, n: int) -> DataFrame:
     return titles.orderBy("ord").limit(max(n, 0))
 
 
+def _least(n: int):
+    """The `n` least distinct (rank_key, title) of a partition; holds at most as many and one batch."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            both = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            both = both.group_by(["rank_key", "title"]).aggregate([])
+            order = pc.sort_indices(both, sort_keys=[("rank_key", "ascending"), ("title", "ascending")])
+            held = both.take(order[:n]).combine_chunks()
+        if held is not None:
+            yield from held.select(["rank_key", "title"]).to_batches()
+
+    return keep
+
+
 def random_titles(titles: DataFrame, n: int, seed: str) -> DataFrame:
-    """`rank_key, title`: up to `n` distinct main-namespace titles, the same ones for the same seed."""
-    distinct = main_namespace(titles).select("title").distinct()
-    keyed = distinct.select(F.md5(F.concat(F.lit(seed), F.col("title"))).alias("rank_key"), "title")
-    return keyed.orderBy("rank_key", "title").limit(max(n, 0))
+    """`ord, rank_key, title`: up to `n` distinct main-namespace titles in their random order, the same ones for the same seed.
+
+    A title's rank is a seeded hash, so the draw is a bottom-n sketch: every partition keeps its `n` least distinct
+    ranks, and at most `n` rows of a partition meet the others.
+    """
+    keyed = main_namespace(titles).select(F.md5(F.concat(F.lit(seed), F.col("title"))).alias("rank_key"), "title")
+    keyed = keyed.filter("title IS NOT NULL")
+    least = keyed.mapInArrow(_least(max(n, 0)), "rank_key string, title string")
+    drawn = least.distinct().orderBy("rank_key", "title").limit(max(n, 0))
+    in_order = Window.orderBy("rank_key", "title")  # n rows, which the limit has put in one place
+    return drawn.select((F.row_number().over(in_order).cast("bigint") - 1).alias("ord"), "rank_key", "title")

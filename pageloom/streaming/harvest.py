@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pageloom.plans.articles import articles
 from pageloom.profiles import WIKI, Profile
+from pageloom.streaming import seen
 
 PAGE_SCHEMA = "page_id bigint, title string, html string"
 BUCKETS = 64
@@ -66,23 +67,30 @@ def stream_articles(
     """Clean every page once as parquet files of pages arrive under `source`.
 
     Pages carry no event time, so a streaming de-duplication would keep state for ever. Each
-    batch instead leaves out ids that earlier batches cleaned, reading only the id buckets it
-    holds itself, and overwrites its own folders `bucket=.../batch=...`, so a batch that is run
+    batch instead leaves out ids that earlier batches cleaned, which it looks up in sorted runs of ids
+    (`streaming.seen`), and overwrites its own folders `bucket=.../batch=...`, so a batch that is run
     again after a loss changes nothing. A page that failed may arrive again; its article then
-    stands beside the failure, and `latest_articles` shows the article.
+    stands beside the failure, and `latest_articles` shows the article. An output that has no runs yet gets one of
+    all it holds.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
+        if not seen.runs(session, output):
+            older = written_before(session, output, batch_id, list(range(BUCKETS)))
+            if older is not None:
+                seen.remember(session, output, batch_id - 1, older)
+        seen.merge(session, output, batch_id)
         fresh = one_version(batch)
-        held = sorted(r[0] for r in batch.select(bucket()).distinct().collect())  # at most BUCKETS numbers
-        done = written_before(session, output, batch_id, held)
+        done = seen.seen_before(session, output, batch_id, batch)
         if done is not None:
             fresh = fresh.join(done, "page_id", "left_anti")
         cleaned = articles(fresh, profile, keep_images=keep_images, keep_infobox=keep_infobox)
         cleaned = cleaned.withColumns({"bucket": bucket(), "batch": F.lit(batch_id)})
         writer = cleaned.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy("bucket", "batch").parquet(output)
+        # Pages with HTML are those that do not fail.
+        seen.remember(session, output, batch_id, fresh.filter("html <> ''"))
 
     reader = spark.readStream.schema(PAGE_SCHEMA)
     if files_per_batch:

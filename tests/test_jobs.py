@@ -1,5 +1,6 @@
 """Titles, lookup, templates, writers, pacing and the micro-batch job."""
 
+import hashlib
 import json
 import random
 import warnings
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pageloom import Profile, articles
 from pageloom.functions.text import page_url
-from pageloom.operators import outcome
+from pageloom.operators import outcome, pacing
 from pageloom.operators.pacing import pace_requests
 from pageloom.plans.harvest import harvest
 from pageloom.plans.run import run
@@ -19,6 +20,7 @@ from pageloom.sinks import writers
 from pageloom.sources import titles as T
 from pageloom.sources.pages import read_html_files, read_pages
 from pageloom.sources.templates import load_template
+from pageloom.streaming import seen
 from pageloom.streaming.harvest import PAGE_SCHEMA, bucket, latest_articles, stream_articles, written_before
 
 
@@ -48,6 +50,16 @@ def test_title_file_read_in_several_splits(spark, tmp_path):
     assert [tuple(r) for r in rows] == list(enumerate(names))
 
 
+def test_title_file_is_read_once(spark, tmp_path):
+    (tmp_path / "t.txt").write_text("a\nb\n")
+    frame = T.read_titles(spark, str(tmp_path / "t.txt"))
+    assert [tuple(r) for r in frame.orderBy("ord").collect()] == [(0, "a"), (1, "b")]
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    assert final.count("FileScan text") == 1 and "ReusedExchange" in final
+
+
 def test_empty_title_list_is_an_error(spark, tmp_path):
     (tmp_path / "t.txt").write_text("\n  \n")
     with pytest.raises(ValueError, match="empty"):
@@ -82,6 +94,20 @@ def test_draws_and_limits(spark):
     assert [r.title for r in T.first_titles(titles, 3).collect()] == ["a", "b", "a"]
 
 
+def test_draws_are_bottom_n_sketches(spark):
+    titles = spark.range(5000).selectExpr("concat('t', id % 700) AS title").repartition(6)
+    drawn = T.random_titles(titles, 25, "s")
+    rows = drawn.collect()
+    assert [r.ord for r in sorted(rows)] == list(range(25))
+    wanted = sorted((hashlib.md5(f"st{i}".encode()).hexdigest(), f"t{i}") for i in range(700))[:25]
+    assert [(r.rank_key, r.title) for r in sorted(rows)] == wanted
+    keyed = titles.selectExpr("md5(concat('s', title)) AS rank_key", "title")
+    sketches = keyed.mapInArrow(T._least(25), "rank_key string, title string")
+    counts = sketches.groupBy(F.spark_partition_id()).count().collect()
+    assert len(counts) == 6 and all(r["count"] == 25 for r in counts)
+    assert T.random_titles(titles, 9999, "s").count() == 700
+
+
 def test_page_sources(spark, tmp_path):
     (tmp_path / "html").mkdir()
     (tmp_path / "html" / "a.html").write_text("<p>\nx</p>")
@@ -212,6 +238,30 @@ def test_one_run_cleans_once(spark, tmp_path):
     assert plan.count("ArrowEvalPython") == 1
 
 
+def test_run_of_drawn_titles_as_one_array(spark, tmp_path):
+    pages = spark.range(30).selectExpr("id AS page_id", "concat('T', id) AS name").select(
+        "page_id", page_url(F.col("name")).alias("url"), F.concat(F.lit('<div id="mw-content-text"><p>about '), "name").alias("html")
+    )
+    known = spark.range(40).selectExpr("concat('T', id) AS title")
+    with pytest.warns(UserWarning, match="images"):
+        report = run(None, pages, str(tmp_path / "out"), count=12, known=known, seed="x", as_array=True, keep_images=True, template={"c": "{content}"})
+    drawn = [r.title for r in T.random_titles(known, 12, "x").orderBy("ord").collect()]
+    found = [t for t in drawn if int(t[1:]) < 30]
+    assert [a["c"] for a in json.loads(read_parts(tmp_path / "out" / "articles"))] == [f"about {t}" for t in found]
+    assert tuple(report["summary"]) == (12, len(found), 12 - len(found)) and tuple(report["left_out"]) == (12 - len(found), max(2 - len(found), 0))
+    assert [r.title for r in report["failures"]] == [t for t in drawn if t not in found][:10]
+    assert len(report["warnings"]) == 1 and report["seconds"] > 0
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["articles", "failures", "outcomes"]
+
+
+def test_run_refuses_what_it_cannot_do(spark, tmp_path):
+    pages = spark.createDataFrame([], "page_id bigint, url string, html string")
+    for titles, options in ((listed(spark, "a").limit(0), {}), (None, {}), (None, {"count": 3}), (None, {"count": 0, "known": listed(spark, "a")})):
+        with pytest.raises(ValueError):
+            run(titles, pages, str(tmp_path / "out"), **options)
+    assert not (tmp_path / "out").exists()
+
+
 def test_repeated_and_null_ids_stay_apart(spark):
     html = wiki("<p>{}</p>", "T")
     rows = [(7, "x", html.format("first")), (7, "x", html.format("second")), (None, "n", html.format("third")), (None, "n", html.format("third")), (8, "e", None), (8, "e", "")]
@@ -241,6 +291,24 @@ def test_pacing_against_the_rule(spark):
         assert got == expected
 
 
+def test_a_burst_is_cut_by_its_requests(spark):
+    """All arrivals in one slice: parts of it are paced apart and meet by one row each."""
+    rng = random.Random(3)
+    rows = [(i, "h" if i % 50 else None, 59_000_000 + rng.choice((rng.randint(0, 900_000), 5))) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "id int, host string, at bigint").repartition(3)
+    expected, last = {}, {}
+    for i, host, at in sorted(rows, key=lambda r: (r[2], r[0])):
+        last[host] = max(at, last[host] + 40) if host in last else at
+        expected[i] = last[host]
+    got = {r.id: r.send_us for r in pace_requests(frame, "host", "at", "id", 40, slice_rows=100).collect()}
+    assert got == expected
+    sliced = frame.selectExpr("*", "at div 60000000 AS slice", "(at % 60000000) div 915 AS bin")
+    parts = pacing._cuts(sliced, "host", 100).groupBy("cut_host", "part").count().collect()
+    # About half of the requests share one moment and stay together; the others are some 1500 over parts of 100.
+    assert len([p for p in parts if p.cut_host == "h"]) >= 14 and not [p for p in parts if p.cut_host is None]
+    assert pacing._cuts(sliced, "host", 100_000).count() == 0
+
+
 def test_stream_writes_each_page_once(spark, tmp_path):
     source, output, checkpoint = (str(tmp_path / n) for n in ("in", "out", "state"))
 
@@ -275,3 +343,32 @@ def test_stream_writes_each_page_once(spark, tmp_path):
     (tmp_path / "bad" / f"bucket={first}").mkdir(parents=True)
     with pytest.raises(Exception, match="schema|SCHEMA"):
         written_before(spark, str(tmp_path / "bad"), 99, [first])
+
+
+def test_seen_ids_stay_in_few_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(seen, "FAN", 3)
+    monkeypatch.setattr(seen, "FILE_ROWS", 100)
+    out, rng = str(tmp_path / "out"), random.Random(2)
+    known, everything = set(), list(range(0, 20_000, 7))
+    for batch in range(14):
+        ids = rng.sample(everything, 100)
+        frame = spark.createDataFrame([(i,) for i in [*ids, ids[0]]], "page_id bigint")
+        seen.merge(spark, out, batch)
+        done = seen.seen_before(spark, out, batch, frame)
+        hits = set() if done is None else {r.page_id for r in frame.join(done, "page_id", "left_semi").collect()}
+        assert hits == known & set(ids)
+        seen.remember(spark, out, batch, frame)
+        if batch == 9:  # the batch runs again: it must not see itself
+            again = seen.seen_before(spark, out, batch, frame)
+            assert {r.page_id for r in frame.join(again, "page_id", "left_semi").collect()} == known & set(ids)
+            seen.remember(spark, out, batch, frame)
+        known |= set(ids)
+    found = seen.runs(spark, out)
+    # 14 batches: two levels are full, and at most two runs wait on each.
+    assert len(found) <= 6 and {r.level for r in found} == {0, 1, 2}
+    assert sorted(b for r in found for b in range(r.first, r.last + 1)) == list(range(14))
+    files = seen.files_met(spark, out, 99, spark.range(20_000).selectExpr("id AS page_id"))
+    few = seen.files_met(spark, out, 99, spark.range(3, 30, 7).selectExpr("id AS page_id"))
+    assert len(files) >= 6 and 0 < len(few) <= len(found) < len(files)
+    assert seen.files_met(spark, out, 99, spark.range(20_100, 20_200).selectExpr("id AS page_id")) == []
+    assert seen.files_met(spark, out, 0, spark.range(20_000).selectExpr("id AS page_id")) == []
