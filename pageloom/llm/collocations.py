@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import materialised, table
+from pageloom.llm.common import materialised, table, temporary
 from pageloom.llm.tally import Tally, lower_ascii, word_strings
 from pageloom.llm.words import grams, hashes, mix, slices, spans
 
@@ -195,19 +195,24 @@ def sieves_of(docs: DataFrame, longest: int, least: int, *, limit: int = 1_000_0
         packed = _texts(docs).mapInArrow(counted, "bucket int, key array<long>, n array<long>").repartition("bucket")
         # The exchange by bucket serves the sums as it is.
         summed = packed.selectExpr("bucket", "inline(arrays_zip(key, n))").groupBy("bucket", "key").agg(F.sum("n").alias("n"))
-        enough = materialised(summed.where(F.col("n") >= least).select("key"))
-        shared.destroy()
-        bits = min(SIEVE_BITS, max(16, (16 * enough.count()).bit_length()))
-        sieve = np.zeros(1 << (bits - 6), np.uint64)
-        mask = (1 << bits) - 1
-        probes = f"array(key & {mask}L, shiftrightunsigned(key, {64 - bits}) & {mask}L)"
-        placed = enough.selectExpr(f"explode({probes}) AS probe").selectExpr("shiftright(probe, 6) AS place", "shiftleft(1L, CAST(probe & 63 AS INT)) AS bit")
-        rows = placed.groupBy("place").agg(F.expr("bit_or(bit)").alias("bit")).toArrow()  # at most 2^(SIEVE_BITS - 6) rows
-        sieve[rows["place"].to_numpy()] = rows["bit"].to_numpy().view(np.uint64)
-        sieves.append(sieve)
+        with temporary(summed.where(F.col("n") >= least).select("key")) as enough:
+            shared.destroy()
+            sieves.append(_sieve(enough))
     return sieves
 
 
+def _sieve(keys: DataFrame) -> np.ndarray:
+    """The filter of a table of hashes, at least 16 bits for each while the bound allows."""
+    bits = min(SIEVE_BITS, max(16, (16 * keys.count()).bit_length()))
+    mask = (1 << bits) - 1
+    probes = f"array(key & {mask}L, shiftrightunsigned(key, {64 - bits}) & {mask}L)"
+    placed = keys.selectExpr(f"explode({probes}) AS probe").selectExpr("shiftright(probe, 6) AS place", "shiftleft(1L, CAST(probe & 63 AS INT)) AS bit")
+    rows = placed.groupBy("place").agg(F.expr("bit_or(bit)").alias("bit")).toArrow()  # at most 2^(SIEVE_BITS - 6) rows
+    sieve = np.zeros(1 << (bits - 6), np.uint64)
+    sieve[rows["place"].to_numpy()] = rows["bit"].to_numpy().view(np.uint64)
+    return sieve
+
+
 def stripes(docs: DataFrame, sizes: range, shared: Broadcast, *, limit: int = 400_000) -> DataFrame:
     """`lang, prefix, next, n`: the merged stripes of the phrases of these sizes that pass the filters, one row per element.
 

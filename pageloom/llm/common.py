@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +17,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`, which all executors see; beside the warehouse where that is unset."""
+    """The folder of `spark.checkpoint.dir`, which all executors see; beside the warehouse where that is unset and all run in this process."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
     return context.getCheckpointDir()
 
@@ -67,8 +71,29 @@ def components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(roots)
 
 
-def materialised(frame: DataFrame) -> DataFrame:
-    """Write to the shared folder as Parquet and read again: what follows starts from the files."""
+def written(frame: DataFrame) -> str:
+    """The path of a new table in the shared folder that holds the rows."""
     path = f"{shared_folder(frame.sparkSession)}/table-{uuid.uuid4()}"
     frame.write.parquet(path)
-    return frame.sparkSession.read.parquet(path)
+    return path
+
+
+def materialised(frame: DataFrame) -> DataFrame:
+    """Write to the shared folder as Parquet and read again: what follows starts from the files, which stay for who reads the result."""
+    return frame.sparkSession.read.parquet(written(frame))
+
+
+@contextmanager
+def temporary(frame: DataFrame) -> Iterator[DataFrame]:
+    """The same for a table that nothing reads after the block; its files go."""
+    spark, path = frame.sparkSession, written(frame)
+    try:
+        yield spark.read.parquet(path)
+    finally:
+        remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)

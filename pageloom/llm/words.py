@@ -69,24 +69,26 @@ def blank_kinds() -> np.ndarray:
     return kinds
 
 
+def powers(n: int) -> np.ndarray:
+    """Powers of a fixed odd number and of its inverse, n at least; kept in the worker up to a slice, made anew for longer texts."""
+    if n > SLICE_BYTES + 1 or "powers" not in _STATE:
+        both = np.empty((2, max(n, SLICE_BYTES + 1)), np.uint64)
+        both[:, 0] = 1
+        both[0, 1:] = np.uint64(0xD6E8FEB86659FD93)
+        both[1, 1:] = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+        np.multiply.accumulate(both, axis=1, out=both)
+        if n > SLICE_BYTES + 1:
+            return both
+        _STATE["powers"] = both
+    return _STATE["powers"]
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span, from one running sum over the bytes."""
     n = len(data)
-    powers = _STATE.get("powers")
-    if powers is None or len(powers) < n + 1:
-        size = max(n + 1, SLICE_BYTES + 1)
-        base = np.uint64(0xD6E8FEB86659FD93)
-        inverse = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
-        both = np.empty((2, size), np.uint64)
-        both[:, 0] = 1
-        both[0, 1:] = base
-        both[1, 1:] = inverse
-        np.multiply.accumulate(both, axis=1, out=both)
-        _STATE["powers"], _STATE["inverse"] = powers, inverses = both
-        _STATE["bytes"] = constants(256, 7)
-    inverses = _STATE["inverse"]
+    up, inverses = powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_STATE["bytes"][data] * powers[:n], out=total[1:])
+    np.cumsum(constants(256, 7)[data] * up[:n], out=total[1:])
     h = (total[ends] - total[starts]) * inverses[starts]
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -111,8 +113,9 @@ def whole(first: np.ndarray, n: int, count: int) -> np.ndarray:
 
 
 def rolling(h: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each n consecutive values from one running sum; needs `hashes` to have run on their bytes."""
+    """Hash of each n consecutive values from one running sum."""
     count = max(0, len(h) - n + 1)
+    up, inverses = powers(len(h))
     total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * _STATE["powers"][: len(h)], out=total[1:])
-    return mix((total[n : n + count] - total[:count]) * _STATE["inverse"][:count])
+    np.cumsum(h * up[: len(h)], out=total[1:])
+    return mix((total[n : n + count] - total[:count]) * inverses[:count])
