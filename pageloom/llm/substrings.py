@@ -1,4 +1,4 @@
-"""Substring dedup: suffix trees in groups that share a prefix, of which deep nodes are repeats.
+"""Substring dedup: sorted suffixes in groups that share a prefix, of which deep nodes of the suffix tree are repeats.
 
 A suffix starts at every word that has `WINDOW` words of its document before it; it matters no
 further than that. Suffixes with equal first `WINDOW` words lie below one node of the suffix tree, at
@@ -8,11 +8,12 @@ depth `WINDOW` or more: a deep node. A window is repeated if its deep node holds
    them, their anchor. Suffixes in a row that share an anchor travel as one piece of text, some 70 words
    for 22 suffixes, where groups by the first words alone would ship every word once per suffix.
    Anchors that lie in one document only have no deep node and are dropped before any text moves.
-2. Subtrees. A task takes anchors in order, as many as fit its memory, and follows their suffixes down
-   by prefixes of doubling length; branches that hold one document end there. What is left at depth
-   `WINDOW` are the deep nodes.
+2. Subtrees. A task takes anchors in order, as many as fit its memory, and ranks their suffixes by prefixes of doubling
+   length, words by words and not by hashes. Suffixes of one rank lie below one node; branches that hold one document end
+   there. What is left at depth `WINDOW` are the deep nodes, and runs of suffixes below deep nodes are the
+   repeats at their full length. Nodes are the ranks; no pointers are built.
 3. Anchors of more than `HEAVY` documents or `HEAVY_BYTES` of pieces would make a group too large for a task. There the prefix that
-   splits the suffixes is as long as the window, so every group is one deep node, and its smallest
+   splits the suffixes is as long as the window, so every group is one deep node, named by two 64-bit hashes, and its smallest
    document is a grouped minimum.
 
 Rules. Words are `[^\\x20\\x09-\\x0D]+`, unchanged; null text has none. Windows are judged on the input.
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.common import shuffle_partitions, table
+from pageloom.llm.tally import word_strings
 from pageloom.llm.words import blank_kinds, hashes, mix, rolling, slices, spans, whole
 
 WINDOW = 50
@@ -119,16 +121,19 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def deep_nodes(h: np.ndarray, suffix: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Which suffixes, by start among words h, share their first WINDOW words with a smaller document.
+def deep_nodes(words: np.ndarray, suffix: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Which suffixes, by start among the words, share their first WINDOW words with a smaller document.
 
-    Nodes are named by the hash of their path, of doubling length; branches within one document end.
+    `words` are numbers, equal where the words are. Suffixes are ranked by their first 1, 2, 4, ... words, each rank made of the two
+    ranks before it, so ranks are exact and in order; suffixes of one rank lie below one node of the tree at that
+    depth. Branches that hold one document end there.
     """
-    names, depth = h, 1
+    ranks, depth = np.unique(words, return_inverse=True)[1], 1
     active = np.arange(len(suffix))
 
-    def longer(names: np.ndarray, by: int) -> np.ndarray:
-        return mix(names[: len(names) - by] * np.uint64(0x9FB21C651E98DF25) + mix(names[by:]))
+    def longer(ranks: np.ndarray, by: int) -> np.ndarray:
+        both = ranks[: len(ranks) - by].astype(np.int64) * (int(ranks.max(initial=0)) + 1) + ranks[by:]
+        return np.unique(both, return_inverse=True)[1]
 
     def shared(values: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffixes whose node holds several documents, and those above the node's smallest."""
@@ -140,14 +145,14 @@ def deep_nodes(h: np.ndarray, suffix: np.ndarray, docs: np.ndarray) -> np.ndarra
         return order[low != high], order[d > low]
 
     while depth * 2 <= WINDOW:
-        names = longer(names, depth)
+        ranks = longer(ranks, depth)
         depth *= 2
         if depth >= SEED:
-            keep, _ = shared(names[suffix[active]], docs[active])
+            keep, _ = shared(ranks[suffix[active]], docs[active])
             active = active[keep]
     if depth < WINDOW:
-        names = longer(names, WINDOW - depth)
-    _, repeated = shared(names[suffix[active]], docs[active])
+        ranks = longer(ranks, WINDOW - depth)
+    _, repeated = shared(ranks[suffix[active]], docs[active])
     out = np.zeros(len(suffix), bool)
     out[active[repeated]] = True
     return out
@@ -163,7 +168,8 @@ def _repeats(rows: pa.RecordBatch) -> pa.RecordBatch:
     inner = np.arange(len(piece)) - np.repeat(np.cumsum(many) - many, many)
     suffix = first[piece] + inner
     # Pieces of other anchors cannot share a window, so all subtrees are built at once.
-    hit = np.flatnonzero(deep_nodes(hashes(data, starts, ends), suffix, docs[piece]))
+    words = word_strings(data, starts, ends).dictionary_encode().indices.to_numpy()
+    hit = np.flatnonzero(deep_nodes(words, suffix, docs[piece]))
     new = np.ones(len(hit), bool)
     new[1:] = (hit[1:] != hit[:-1] + 1) | (piece[hit[1:]] != piece[hit[:-1]])
     run = np.flatnonzero(new)
@@ -292,3 +298,16 @@ def op2_substrings(spark, folder: str) -> DataFrame:
     """All documents, windows of 50 words."""
     kept = without_repeats(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM d)),
+f AS (SELECT win, min(doc_id) AS first FROM w GROUP BY win HAVING min(doc_id) < max(doc_id)),
+b AS (SELECT DISTINCT doc_id, i + unnest(range(0, 50)) AS i FROM w JOIN f USING (win) WHERE doc_id > first),
+g AS (SELECT doc_id, list(i) AS gone FROM b GROUP BY doc_id),
+p AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM d),
+k AS (SELECT p.doc_id, string_agg(words[p.i], ' ' ORDER BY p.i) AS kept FROM p ANTI JOIN b ON p.doc_id = b.doc_id AND p.i = b.i GROUP BY p.doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id LEFT JOIN k ON d.doc_id = k.doc_id
+"""
