@@ -1,9 +1,10 @@
 """Language identification in two steps: the family first, then the language within it.
 
 Both steps use one-versus-one linear support vector machines over hashed byte trigrams of the letters
-of the whole text, in lower case. They are trained on the driver from at most `sample` documents of
-each language, chosen by a hash of the id; prediction adds up weights over each whole text in Arrow
-batches.
+of the whole text, in lower case. They are trained on the driver from at most `sample` documents of each of at most
+`languages` languages, the most frequent ones; documents are chosen by a hash of the id, and of each, however long,
+the driver sees the counts of its different trigrams, `FEATURES` at most. Prediction adds up weights over each whole text in
+Arrow batches.
 
 Rules. A null text and a text without a letter are `und` with score 0, and so is every text when
 nothing can be learned. The score is the smaller of the two steps' mean confidence of the winner
@@ -27,6 +28,7 @@ from pageloom.llm.words import slices
 
 FEATURES = 1 << 15
 SAMPLE = 400
+LANGUAGES = 40
 # Families of language codes; a code not listed is a family of its own.
 FAMILIES = {
     "germanic": "en de nl af sv da no nb nn is fy lb yi",
@@ -65,8 +67,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, data, offsets in slices(batch.column(0)):
             found, first = trigrams(data, offsets)
-            lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(found))
-            yield pa.record_batch([lists, batch.column(1).slice(row, len(first) - 1)], names=["features", "lang"])
+            text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+            both, counts = np.unique(text * FEATURES + found, return_counts=True)
+            starts = pa.array(np.searchsorted(both, np.arange(len(first)) * FEATURES), pa.int32())
+            lists = [pa.ListArray.from_arrays(starts, pa.array(v.astype(np.int32))) for v in (both % FEATURES, counts)]
+            yield pa.record_batch([*lists, batch.column(1).slice(row, len(first) - 1)], names=["features", "counts", "lang"])
 
 
 def train_svm(rows: list[tuple[np.ndarray, np.ndarray]], signs: np.ndarray, *, cost: float = 1.0, epochs: int = 8) -> np.ndarray:
@@ -98,9 +103,11 @@ def _machines(rows: dict[str, list]) -> list[tuple[str, str, np.ndarray]]:
     return out
 
 
-def learn(docs: DataFrame, *, sample: int = SAMPLE) -> dict:
+def learn(docs: DataFrame, *, sample: int = SAMPLE, languages: int = LANGUAGES) -> dict:
     """{"families": names, "top": machines, "within": {family: (languages, machines)}}"""
     mine = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(~held_out())
+    most = mine.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
+    mine = mine.join(F.broadcast(most), "lang", "left_semi")  # at most `languages` rows
     ids = mine.select("doc_id", "lang").distinct().selectExpr(
         "doc_id AS id", "lang AS tongue", "row_number() OVER (PARTITION BY lang ORDER BY xxhash64(doc_id), doc_id) AS nth"
     )
@@ -108,14 +115,12 @@ def learn(docs: DataFrame, *, sample: int = SAMPLE) -> dict:
     picked = mine.join(F.broadcast(ids), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("tongue")))
     picked = picked.groupBy("id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     text = F.concat(F.lit(" "), F.lower("text"), F.lit(" "))
-    got = picked.select(text.alias("body"), "lang").mapInArrow(_features, "features array<int>, lang string").toArrow()
-    lists = got.column(0).combine_chunks()
-    values, lengths = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
-    ends = lengths.cumsum()
+    made = picked.select(text.alias("body"), "lang").mapInArrow(_features, "features array<int>, counts array<int>, lang string").toArrow()
+    lists = zip(made.column(0), made.column(1), made.column(2).to_pylist(), strict=True)
+    counted = [(lang, at.values.to_numpy(), counts.values.to_numpy()) for at, counts, lang in lists]
     rows: dict[str, list] = {}
-    for lang, end, n in sorted(zip(got.column(1).to_pylist(), ends, lengths, strict=True), key=lambda r: (r[0], r[2], values[r[1] - r[2] : r[1]].tobytes())):
-        if n:
-            at, counts = np.unique(values[end - n : end], return_counts=True)
+    for lang, at, counts in sorted(counted, key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes())):
+        if len(at):
             rows.setdefault(lang, []).append((at, counts / np.sqrt((counts.astype(float) ** 2).sum())))
     families: dict[str, dict[str, list]] = {}
     for lang, own in rows.items():
