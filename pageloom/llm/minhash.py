@@ -18,7 +18,7 @@ number of shingles of a document over `RARE`.
 4. Candidates are verified by weighted Jaccard similarity over whole texts; links give components.
 
 Rules. Texts without words and rows without id are in no class but their own and are kept. Rows that
-share an id are one document. Ties do not occur: the smallest id of a component stays. An empty table
+share an id are one document. The smallest id of a component stays, and ids are distinct by then, so nothing ties. An empty table
 gives an empty result. Other columns are ignored.
 """
 
@@ -34,14 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.common import checkpoint, components, shuffle_partitions, table
-from pageloom.llm.words import _STATE, blank_kinds, constants, grams, hashes, mix, slices, spans, whole
+from pageloom.llm.words import blank_kinds, constants, grams, hashes, mix, powers, slices, spans, whole
 
 SHINGLE = 5
 THRESHOLD = 0.8
 LEAST = THRESHOLD - 1e-9  # sums of weights are rounded; a pair at the threshold itself is linked
 BANDS, ROWS = 12, 4
 RARE = 1 / 1000
-TABLE_BITS, TILE_BITS = 21, 13
+TABLE_BITS, MOST_BITS, TILE_BITS = 21, 24, 13  # buckets at least and at most, as bits; of a tile
 DRAW_BITS = 16
 STAR, BLOCK = 500, 128  # members per part of a star; per block of a bucket
 SLICE = 1 << 19
@@ -58,7 +58,7 @@ class Weights:
 
     def of(self, shingles: np.ndarray) -> np.ndarray:
         out = np.full(len(shingles), self.rare)
-        at = np.flatnonzero(self.buckets[shingles >> np.uint64(64 - TABLE_BITS)])
+        at = np.flatnonzero(self.buckets[shingles >> _shift(self.buckets)])
         if len(self.shingles) and len(at):
             place = np.minimum(np.searchsorted(self.shingles, shingles[at]), len(self.shingles) - 1)
             same = self.shingles[place] == shingles[at]
@@ -66,6 +66,11 @@ class Weights:
         return out
 
 
+def _shift(table: np.ndarray) -> np.uint64:
+    """How far to shift a hash so that it numbers the buckets of a table of 2^n of them."""
+    return np.uint64(65 - len(table).bit_length())
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray):
     """(distinct shingles of each text in order, their counts, first of each text, two keys of its words)."""
     starts, ends, first = spans(data, offsets, blank_kinds())
@@ -89,27 +94,32 @@ def shingles(data: np.ndarray, offsets: np.ndarray):
     for seed in (3, 5):
         total = np.zeros(len(h) + 1, np.uint64)
         if len(h):
-            np.cumsum(mix(h + np.uint64(seed)) * _STATE["powers"][: len(h)], out=total[1:])
-            keys.append(mix((total[first[1:]] - total[first[:-1]]) * _STATE["inverse"][first[:-1]] + count.astype(np.uint64)))
+            up, inverses = powers(len(h) + 1)
+            np.cumsum(mix(h + np.uint64(seed)) * up[: len(h)], out=total[1:])
+            keys.append(mix((total[first[1:]] - total[first[:-1]]) * inverses[first[:-1]] + count.astype(np.uint64)))
         else:
             keys.append(np.zeros(len(count), np.uint64))
     return values[at], counts, np.searchsorted(text[at], np.arange(len(offsets))), keys
 
 
-def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bucket_counts(bits: int):
     """Documents per hash bucket, as compressed tiles of the table."""
-    counts = np.zeros(1 << TABLE_BITS, np.uint32)
-    for batch in batches:
-        for _, data, offsets in slices(batch.column(0), SLICE):
-            values = shingles(data, offsets)[0]
-            at, n = np.unique(values >> np.uint64(64 - TABLE_BITS), return_counts=True)
-            counts[at] += n.astype(np.uint32)
-    tiles = counts.reshape(-1, 1 << TILE_BITS)
-    some = np.flatnonzero(tiles.any(1))
-    yield pa.record_batch(
-        [pa.array(some, pa.int32()), pa.array([zlib.compress(tiles[i].tobytes(), 1) for i in some], pa.binary())],
-        names=["tile", "counts"],
-    )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, np.uint32)
+        for batch in batches:
+            for _, data, offsets in slices(batch.column(0), SLICE):
+                values = shingles(data, offsets)[0]
+                at, n = np.unique(values >> _shift(counts), return_counts=True)
+                counts[at] += n.astype(np.uint32)
+        tiles = counts.reshape(-1, 1 << TILE_BITS)
+        some = np.flatnonzero(tiles.any(1))
+        yield pa.record_batch(
+            [pa.array(some, pa.int32()), pa.array([zlib.compress(tiles[i].tobytes(), 1) for i in some], pa.binary())],
+            names=["tile", "counts"],
+        )
+
+    return count
 
 
 def _crowded_tiles(least: float):
@@ -138,7 +148,7 @@ def _candidate_counts(buckets):
         for batch in batches:
             for _, data, offsets in slices(batch.column(0), SLICE):
                 values = shingles(data, offsets)[0]
-                at, n = np.unique(values[crowded[values >> np.uint64(64 - TABLE_BITS)]], return_counts=True)
+                at, n = np.unique(values[crowded[values >> _shift(crowded)]], return_counts=True)
                 if len(at):
                     yield pa.record_batch([pa.array(at.view(np.int64)), pa.array(n)], names=["shingle", "n"])
 
@@ -148,16 +158,21 @@ def _candidate_counts(buckets):
 def weights(docs: DataFrame) -> Weights:
     """Document frequencies over all documents."""
     spark = docs.sparkSession
-    total = docs.count()
+    total, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("decimal(20,0)")), F.lit(0))).head()
+    # Enough buckets that one holds a quarter of the threshold on average, a word taken as six bytes; 64 MB a task at most.
+    mean = float(size) / max(total, 1) / 6
+    bits = min(MOST_BITS, max(TABLE_BITS, int(np.ceil(np.log2(max(4 / RARE * mean, 1))))))
     texts = docs.select("text")
-    tiles = texts.mapInArrow(_bucket_counts, "tile int, counts binary")
+    tiles = texts.mapInArrow(_bucket_counts(bits), "tile int, counts binary")
     tiles = tiles.repartition(shuffle_partitions(spark), "tile").sortWithinPartitions("tile")
-    crowded = np.zeros((1 << TABLE_BITS - TILE_BITS, 1 << TILE_BITS), bool)
+    crowded = np.zeros((1 << bits - TILE_BITS, 1 << TILE_BITS), bool)
     for tile, bits in tiles.mapInArrow(_crowded_tiles(total * RARE), "tile int, bits binary").collect():  # one bit a bucket
         crowded[tile] = np.unpackbits(np.frombuffer(bits, np.uint8)).view(bool)
     crowded = crowded.ravel()
-    found = texts.mapInArrow(_candidate_counts(spark.sparkContext.broadcast(crowded)), "shingle long, n long")
+    shared = spark.sparkContext.broadcast(crowded)
+    found = texts.mapInArrow(_candidate_counts(shared), "shingle long, n long")
     found = found.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > total * RARE).toArrow()
+    shared.destroy()
     common, n = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
     order = np.argsort(common)
     values = 1 + np.log(total / np.maximum(n[order], 1))
@@ -233,14 +248,14 @@ def similarity(a, b) -> float:
     return float(both / (a[2] + b[2] - both))
 
 
-def _vectors(texts: pa.Array, idf: Weights) -> list[tuple[np.ndarray, np.ndarray, float]]:
-    out = []
+def _vectors(texts: pa.Array, idf: Weights) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """(shingles, weights, total weight) of each text, a slice at a time."""
     for _, data, offsets in slices(texts, SLICE):
         values, counts, first, _ = shingles(data, offsets)
         weight = counts * idf.of(values)
         for i, j in zip(first[:-1], first[1:], strict=True):
-            out.append((values[i:j], weight[i:j], float(weight[i:j].sum())))
-    return out
+            # Copies, so that a vector that is kept does not keep its slice.
+            yield values[i:j].copy(), weight[i:j].copy(), float(weight[i:j].sum())
 
 
 LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -353,6 +368,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     open_ = known.where("n > 2").groupBy("band").agg(F.min("component").alias("c"), F.max("component").alias("d"))
     known = checkpoint(known.join(open_.where("c <> d").select("band"), "band", "left_semi"))
     if known.isEmpty():
+        shared.destroy()
         return found, members
     cells = (
         known.withColumn("blocks", F.expr(f"ceil(n / {BLOCK})"))
@@ -367,7 +383,9 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .sortWithinPartitions("band", "low", "high")
         .mapInArrow(_blocks(shared), "a long, b long")
     )
-    return checkpoint(found.union(more)), members
+    both = checkpoint(found.union(more))
+    shared.destroy()
+    return both, members
 
 
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
