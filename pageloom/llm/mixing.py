@@ -6,8 +6,9 @@ counting in its next epoch. All sources therefore reach time 1 at their targets.
 schedule in order of finish time, cut where the budget is used up.
 
 Running sums never meet in one task: a source is cut into `BUCKETS` hash ranges whose sums are added
-up first, and the place of the cut is found by sums over ranges of finish time, refined until few
-documents are left. Only that one place is held on the driver.
+up first. The schedule is dealt by ranges of finish time and sorted; one sum per range tells in which of them the budget ends, and
+that range alone is summed up row by row. Only the last place that is taken is held on the driver. `mixed` delivers the
+mix in the order of the schedule.
 
 Rules. Size is the number of words; null text has none. Sources go by code point, null last, and weigh
 as `weights` says, repeating. A target stops at `epochs` times its source's size and the excess goes to
@@ -21,12 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageloom.llm.common import WORD, checkpoint, table
+from pageloom.llm.common import WORD, checkpoint, shuffle_partitions, table
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
 BUCKETS = 4096  # three hexadecimal digits of the hash
-FEW = 10_000
 SEED = "mix"
 
 
@@ -51,7 +51,7 @@ def targets(rows: DataFrame, weights: tuple[int, ...], epochs: int) -> DataFrame
     )
 
 
-def planned(
+def scheduled(
     docs: DataFrame,
     *,
     weights: tuple[int, ...] = WEIGHTS,
@@ -61,7 +61,7 @@ def planned(
     source_column: str = "source",
     text_column: str = "text",
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, times, row_key): how often the mix takes each document."""
+    """(doc_id, source, size, source_size, target, times, row_key, upto, places): how often the mix takes each document, and when."""
     rows = docs.select(
         F.col(id_column).cast("long").alias("doc_id"),
         F.col(source_column).cast("string").alias("source"),
@@ -91,23 +91,22 @@ def planned(
         "struct((({e} - 1) * source_size + upto) / target AS f, int(sid) AS sid, {e} AS e, u, "
         "coalesce(doc_id, 0L) AS d, row_key AS k)"
     )
-    every = f"transform(sequence(1, {epochs}), e -> {order.format(e='e')})"
-    queue = placed.where("size > 0 AND target > 0").select("size", F.explode(F.expr(every)).alias("o"))
+    every = F.expr(f"transform(sequence(1, {epochs}), e -> {order.format(e='e')})")
+    queue = placed.where("size > 0 AND target > 0").select("size", F.explode(every).alias("o"))
     budget = per_source.agg(F.max("budget")).head()[0] or 0
     cut = _cut(queue, budget)
     if cut is None:
         taken = F.lit(0)
     else:
         limit = F.struct(*(F.lit(v).cast(t).alias(n) for (n, t), v in zip(_ORDER, cut, strict=True)))
-        taken = sum(
-            (
-                F.when(F.expr(order.format(e=e)) <= limit, 1).otherwise(0)
-                for e in range(1, epochs + 1)
-            ),
-            F.lit(0),
-        )
-        taken = F.when(F.expr("size > 0 AND target > 0"), taken).otherwise(0)
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("times"), "row_key")
+        taken = F.when(F.expr("size > 0 AND target > 0"), F.size(F.filter(every, lambda o: o <= limit))).otherwise(0)
+    columns = ("doc_id", "source", "size", "source_size", "target")
+    return placed.select(*columns, taken.cast("long").alias("times"), "row_key", "upto", every.alias("places"))
+
+
+def planned(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, source, size, source_size, target, times, row_key): how often the mix takes each document."""
+    return scheduled(docs, **options).drop("upto", "places")
 
 
 _ORDER = (("f", "double"), ("sid", "int"), ("e", "int"), ("u", "bigint"), ("d", "bigint"), ("k", "bigint"))
@@ -115,52 +114,41 @@ _ORDER = (("f", "double"), ("sid", "int"), ("e", "int"), ("u", "bigint"), ("d",
 
 def _cut(queue: DataFrame, budget: int) -> tuple | None:
     """The last place of the schedule that the budget covers; None when it covers nothing."""
-    low, before = 0.0, 0
-    width = (queue.agg(F.max("o.f")).head()[0] or 1.0) * (1 + 1e-9)
-    while True:
-        width /= BUCKETS
-        inside = queue.where(F.col("o.f") >= low).where(F.col("o.f") < low + width * BUCKETS)
-        slot = F.floor((F.col("o.f") - low) / width)
-        found = (
-            inside.groupBy(slot.alias("slot"))
-            .agg(F.sum("size").alias("held"), F.count("*").alias("n"), F.min("o.f").alias("first"), F.max("o.f").alias("last"))
-            .selectExpr("*", "sum(held) OVER (ORDER BY slot) AS upto")
-            .where(F.col("upto") > budget - before)
-            .orderBy("slot")
-            .head()
-        )
-        if found is None:  # the budget covers all
-            last = queue.agg(F.max("o")).head()[0]
-            return None if last is None else tuple(last)
-        before += found["upto"] - found["held"]
-        here = queue.where(F.col("o.f") >= found["first"]).where(F.col("o.f") <= found["last"])
-        if found["n"] <= FEW or found["first"] == found["last"]:
-            last = here.selectExpr("o", "sum(size) OVER (ORDER BY o ROWS UNBOUNDED PRECEDING) AS upto")
-            last = last.where(F.col("upto") <= budget - before).agg(F.max("o")).head()[0]
+    ranges = shuffle_partitions(queue.sparkSession)
+    dealt = queue.repartitionByRange(ranges, "o").sortWithinPartitions("o")
+    # Written, so that a range holds the same rows whenever it is read.
+    queue = checkpoint(dealt.select(F.spark_partition_id().alias("range"), "o", "size"))
+    before = 0
+    for number, held in queue.groupBy("range").agg(F.sum("size").alias("held")).orderBy("range").collect():  # one row a range
+        if before + held > budget:
+            here = queue.where(F.col("range") == number)
+            upto = here.selectExpr("o", "sum(size) OVER (ORDER BY o ROWS UNBOUNDED PRECEDING) AS upto")
+            last = upto.where(F.col("upto") <= budget - before).agg(F.max("o")).head()[0]
             if last is None:
-                last = queue.where(F.col("o.f") < found["first"]).agg(F.max("o")).head()[0]
-            return None if last is None else tuple(last)
-        # The next round starts at the first finish time of this slot, so borders need no rounding.
-        low, width = found["first"], (found["last"] - found["first"]) * (1 + 1e-9)
+                last = queue.where(F.col("range") < number).agg(F.max("o")).head()[0]
+            break
+        before += held
+    else:  # the budget covers all
+        last = queue.agg(F.max("o")).head()[0]
+    return None if last is None else tuple(last)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns of the input.
+    """The documents of the mix in the order of the schedule, each as often as it is taken, with the columns of the input.
 
-    Rows that are equal in id, source and text share what they are taken together.
+    Rows that are equal in id, source and text have places that follow each other; which of them has which
+    follows from their other columns.
     """
     options = {"id_column": "doc_id", "source_column": "source", "text_column": "text", **options}
     key = F.xxhash64(*(options[c] for c in ("id_column", "source_column", "text_column")))
-    plan = planned(docs, **options).groupBy("row_key").agg(F.sum("times").alias("all"), F.count("*").alias("rows"))
-    held = docs.select(F.struct("*").alias("doc"), key.alias("row_key"))
-    held = held.selectExpr("*", "row_number() OVER (PARTITION BY row_key ORDER BY row_key) AS nth")
-    return (
-        held.join(plan.where("all > 0"), "row_key")
-        .withColumn("times", F.expr("all div rows + int(nth <= all % rows)"))
-        .where("times > 0")
-        .select("doc", F.explode(F.expr("sequence(1L, times)")).alias("epoch"))
-        .select("doc.*")
+    plan = scheduled(docs, **options).selectExpr(
+        "row_key AS plan_key", "row_number() OVER (PARTITION BY row_key ORDER BY upto) AS plan_nth", "slice(places, 1, int(times)) AS places"
     )
+    held = docs.select(F.struct("*").alias("doc"), key.alias("row_key"), F.xxhash64(F.to_json(F.struct("*"))).alias("rest"))
+    held = held.selectExpr("doc", "row_key", "row_number() OVER (PARTITION BY row_key ORDER BY rest) AS nth")
+    met = held.join(plan.where("size(places) > 0"), (F.col("row_key") == F.col("plan_key")) & (F.col("nth") == F.col("plan_nth")))
+    taken = met.select("doc", F.explode("places").alias("place"))
+    return taken.repartitionByRange("place").sortWithinPartitions("place").select("doc.*")
 
 
 def op6_mixing(spark, folder: str) -> DataFrame:
