@@ -157,10 +157,10 @@ def _positions(rule: Rule, number: int, text: Column) -> Column:
     def placed(rows: Column) -> Column:
         steps = F.transform(rows, lambda r: r["gap"] + F.coalesce(r["size"], F.lit(0)))
         both = F.arrays_zip(rows.alias("row"), running(steps, lambda x, y: x + y).alias("before"))
-        hits = F.filter(both, lambda b: b["0"]["part"] >= max(rule.least, 1))
-        begin = lambda b: b["1"] + b["0"]["gap"]
+        hits = F.filter(both, lambda b: b["row"]["part"] >= max(rule.least, 1))
+        begin = lambda b: b["before"] + b["row"]["gap"]
         return F.transform(
-            hits, lambda b: F.struct(begin(b).alias("start"), F.lit(number).alias("kind"), (begin(b) + b["0"]["size"]).alias("end"))
+            hits, lambda b: F.struct(begin(b).alias("start"), F.lit(number).alias("kind"), (begin(b) + b["row"]["size"]).alias("end"))
         )
 
     return _let(F.arrays_zip(gaps.alias("gap"), sizes.alias("size"), parts.alias("part")), placed)
@@ -243,8 +243,8 @@ def masked(text_column: Column | str = "text", *, spans: str = "spans", rules: t
         def joined(all_spans: Column) -> Column:
             ends = F.transform(all_spans, lambda s: s["end"])
             seen = F.arrays_zip(all_spans.alias("span"), running(ends, lambda x, y: F.greatest(x, y)).alias("at"))
-            new = F.filter(seen, lambda b: b["0"]["start"] >= b["1"])
-            gaps = F.transform(new, lambda b: F.concat(_piece(chunks, b["1"], b["0"]["start"]), F.lit(MASK)))
+            new = F.filter(seen, lambda b: b["span"]["start"] >= b["at"])
+            gaps = F.transform(new, lambda b: F.concat(_piece(chunks, b["at"], b["span"]["start"]), F.lit(MASK)))
             tail = _let(F.array_max(ends), lambda last: _piece(chunks, last, F.length(text)))
             return F.concat(F.array_join(gaps, ""), tail)
 
