@@ -259,3 +259,19 @@ def near_duplicates(
 def op7_embedding_dedup(spark, folder: str) -> DataFrame:
     """All embeddings, links at cosine 0.95."""
     return near_duplicates(table(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+OP7_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (
+  SELECT vec_id, e FROM v
+  WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+c(node, component) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, c.component FROM c JOIN l ON c.node = l.a),
+least_of AS (SELECT node, min(component) AS component FROM c GROUP BY node),
+n AS (SELECT a, count(DISTINCT b) AS n FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component AS component_id, component = v.vec_id AS kept
+FROM v JOIN least_of ON v.vec_id = node LEFT JOIN n ON v.vec_id = n.a
+"""

@@ -2,7 +2,7 @@
 
 from pageloom.llm.collocations import OP11_SQL, op11_collocations
 from pageloom.llm.divergence import OP13_SQL, op13_divergence
-from pageloom.llm.itq import op7_embedding_dedup
+from pageloom.llm.itq import OP7_SQL, op7_embedding_dedup
 from pageloom.llm.langid import op3_language
 from pageloom.llm.minhash import op5_minhash
 from pageloom.llm.mixing import OP6_SQL, op6_mixing
@@ -10,7 +10,7 @@ from pageloom.llm.packing import op9_packing
 from pageloom.llm.quality import op10_quality
 from pageloom.llm.secrets import OP8_SQL, op8_secrets
 from pageloom.llm.sharding import OP4_SQL, op4_sharding
-from pageloom.llm.substrings import op2_substrings
+from pageloom.llm.substrings import OP2_SQL, op2_substrings
 from pageloom.llm.topk import OP1_SQL, op1_top_k
 from pageloom.llm.urlfilter import op12_url_filter
 
@@ -31,8 +31,10 @@ QUERIES = {
 }
 SQL = {
     "op1_top_k": OP1_SQL,
+    "op2_substrings": OP2_SQL,
     "op4_sharding": OP4_SQL,
     "op6_mixing": OP6_SQL,
+    "op7_embedding_dedup": OP7_SQL,
     "op8_secrets": OP8_SQL,
     "op11_collocations": OP11_SQL,
     "op13_divergence": OP13_SQL,
