@@ -1,18 +1,21 @@
 """Phrase collocations by stripes: each prefix keys an associative counter of the words that follow it.
 
-A stripe is one row `(lang, prefix, next[], n[])`. A pass over the texts makes the stripes of prefixes of one
-length: tasks add up what they see, stripes are dealt by (lang, prefix, segment) and merged element by
-element. A segment is a share of the next words by hash, so the stripe of a very frequent prefix is never
-in one place. The merged stripes answer all three questions: an element is the count of an
-extension; the total of a prefix is its own element one level up (the stripe of no words holds the words and, under
-the empty word, their number); the largest element of a stripe, and the largest element among stripes that differ in their first word
-alone, tell whether a longer phrase takes a phrase in.
-
-Which phrases can be frequent is found first, by length: passes that count 64-bit hashes, eight bytes a phrase. A phrase with
-enough occurrences has its first and its last words among the frequent phrases one word shorter, so a pass counts only
-phrases whose two parts pass a bit filter of the level before. A filter has at most 2^`SIEVE_BITS` bits whatever the data; where it fills
-up, more phrases are counted in vain and none is lost. Stripes are then made of the phrases that pass, all lengths in one
-pass, and merged by their words, so two phrases of one hash don't mix: hashes tell phrases apart within a task alone.
+A stripe is one row `(prefix, next[], n[])`; the stripe of no words counts the words themselves. A pass over the
+texts makes the stripes of prefixes of one length: tasks add up what they see, stripes are dealt by prefix and merged
+element by element. The merged stripes answer all three questions: an element is the count of an extension; the total
+of a prefix is its own element one level up; the largest element of a stripe, and the largest element among stripes that differ
+in their first word alone, tell whether a longer phrase takes a phrase in.
+
+Words stand in prefixes and stripes as 64-bit numbers, hashes of language and word, eight bytes whatever the word. The first pass
+carries the words as well, so all words of all texts are seen beside their numbers: if two have one number, the
+pass starts anew with another seed. Numbers therefore name words exactly, and phrases are compared by all their numbers.
+Words are looked up again for the phrases that may be among the best.
+
+Passes go by length. A phrase with enough occurrences has its first and its last words among the frequent phrases
+one word shorter, so a pass counts only phrases whose two parts pass a bit filter of the level before. The filter has
+at most 2^`SIEVE_BITS` bits whatever the data; where it fills up, more phrases are counted in vain and none is lost. The
+stripe of a prefix with more than its share of all words, one in `SHARES`, is cut into segments by its next words;
+at most `SHARES` prefixes have one, so their list is bounded.
 
 Rules. Null texts are empty, a null lang is `und`; A-Z alone is lower-cased. Pieces end at `[.,;:!?]` and line breaks,
 words at blanks and tabs. Texts of any length are read whole. Repeated rows count each. Equal scores rank by `a`, then by
@@ -26,23 +29,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import materialised, table, temporary
-from pageloom.llm.tally import Tally, lower_ascii, word_strings
-from pageloom.llm.words import grams, hashes, mix, slices, spans
+from pageloom.llm.common import materialised, remove, table, written
+from pageloom.llm.tally import Held, Tally, lower_ascii, word_strings
+from pageloom.llm.words import constants, hashes, mix, slices, spans
 
 LONGEST = 4
 LEAST = 30
 TOP = 2000
-SEGMENTS = 64
+SHARES = 20_000
 SIEVE_BITS = 26
-BUCKET_BITS = 14
+WORD_SEGMENTS = 256
 RANK_SHARES = 64
-_STRIPE = "lang string, prefix string, segment int, next array<string>, n array<long>"
+HELD = 600_000
+SEED, OTHER_SEED = 7, 1_000_003
 
 
 def _kinds() -> np.ndarray:
@@ -65,21 +67,36 @@ def _language_keys(langs: pa.Array) -> np.ndarray:
     return np.array(keys, np.uint64)[coded.indices.to_numpy()]
 
 
+def phrase_keys(words: list[np.ndarray]) -> np.ndarray:
+    """One hash for each phrase of so many words; only ever a filter or an order."""
+    if len(words) == 1:
+        return words[0]
+    total = np.zeros(len(words[0]), np.uint64)
+    for word, odd in zip(words, constants(len(words), 11), strict=True):
+        total += mix(word + odd)
+    return mix(total)
+
+
 class _Words:
-    """Words of a slice of texts: where they are, their piece, and hashes that differ by language."""
+    """Words of a slice of texts: where they are, their piece, and their numbers."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, langs: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, langs: np.ndarray, seed: int):
         self.data = lower_ascii(data)
         self.starts, self.ends, first = spans(self.data, offsets, _kinds())
         self.text = np.searchsorted(first[1:-1], np.arange(len(self.starts)), "right")
         before = np.cumsum(_cuts()[self.data])
         self.piece = (before[self.starts] if len(self.starts) else np.zeros(0, np.int64)) + self.text
-        self.hash = mix(hashes(self.data, self.starts, self.ends) ^ langs[self.text])
+        self.number = mix(hashes(self.data, self.starts, self.ends, seed) ^ langs[self.text])
 
-    def phrases(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the phrase that starts at each word, and whether it lies within one piece."""
-        g = grams(self.hash, size) if size > 1 else self.hash
-        return g, self.piece[size - 1 :] == self.piece[: len(g)]
+    def phrases(self, size: int, sieve: np.ndarray | None) -> list[np.ndarray]:
+        """The words of every phrase of one size within a piece, by place, as far as both shorter parts may be frequent."""
+        count = max(0, len(self.number) - size + 1)
+        inside = self.piece[size - 1 :] == self.piece[:count]
+        if sieve is not None and count:
+            known = _passes(sieve, phrase_keys([self.number[j : count + 1 + j] for j in range(size - 1)]))
+            inside = inside & known[:-1] & known[1:]
+        at = np.flatnonzero(inside)
+        return [self.number[at + j] for j in range(size)]
 
 
 def _probes(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,149 +112,178 @@ def _passes(sieve: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _sizes(found: _Words, size: int, sieves: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the slice's phrases of one size, and where they are, as far as both shorter parts may be frequent."""
-    g, inside = found.phrases(size)
-    if 1 < size <= len(sieves) + 1 and len(g):
-        known = _passes(sieves[size - 2], found.phrases(size - 1)[0])
-        inside = inside & known[:-1] & known[1:]
-    return g, np.flatnonzero(inside)
-
-
-def _hash_counts(size: int, sieves: list[np.ndarray], batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Sorted hashes of phrases and their counts in this task, cut by the first bits of the hash."""
-    tally = Tally(limit)
-
-    def emit(held: tuple | None) -> Iterator[pa.RecordBatch]:
-        if held is not None:
-            keys, (n,), _ = held
-            share = (keys >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
-            cut = np.flatnonzero(np.concatenate([[True], share[1:] != share[:-1]]))
-            starts = pa.array(np.append(cut, len(keys)).astype(np.int32))
-            columns = [pa.array(share[cut]), *(pa.ListArray.from_arrays(starts, pa.array(v)) for v in (keys.view(np.int64), n))]
-            yield pa.record_batch(columns, names=["bucket", "key", "n"])
-
-    for batch in batches:
-        langs = _language_keys(batch.column(1))
-        for row, data, offsets in slices(batch.column(0)):
-            g, at = _sizes(_Words(data, offsets, langs[row : row + len(offsets) - 1]), size, sieves)
-            key, n = np.unique(g[at], return_counts=True)
-            if tally.add(key, [n.astype(np.int64)], []):
-                yield from emit(tally.drain())
-    yield from emit(tally.drain())
-
-
-def _emit_stripes(held: tuple | None) -> Iterator[pa.RecordBatch]:
-    """Stripes of the rows held, one per (language, prefix, segment) among them."""
-    if held is None:
-        return
-    keys, (n,), (lang, prefix, prefix_key, word) = held
-    prefix_key = prefix_key.to_numpy()
-    segment = (keys % np.uint64(SEGMENTS)).astype(np.int32)
-    order = np.lexsort((segment, prefix_key))
-    p, s = prefix_key[order], segment[order]
-    cut = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (s[1:] != s[:-1])]))
-    starts = pa.array(np.append(cut, len(order)).astype(np.int32))
-    first, at = pa.array(order[cut]), pa.array(order)
-    columns = [
-        lang.take(first).cast(pa.string()),
-        prefix.take(first).cast(pa.string()),
-        pa.array(s[cut]),
-        pa.ListArray.from_arrays(starts, word.take(at).cast(pa.string())),
-        pa.ListArray.from_arrays(starts, pa.array(n[order])),
-    ]
-    yield pa.record_batch(columns, names=["lang", "prefix", "segment", "next", "n"])
-
-
-def _stripe_parts(sizes: range, sieves: list[np.ndarray], batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    tally = Tally(limit)
-    for batch in batches:
-        keys = _language_keys(batch.column(1))
-        for row, data, offsets in slices(batch.column(0)):
-            count = len(offsets) - 1
-            own, langs = keys[row : row + count], batch.column(1).slice(row, count)
-            found = _Words(data, offsets, own)
-            strings = word_strings(found.data, found.starts, found.ends)
-            empty = pa.array([""] * count, pa.large_string())
-            # The number of words stands under the empty word.
-            full = tally.add(own, [np.bincount(found.text, minlength=count)], [langs, empty, pa.array(own), empty])
-            for size in sizes:
-                g, at = _sizes(found, size, sieves)
-                at = at[_passes(sieves[size - 1], g[at])] if size <= len(sieves) else at
-                key, first, n = np.unique(g[at], return_index=True, return_counts=True)
-                at = at[first]
-                words = [strings.take(pa.array(at + j)) for j in range(size)]
-                if size > 1:
-                    prefix = pc.binary_join_element_wise(*words[:-1], pa.scalar(" ", pa.large_string()))
-                    prefix_key = found.phrases(size - 1)[0][at]
-                else:
-                    prefix, prefix_key = pa.array([""] * len(at), pa.large_string()), own[found.text[at]]
-                labels = [langs.take(pa.array(found.text[at])), prefix, pa.array(prefix_key), words[-1]]
-                full = tally.add(key, [n.astype(np.int64)], labels)
-            if full:
-                yield from _emit_stripes(tally.drain())
-    yield from _emit_stripes(tally.drain())
-
-
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
 
 
-def sieves_of(docs: DataFrame, longest: int, least: int, *, limit: int = 1_000_000) -> list[np.ndarray]:
-    """One bit filter per length: the hashes of all phrases with at least `least` occurrences pass it."""
-    sieves: list[np.ndarray] = []
-    for size in range(1, longest + 1):
-        shared = docs.sparkSession.sparkContext.broadcast(sieves)
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where rows of sorted columns start to differ."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return np.flatnonzero(new)
+
+
+def _word_stripes(seed: int, limit: int):
+    """The stripe of no words of each language, by segments, the words beside their numbers."""
+
+    def emit(held: Held | None) -> Iterator[pa.RecordBatch]:
+        if held is None:
+            return
+        (n,), (lang, word) = held.sums, held.labels
+        codes = lang.dictionary_encode()
+        segment = (held.keys % np.uint64(WORD_SEGMENTS)).astype(np.int32)
+        code = codes.indices.to_numpy()
+        order = np.lexsort((segment, code))
+        cut = _runs(code[order], segment[order])
+        starts, at = pa.array(np.append(cut, len(order)).astype(np.int32)), pa.array(order)
+        columns = [
+            lang.take(pa.array(order[cut])),
+            pa.array(segment[order][cut]),
+            pa.ListArray.from_arrays(starts, word.take(at).cast(pa.string())),
+            pa.ListArray.from_arrays(starts, pa.array(held.keys[order].view(np.int64))),
+            pa.ListArray.from_arrays(starts, pa.array(n[order])),
+        ]
+        yield pa.record_batch(columns, names=["lang", "segment", "word", "number", "n"])
 
-        def counted(batches, size=size, shared=shared) -> Iterator[pa.RecordBatch]:
-            return _hash_counts(size, shared.value, batches, limit)
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally(limit)
+        for batch in batches:
+            keys = _language_keys(batch.column(1))
+            for row, data, offsets in slices(batch.column(0)):
+                found = _Words(data, offsets, keys[row : row + len(offsets) - 1], seed)
+                words = word_strings(found.data, found.starts, found.ends)
+                langs = batch.column(1).take(pa.array(row + found.text))
+                # A second hash keeps words of one number apart here, so that they are seen beside each other.
+                other = hashes(found.data, found.starts, found.ends, seed + OTHER_SEED)
+                if tally.add(found.number, [np.ones(len(found.number), np.int64)], [langs, words], [other]):
+                    yield from emit(tally.drain())
+        yield from emit(tally.drain())
+
+    return made
+
+
+def words_of(docs: DataFrame, *, limit: int = HELD) -> tuple[str, int]:
+    """Path of the table `lang, word, number, n` of all words, and the seed under which no two of them have one number."""
+    seed = SEED
+    while True:
+        made = _texts(docs).mapInArrow(
+            _word_stripes(seed, limit), "lang string, segment int, word array<string>, number array<long>, n array<long>"
+        )
+        elements = made.repartition("lang", "segment").selectExpr("lang", "segment", "inline(arrays_zip(word, number, n))")
+        # The exchange by (lang, segment) serves the merge as it is.
+        merged = elements.groupBy("lang", "segment", "word", "number").agg(F.sum("n").alias("n")).drop("segment")
+        path = written(merged)
+        if docs.sparkSession.read.parquet(path).groupBy("number").count().where("count > 1").isEmpty():
+            return path, seed
+        remove(docs.sparkSession, path)
+        seed += 1
+
+
+def _stripe_parts(size: int, seed: int, shared, limit: int):
+    """Stripes of prefixes of `size` - 1 words: (prefix, segment, next[], n[])."""
+
+    def emit(held: Held | None, hot: np.ndarray, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if held is None:
+            return
+        *prefix, word = held.parts
+        parts = np.ones(len(word), np.uint64)
+        if len(hot):
+            keys = phrase_keys(prefix)
+            place = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+            parts = np.where(hot[place] == keys, cuts[place], parts)
+        segment = (word % parts).astype(np.int32)
+        order = np.lexsort((segment, *reversed(prefix)))
+        cut = _runs(segment[order], *(p[order] for p in prefix))
+        starts = pa.array(np.append(cut, len(order)).astype(np.int32))
+        wide = np.stack([p[order][cut] for p in prefix], axis=1).ravel().view(np.int64)
+        columns = [
+            pa.ListArray.from_arrays(pa.array(np.arange(len(cut) + 1, dtype=np.int32) * len(prefix)), pa.array(wide)),
+            pa.array(segment[order][cut]),
+            pa.ListArray.from_arrays(starts, pa.array(word[order].view(np.int64))),
+            pa.ListArray.from_arrays(starts, pa.array(held.sums[0][order])),
+        ]
+        yield pa.record_batch(columns, names=["prefix", "segment", "next", "n"])
 
-        packed = _texts(docs).mapInArrow(counted, "bucket int, key array<long>, n array<long>").repartition("bucket")
-        # The exchange by bucket serves the sums as it is.
-        summed = packed.selectExpr("bucket", "inline(arrays_zip(key, n))").groupBy("bucket", "key").agg(F.sum("n").alias("n"))
-        with temporary(summed.where(F.col("n") >= least).select("key")) as enough:
-            shared.destroy()
-            sieves.append(_sieve(enough))
-    return sieves
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve, hot, cuts = shared.value
+        tally = Tally(limit)
+        for batch in batches:
+            keys = _language_keys(batch.column(1))
+            for row, data, offsets in slices(batch.column(0)):
+                words = _Words(data, offsets, keys[row : row + len(offsets) - 1], seed).phrases(size, sieve)
+                if tally.add(phrase_keys(words), [np.ones(len(words[0]), np.int64)], [], words):
+                    yield from emit(tally.drain(), hot, cuts)
+        yield from emit(tally.drain(), hot, cuts)
+
+    return made
 
 
-def _sieve(keys: DataFrame) -> np.ndarray:
-    """The filter of a table of hashes, at least 16 bits for each while the bound allows."""
-    bits = min(SIEVE_BITS, max(16, (16 * keys.count()).bit_length()))
-    mask = (1 << bits) - 1
-    probes = f"array(key & {mask}L, shiftrightunsigned(key, {64 - bits}) & {mask}L)"
-    placed = keys.selectExpr(f"explode({probes}) AS probe").selectExpr("shiftright(probe, 6) AS place", "shiftleft(1L, CAST(probe & 63 AS INT)) AS bit")
-    rows = placed.groupBy("place").agg(F.expr("bit_or(bit)").alias("bit")).toArrow()  # at most 2^(SIEVE_BITS - 6) rows
+def stripes(docs: DataFrame, size: int, seed: int, shared, *, limit: int = HELD) -> DataFrame:
+    """`prefix, next, n`: the merged stripes of prefixes of `size` - 1 words, one row per element.
+
+    `shared` is a broadcast of (filter of the phrases one word shorter or None, keys of hot prefixes in order, segments of each).
+    """
+    made = _texts(docs).mapInArrow(_stripe_parts(size, seed, shared, limit), "prefix array<long>, segment int, next array<long>, n array<long>")
+    elements = made.repartition("prefix", "segment").selectExpr("prefix", "segment", "inline(arrays_zip(next, n))")
+    # The exchange by (prefix, segment) serves the merge as it is.
+    return elements.groupBy("prefix", "segment", "next").agg(F.sum("n").alias("n")).drop("segment")
+
+
+def _sieve(level: DataFrame) -> np.ndarray:
+    """Filter of a level's phrases, at least 16 bits for each while the bound allows."""
+    bits = min(SIEVE_BITS, max(16, (16 * level.count()).bit_length()))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate(_probes(_keys_of(batch.column(0)), bits))
+            columns = [(at >> np.uint64(6)).astype(np.int64), (np.uint64(1) << (at & np.uint64(63))).view(np.int64)]
+            yield pa.record_batch([pa.array(c) for c in columns], names=["place", "bit"])
+
+    rows = level.select("phrase").mapInArrow(placed, "place long, bit long").groupBy("place").agg(F.expr("bit_or(bit)").alias("bit"))
+    rows = rows.toArrow()  # at most 2^(SIEVE_BITS - 6) rows
     sieve = np.zeros(1 << (bits - 6), np.uint64)
     sieve[rows["place"].to_numpy()] = rows["bit"].to_numpy().view(np.uint64)
     return sieve
 
 
-def stripes(docs: DataFrame, sizes: range, shared: Broadcast, *, limit: int = 400_000) -> DataFrame:
-    """`lang, prefix, next, n`: the merged stripes of the phrases of these sizes that pass the filters, one row per element.
+def _keys_of(phrases: pa.Array) -> np.ndarray:
+    """Keys of phrases of one length, as lists of numbers."""
+    if not len(phrases):
+        return np.zeros(0, np.uint64)
+    wide = phrases.flatten().to_numpy().view(np.uint64).reshape(len(phrases), -1)
+    return phrase_keys([np.ascontiguousarray(c) for c in wide.T])
 
-    `shared` holds the filters of the first lengths; longer phrases are counted all.
-    """
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _stripe_parts(sizes, shared.value, batches, limit)
 
-    dealt = _texts(docs).mapInArrow(made, _STRIPE).repartition("lang", "prefix", "segment")
-    elements = dealt.selectExpr("lang", "prefix", "segment", "inline(arrays_zip(next, n))")
-    # The exchange by (lang, prefix, segment) serves the merge as it is.
-    merged = elements.groupBy("lang", "prefix", "segment", "next").agg(F.sum("n").alias("n"))
-    return merged.drop("segment")
+def _hot(level: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the phrases with more than a share of all words, in order, and the segments their stripes are cut into."""
+    share = max(1, total // SHARES)
+    rows = level.where(F.col("f") > share).select("phrase", "f").toArrow()  # at most SHARES rows
+    if not rows.num_rows:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    keys = _keys_of(rows["phrase"].combine_chunks())
+    order = np.argsort(keys)
+    return keys[order], (-(-rows["f"].to_numpy() // share)).astype(np.uint64)[order]
 
 
 def frequent_phrases(docs: DataFrame, *, longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(`lang, size, phrase, prefix, f` of all phrases that occur at least `least` times, `lang, n` words of each language)."""
-    shared = docs.sparkSession.sparkContext.broadcast(sieves_of(docs, longest, least))
-    merged = stripes(docs, range(1, longest + 1), shared)
-    phrase = F.when(F.col("prefix") == "", F.col("next")).otherwise(F.concat_ws(" ", "prefix", "next"))
-    enough = merged.where((F.col("n") >= least) | (F.col("next") == "")).select("lang", phrase.alias("phrase"), "prefix", F.col("n").alias("f"))
-    kept = materialised(enough.withColumn("size", F.size(F.split("phrase", " "))))
-    shared.destroy()
-    return kept.where("phrase <> ''"), kept.where("phrase = ''").select("lang", F.col("f").alias("n"))
+    """(`phrase, size, f` of all phrases that occur at least `least` times, as lists of numbers; `lang, word, number, n` of all words)."""
+    spark = docs.sparkSession
+    path, seed = words_of(docs)
+    words = spark.read.parquet(path)
+    total = words.agg(F.sum("n")).head()[0] or 0
+    level = words.where(F.col("n") >= least).select(F.array("number").alias("phrase"), F.lit(1).alias("size"), F.col("n").alias("f"))
+    every = level
+    for size in range(2, longest + 1):
+        if level.isEmpty():
+            break
+        shared = spark.sparkContext.broadcast((_sieve(level), *_hot(level, total)))
+        merged = stripes(docs, size, seed, shared).where(F.col("n") >= least)
+        phrase = F.concat("prefix", F.array("next"))
+        level = materialised(merged.select(phrase.alias("phrase"), F.lit(size).alias("size"), F.col("n").alias("f")))
+        shared.destroy()
+        every = every.unionByName(level)
+    return every, words
 
 
 def collocations(docs: DataFrame, *, longest: int = LONGEST, least: int = LEAST, top: int = TOP) -> DataFrame:
@@ -245,43 +291,37 @@ def collocations(docs: DataFrame, *, longest: int = LONGEST, least: int = LEAST,
 
     `l` and `r` are the counts of the two sides of the lowest-scoring cut.
     """
-    every, totals = frequent_phrases(docs, longest=longest, least=least)
-    known = every.select(F.col("lang").alias("known_lang"), F.col("phrase").alias("known"), F.col("f").alias("known_f"))
-    longer = every.where("size > 2")
+    every, words = frequent_phrases(docs, longest=longest, least=least)
+    known = every.select(F.col("phrase").alias("known"), F.col("f").alias("known_f"))
     # Largest element of a phrase's own stripe, and of the stripes that put one word before it.
-    after = longer.select("lang", F.col("prefix").alias("part"), "f")
-    before = longer.select("lang", F.expr("substring(phrase, locate(' ', phrase) + 1)").alias("part"), "f")
-    around = after.union(before).groupBy("lang", "part").agg(F.max("f").alias("widest"))
-    phrases = every.where("size > 1").select("lang", "phrase", F.col("f").alias("a"))
-    free = phrases.join(
-        around.select(F.col("lang").alias("around_lang"), "part", "widest"),
-        (F.col("lang") == F.col("around_lang")) & (F.col("phrase") == F.col("part")),
-        "left",
-    ).where("widest IS NULL OR CAST(widest AS DECIMAL(20,0)) * 100 < CAST(a AS DECIMAL(20,0)) * 80")
-    cut = free.selectExpr("lang", "phrase", "a", "split(phrase, ' ') AS words").selectExpr(
-        "lang", "phrase", "a", "words", "explode(sequence(1, size(words) - 1)) AS k"
+    longer = every.where("size > 2").selectExpr("explode(array(slice(phrase, 1, size - 1), slice(phrase, 2, size - 1))) AS part", "f")
+    around = longer.groupBy("part").agg(F.max("f").alias("widest"))
+    free = every.where("size > 1").withColumnRenamed("f", "a").join(around, F.col("phrase") == F.col("part"), "left")
+    free = free.where("widest IS NULL OR CAST(widest AS DECIMAL(20,0)) * 100 < CAST(a AS DECIMAL(20,0)) * 80")
+    sides = free.selectExpr("phrase", "size", "a", "explode(sequence(1, size - 1)) AS k").selectExpr(
+        "phrase", "a", "k", "slice(phrase, 1, k) AS first", "slice(phrase, k + 1, size - k) AS rest"
     )
-    sides = cut.selectExpr(
-        "lang", "phrase", "a", "k",
-        "array_join(slice(words, 1, k), ' ') AS first", "array_join(slice(words, k + 1, size(words) - k), ' ') AS rest",
-    )
 
     def count_of(frame: DataFrame, side: str, name: str) -> DataFrame:
-        same = (F.col("lang") == F.col("known_lang")) & (F.col(side) == F.col("known"))
-        return frame.join(known, same).drop("known_lang", "known", side).withColumnRenamed("known_f", name)
+        return frame.join(known, F.col(side) == F.col("known")).drop("known", side).withColumnRenamed("known_f", name)
 
     scored = count_of(count_of(sides, "first", "l"), "rest", "r").selectExpr(
-        "lang", "phrase", "a", "k", "l", "r",
+        "phrase", "a", "k", "l", "r",
         "(CAST(a AS DECIMAL(20,0)) * CAST(2000000 AS DECIMAL(7,0))) div (CAST(l AS DECIMAL(20,0)) + CAST(r AS DECIMAL(20,0))) AS score",
     )
-    lowest = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
-    # Shares of a language are ranked first, so that one task sees at most `top` rows of each share.
-    best = lowest.selectExpr("lang", "phrase", "a", "cut.l", "cut.r", "cut.score", f"pmod(xxhash64(phrase), {RANK_SHARES}) AS share")
-    order = "ORDER BY score DESC, a DESC, phrase"
-    best = best.selectExpr("*", f"row_number() OVER (PARTITION BY lang, share {order}) AS near").where(F.col("near") <= top)
-    ranked = best.selectExpr("*", f"row_number() OVER (PARTITION BY lang {order}) AS place").where(F.col("place") <= top)
-    return ranked.join(totals.withColumnRenamed("lang", "total_lang"), F.col("lang") == F.col("total_lang")).selectExpr(
-        "lang", "CAST(place AS BIGINT) AS rank", "phrase", "a", "l", "r", "n", "CAST(score AS BIGINT) AS score"
+    lowest = scored.groupBy("phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
+    spelt = words.where(F.col("n") >= least).select("lang", "word", "number")
+    led = lowest.join(spelt.select("lang", F.col("number").alias("lead")), F.expr("phrase[0]") == F.col("lead"))
+    # Shares of a language are ranked first, ties and all, so that few phrases are spelt and ranked in one place.
+    shared = led.selectExpr("lang", "phrase", "a", "cut.l", "cut.r", "cut.score", f"pmod(xxhash64(phrase), {RANK_SHARES}) AS share")
+    near = shared.selectExpr("*", "rank() OVER (PARTITION BY lang, share ORDER BY score DESC, a DESC) AS near").where(F.col("near") <= top)
+    apart = near.selectExpr("lang AS own_lang", "phrase", "a", "l", "r", "score", "posexplode(phrase) AS (place, spelling)")
+    said = apart.join(spelt.select("word", "number"), F.col("spelling") == F.col("number")).groupBy("own_lang", "phrase", "a", "l", "r", "score")
+    said = said.agg(F.expr("array_join(transform(array_sort(collect_list(struct(place, word))), w -> w.word), ' ')").alias("said"))
+    ranked = said.selectExpr("*", "row_number() OVER (PARTITION BY own_lang ORDER BY score DESC, a DESC, said) AS rank")
+    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
+    return ranked.where(F.col("rank") <= top).join(totals, F.col("own_lang") == F.col("lang")).selectExpr(
+        "lang", "CAST(rank AS BIGINT) AS rank", "said AS phrase", "a", "l", "r", "n", "CAST(score AS BIGINT) AS score"
     )
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pageloom.llm.common import materialised, table
-from pageloom.llm.tally import Tally, lower_ascii, word_strings
+from pageloom.llm.tally import Held, Tally, lower_ascii, word_strings
 from pageloom.llm.words import hashes, mix, slices, spans
 
 LEAST = 30
@@ -64,9 +64,9 @@ def _group_keys(lang: pa.Array, source: pa.Array) -> np.ndarray:
     return np.array([key(p) for p in zip(lang.to_pylist(), source.to_pylist(), strict=True)], np.uint64)
 
 
-def _emit(held: tuple | None) -> Iterator[pa.RecordBatch]:
+def _emit(held: Held | None) -> Iterator[pa.RecordBatch]:
     if held is not None:
-        _, (n, d), (lang, source, term) = held
+        (n, d), (lang, source, term) = held.sums, held.labels
         columns = [lang, source, term.cast(pa.string()), pa.array(n), pa.array(d)]
         yield pa.record_batch(columns, names=["lang", "source", "term", "n", "d"])
 

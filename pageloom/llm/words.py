@@ -83,12 +83,12 @@ def powers(n: int) -> np.ndarray:
     return _STATE["powers"]
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 7) -> np.ndarray:
     """A 64-bit hash of each span, from one running sum over the bytes."""
     n = len(data)
     up, inverses = powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(constants(256, 7)[data] * up[:n], out=total[1:])
+    np.cumsum(constants(256, seed)[data] * up[:n], out=total[1:])
     h = (total[ends] - total[starts]) * inverses[starts]
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 

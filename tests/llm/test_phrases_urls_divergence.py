@@ -71,7 +71,7 @@ def test_collocations(spark, seed, least, top):
     names = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     assert got.columns == names
     wanted = phrases_by_hand(rows, least, top)
-    assert len(wanted) > 10
+    assert len(wanted) > 3
     assert sorted(tuple(r) for r in got.collect()) == wanted
 
 
@@ -84,15 +84,38 @@ def test_collocations_of_no_rows_and_of_no_phrases(spark):
 def test_stripes_merge_by_element_whatever_a_task_holds(spark):
     rows = texts(random.Random(4), 80)
     docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
-    nothing = spark.sparkContext.broadcast([])
-    whole = collocations.stripes(docs, range(1, 4), nothing).collect()
-    # A task that may hold few rows hands on many small stripes.
-    cut = collocations.stripes(docs, range(1, 4), nothing, limit=5).collect()
-    assert sorted(map(tuple, whole)) == sorted(map(tuple, cut)) and len(whole) > 100
-    plan = collocations.stripes(docs, range(1, 4), nothing)._jdf.queryExecution().executedPlan().toString()
+    path, seed = collocations.words_of(docs)
+    numbers = {r.number for r in spark.read.parquet(path).collect()}
+    for size in (2, 3):
+        nothing = spark.sparkContext.broadcast((None, np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
+        whole = collocations.stripes(docs, size, seed, nothing).collect()
+        # A task that may hold few rows hands on many small stripes; hot prefixes are cut into segments.
+        first = np.array(sorted({tuple(r.prefix) for r in whole})[:20], np.int64).view(np.uint64)
+        hot = np.sort(collocations.phrase_keys([np.ascontiguousarray(c) for c in first.T]))
+        some = spark.sparkContext.broadcast((None, hot, np.full(len(hot), 5, np.uint64)))
+        cut = collocations.stripes(docs, size, seed, some, limit=5).collect()
+        key = lambda r: (tuple(r.prefix), r.next, r.n)
+        assert sorted(map(key, whole)) == sorted(map(key, cut)) and len(whole) > 100
+        assert {n for r in whole for n in (*r.prefix, r.next)} <= numbers
+    plan = collocations.stripes(docs, 3, seed, nothing)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_words_of_one_number_start_the_pass_anew(spark, monkeypatch):
+    """Words that share a number are seen beside each other, also within a task, until a seed keeps them apart."""
+    docs = spark.createDataFrame([(i, f"alpha beta {w}", "en", None) for i, w in enumerate(["gamma", "delta", "alpha"])], SCHEMA).coalesce(1)
+    true = collocations.hashes
+
+    def few(data, starts, ends, seed=7):
+        return true(data, starts, ends, seed) * np.uint64(seed > 8)
+
+    monkeypatch.setattr(collocations, "hashes", few)
+    path, seed = collocations.words_of(docs)
+    rows = sorted((r.word, r.n) for r in spark.read.parquet(path).collect())
+    assert rows == [("alpha", 4), ("beta", 3), ("delta", 1), ("gamma", 1)]
+    assert seed == 9
+
+
 def test_counts_that_pass_64_bits(spark):
     # Scores and shares of counts no table here can reach.
     row = spark.sql(
