@@ -44,7 +44,7 @@ RARE = 1 / 1000
 TABLE_BITS, MOST_BITS, TILE_BITS = 21, 24, 13  # buckets at least and at most, as bits; of a tile
 DRAW_BITS = 16
 STAR, BLOCK = 500, 128  # members per part of a star; per block of a bucket
-SLICE = 1 << 19
+SLICE = 1 << 18
 
 
 @dataclass(frozen=True)

@@ -1,6 +1,6 @@
 """Words of Arrow text columns as numpy arrays: spans over the UTF-8 bytes and 64-bit hashes.
 
-A batch is worked on in slices of about a megabyte (or one text, if that is longer), so memory
+A batch is worked on in slices of about a quarter of a megabyte (or one text, if that is longer), so memory
 follows the longest text and not the batch.
 """
 
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _STATE: dict[str, np.ndarray] = {}
 
 
