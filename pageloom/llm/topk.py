@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from pageloom.llm.common import shuffle_partitions, table
 
 FAN_IN = 16
-HELD = 32  # query tiles whose lists a task holds at a time
-CELL_TILES = 32  # query tiles in a grid cell, about
+CELL_TILES = 128  # query tiles in a grid cell, about: a candidate tile travels once for so many of them
+HELD = 128  # query tiles whose lists a task holds at a time: 20 MB at 512 queries and k = 20
+TILE_BYTES = 1 << 20  # of a tile's matrix; long vectors make tiles of fewer rows
 
 
 def finite(vector: str) -> Column:
@@ -64,9 +65,10 @@ def _tiles(rows: int):
             starts = np.cumsum(lengths) - lengths
             for dim in np.unique(lengths).tolist():
                 mine = np.flatnonzero(lengths == dim)
-                for at in range(0, len(mine), rows):
-                    part = mine[at : at + rows]
-                    if counts.get(dim, 0) + len(part) > rows:
+                most = max(1, min(rows, TILE_BYTES // (8 * max(1, dim))))
+                for at in range(0, len(mine), most):
+                    part = mine[at : at + most]
+                    if counts.get(dim, 0) + len(part) > most:
                         yield tile(dim)
                     matrix = flat[starts[part][:, None] + np.arange(dim)]
                     held.setdefault(dim, []).append((ids[part], matrix))
