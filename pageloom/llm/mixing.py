@@ -88,7 +88,7 @@ def scheduled(
         placed.select("doc_id", "source", "size", "source_size", "target", "budget", "sid", "u", "upto", "row_key")
     )
     order = (
-        "struct((({e} - 1) * source_size + upto) / target AS f, int(sid) AS sid, {e} AS e, u, "
+        "struct((({e} - 1) * source_size + upto) / nullif(target, 0D) AS f, int(sid) AS sid, {e} AS e, u, "
         "coalesce(doc_id, 0L) AS d, row_key AS k)"
     )
     every = F.expr(f"transform(sequence(1, {epochs}), e -> {order.format(e='e')})")
