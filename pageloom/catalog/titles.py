@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pageloom.catalog.fixtures import esc, wrap
 from pageloom.catalog.raw_pages import ARTICLES_SQL
-from pageloom.catalog.registry import WS, norm, query, stripped, table, wiki_url
+from pageloom.catalog.registry import WS, norm, query, scratch, stripped, table, wiki_url
 from pageloom.functions.text import normalize_whitespace, page_url, sanitize_filename, squeeze_blank_lines, strip
 from pageloom.operators import outcome
 from pageloom.operators.pacing import pace_requests
@@ -46,7 +45,7 @@ def titles_decide_count(spark: SparkSession, folder: str) -> DataFrame:
 )
 def file_titles(spark: SparkSession, folder: str) -> DataFrame:
     """A title list from text files: blank lines go, lines are numbered across files in their order."""
-    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/titles-{uuid.uuid4()}"
+    path = scratch(spark, "titles")
     line = F.when(F.col("p_size") % 5 == 0, "  ").otherwise(F.concat("p_name", F.lit(" ")))
     table(spark, folder, "part").orderBy("p_partkey").select(line.alias("value")).write.text(path)
     return T.read_titles(spark, path)
