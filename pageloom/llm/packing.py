@@ -39,7 +39,8 @@ END = 2
 WORK = 60_000  # the search ends after nodes that saw so many lengths together
 TRIED = 6  # fillings tried at a node
 STEPS = 400  # steps of one enumeration
-KNOWN_BYTES, KNOWN_LETTERS = 24 << 20, 64  # of the words a worker remembers, all together and each
+KNOWN_BYTES, KNOWN_LETTERS = 48 << 20, 64  # of the words a worker remembers, all together and each
+SEEN = 1 << 22  # bytes that mark words by hash when they come first
 SLICE_ROWS = 500_000
 # Fixed value: how byte-level vocabularies split text before merging.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -73,13 +74,18 @@ class _Words(dict):
     """Token bytes of words that follow a space. A word cut off by single spaces is tokenised by itself."""
 
     def __init__(self, encode):
-        self.encode, self.left = encode, KNOWN_BYTES
+        self.encode, self.left, self.seen = encode, KNOWN_BYTES, bytearray(SEEN)
 
     def __missing__(self, word: str) -> bytes:
         if not word or word[0].isspace() or word[-1].isspace():
             raise KeyError
         ids = np.array(self.encode(" " + word), "<u4").tobytes()
         if self.left > 0 and len(word) <= KNOWN_LETTERS:
+            # Words that come once would fill the room; a word is kept when it, or one like it by hash, comes again.
+            place = hash(word) % SEEN
+            if not self.seen[place]:
+                self.seen[place] = 1
+                return ids
             self.left -= len(word) + len(ids) + 200  # with what Python adds to two strings and a place
             self[word] = ids
         return ids
