@@ -14,7 +14,7 @@ from pageloom.functions.sql import add, literal
 from pageloom.functions.text import decode_sql, strip_sql
 from pageloom.operators.intervals import KEYS, collect, first_match, inside, ordered_text
 from pageloom.operators.nesting import nesting
-from pageloom.session import spread
+from pageloom.session import deal_pages, spread
 
 # Inside of a tag: quotes bind only after '='. Possessive, so long tags cost no stack.
 _INNER = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
@@ -173,8 +173,8 @@ def nodes(pages: DataFrame) -> DataFrame:
     )
     folded = scanned.selectExpr(
         *KEYS, "title", "address", "fetched", f"CASE WHEN size(tokens) > 0 THEN {live} END AS live"
-    ).repartition("page_id", "page_hash")
-    unfolded = folded.selectExpr(*KEYS, "title", "address", "fetched", "explode_outer(live) AS node")
+    )
+    unfolded = deal_pages(folded, pages).selectExpr(*KEYS, "title", "address", "fetched", "explode_outer(live) AS node")
     first = "coalesce(node.place, 0) = 0"
     named = unfolded.selectExpr(
         *KEYS,

@@ -22,6 +22,7 @@ from pageloom.operators.nodes import (
     BLANKS, attr_sql, attributes_sql, blank_sql, end_sql, kind_sql, op_sql, page_tokens, string_sql, tag_sql,
 )
 from pageloom.profiles import Profile
+from pageloom.session import deal_pages
 
 # Elements whose strings are no part of the text of their surroundings, and
 # classes that mark a caption.
@@ -279,10 +280,10 @@ def live_nodes(
         carried["area_pos"] = "area.pos"
     if count_trailing:
         carried["n_trailing"] = "size(trail)" if profile.trailing_keywords else "0"
-    dealt = folded.selectExpr(
+    pruned = folded.selectExpr(
         *KEYS, "title", "address", "fetched", *(f"{value} AS {name}" for name, value in carried.items()), f"{rows} AS live"
-    ).repartition("page_id", "page_hash")
-    unfolded = dealt.selectExpr(*KEYS, "title", "address", "fetched", *carried, "explode_outer(live) AS n").selectExpr(
+    )
+    unfolded = deal_pages(pruned, pages).selectExpr(*KEYS, "title", "address", "fetched", *carried, "explode_outer(live) AS n").selectExpr(
         *KEYS,
         "CASE WHEN n.zone = 'page' THEN named_struct('title', title, 'address', address, 'fetched', fetched) END AS page",
         *carried,

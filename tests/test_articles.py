@@ -6,6 +6,7 @@ import pytest
 from conftest import wiki
 
 from pageloom import GENERIC, articles, image_rows, infobox_rows
+from pageloom import session
 from pageloom.session import spread
 from pageloom.plans.articles import page_counters
 
@@ -265,6 +266,29 @@ def test_a_small_input_is_dealt_over_the_cores(spark, tmp_path):
     assert spread(stored, bytes_a_core=1) is stored
 
 
+def test_an_input_of_few_splits_is_dealt_too(spark, monkeypatch):
+    frame = spark.range(40).selectExpr("id AS page_id", "'t' AS title", "'<p>x</p>' AS html")
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(session, "stored_bytes", lambda _: cores * (9 << 20))
+    assert f"RoundRobinPartitioning({3 * cores})" in spread(frame)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(session, "stored_bytes", lambda _: cores * (129 << 20))
+    assert spread(frame) is frame
+
+
+def test_parts_of_pages_grow_with_the_tables(spark, tmp_path):
+    """What one task holds after the shuffle stays bounded: more parts for more rows, and none put together again."""
+    counts = []
+    for rows in (60_000, 120_000):
+        path = str(tmp_path / str(rows))
+        spark.range(rows).selectExpr("id AS page_id", "sha2(CAST(id AS STRING), 256) AS title").write.parquet(path)
+        frame = spark.read.parquet(path).selectExpr("page_id", "title", "concat('<p>', title, '</p>') AS html")
+        plan = articles(frame)._jdf.queryExecution().executedPlan().toString()
+        line = next(line for line in plan.splitlines() if "Exchange hashpartitioning(page_id" in line)
+        assert "REPARTITION_BY_NUM" in line
+        counts.append(int(line.split("), REPARTITION")[0].rsplit(" ", 1)[1]))
+    assert counts[0] > 8 and 1.8 < counts[1] / counts[0] < 2.2
+
+
 def test_nested_areas_and_walls(pages):
     """What stands around the area has no say in it; the best area wins wherever it is."""
     inner = '<div class="mw-parser-output"><p>in <b>bold</b></p><ul><li>one</li></ul>{}</div>'
