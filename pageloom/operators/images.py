@@ -6,29 +6,21 @@ from pyspark.sql import DataFrame
 
 from pageloom.functions.sql import add
 from pageloom.functions.text import normalize_sql, strip_sql
-from pageloom.operators.intervals import UP_TO_HERE, collect, inside, ordered_text, within
-from pageloom.operators.marks import has
+from pageloom.operators.intervals import collect, ordered_text
+from pageloom.operators.marks import OWNER_SHIFT, has
 from pageloom.profiles import Profile
 
 UNIT = "coalesce(owner.pos, pos)"
 
 
-def mark_images(live: DataFrame, profile: Profile) -> DataFrame:
+def mark_images(live: DataFrame) -> DataFrame:
     """Move nodes taken by an image container, and loose images, to zone `image`.
 
     The owner of a node is the container around it with the earliest rule, the outermost
-    one among those of the same rule.
+    one among those of the same rule; the scan has found it.
     """
-    ranks = range(len(profile.image_containers))
-    match = {r: f"(zone = 'live' AND array_contains(frames, {r}))" for r in ranks}
-    outer = {f"outer_{r}": f"{match[r]} AND NOT {within(match[r], strictly=True)}" for r in ranks}
-    spans = {
-        f"span_{r}": f"max(CASE WHEN outer_{r} THEN named_struct('pos', pos, 'last', last, 'rank', {r}) END) {UP_TO_HERE}"
-        for r in ranks
-    }
-    owner = ", ".join(f"CASE WHEN {inside(name)} THEN {name} END" for name in spans)
-    owned = add(add(add(live, **outer), **spans), owner=f"CASE WHEN zone = 'live' THEN coalesce({owner}) END")
-    owned = owned.drop("frames", *outer, *spans)
+    taken = f"named_struct('pos', CAST(owner & {(1 << OWNER_SHIFT) - 1}L AS INT), 'rank', CAST(shiftright(owner, {OWNER_SHIFT}) AS INT))"
+    owned = add(live, owner=f"CASE WHEN zone = 'live' AND owner >= 0 THEN {taken} END")
     return add(
         owned, zone="CASE WHEN zone = 'live' AND (owner IS NOT NULL OR tag = 'img') THEN 'image' ELSE zone END"
     )

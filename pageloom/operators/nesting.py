@@ -19,7 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageloom.operators.marks import AREA_SHIFT, BIT, BOX_SHIFT, RANK_MASK
+from pageloom.operators.marks import AREA_SHIFT, BIT, BOX_SHIFT, FRAME_SHIFT, OWNER_SHIFT, RANK_MASK
 
 # Executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -40,6 +40,9 @@ _OWN = (1 << AREA_SHIFT) - 1
 _DEAD = BIT["noise"] | BIT["boilerplate"] | BIT["in_title"]
 _UNCLEAN = BIT["noise"] | BIT["in_title"]
 _FREE, _SKIP, _GATHER = 0, 1, 2
+_NO_OWNER = (RANK_MASK + 1) << OWNER_SHIFT
+# Marks of a string that its plain place does not heed: all but that of instructions.
+_TELLING = ~BIT["quiet"]
 
 _INTS = T.ArrayType(T.IntegerType())
 _LONGS = T.ArrayType(T.LongType())
@@ -51,7 +54,7 @@ _NESTING = T.StructType(
         T.StructField("unit", _INTS),
         T.StructField("head", _INTS),
         T.StructField("until", _INTS),
-        T.StructField("linked", _LONGS),
+        T.StructField("owner", _LONGS),
         T.StructField("box", T.IntegerType()),
         T.StructField("items", T.ArrayType(_INTS)),
     ]
@@ -61,12 +64,13 @@ _NESTING = T.StructType(
 class _Open:
     """An open element and what holds below it."""
 
-    __slots__ = ("pos", "name", "box", "mask", "own", "area", "rank", "wall", "unit", "kind", "hidden", "entry", "waiting")
+    __slots__ = ("pos", "name", "box", "mask", "own", "area", "rank", "wall", "unit", "kind", "hidden", "entry", "waiting", "owner")
 
     def __init__(self, pos: int, name: str, box: bool, mask: int, own: int):
         self.pos, self.name, self.box, self.mask, self.own = pos, name, box, mask, own
         self.area, self.rank, self.wall, self.unit, self.kind, self.hidden, self.entry = -1, RANK_MASK, _FREE, -1, "", False, -1
         self.waiting: list[tuple[str, int]] = []
+        self.owner = _NO_OWNER
 
 
 def _place(node: _Open, top: _Open, text: bool) -> int:
@@ -98,6 +102,17 @@ def _place(node: _Open, top: _Open, text: bool) -> int:
     return node.entry if node.kind == "dl" and pos > node.unit else node.unit
 
 
+def _place_text(pos: int, mask: int, top: _Open) -> int:
+    """`_place` of a string, below which nothing lies."""
+    if top.area < 0 or top.wall == _SKIP:
+        return -1
+    if top.wall == _FREE:
+        return -1 if top.name in LISTS or top.pos == top.area else pos
+    if top.hidden or mask & BIT["quiet"]:
+        return -1
+    return top.entry if top.kind == "dl" and pos > top.unit else top.unit
+
+
 def _scan(ops: Iterable[int], own: Sequence[int], codes: Sequence[tuple[str, str, bool]], links: Sequence[tuple[int, int, int]], out: dict) -> None:
     """Nesting of one page: an end tag closes up to the nearest open element of its name, or nothing."""
     stack = [_Open(-1, "", False, 0, 0)]
@@ -111,7 +126,7 @@ def _scan(ops: Iterable[int], own: Sequence[int], codes: Sequence[tuple[str, str
         action, name, is_box = codes[code]
         top = stack[-1]
         node = unit = None
-        mask = 0
+        mask, owner = 0, _NO_OWNER
         if action == "close":
             while opened.get(name):
                 gone = stack.pop()
@@ -124,16 +139,29 @@ def _scan(ops: Iterable[int], own: Sequence[int], codes: Sequence[tuple[str, str
                     items.pop()
                 if gone.name == name:
                     break
+        elif not name and not (own and own[pos] & _TELLING):
+            # A string: its place is all that is asked for.
+            mask = top.mask | (own[pos] & _OWN if own else 0)
+            owner, unit = top.owner, _place_text(pos, mask, top)
+            if items:
+                chains[pos] = items.copy()
         else:
             marks = own[pos] if own else 0
-            for number, (child, parent, result) in enumerate(links):
+            # The container of the earliest rule around a node owns it, the outermost one of that rule.
+            owner, frame = top.owner, marks >> FRAME_SHIFT & RANK_MASK
+            for child, parent, result in links:
                 if marks & child and top.own & parent:
-                    marks |= result
-                    out["linked"].append(pos * len(links) + number)
+                    marks |= result & _OWN
+                    rank = result >> FRAME_SHIFT
+                    if rank and (not frame or rank < frame):
+                        frame = rank
+            if frame:
+                owner = min(owner, (frame - 1) << OWNER_SHIFT | pos)
             if marks & BIT["title"] and not titled:
                 titled, marks = True, marks | BIT["in_title"]
             mask = top.mask | (marks & _OWN)
             node = _Open(pos, name, is_box, mask, marks)
+            node.owner = owner
             unit = _place(node, top, not name)
             rank = marks >> BOX_SHIFT & RANK_MASK
             if rank and not mask & _UNCLEAN:
@@ -161,6 +189,7 @@ def _scan(ops: Iterable[int], own: Sequence[int], codes: Sequence[tuple[str, str
         out["parent"].append(top.pos)
         out["last"].append(pos)
         out["mask"].append(mask)
+        out["owner"].append(-1 if owner == _NO_OWNER else owner)
         out["unit"].append(-1 if unit is None else unit)
     for left in stack:
         if left.pos >= 0:
@@ -193,9 +222,9 @@ def nesting(links: Sequence[tuple[int, int, int]] = ()) -> Callable:
     """The function `nest(ops, own)` of a page's codes and marks (no marks: an empty list).
 
     `links` are (child, parent, result): a token with the marks `child` below an element with the marks `parent` also
-    has the marks `result`. Per token: `parent`, `last`, `mask` (marks of the token and all around it) and `unit`; per
-    live heading: `head` and `until`, the end of the siblings it stands over; `linked` (position and link of each hit), `box`
-    (position of the best infobox, or -1), and `items`, the list items around a string in an infobox.
+    has the marks `result`. Per token: `parent`, `last`, `mask` (marks of the token and all around it), `unit` and `owner` (rule
+    and position of the image container that takes it, or -1); per live heading: `head` and `until`, the end of the siblings it
+    stands over; `box` (position of the best infobox, or -1), and `items`, the list items around a string in an infobox.
     """
     links = tuple(links)
 
@@ -209,13 +238,11 @@ def nesting(links: Sequence[tuple[int, int, int]] = ()) -> Callable:
         marked = [n or 0 for n in pc.list_value_length(own).to_pylist()]
         # Four or eight bytes a token and column; a batch may hold millions.
         out: dict = {k: array("i") for k in ("parent", "last", "unit", "head", "until")}
-        out |= {"mask": array("q"), "linked": array("q"), "items": [], "heads": [], "box": []}
-        hits, at, mark = [], 0, 0
+        out |= {"mask": array("q"), "owner": array("q"), "items": [], "heads": [], "box": []}
+        at, mark = 0, 0
         for length, own_length in zip(lengths, marked, strict=True):
-            before = len(out["linked"])
             _scan(indices[at : at + length], marks[mark : mark + own_length], codes, links, out)
             at, mark = at + length, mark + own_length
-            hits.append(len(out["linked"]) - before)
         columns = {
             "parent": _lists(out["parent"], lengths, np.int32),
             "last": _lists(out["last"], lengths, np.int32),
@@ -223,7 +250,7 @@ def nesting(links: Sequence[tuple[int, int, int]] = ()) -> Callable:
             "unit": _lists(out["unit"], lengths, np.int32),
             "head": _lists(out["head"], out["heads"], np.int32),
             "until": _lists(out["until"], out["heads"], np.int32),
-            "linked": _lists(out["linked"], hits, np.int64),
+            "owner": _lists(out["owner"], lengths, np.int64),
             "box": pa.array(out["box"], pa.int32()),
             "items": pa.array(out["items"], pa.list_(pa.list_(pa.int32()))),
         }

@@ -7,6 +7,7 @@ area and the infobox are found on the folded page as well. Only what is left is
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -16,7 +17,7 @@ from pageloom.functions.selectors import has_class_sql, keys_sql, rank_sql, rule
 from pageloom.functions.sql import add, literals
 from pageloom.functions.text import decode_sql, normalize_sql, strip_sql
 from pageloom.operators.intervals import KEYS, ordered_text
-from pageloom.operators.marks import AREA_SHIFT, BIT, BOX_SHIFT, FREE_BIT, RANK_MASK, has, pack
+from pageloom.operators.marks import AREA_SHIFT, BIT, BOX_SHIFT, FRAME_SHIFT, FREE_BIT, RANK_MASK, has, pack
 from pageloom.operators.nesting import nesting
 from pageloom.operators.nodes import (
     BLANKS, attr_sql, attributes_sql, blank_sql, end_sql, kind_sql, op_sql, page_tokens, string_sql, tag_sql,
@@ -34,6 +35,7 @@ SHAPING_TAGS = ("li", "img", "figure", "sup", "tr", "th", "td", "caption")
 
 _DEAD = BIT["noise"] | BIT["boilerplate"] | BIT["in_title"]
 _PARENT_SIDE, _CHILD_SIDE = 0, 1
+_STRING = re.compile(r"'(?:[^'\\]|\\.)*'")
 
 
 class Marks:
@@ -43,7 +45,7 @@ class Marks:
         self.profile, self.keep_images, self.keep_infobox = profile, keep_images, keep_infobox
         self.links: list[tuple[int, int, int]] = []
         self.sides: dict[tuple[str, int], int] = {}
-        self.frames, self.frame_links = profile.image_containers if keep_images else (), {}
+        self.frames = profile.image_containers if keep_images else ()
         groups = {
             "title": [profile.title],
             "noise": profile.preprocess,
@@ -63,9 +65,8 @@ class Marks:
         """The rules about a node alone; the others become links."""
         simple, pairs = split_parents(rules)
         for parent, child in pairs:
-            if name == "frame":
-                self.frame_links[len(self.links)] = list(rules).index(f"{parent} > {child}")
-            self.links.append((self._side(child, _CHILD_SIDE), self._side(parent, _PARENT_SIDE), BIT[name]))
+            rank = list(rules).index(f"{parent} > {child}") + 1 if name == "frame" else 0
+            self.links.append((self._side(child, _CHILD_SIDE), self._side(parent, _PARENT_SIDE), BIT[name] | rank << FRAME_SHIFT))
         return simple
 
     def sql(self, node: str) -> str:
@@ -90,37 +91,36 @@ class Marks:
         area = f"shiftleft(CAST(coalesce({rank_sql(self.profile.areas, at)} + 1, 0) AS BIGINT), {AREA_SHIFT})"
         box = rank_sql(self.profile.infobox if self.keep_infobox else (), at)
         box = f"shiftleft(CAST(coalesce({box} + 1, 0) AS BIGINT), {BOX_SHIFT})"
-        own = " | ".join(filter(None, [f"CAST({pack(marks)} AS BIGINT)", sides, area, box]))
+        cases = [f"WHEN {rule_sql([rule], at)} THEN {i + 1}" for i, rule in enumerate(self.frames) if " > " not in rule]
+        frame = f"shiftleft(CAST(CASE {' '.join(cases)} ELSE 0 END AS BIGINT), {FRAME_SHIFT})" if cases else ""
+        own = " | ".join(filter(None, [f"CAST({pack(marks)} AS BIGINT)", sides, area, box, frame]))
         return f"CASE WHEN {node} IS NULL THEN 0L ELSE {own} END"
 
-    def frames_sql(self, node: str, own: str) -> str:
-        """Numbers of the image containers an element is by itself, null for none."""
-        hits = [f"CASE WHEN {rule_sql([rule], f'{node}.')} THEN {i} END" for i, rule in enumerate(self.frames) if " > " not in rule]
-        return f"CASE WHEN {has('frame', own)} THEN array_compact(array({', '.join(hits)})) END"
-
-    def all_frames_sql(self, node: str, linked: str) -> str:
-        """The same with the containers that are known by their parent."""
-        hits = [
-            f"CASE WHEN array_contains({linked}, {node}.place * {len(self.links)}L + {link}) THEN {rank} END"
-            for link, rank in self.frame_links.items()
-        ]
-        if not hits:
-            return f"{node}.frames"
-        found = f"array_compact(concat(coalesce({node}.frames, CAST(array() AS ARRAY<INT>)), array({', '.join(hits)})))"
-        return f"CASE WHEN {has('frame', f'{node}.mask')} THEN {found} END"
-
-
-def _parsed(token: str) -> str:
-    """Tag, classes, id, style and rel of a start tag; null for strings, end tags and comments."""
+    def bare_tags(self) -> list[str]:
+        """Names of elements that rules pick without looking at attributes."""
+        rules = [r for group in self.rules.values() for r in group] + [selector for selector, _ in self.sides]
+        rules += [*self.profile.areas, *self.profile.infobox]
+        return sorted({*QUIET_TAGS, *self.profile.skip_tags, *(r for r in rules if r.isalnum())})
+
+
+def _parsed(token: str, tag: str, telling: str) -> str:
+    """Tag, classes, id, style and rel of a start tag; null for strings, end tags, comments and tags that no rule can pick.
+
+    `tag` is the name of a start tag, `telling` what is true for the names that say something without any attribute.
+    """
     letter = f"upper(substring({token}, 2, 1)) BETWEEN 'A' AND 'Z'"
     decl = f"substring({token}, 2, 1) IN ('!', '?', '/') AND {kind_sql(token)} = 'decl'"
-    # Other attributes are no part of any rule.
-    asked = " OR ".join(f"contains(lower({token}), '{name}')" for name in ("class", "id", "style", "rel"))
+    # Other attributes are no part of any rule. A name in its brackets alone, as most, has none.
+    named = " OR ".join(f"contains(lower({token}), '{name}')" for name in ("class", "id", "style", "rel"))
+    asked = f"(contains({token}, '=') OR length({token}) <> length({tag}) + 2) AND ({named})"
     attrs = f"CASE WHEN {asked} THEN {attributes_sql(token)} END"
-    read = f"named_struct('tag', {tag_sql(token)}, 'token', {token}, 'attrs', {attrs}, 'decl', false)"
+    read = f"named_struct('tag', {tag}, 'token', {token}, 'attrs', {attrs}, 'decl', false)"
     none = "CAST(NULL AS STRING)"
     blank = f"named_struct('tag', {none}, 'token', {none}, 'attrs', CAST(NULL AS ARRAY<STRING>), 'decl', true)"
-    return f"CASE WHEN NOT startswith({token}, '<') THEN NULL WHEN {letter} THEN {read} WHEN {decl} THEN {blank} END"
+    return (
+        f"CASE WHEN NOT startswith({token}, '<') THEN NULL WHEN {letter} THEN CASE WHEN {telling} OR {asked} THEN {read} END "
+        f"WHEN {decl} THEN {blank} END"
+    )
 
 
 def _named(node: str) -> str:
@@ -157,7 +157,7 @@ def _shown(marks: Marks, *, text: bool) -> tuple[str, str]:
         live.append(f"({boxed} AND NOT {titled} AND ({telling}))")
     framed = f"({has('frame', 'x.mask')} OR x.tags <=> 'img')" if marks.keep_images else "false"
     if marks.keep_images:
-        live.append(f"({_live('x')} AND {framed} AND ({telling} OR size(x.frames) > 0 OR {has('frame', 'x.mask')} AND size(linked) > 0))")
+        live.append(f"({_live('x')} AND {framed} AND ({telling}))")
     if text:
         speaks = f"x.tags IS NULL OR x.place = x.unit OR {has('headline', 'x.own')}"
         below = "x.place > area.pos AND x.place <= area.last"
@@ -221,17 +221,20 @@ def live_nodes(
     `count_trailing` rows also carry `n_trailing`, the number of headings that started a removed section.
     """
     marks = Marks(profile, keep_images=keep_images, keep_infobox=keep_infobox)
-    parsed = f"transform(transform(tokens, t -> {_parsed('t')}), p -> {_named('p')})"
+    telling = f"coalesce(g IN ({literals(marks.bare_tags())}), false)"
+    parsed = f"transform(zip_with(tokens, tags, (t, g) -> {_parsed('t', 'g', telling)}), p -> {_named('p')})"
+    own = marks.sql("n")
+    # Keys that no rule names are no match for any; all that rules name are among the strings of their tests.
+    known = ", ".join(sorted(set(_STRING.findall(own))))
     with_keys = (
         "transform(parsed, n -> CASE WHEN n IS NULL THEN NULL ELSE named_struct('tag', n.tag, 'decl', n.decl, 'cls', n.cls, 'id', n.id, "
-        f"'style', n.style, 'rel', n.rel, 'keys', {keys_sql('n.')}) END)"
+        f"'style', n.style, 'rel', n.rel, 'keys', filter({keys_sql('n.')}, k -> k IN ({known}))) END)"
     )
     read = add(page_tokens(pages), tokens=f"filter(tokens, t -> NOT ({blank_sql('t')}))")
+    read = add(read, tags=f"transform(tokens, t -> CASE WHEN upper(substring(t, 2, 1)) BETWEEN 'A' AND 'Z' THEN {tag_sql('t')} END)")
     read = add(read, parsed=parsed)
     read = add(read, parsed=with_keys)
-    read = add(read, own=f"transform(parsed, n -> {marks.sql('n')})", tags="transform(parsed, n -> n.tag)")
-    if keep_images:
-        read = add(read, frames=f"zip_with(parsed, own, (n, o) -> {marks.frames_sql('n', 'o')})")
+    read = add(read, own=f"transform(parsed, n -> {own})")
     ops = F.expr(f"zip_with(tokens, tags, (t, g) -> {op_sql('t', 'g')})")
     scanned = read.drop("parsed").withColumn("nest", nesting(marks.links)(ops, F.col("own")))
     scanned = add(
@@ -240,10 +243,10 @@ def live_nodes(
         ptag="transform(nest.parent, p -> get(tags, p))",
         box_pos="nest.box",
         box_last="coalesce(get(nest.last, nest.box), -2)",
-        **{name: f"nest.{name}" for name in ("parent", "last", "mask", "unit", "head", "until", "linked", "items")},
+        **{name: f"nest.{name}" for name in ("parent", "last", "mask", "unit", "head", "until", "owner", "items")},
     ).drop("nest")
     fields = ["place", "tokens", "tags", "own", "mask", "parent", "last", "unit", "ptag"]
-    fields += ["frames"] * keep_images + ["items"] * keep_infobox
+    fields += ["owner"] * keep_images + ["items"] * keep_infobox
     folded = add(scanned, every=f"arrays_zip({', '.join(fields)})")
     if profile.trailing_keywords:
         folded = _with_trailing(folded, profile.trailing_keywords)
@@ -268,7 +271,7 @@ def live_nodes(
         "zone": ("STRING", zone),
     }
     if keep_images:
-        columns["frames"] = ("ARRAY<INT>", marks.all_frames_sql("x", "linked"))
+        columns["owner"] = ("BIGINT", "x.owner")
     if keep_infobox:
         columns["items"] = ("ARRAY<INT>", "x.items")
     own = {"pos": "-1", "zone": "'page'"}

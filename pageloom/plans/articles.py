@@ -43,7 +43,7 @@ def _pages(
     if count_trailing:
         per_unit["n_trailing"] = per_page["n_trailing"] = "max(n_trailing)"
     if keep_images:
-        marked = images.mark_images(marked, profile)
+        marked = images.mark_images(marked)
         unit.append(f"WHEN zone = 'image' THEN {images.UNIT}")
         per_unit |= images.unit_aggregates(profile)
         per_page["images"] = "collect_list(image)"

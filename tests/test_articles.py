@@ -7,6 +7,9 @@ from conftest import wiki
 
 from pageloom import GENERIC, articles, image_rows, infobox_rows
 from pageloom import session
+from pageloom.functions.sql import literals
+from pageloom.operators.prune import Marks, _parsed
+from pageloom.profiles import WIKI
 from pageloom.session import spread
 from pageloom.plans.articles import page_counters
 
@@ -289,6 +292,27 @@ def test_parts_of_pages_grow_with_the_tables(spark, tmp_path):
     assert counts[0] > 8 and 1.8 < counts[1] / counts[0] < 2.2
 
 
+def test_image_owners_need_no_window(pages):
+    """The scan tells the container of a node; the earliest rule wins, the outermost container among those of one rule."""
+    html = wiki(
+        '<div class="floatleft"><div class="thumb"><div class="thumb"><img src="a"><div class="thumbcaption">inner</div></div>'
+        '<p class="caption">outer</p></div><img src="b"></div><table><tr><td style="padding:1px"><a class="image floatleft"><img src="c"></a>'
+        '</td></tr></table><div class="navbox"><div class="thumb"><img src="dead"></div></div><img src="loose">'
+    )
+    found = image_rows(pages(html))
+    nodes = [line.lstrip(" :+-*()0123456789").split(" ")[0] for line in found._jdf.queryExecution().executedPlan().toString().splitlines()]
+    assert "Window" not in nodes
+    assert [(r.src, r.caption) for r in found.orderBy("ord").collect()] == [("a", "inner"), ("b", ""), ("c", ""), ("loose", "")]
+
+
+def test_tags_that_no_rule_picks_are_not_parsed(spark):
+    telling = f"coalesce(g IN ({literals(Marks(WIKI, keep_images=True, keep_infobox=True).bare_tags())}), false)"
+    tokens = {"<p>": "p", "<br/>": "br", "<a href=x>": "a", "<sup>": "sup", "<b class=x>": "b", "<aside>": "aside", "<ASIDE id=x>": "aside"}
+    rows = spark.createDataFrame([*tokens.items()], "t string, g string")
+    read = rows.selectExpr("t", f"{_parsed('t', 'g', telling)} IS NOT NULL AS read").filter("read")
+    assert sorted(r.t for r in read.collect()) == ["<ASIDE id=x>", "<b class=x>", "<sup>"]
+
+
 def test_nested_areas_and_walls(pages):
     """What stands around the area has no say in it; the best area wins wherever it is."""
     inner = '<div class="mw-parser-output"><p>in <b>bold</b></p><ul><li>one</li></ul>{}</div>'
