@@ -4,6 +4,8 @@ Which element an end tag closes depends on all elements open at that point, and
 leave many open, so neither windows nor counts per tag can tell. The scan is linear and sees
 one short code and one integer of rule marks per token, never the text. What an element says about everything
 below it (its marks, the paragraph it starts, the area it opens) rides on the stack, so rules about subtrees cost nothing more.
+The page job hands over its tags as written beside what is known of each different one, and gets back the tokens that are
+still alive; nothing is returned for end tags and what lies below removed elements.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import sys
 from array import array
 from collections.abc import Callable, Iterable, Sequence
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +41,11 @@ ENTRIES = frozenset({"dt", "dd"})
 
 _OWN = (1 << AREA_SHIFT) - 1
 _DEAD = BIT["noise"] | BIT["boilerplate"] | BIT["in_title"]
+_GONE = BIT["noise"] | BIT["boilerplate"]
 _UNCLEAN = BIT["noise"] | BIT["in_title"]
 _FREE, _SKIP, _GATHER = 0, 1, 2
+_ITSELF = -2
 _NO_OWNER = (RANK_MASK + 1) << OWNER_SHIFT
-# Marks of a string that its plain place does not heed: all but that of instructions.
-_TELLING = ~BIT["quiet"]
 
 _INTS = T.ArrayType(T.IntegerType())
 _LONGS = T.ArrayType(T.LongType())
@@ -59,6 +62,18 @@ _NESTING = T.StructType(
         T.StructField("items", T.ArrayType(_INTS)),
     ]
 )
+_LIVE = T.StructType(
+    [
+        T.StructField("place", _INTS),
+        T.StructField("word", _INTS),
+        T.StructField("around", _INTS),
+        *(field for field in _NESTING.fields if field.name not in ("box", "items")),
+        T.StructField("inner", _INTS),
+        T.StructField("box", T.IntegerType()),
+        T.StructField("box_last", T.IntegerType()),
+        T.StructField("items", T.ArrayType(_INTS)),
+    ]
+)
 
 
 class _Open:
@@ -102,36 +117,42 @@ def _place(node: _Open, top: _Open, text: bool) -> int:
     return node.entry if node.kind == "dl" and pos > node.unit else node.unit
 
 
-def _place_text(pos: int, mask: int, top: _Open) -> int:
-    """`_place` of a string, below which nothing lies."""
+def _text_unit(top: _Open) -> int:
+    """`_place` of the strings directly below an element: a position, -1 for none, `_ITSELF` for that of the string."""
     if top.area < 0 or top.wall == _SKIP:
         return -1
     if top.wall == _FREE:
-        return -1 if top.name in LISTS or top.pos == top.area else pos
-    if top.hidden or mask & BIT["quiet"]:
+        return -1 if top.name in LISTS or top.pos == top.area else _ITSELF
+    if top.hidden or top.mask & BIT["quiet"]:
         return -1
-    return top.entry if top.kind == "dl" and pos > top.unit else top.unit
+    return top.entry if top.kind == "dl" else top.unit
+
 
+def _scan(
+    spots: Sequence[int], ops: Sequence[int], own: Sequence[int], codes: Sequence[tuple[str, str, bool]], links: Sequence[tuple[int, int, int]],
+    base: int, out: dict,
+) -> None:
+    """Nesting of one page: an end tag closes up to the nearest open element of its name, or nothing.
 
-def _scan(ops: Iterable[int], own: Sequence[int], codes: Sequence[tuple[str, str, bool]], links: Sequence[tuple[int, int, int]], out: dict) -> None:
-    """Nesting of one page: an end tag closes up to the nearest open element of its name, or nothing."""
+    `spots` are the positions of all tokens but strings. What is known of a token goes to its place after `base`; strings follow
+    from `after`, the innermost element open after a token, and `text`, the unit of the strings directly below an element.
+    """
     stack = [_Open(-1, "", False, 0, 0)]
     opened: dict[str, int] = {}
     items: list[int] = []
     boxes, titled, box = 0, False, (RANK_MASK + 1, -1)
     chains: dict[int, list[int]] = {}
-    base, heads = len(out["last"]), len(out["head"])
-    pos = -1
-    for pos, code in enumerate(ops):
-        action, name, is_box = codes[code]
+    lasts, heads = out["last"], len(out["head"])
+    parents, masks, owners, units, after, text = out["parent"], out["mask"], out["owner"], out["unit"], out["after"], out["text"]
+    for turn, pos in enumerate(spots):
+        action, name, is_box = codes[ops[pos]]
         top = stack[-1]
-        node = unit = None
-        mask, owner = 0, _NO_OWNER
+        parent, place = top.pos, base + pos
         if action == "close":
             while opened.get(name):
                 gone = stack.pop()
                 opened[gone.name] -= 1
-                out["last"][base + gone.pos] = pos - 1
+                lasts[base + gone.pos] = pos - 1
                 for _, head in gone.waiting:
                     out["until"][head] = pos - 1
                 boxes -= gone.box
@@ -139,18 +160,12 @@ def _scan(ops: Iterable[int], own: Sequence[int], codes: Sequence[tuple[str, str
                     items.pop()
                 if gone.name == name:
                     break
-        elif not name and not (own and own[pos] & _TELLING):
-            # A string: its place is all that is asked for.
-            mask = top.mask | (own[pos] & _OWN if own else 0)
-            owner, unit = top.owner, _place_text(pos, mask, top)
-            if items:
-                chains[pos] = items.copy()
         else:
             marks = own[pos] if own else 0
             # The container of the earliest rule around a node owns it, the outermost one of that rule.
             owner, frame = top.owner, marks >> FRAME_SHIFT & RANK_MASK
-            for child, parent, result in links:
-                if marks & child and top.own & parent:
+            for child, around, result in links:
+                if marks & child and top.own & around:
                     marks |= result & _OWN
                     rank = result >> FRAME_SHIFT
                     if rank and (not frame or rank < frame):
@@ -162,7 +177,7 @@ def _scan(ops: Iterable[int], own: Sequence[int], codes: Sequence[tuple[str, str
             mask = top.mask | (marks & _OWN)
             node = _Open(pos, name, is_box, mask, marks)
             node.owner = owner
-            unit = _place(node, top, not name)
+            units[place] = _place(node, top, not name)
             rank = marks >> BOX_SHIFT & RANK_MASK
             if rank and not mask & _UNCLEAN:
                 box = min(box, (rank, pos))
@@ -181,25 +196,30 @@ def _scan(ops: Iterable[int], own: Sequence[int], codes: Sequence[tuple[str, str
             if action == "open":
                 stack.append(node)
                 opened[name] = opened.get(name, 0) + 1
+                text[place] = _text_unit(node)
                 if name == "li" and boxes:
                     items.append(pos)
                 boxes += is_box
             elif items:
                 chains[pos] = items.copy()
-        out["parent"].append(top.pos)
-        out["last"].append(pos)
-        out["mask"].append(mask)
-        out["owner"].append(-1 if owner == _NO_OWNER else owner)
-        out["unit"].append(-1 if unit is None else unit)
+            masks[place] = mask
+            if owner != _NO_OWNER:
+                owners[place] = owner
+        parents[place] = parent
+        after[place] = stack[-1].pos
+        if items:
+            until = spots[turn + 1] if turn + 1 < len(spots) else len(ops)
+            chains |= {at: items.copy() for at in range(pos + 1, until)}
+    end = len(ops) - 1
     for left in stack:
         if left.pos >= 0:
-            out["last"][base + left.pos] = pos
+            lasts[base + left.pos] = end
         for _, head in left.waiting:
-            out["until"][head] = pos
+            out["until"][head] = end
     out["heads"].append(len(out["head"]) - heads)
     out["box"].append(box[1])
     # Only pages with list items in an infobox pay for a chain per token.
-    out["items"].append([chains.get(at, ()) for at in range(pos + 1)] if chains else [])
+    out["items"].append([chains.get(at, ()) for at in range(end + 1)] if chains else [])
 
 
 def _decode_op(op: str) -> tuple[str, str, bool]:
@@ -212,10 +232,52 @@ def _decode_op(op: str) -> tuple[str, str, bool]:
     return ("leaf" if leaf else "open"), name, op.endswith("!")
 
 
-def _lists(values: array, lengths: Sequence[int], kind: type) -> pa.Array:
+def _offsets(lengths: Sequence[int]) -> np.ndarray:
     starts = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=starts[1:])
-    return pa.ListArray.from_arrays(pa.array(starts), pa.array(np.frombuffer(values, kind) if len(values) else np.zeros(0, kind)))
+    return starts
+
+
+def _lists(values: np.ndarray, lengths: Sequence[int]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(_offsets(lengths)), pa.array(values))
+
+
+def _scan_pages(
+    indices: np.ndarray, marks: np.ndarray, tagged: np.ndarray, codes: Sequence[tuple[str, str, bool]], lengths: Sequence[int], links: Sequence[tuple]
+) -> dict:
+    """`_scan` of the pages of a batch, whose tokens and marks (or none) lie one page after the other; `tagged` tells tokens from strings."""
+    starts = _offsets(lengths)
+    size = int(starts[-1])
+    page = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(size, dtype=np.int32) - starts[page]
+    # Four or eight bytes a token and column; a batch may hold millions.
+    out: dict = {name: array("i", [-1]) * size for name in ("parent", "unit", "after", "text")}
+    out |= {"last": array("i", place.tobytes()), "mask": array("q", [0]) * size, "owner": array("q", [-1]) * size}
+    out |= {"head": array("i"), "until": array("i"), "items": [], "heads": [], "box": []}
+    spots = np.flatnonzero(tagged)
+    ends = np.searchsorted(spots, starts)
+    for i, at in enumerate(starts[:-1].tolist()):
+        here = slice(at, at + lengths[i])
+        _scan(place[spots[ends[i] : ends[i + 1]]].tolist(), indices[here].tolist(), marks[here].tolist(), codes, links, at, out)
+    for name, values in out.items():
+        if isinstance(values, array):
+            out[name] = np.frombuffer(values, np.dtype(values.typecode)).copy() if values else np.zeros(0, np.dtype(values.typecode))
+    # A string lies in the element open after the tag before it.
+    strings = np.flatnonzero(~tagged)
+    before = np.maximum.accumulate(np.where(tagged, np.arange(size), -1))[strings]
+    first = starts[page[strings]]
+    top = np.where(before >= first, out["after"][np.maximum(before, 0)], -1)
+    above, nested = np.maximum(first + top, 0), top >= 0
+    unit = np.where(nested, out["text"][above], -1)
+    out["parent"][strings] = top
+    out["mask"][strings] = np.where(nested, out["mask"][above], 0)
+    out["owner"][strings] = np.where(nested, out["owner"][above], -1)
+    out["unit"][strings] = np.where(unit == _ITSELF, place[strings], unit)
+    return out | {"page": page, "place": place, "starts": starts}
+
+
+def _lengths(lists: pa.Array) -> list[int]:
+    return [n or 0 for n in pc.list_value_length(lists).to_pylist()]
 
 
 def nesting(links: Sequence[tuple[int, int, int]] = ()) -> Callable:
@@ -232,28 +294,86 @@ def nesting(links: Sequence[tuple[int, int, int]] = ()) -> Callable:
     def nest(ops: pa.Array, own: pa.Array) -> pa.Array:
         flat = ops.flatten().dictionary_encode()
         codes = [_decode_op(op) for op in flat.dictionary.to_pylist()]
-        indices = array("i", flat.indices.to_numpy().astype(np.int32).tobytes())
-        marks = array("q", own.flatten().to_numpy(zero_copy_only=False).astype(np.int64).tobytes())
-        lengths = [n or 0 for n in pc.list_value_length(ops).to_pylist()]
-        marked = [n or 0 for n in pc.list_value_length(own).to_pylist()]
-        # Four or eight bytes a token and column; a batch may hold millions.
-        out: dict = {k: array("i") for k in ("parent", "last", "unit", "head", "until")}
-        out |= {"mask": array("q"), "owner": array("q"), "items": [], "heads": [], "box": []}
-        at, mark = 0, 0
-        for length, own_length in zip(lengths, marked, strict=True):
-            _scan(indices[at : at + length], marks[mark : mark + own_length], codes, links, out)
-            at, mark = at + length, mark + own_length
+        lengths = _lengths(ops)
+        strings = np.array([op == "" for op in flat.dictionary.to_pylist()], bool)
+        indices = flat.indices.to_numpy()
+        out = _scan_pages(indices, own.flatten().to_numpy(zero_copy_only=False), ~strings[indices], codes, lengths, links)
+        per_token = {name: _lists(out[name], lengths) for name in ("parent", "last", "mask", "unit")}
+        per_head = {name: _lists(out[name], out["heads"]) for name in ("head", "until")}
         columns = {
-            "parent": _lists(out["parent"], lengths, np.int32),
-            "last": _lists(out["last"], lengths, np.int32),
-            "mask": _lists(out["mask"], lengths, np.int64),
-            "unit": _lists(out["unit"], lengths, np.int32),
-            "head": _lists(out["head"], out["heads"], np.int32),
-            "until": _lists(out["until"], out["heads"], np.int32),
-            "owner": _lists(out["owner"], lengths, np.int64),
+            **per_token,
+            **per_head,
+            "owner": _lists(out["owner"], lengths),
             "box": pa.array(out["box"], pa.int32()),
             "items": pa.array(out["items"], pa.list_(pa.list_(pa.int32()))),
         }
         return pa.StructArray.from_arrays([*columns.values()], names=[*columns])
 
     return nest
+
+
+def live_nesting(links: Sequence[tuple[int, int, int]] = ()) -> Callable:
+    """The function `nest(words, vocabulary, ops, own)`: `nesting` of a page, of the tokens alone that may have a part in the result.
+
+    `words` are the page's tokens, '' for strings; `vocabulary` its different tags, with the code and the marks of each. What lies
+    below removed elements goes, unless in the title or the infobox, and so do end tags. Per token that is left: `place`, its position;
+    `word` and `around`, the numbers of its own tag and of its parent's in the vocabulary, or -1; and what `nesting` gives, all in
+    positions of the whole page. Of headings, `head`, `until` and `inner` (the last token inside) count the tokens that are left.
+    """
+    links = tuple(links)
+
+    @F.arrow_udf(_LIVE)
+    def nest(words: pa.Array, vocabulary: pa.Array, ops: pa.Array, own: pa.Array) -> pa.Array:
+        # Tags come again on most pages of a batch; each different one has a number, 0 is for strings.
+        known = vocabulary.flatten().dictionary_encode()
+        numbers = known.indices.to_numpy().astype(np.int64) + 1
+        _, firsts = np.unique(numbers, return_index=True)
+        distinct = ops.flatten().take(pa.array(firsts)).dictionary_encode()
+        codes = [("leaf", "", False), *(_decode_op(op) for op in distinct.dictionary.to_pylist())]
+        code = np.concatenate([[0], distinct.indices.to_numpy().astype(np.int64) + 1])
+        marks = np.concatenate([[0], own.flatten().to_numpy(zero_copy_only=False)[firsts]]).astype(np.int64)
+        number = pc.fill_null(pc.index_in(words.flatten(), value_set=known.dictionary), -1).to_numpy().astype(np.int64) + 1
+
+        lengths = _lengths(words)
+        out = _scan_pages(code[number], marks[number], number > 0, codes, lengths, links)
+        page, place, starts = out["page"], out["place"], out["starts"]
+        box = np.array(out["box"], np.int32)
+        box_last = np.full(len(box), -2, np.int32)
+        boxed = box >= 0
+        box_last[boxed] = out["last"][starts[:-1][boxed] + box[boxed]]
+        in_box = (place >= box[page]) & (place <= box_last[page])
+        alive = ((out["mask"] & _GONE) == 0) | ((out["mask"] & BIT["in_title"]) != 0) | in_box
+        keep = alive & ~np.array([action == "close" for action, _, _ in codes])[code[number]]
+
+        word = np.empty(len(number), np.int32)
+        here, at = np.full(len(known.dictionary) + 1, -1, np.int32), 0
+        for i, size in enumerate(_lengths(vocabulary)):
+            here[numbers[at : at + size]] = np.arange(size, dtype=np.int32)
+            word[starts[i] : starts[i + 1]] = here[number[starts[i] : starts[i + 1]]]
+            at += size
+        parent = out["parent"]
+        around = np.where(parent >= 0, word[np.maximum(starts[page] + parent, 0)], np.int32(-1)) if len(word) else word
+
+        # Tokens left up to a position, and before each page.
+        upto = np.cumsum(keep, dtype=np.int32)
+        before = np.concatenate([[0], upto]).astype(np.int32)[starts[:-1]]
+        left = np.bincount(page[keep], minlength=len(lengths))
+        heads = out["heads"]
+        start, earlier = np.repeat(starts[:-1], heads), np.repeat(before, heads)
+        head = out["head"] + start
+        columns = {
+            **{k: _lists(v[keep], left) for k, v in {"place": place, "word": word, "around": around}.items()},
+            **{k: _lists(out[k][keep], left) for k in ("parent", "last", "mask", "unit")},
+            "head": _lists(upto[head] - earlier - 1, heads),
+            "until": _lists(upto[out["until"] + start] - earlier - 1, heads),
+            "owner": _lists(out["owner"][keep], left),
+            "inner": _lists(upto[out["last"][head] + start] - earlier - 1, heads),
+            "box": pa.array(box),
+            "box_last": pa.array(box_last),
+            "items": pa.array(
+                [list(compress(chains, keep[starts[i] :])) for i, chains in enumerate(out["items"])], pa.list_(pa.list_(pa.int32()))
+            ),
+        }
+        return pa.StructArray.from_arrays([*columns.values()], names=[*columns])
+
+    return nest

@@ -83,7 +83,7 @@ def op_sql(token: str, tag: str | None = None) -> str:
     bare = f"regexp_replace({token}, {_QUOTED}, {_EMPTY_QUOTES})"
     # In <a href=x/> the slash belongs to the value.
     valued = f"{bare} RLIKE {_UNQUOTED_END}"
-    closed = f"CASE WHEN endswith({token}, '/>') AND NOT {valued} THEN '/' ELSE '' END"
+    closed = f"CASE WHEN endswith({token}, '/>') THEN CASE WHEN {valued} THEN '' ELSE '/' END ELSE '' END"
     box = f"CASE WHEN contains({token}, 'infobox') THEN '!' ELSE '' END"
     return f"CASE WHEN startswith({token}, '<') THEN concat({name}, {closed}, {box}) ELSE '' END"
 

@@ -1,6 +1,6 @@
 """What of a page has a part in the result, decided while the page is still one row.
 
-Rules are evaluated per token as expressions and packed into one integer. The stack scan hands every token the marks of all
+Rules are evaluated as expressions, once for each different tag of a page, and packed into one integer. The stack scan hands every token the marks of all
 around it, so what lies below a removed element is known without a window or a join. Trailing sections, the content
 area and the infobox are found on the folded page as well. Only what is left is shuffled and becomes rows.
 """
@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions.selectors import has_class_sql, keys_sql, rank_sql, rule_sql, split_parents
-from pageloom.functions.sql import add, literals
+from pageloom.functions.sql import add, literal, literals
 from pageloom.functions.text import decode_sql, normalize_sql, strip_sql
 from pageloom.operators.intervals import KEYS, ordered_text
 from pageloom.operators.marks import AREA_SHIFT, BIT, BOX_SHIFT, FRAME_SHIFT, FREE_BIT, RANK_MASK, has, pack
-from pageloom.operators.nesting import nesting
+from pageloom.operators.nesting import live_nesting
 from pageloom.operators.nodes import (
     BLANKS, attr_sql, attributes_sql, blank_sql, end_sql, kind_sql, op_sql, page_tokens, string_sql, tag_sql,
 )
@@ -33,6 +33,10 @@ CAPTION_CLASSES = ("thumbcaption", "gallerytext", "mw-caption-text")
 # Elements that shape an infobox or an image; the others there matter only by their marks.
 SHAPING_TAGS = ("li", "img", "figure", "sup", "tr", "th", "td", "caption")
 
+# The attributes that rules look at.
+_ATTRIBUTES = ("class", "id", "style", "rel")
+_LONE = literal(r'^<[a-zA-Z0-9]++ (?:class|id|style|rel)="[^"]*+">$')
+
 _DEAD = BIT["noise"] | BIT["boilerplate"] | BIT["in_title"]
 _PARENT_SIDE, _CHILD_SIDE = 0, 1
 _STRING = re.compile(r"'(?:[^'\\]|\\.)*'")
@@ -111,14 +115,24 @@ def _parsed(token: str, tag: str, telling: str) -> str:
     letter = f"upper(substring({token}, 2, 1)) BETWEEN 'A' AND 'Z'"
     decl = f"substring({token}, 2, 1) IN ('!', '?', '/') AND {kind_sql(token)} = 'decl'"
     # Other attributes are no part of any rule. A name in its brackets alone, as most, has none.
-    named = " OR ".join(f"contains(lower({token}), '{name}')" for name in ("class", "id", "style", "rel"))
+    named = " OR ".join(f"contains(lower({token}), '{name}')" for name in _ATTRIBUTES)
     asked = f"(contains({token}, '=') OR length({token}) <> length({tag}) + 2) AND ({named})"
+    # One of them alone in plain quotes, the usual case, is cut out; a tag named like an attribute is none of these.
+    at = f"instr({token}, '=')"
+    lone = f"endswith({token}, '\">') AND {token} RLIKE {_LONE} AND {tag} NOT IN ({literals(_ATTRIBUTES)})"
+    cut = (
+        f"'name', substring({token}, length({tag}) + 3, {at} - length({tag}) - 3), "
+        f"'value', substring({token}, {at} + 2, length({token}) - {at} - 3)"
+    )
+    none, no_list = "CAST(NULL AS STRING)", "CAST(NULL AS ARRAY<STRING>)"
+    uncut = f"'name', {none}, 'value', {none}"
+    single = f"named_struct('tag', {tag}, 'token', {none}, 'attrs', {no_list}, 'decl', false, {cut})"
     attrs = f"CASE WHEN {asked} THEN {attributes_sql(token)} END"
-    read = f"named_struct('tag', {tag}, 'token', {token}, 'attrs', {attrs}, 'decl', false)"
-    none = "CAST(NULL AS STRING)"
-    blank = f"named_struct('tag', {none}, 'token', {none}, 'attrs', CAST(NULL AS ARRAY<STRING>), 'decl', true)"
+    read = f"named_struct('tag', {tag}, 'token', {token}, 'attrs', {attrs}, 'decl', false, {uncut})"
+    blank = f"named_struct('tag', {none}, 'token', {none}, 'attrs', {no_list}, 'decl', true, {uncut})"
     return (
-        f"CASE WHEN NOT startswith({token}, '<') THEN NULL WHEN {letter} THEN CASE WHEN {telling} OR {asked} THEN {read} END "
+        f"CASE WHEN NOT startswith({token}, '<') THEN NULL "
+        f"WHEN {letter} THEN CASE WHEN {lone} THEN {single} WHEN {telling} OR {asked} THEN {read} END "
         f"WHEN {decl} THEN {blank} END"
     )
 
@@ -127,7 +141,14 @@ def _named(node: str) -> str:
     def value(name: str) -> str:
         return attr_sql(name, f"{node}.attrs", f"{node}.token")
 
+    def alone(name: str) -> str:
+        return f"CASE WHEN {node}.name = '{name}' THEN {node}.value END"
+
     classes = f"filter(split({value('class')}, {BLANKS}), c -> c <> '')"
+    one_class = (
+        f"CASE WHEN {node}.name <> 'class' THEN NULL WHEN {node}.value = '' OR {node}.value RLIKE {BLANKS} "
+        f"THEN filter(split({node}.value, {BLANKS}), c -> c <> '') ELSE array({node}.value) END"
+    )
     none = "CAST(NULL AS STRING)"
     with_keys = (
         f"named_struct('tag', {node}.tag, 'decl', {node}.decl, 'cls', {classes}, 'id', nullif({value('id')}, ''), "
@@ -136,7 +157,14 @@ def _named(node: str) -> str:
     bare = (
         f"named_struct('tag', {node}.tag, 'decl', {node}.decl, 'cls', CAST(NULL AS ARRAY<STRING>), 'id', {none}, 'style', {none}, 'rel', {none})"
     )
-    return f"CASE WHEN {node} IS NULL THEN NULL WHEN {node}.attrs IS NULL THEN {bare} ELSE {with_keys} END"
+    single = (
+        f"named_struct('tag', {node}.tag, 'decl', false, 'cls', {one_class}, 'id', nullif({alone('id')}, ''), "
+        f"'style', {alone('style')}, 'rel', {alone('rel')})"
+    )
+    return (
+        f"CASE WHEN {node} IS NULL THEN NULL WHEN {node}.name IS NOT NULL THEN {single} "
+        f"WHEN {node}.attrs IS NULL THEN {bare} ELSE {with_keys} END"
+    )
 
 
 def heading_sql(texts: str, headline: str, separator: str) -> str:
@@ -181,10 +209,10 @@ def _with_trailing(folded: DataFrame, keywords: tuple[str, ...]) -> DataFrame:
     A section takes the following siblings, elements only, up to a heading of its rank or above; the scan has found
     where that is. Outermost sections don't overlap, so the page is cut at their ends.
     """
-    around = "slice(every, h.head + 1, get(last, h.head) - h.head + 1)"
+    around = "slice(every, h.head + 1, h.inner - h.head + 1)"
     live = add(
         folded,
-        heading=f"transform(filter(arrays_zip(head, until), h -> NOT (h.head BETWEEN box_pos AND box_last)), h -> named_struct("
+        heading=f"transform(filter(arrays_zip(head, until, inner), h -> NOT (get(place, h.head) BETWEEN box_pos AND box_last)), h -> named_struct("
         f"'pos', h.head, 'until', h.until, 'parent', get(parent, h.head), 'inner', filter({around}, x -> {_live('x')})))",
     )
     kind = kind_sql("x.tokens")
@@ -222,7 +250,7 @@ def live_nodes(
     """
     marks = Marks(profile, keep_images=keep_images, keep_infobox=keep_infobox)
     telling = f"coalesce(g IN ({literals(marks.bare_tags())}), false)"
-    parsed = f"transform(zip_with(tokens, tags, (t, g) -> {_parsed('t', 'g', telling)}), p -> {_named('p')})"
+    parsed = f"transform(zip_with(vocabulary, names, (t, g) -> {_parsed('t', 'g', telling)}), p -> {_named('p')})"
     own = marks.sql("n")
     # Keys that no rule names are no match for any; all that rules name are among the strings of their tests.
     known = ", ".join(sorted(set(_STRING.findall(own))))
@@ -231,20 +259,27 @@ def live_nodes(
         f"'style', n.style, 'rel', n.rel, 'keys', filter({keys_sql('n.')}, k -> k IN ({known}))) END)"
     )
     read = add(page_tokens(pages), tokens=f"filter(tokens, t -> NOT ({blank_sql('t')}))")
-    read = add(read, tags=f"transform(tokens, t -> CASE WHEN upper(substring(t, 2, 1)) BETWEEN 'A' AND 'Z' THEN {tag_sql('t')} END)")
+    # A page says the same few tags again and again.
+    read = add(read, vocabulary="array_distinct(filter(tokens, t -> startswith(t, '<')))")
+    read = add(read, names=f"transform(vocabulary, t -> CASE WHEN upper(substring(t, 2, 1)) BETWEEN 'A' AND 'Z' THEN {tag_sql('t')} END)")
     read = add(read, parsed=parsed)
     read = add(read, parsed=with_keys)
     read = add(read, own=f"transform(parsed, n -> {own})")
-    ops = F.expr(f"zip_with(tokens, tags, (t, g) -> {op_sql('t', 'g')})")
-    scanned = read.drop("parsed").withColumn("nest", nesting(marks.links)(ops, F.col("own")))
+    words = F.expr("transform(tokens, t -> CASE WHEN startswith(t, '<') THEN t ELSE '' END)")
+    ops = F.expr(f"zip_with(vocabulary, names, (t, g) -> {op_sql('t', 'g')})")
+    nest = live_nesting(marks.links)(words, F.col("vocabulary"), ops, F.col("own"))
+    scanned = read.drop("parsed").withColumn("nest", nest).drop("vocabulary")
+    found = ("place", "parent", "last", "mask", "unit", "head", "until", "inner", "owner", "items")
     scanned = add(
         scanned,
-        place="CASE WHEN size(tokens) > 0 THEN sequence(0, size(tokens) - 1) END",
-        ptag="transform(nest.parent, p -> get(tags, p))",
+        tokens="transform(nest.place, p -> get(tokens, p))",
+        tags="transform(nest.word, w -> get(names, w))",
+        ptag="transform(nest.around, w -> get(names, w))",
+        own="transform(nest.word, w -> coalesce(get(own, w), 0L))",
         box_pos="nest.box",
-        box_last="coalesce(get(nest.last, nest.box), -2)",
-        **{name: f"nest.{name}" for name in ("parent", "last", "mask", "unit", "head", "until", "owner", "items")},
-    ).drop("nest")
+        box_last="nest.box_last",
+        **{name: f"nest.{name}" for name in found},
+    ).drop("nest", "names")
     fields = ["place", "tokens", "tags", "own", "mask", "parent", "last", "unit", "ptag"]
     fields += ["owner"] * keep_images + ["items"] * keep_infobox
     folded = add(scanned, every=f"arrays_zip({', '.join(fields)})")

@@ -8,7 +8,9 @@ from conftest import wiki
 from pageloom import GENERIC, articles, image_rows, infobox_rows
 from pageloom import session
 from pageloom.functions.sql import literals
-from pageloom.operators.prune import Marks, _parsed
+from pageloom.operators.marks import BIT
+from pageloom.operators.nesting import live_nesting, nesting
+from pageloom.operators.prune import Marks, _named, _parsed
 from pageloom.profiles import WIKI
 from pageloom.session import spread
 from pageloom.plans.articles import page_counters
@@ -313,6 +315,52 @@ def test_tags_that_no_rule_picks_are_not_parsed(spark):
     assert sorted(r.t for r in read.collect()) == ["<ASIDE id=x>", "<b class=x>", "<sup>"]
 
 
+def test_rules_look_at_each_different_tag_once(pages):
+    plan = articles(pages(wiki("<p>x</p>")))._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Exchange") :]
+    assert "array_distinct(" in below and "zip_with(vocabulary" in below and "zip_with(tokens" not in below
+
+
+def test_a_lone_attribute_is_cut_out_with_the_same_result(spark):
+    """A blank before the bracket sends a tag the general way."""
+    lone = ['<div class="a">', '<div class=" a  b\tc">', '<p class="">', '<a id="x>y">', '<a id="">', '<b style="class: \'id\'">', '<link rel="a=b">']
+    other = ['<style class="x">', '<id id="x">', "<p class='a'>", "<p CLASS=\"a\">", '<p class="a" id="b">', '<p class = "a">', '<p title="class">']
+    tokens = [(t, t[1:].split(" ")[0]) for t in lone + other]
+    rows = spark.createDataFrame([(t, g, t[:-1] + " >") for t, g in tokens], "t string, g string, wide string")
+    read = rows.selectExpr("t", f"{_parsed('t', 'g', 'true')} AS p", f"{_parsed('wide', 'g', 'true')} AS q").selectExpr(
+        "t", "p.name IS NOT NULL AS cut", "q.name IS NOT NULL AS other_cut", f"{_named('p')} AS n", f"{_named('q')} AS m"
+    )
+    found = {r.t: r for r in read.collect()}
+    assert all((r.n, r.other_cut) == (r.m, False) for r in found.values())
+    assert sorted(t for t, r in found.items() if r.cut) == sorted(lone)
+    assert found[lone[1]].n.cls == ["a", "b", "c"] and found[lone[2]].n.cls == [] and found[lone[4]].n.id is None
+
+
+def test_the_scan_returns_live_tokens_alone(spark):
+    """End tags and what lies below removed elements stay out, and what is left is as in the scan of the whole page."""
+    ops = ["", "<div", "", "<nav", "<b", "", "</b", "</nav", "<ul", "<li", "", "</ul", "<h2", "<i", "", "</i", "</h2", "", "<br", "</div", ""]
+    own = [BIT["boilerplate"] if op == "<nav" else 0 for op in ops]
+    words = [op and f"{op}>" for op in ops]
+    vocabulary = list(dict.fromkeys(filter(None, words)))
+    pages = [(ops, own, words, vocabulary), ([], [], [], []), ([""], [0], [""], [])]
+    frame = spark.createDataFrame(pages, "ops array<string>, own array<bigint>, words array<string>, vocabulary array<string>").coalesce(1)
+    frame = frame.selectExpr("*", "transform(vocabulary, v -> substring(v, 1, length(v) - 1)) AS codes")
+    frame = frame.selectExpr("*", f"transform(codes, c -> IF(c = '<nav', {BIT['boilerplate']}L, 0L)) AS marks")
+    rows = frame.select(
+        "ops", "vocabulary", nesting()("ops", "own").alias("all"), live_nesting()("words", "vocabulary", "codes", "marks").alias("left")
+    ).collect()
+    for r in rows:
+        kept = [i for i, op in enumerate(r.ops) if not op.startswith("</") and not r.all["mask"][i] & BIT["boilerplate"]]
+        assert r.left["place"] == kept
+        for name in ("parent", "last", "mask", "unit", "owner"):
+            assert r.left[name] == [r.all[name][i] for i in kept]
+        assert [w if w < 0 else r.vocabulary[w][:-1] for w in r.left["word"]] == [r.ops[i] or -1 for i in kept]
+        assert [-1 if w < 0 else r.vocabulary[w][:-1] for w in r.left["around"]] == [r.ops[p] if p >= 0 else -1 for p in r.left["parent"]]
+        assert [kept[h] for h in r.left["head"]] == r.all["head"] and [kept[h] for h in r.left["inner"]] == [14] * len(r.all["head"])
+        assert [max(k for k in range(len(kept)) if kept[k] <= u) for u in r.all["until"]] == r.left["until"]
+    assert rows[0].left["place"] == [0, 1, 2, 8, 9, 10, 12, 13, 14, 17, 18, 20] and rows[2].left["place"] == [0]
+
+
 def test_nested_areas_and_walls(pages):
     """What stands around the area has no say in it; the best area wins wherever it is."""
     inner = '<div class="mw-parser-output"><p>in <b>bold</b></p><ul><li>one</li></ul>{}</div>'
