@@ -44,6 +44,8 @@ _DEAD = BIT["noise"] | BIT["boilerplate"] | BIT["in_title"]
 _GONE = BIT["noise"] | BIT["boilerplate"]
 _UNCLEAN = BIT["noise"] | BIT["in_title"]
 _FREE, _SKIP, _GATHER = 0, 1, 2
+# Where a position comes from; strings directly below an element may also be their own unit.
+_NONE, _SELF, _UNIT, _ENTRY = 0, 1, 2, 3
 _ITSELF = -2
 _NO_OWNER = (RANK_MASK + 1) << OWNER_SHIFT
 
@@ -76,147 +78,188 @@ _LIVE = T.StructType(
 )
 
 
-class _Open:
-    """An open element and what holds below it."""
+class _State:
+    """What an open element says about everything below it, but for positions; elements alike share one."""
 
-    __slots__ = ("pos", "name", "box", "mask", "own", "area", "rank", "wall", "unit", "kind", "hidden", "entry", "waiting", "owner")
+    __slots__ = ("name", "box", "mask", "own", "rank", "wall", "kind", "hidden", "inside", "at_area", "at_unit", "text", "steps")
 
-    def __init__(self, pos: int, name: str, box: bool, mask: int, own: int):
-        self.pos, self.name, self.box, self.mask, self.own = pos, name, box, mask, own
-        self.area, self.rank, self.wall, self.unit, self.kind, self.hidden, self.entry = -1, RANK_MASK, _FREE, -1, "", False, -1
-        self.waiting: list[tuple[str, int]] = []
-        self.owner = _NO_OWNER
+    def __init__(self, *values):
+        for name, value in zip(self.__slots__, values):
+            setattr(self, name, value)
+        # By kind of token, and by ~kind for the page's first title.
+        self.steps: dict[int, tuple] = {}
 
 
-def _place(node: _Open, top: _Open, text: bool) -> int:
-    """The position whose output a node belongs to, or -1; sets what holds below the node.
+class _Steps:
+    """What a token does below an element: worked out once for each different pair of a state and a kind of token, then looked up.
 
-    The outermost wall below an area decides: what it skips yields nothing, what it gathers belongs to it.
+    A kind is (action, name, is_box, marks). Positions are told by where they come from: `_NONE`, `_SELF`, or the element's `_UNIT` or `_ENTRY`.
     """
-    pos, name = node.pos, node.name
-    node.area, node.rank, node.wall, node.unit, node.kind = top.area, top.rank, top.wall, top.unit, top.kind
-    node.hidden, node.entry = top.hidden, top.entry
-    if top.area < 0:
-        return -1
-    listed, in_area = top.name in LISTS, top.pos == top.area
-    item = listed and name == "li"
-    if node.wall == _FREE:
-        if (listed and not item) or (text and in_area) or (not text and not in_area and not item and node.own & BIT["skipped"]):
-            node.wall = _SKIP
-        elif name in GATHERED:
-            node.wall, node.unit, node.kind = _GATHER, pos, name
-    if node.wall == _SKIP:
-        return -1
-    if node.wall == _FREE:
-        return pos if text or item or name in SPEAKING else -1
-    if node.kind == "dl" and top.pos == node.unit and name in ENTRIES:
-        node.entry = pos
-    node.hidden = node.hidden or (node.kind == "p" and bool(node.own & BIT["hidden"]))
-    if text and (node.hidden or node.mask & BIT["quiet"]):
-        return -1
-    return node.entry if node.kind == "dl" and pos > node.unit else node.unit
-
-
-def _text_unit(top: _Open) -> int:
-    """`_place` of the strings directly below an element: a position, -1 for none, `_ITSELF` for that of the string."""
-    if top.area < 0 or top.wall == _SKIP:
-        return -1
-    if top.wall == _FREE:
-        return -1 if top.name in LISTS or top.pos == top.area else _ITSELF
-    if top.hidden or top.mask & BIT["quiet"]:
-        return -1
-    return top.entry if top.kind == "dl" else top.unit
-
-
-def _scan(
-    spots: Sequence[int], ops: Sequence[int], own: Sequence[int], codes: Sequence[tuple[str, str, bool]], links: Sequence[tuple[int, int, int]],
-    base: int, out: dict,
-) -> None:
+
+    def __init__(self, kinds: Sequence[tuple[str, str, bool, int]], links: Sequence[tuple[int, int, int]]):
+        self.kinds, self.links = kinds, links
+        self.closes = [name if action == "close" else None for action, name, _, _ in kinds]
+        self.states: dict[tuple, _State] = {}
+        self.root = self._state("", False, 0, 0, RANK_MASK, _FREE, "", False, False, False, False)
+
+    def _state(self, *key) -> _State:
+        if key not in self.states:
+            name, _, mask, _, _, wall, kind, hidden, inside, at_area, _ = key
+            # The unit of the strings directly below: `_place` for them.
+            if not inside or wall == _SKIP:
+                text = _NONE
+            elif wall == _FREE:
+                text = _NONE if name in LISTS or at_area else _ITSELF
+            elif hidden or mask & BIT["quiet"]:
+                text = _NONE
+            else:
+                text = _ENTRY if kind == "dl" else _UNIT
+            self.states[key] = _State(*key, text)
+        return self.states[key]
+
+    def step(self, top: _State, kind: int, first: bool) -> tuple:
+        """(state below or None, where unit, place and entry come from, mask, special, rank of container, of infobox, heading, title).
+
+        The place is the unit a token belongs to. The outermost wall below an area decides: what it skips yields nothing, what it
+        gathers belongs to it.
+        """
+        action, name, is_box, marks = self.kinds[kind]
+        # The container of the earliest rule around a node owns it, the outermost one of that rule.
+        frame = marks >> FRAME_SHIFT & RANK_MASK
+        for child, around, result in self.links:
+            if marks & child and top.own & around:
+                marks |= result & _OWN
+                rank = result >> FRAME_SHIFT
+                if rank and (not frame or rank < frame):
+                    frame = rank
+        titles = bool(marks & BIT["title"])
+        if titles and first:
+            marks |= BIT["in_title"]
+        mask = top.mask | (marks & _OWN)
+        rank, wall, gathers, hidden, inside, at_area = top.rank, top.wall, top.kind, top.hidden, top.inside, False
+        place, unit, entry, text = _NONE, _UNIT, _ENTRY, not name
+        if inside:
+            listed = top.name in LISTS
+            item = listed and name == "li"
+            if wall == _FREE:
+                if (listed and not item) or (text and top.at_area) or (not text and not top.at_area and not item and marks & BIT["skipped"]):
+                    wall = _SKIP
+                elif name in GATHERED:
+                    wall, unit, gathers = _GATHER, _SELF, name
+            if wall == _FREE:
+                place = _SELF if text or item or name in SPEAKING else _NONE
+            elif wall == _GATHER:
+                below_list = gathers == "dl" and unit == _UNIT
+                if below_list and top.at_unit and name in ENTRIES:
+                    entry = _SELF
+                hidden = hidden or (gathers == "p" and bool(marks & BIT["hidden"]))
+                if not (text and (hidden or mask & BIT["quiet"])):
+                    place = entry if below_list else unit
+        area = marks >> AREA_SHIFT & RANK_MASK
+        if area and area < rank:
+            # Text is read from the best area alone; what holds above it ends here.
+            rank, wall, hidden, inside, at_area, unit, entry = area, _FREE, False, True, True, _NONE, _NONE
+        box = 0 if mask & _UNCLEAN else marks >> BOX_SHIFT & RANK_MASK
+        heading = name if name.startswith("h") and name <= "h4" and not mask & _DEAD else ""
+        state = None
+        if action == "open":
+            state = self._state(name, is_box, mask, marks, rank, wall, gathers, hidden, inside, at_area, unit == _SELF)
+        found = (state, unit, place, entry, mask, bool(frame or box or heading or titles), frame, box, heading, titles)
+        top.steps[~kind if titles and first else kind] = found
+        return found
+
+
+def _scan(spots: Sequence[int], kinds: Sequence[int], end: int, steps: _Steps, base: int, out: dict) -> None:
     """Nesting of one page: an end tag closes up to the nearest open element of its name, or nothing.
 
-    `spots` are the positions of all tokens but strings. What is known of a token goes to its place after `base`; strings follow
-    from `after`, the innermost element open after a token, and `text`, the unit of the strings directly below an element.
+    `spots` are the positions of all tokens but strings, `kinds` theirs, `end` the last position of the page. What is known of a token goes to its
+    place after `base`; strings follow from `after`, the innermost element open after a token, and `text`, the unit of the strings
+    directly below an element.
     """
-    stack = [_Open(-1, "", False, 0, 0)]
+    closes = steps.closes
+    stack = [(-1, steps.root, -1, -1, _NO_OWNER)]
+    above, state, unit, entry, owner = stack[0]
     opened: dict[str, int] = {}
+    waiting: dict[int, list[tuple[str, int]]] = {}
     items: list[int] = []
     boxes, titled, box = 0, False, (RANK_MASK + 1, -1)
     chains: dict[int, list[int]] = {}
-    lasts, heads = out["last"], len(out["head"])
+    lasts, heads, until = out["last"], out["head"], out["until"]
+    known = len(heads)
     parents, masks, owners, units, after, text = out["parent"], out["mask"], out["owner"], out["unit"], out["after"], out["text"]
-    for turn, pos in enumerate(spots):
-        action, name, is_box = codes[ops[pos]]
-        top = stack[-1]
-        parent, place = top.pos, base + pos
-        if action == "close":
-            while opened.get(name):
-                gone = stack.pop()
-                opened[gone.name] -= 1
-                lasts[base + gone.pos] = pos - 1
-                for _, head in gone.waiting:
-                    out["until"][head] = pos - 1
-                boxes -= gone.box
-                if gone.name == "li" and boxes:
-                    items.pop()
-                if gone.name == name:
-                    break
+    for turn, (pos, kind) in enumerate(zip(spots, kinds)):
+        place = base + pos
+        parents[place] = above
+        name = closes[kind]
+        if name is not None:
+            if opened.get(name):
+                while True:
+                    gone, left = stack.pop()[:2]
+                    opened[left.name] -= 1
+                    lasts[base + gone] = pos - 1
+                    if gone in waiting:
+                        for _, head in waiting.pop(gone):
+                            until[head] = pos - 1
+                    if left.box:
+                        boxes -= 1
+                    if boxes and left.name == "li":
+                        items.pop()
+                    if left.name == name:
+                        break
+                above, state, unit, entry, owner = stack[-1]
+            after[place] = above
         else:
-            marks = own[pos] if own else 0
-            # The container of the earliest rule around a node owns it, the outermost one of that rule.
-            owner, frame = top.owner, marks >> FRAME_SHIFT & RANK_MASK
-            for child, around, result in links:
-                if marks & child and top.own & around:
-                    marks |= result & _OWN
-                    rank = result >> FRAME_SHIFT
-                    if rank and (not frame or rank < frame):
-                        frame = rank
-            if frame:
-                owner = min(owner, (frame - 1) << OWNER_SHIFT | pos)
-            if marks & BIT["title"] and not titled:
-                titled, marks = True, marks | BIT["in_title"]
-            mask = top.mask | (marks & _OWN)
-            node = _Open(pos, name, is_box, mask, marks)
-            node.owner = owner
-            units[place] = _place(node, top, not name)
-            rank = marks >> BOX_SHIFT & RANK_MASK
-            if rank and not mask & _UNCLEAN:
-                box = min(box, (rank, pos))
-            rank = marks >> AREA_SHIFT & RANK_MASK
-            if rank and rank < node.rank:
-                # Text is read from the best area alone; what holds above it ends here.
-                node.area, node.rank, node.wall, node.unit, node.hidden, node.entry = pos, rank, _FREE, -1, False, -1
-            if name.startswith("h") and name <= "h4" and not mask & _DEAD:
-                # A heading ends the sections of its siblings of the same or a lower rank.
-                while top.waiting and top.waiting[-1][0] >= name:
-                    out["until"][top.waiting.pop()[1]] = pos - 1
-                if action == "open" and name in HEADING_TAGS:
-                    top.waiting.append((name, len(out["head"])))
-                    out["head"].append(pos)
-                    out["until"].append(-1)
-            if action == "open":
-                stack.append(node)
+            found = state.steps.get(kind) or steps.step(state, kind, False)
+            if found[9] and not titled:
+                titled = True
+                found = state.steps.get(~kind) or steps.step(state, kind, True)
+            below, unit_from, place_from, entry_from, mask, special, frame, box_rank, heading, _ = found
+            masks[place] = mask
+            if place_from:
+                units[place] = pos if place_from == _SELF else unit if place_from == _UNIT else entry
+            own = owner
+            if special:
+                if frame:
+                    own = min(owner, (frame - 1) << OWNER_SHIFT | pos)
+                if box_rank:
+                    box = min(box, (box_rank, pos))
+                if heading:
+                    # A heading ends the sections of its siblings of the same or a lower rank.
+                    open_heads = waiting.get(above)
+                    while open_heads and open_heads[-1][0] >= heading:
+                        until[open_heads.pop()[1]] = pos - 1
+                    if below is not None and heading in HEADING_TAGS:
+                        waiting.setdefault(above, []).append((heading, len(heads)))
+                        heads.append(pos)
+                        until.append(-1)
+            if own != _NO_OWNER:
+                owners[place] = own
+            if below is not None:
+                unit = unit if unit_from == _UNIT else pos if unit_from == _SELF else -1
+                entry = entry if entry_from == _ENTRY else pos if entry_from == _SELF else -1
+                above, state, owner = pos, below, own
+                stack.append((pos, below, unit, entry, own))
+                name = below.name
                 opened[name] = opened.get(name, 0) + 1
-                text[place] = _text_unit(node)
-                if name == "li" and boxes:
+                told = below.text
+                if told:
+                    text[place] = _ITSELF if told == _ITSELF else unit if told == _UNIT else entry
+                if boxes and name == "li":
                     items.append(pos)
-                boxes += is_box
+                if below.box:
+                    boxes += 1
             elif items:
                 chains[pos] = items.copy()
-            masks[place] = mask
-            if owner != _NO_OWNER:
-                owners[place] = owner
-        parents[place] = parent
-        after[place] = stack[-1].pos
+            after[place] = above
         if items:
-            until = spots[turn + 1] if turn + 1 < len(spots) else len(ops)
-            chains |= {at: items.copy() for at in range(pos + 1, until)}
-    end = len(ops) - 1
+            upto = spots[turn + 1] if turn + 1 < len(spots) else end + 1
+            chains |= {at: items.copy() for at in range(pos + 1, upto)}
     for left in stack:
-        if left.pos >= 0:
-            lasts[base + left.pos] = end
-        for _, head in left.waiting:
-            out["until"][head] = end
-    out["heads"].append(len(out["head"]) - heads)
+        if left[0] >= 0:
+            lasts[base + left[0]] = end
+        for _, head in waiting.get(left[0], ()):
+            until[head] = end
+    out["heads"].append(len(heads) - known)
     out["box"].append(box[1])
     # Only pages with list items in an infobox pay for a chain per token.
     out["items"].append([chains.get(at, ()) for at in range(end + 1)] if chains else [])
@@ -243,9 +286,16 @@ def _lists(values: np.ndarray, lengths: Sequence[int]) -> pa.Array:
 
 
 def _scan_pages(
-    indices: np.ndarray, marks: np.ndarray, tagged: np.ndarray, codes: Sequence[tuple[str, str, bool]], lengths: Sequence[int], links: Sequence[tuple]
+    numbers: np.ndarray, kinds: Sequence[tuple[str, str, bool, int]], tagged: np.ndarray, lengths: Sequence[int], links: Sequence[tuple]
 ) -> dict:
-    """`_scan` of the pages of a batch, whose tokens and marks (or none) lie one page after the other; `tagged` tells tokens from strings."""
+    """`_scan` of the pages of a batch, whose tokens lie one page after the other.
+
+    `numbers` are places in `kinds`, the code and the marks of a token; `tagged` tells tokens from strings.
+    """
+    # What is alike to the scan has one number.
+    alike: dict[tuple, int] = {}
+    number = np.array([alike.setdefault(kind, len(alike)) for kind in kinds], np.int64)
+    steps = _Steps([*alike], links)
     starts = _offsets(lengths)
     size = int(starts[-1])
     page = np.repeat(np.arange(len(lengths)), lengths)
@@ -256,9 +306,10 @@ def _scan_pages(
     out |= {"head": array("i"), "until": array("i"), "items": [], "heads": [], "box": []}
     spots = np.flatnonzero(tagged)
     ends = np.searchsorted(spots, starts)
+    seen = number[numbers[spots]]
     for i, at in enumerate(starts[:-1].tolist()):
-        here = slice(at, at + lengths[i])
-        _scan(place[spots[ends[i] : ends[i + 1]]].tolist(), indices[here].tolist(), marks[here].tolist(), codes, links, at, out)
+        here = slice(ends[i], ends[i + 1])
+        _scan(place[spots[here]].tolist(), seen[here].tolist(), lengths[i] - 1, steps, at, out)
     for name, values in out.items():
         if isinstance(values, array):
             out[name] = np.frombuffer(values, np.dtype(values.typecode)).copy() if values else np.zeros(0, np.dtype(values.typecode))
@@ -297,7 +348,15 @@ def nesting(links: Sequence[tuple[int, int, int]] = ()) -> Callable:
         lengths = _lengths(ops)
         strings = np.array([op == "" for op in flat.dictionary.to_pylist()], bool)
         indices = flat.indices.to_numpy()
-        out = _scan_pages(indices, own.flatten().to_numpy(zero_copy_only=False), ~strings[indices], codes, lengths, links)
+        marks = own.flatten().to_numpy(zero_copy_only=False)
+        if len(marks):
+            # A number for each different pair of code and marks.
+            different, turn = np.unique(marks, return_inverse=True)
+            pairs, numbers = np.unique(indices.astype(np.int64) * len(different) + turn, return_inverse=True)
+            kinds = [(*codes[pair // len(different)], int(different[pair % len(different)])) for pair in pairs.tolist()]
+        else:
+            numbers, kinds = indices, [(*code, 0) for code in codes]
+        out = _scan_pages(numbers, kinds, ~strings[indices], lengths, links)
         per_token = {name: _lists(out[name], lengths) for name in ("parent", "last", "mask", "unit")}
         per_head = {name: _lists(out[name], out["heads"]) for name in ("head", "until")}
         columns = {
@@ -335,7 +394,8 @@ def live_nesting(links: Sequence[tuple[int, int, int]] = ()) -> Callable:
         number = pc.fill_null(pc.index_in(words.flatten(), value_set=known.dictionary), -1).to_numpy().astype(np.int64) + 1
 
         lengths = _lengths(words)
-        out = _scan_pages(code[number], marks[number], number > 0, codes, lengths, links)
+        kinds = [(*codes[c], m) for c, m in zip(code.tolist(), marks.tolist())]
+        out = _scan_pages(number, kinds, number > 0, lengths, links)
         page, place, starts = out["page"], out["place"], out["starts"]
         box = np.array(out["box"], np.int32)
         box_last = np.full(len(box), -2, np.int32)
