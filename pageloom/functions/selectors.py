@@ -11,7 +11,7 @@ import re
 import warnings
 from collections.abc import Iterable
 
-from pageloom.functions.sql import literal, literals
+from pageloom.functions.sql import choose, literal, literals
 
 _SIMPLE = re.compile(
     r"(?P<tag>[a-z][a-z0-9]*)?(?P<names>(?:[.#][\w-]+)*)"
@@ -25,9 +25,11 @@ def keys_sql(at: str = "") -> str:
     `at` stands before the columns read, here and below: '' for columns, 'n.' for the fields of `n`.
     """
     tag, cls, own = f"{at}tag", f"{at}cls", f"{at}id"
-    classes = f"CASE WHEN {cls} IS NULL THEN array() ELSE concat(transform({cls}, c -> concat('.', c)), transform({cls}, c -> concat({tag}, '.', c))) END"
-    ids = f"CASE WHEN {own} IS NULL THEN array() ELSE array(concat('#', {own}), concat({tag}, '#', {own})) END"
-    return f"CASE WHEN {tag} IS NULL THEN NULL WHEN {cls} IS NULL AND {own} IS NULL THEN array({tag}) ELSE concat(array({tag}), {classes}, {ids}) END"
+    classes = f"concat(transform({cls}, c -> concat('.', c)), transform({cls}, c -> concat({tag}, '.', c)))"
+    classes = choose(f"{cls} IS NULL", "array()", classes)
+    ids = choose(f"{own} IS NULL", "array()", f"array(concat('#', {own}), concat({tag}, '#', {own}))")
+    named = choose(f"{cls} IS NULL AND {own} IS NULL", f"array({tag})", f"concat(array({tag}), {classes}, {ids})")
+    return choose(f"{tag} IS NULL", "NULL", named)
 
 
 def has_class_sql(*names: str, at: str = "") -> str:
@@ -89,8 +91,8 @@ def rule_sql(selectors: Iterable[str], at: str = "") -> str:
 
 def rank_sql(selectors: Iterable[str], at: str = "") -> str:
     """Index of the first selector that picks the node, else null."""
-    cases = [f"WHEN {rule_sql([s], at)} THEN {i}" for i, s in enumerate(selectors)]
-    return f"CASE {' '.join(cases)} END" if cases else "CAST(NULL AS INT)"
+    cases = [part for i, s in enumerate(selectors) for part in (rule_sql([s], at), str(i))]
+    return choose(*cases) if cases else "CAST(NULL AS INT)"
 
 
 def matching_sql(selectors: Iterable[str], at: str = "") -> str:

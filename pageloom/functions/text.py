@@ -12,7 +12,7 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pageloom.functions.sql import literal
+from pageloom.functions.sql import choose, literal
 
 PAGE_BASE = "https://en.wikipedia.org/"
 
@@ -129,7 +129,7 @@ def decode_sql(text: str) -> str:
     )
     pieces = f"regexp_extract_all({text}, {_REFERENCE}, 0)"
     decoded = f"array_join(transform(transform({pieces}, p -> {split}), r -> {character}), '')"
-    return f"CASE WHEN contains({text}, '&') THEN {decoded} ELSE {text} END"
+    return choose(f"contains({text}, '&')", decoded, text)
 
 
 def decode_entities(column: str) -> Column:

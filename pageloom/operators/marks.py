@@ -24,5 +24,5 @@ def has(name: str, marks: str = "marks") -> str:
 
 def pack(conditions: dict[str, str]) -> str:
     """Marks of a node from one condition per name."""
-    parts = [f"CASE WHEN {condition} THEN {BIT[name]} ELSE 0 END" for name, condition in conditions.items()]
+    parts = [f"if({condition}, {BIT[name]}, 0)" for name, condition in conditions.items()]
     return " | ".join(parts)

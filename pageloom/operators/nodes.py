@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions.selectors import keys_sql, rule_sql
-from pageloom.functions.sql import add, literal
+from pageloom.functions.sql import add, choose, literal
 from pageloom.functions.text import decode_sql, strip_sql
 from pageloom.operators.intervals import KEYS, collect, first_match, inside, ordered_text
 from pageloom.operators.nesting import nesting
@@ -60,17 +60,20 @@ def kind_sql(token: str) -> str:
     """
     letter = "upper(substring({}, {}, 1)) BETWEEN 'A' AND 'Z'"
     raw = f"lower(substring({token}, 2, 5)) IN ('scrip', 'style') AND {token} RLIKE {_RAW_START}"
-    return (
-        f"CASE WHEN {token} IS NULL THEN NULL WHEN NOT startswith({token}, '<') OR length({token}) = 1 THEN 'text' "
-        f"WHEN {letter.format(token, 2)} THEN CASE WHEN {raw} THEN 'raw' ELSE 'element' END "
-        f"WHEN startswith({token}, '</') THEN CASE WHEN {letter.format(token, 3)} THEN 'end' ELSE 'decl' END "
-        f"WHEN startswith({token}, '<!--') THEN 'comment' WHEN startswith({token}, '<![CDATA[') THEN 'cdata' "
-        f"WHEN substring({token}, 2, 1) IN ('!', '?') THEN 'decl' ELSE 'text' END"
-    )
+    return choose(
+        f"{token} IS NULL", "NULL",
+        f"NOT startswith({token}, '<') OR length({token}) = 1", "'text'",
+        letter.format(token, 2), choose(raw, "'raw'", "'element'"),
+        f"startswith({token}, '</')", choose(letter.format(token, 3), "'end'", "'decl'"),
+        f"startswith({token}, '<!--')", "'comment'",
+        f"startswith({token}, '<![CDATA[')", "'cdata'",
+        f"substring({token}, 2, 1) IN ('!', '?')", "'decl'",
+        "'text'",
+    )
 
 
 def tag_sql(token: str) -> str:
-    return f"CASE WHEN startswith({token}, '<') THEN nullif(lower(regexp_extract({token}, {_TAG_NAME}, 1)), '') END"
+    return choose(f"startswith({token}, '<')", f"nullif(lower(regexp_extract({token}, {_TAG_NAME}, 1)), '')")
 
 
 def op_sql(token: str, tag: str | None = None) -> str:
@@ -79,18 +82,18 @@ def op_sql(token: str, tag: str | None = None) -> str:
     `tag` is the name of a start tag where it has been read already.
     """
     name = f"lower(regexp_extract({token}, {_OP_NAME}, 0))"
-    name = f"CASE WHEN {tag} IS NOT NULL THEN concat('<', {tag}) ELSE {name} END" if tag else name
+    name = choose(f"{tag} IS NOT NULL", f"concat('<', {tag})", name) if tag else name
     bare = f"regexp_replace({token}, {_QUOTED}, {_EMPTY_QUOTES})"
     # In <a href=x/> the slash belongs to the value.
     valued = f"{bare} RLIKE {_UNQUOTED_END}"
-    closed = f"CASE WHEN endswith({token}, '/>') THEN CASE WHEN {valued} THEN '' ELSE '/' END ELSE '' END"
-    box = f"CASE WHEN contains({token}, 'infobox') THEN '!' ELSE '' END"
-    return f"CASE WHEN startswith({token}, '<') THEN concat({name}, {closed}, {box}) ELSE '' END"
+    closed = choose(f"endswith({token}, '/>')", choose(valued, "''", "'/'"), "''")
+    box = choose(f"contains({token}, 'infobox')", "'!'", "''")
+    return choose(f"startswith({token}, '<')", f"concat({name}, {closed}, {box})", "''")
 
 
 def attributes_sql(token: str) -> str:
     """The attributes of a start tag as written, null where it has none."""
-    return f"CASE WHEN {token} RLIKE {_HAS_ATTRIBUTES} THEN regexp_extract_all({token}, {literal(_ATTRIBUTE)}, 0) END"
+    return choose(f"{token} RLIKE {_HAS_ATTRIBUTES}", f"regexp_extract_all({token}, {literal(_ATTRIBUTE)}, 0)")
 
 
 def attr_sql(name: str, attrs: str = "attrs", token: str | None = None) -> str:
@@ -100,7 +103,7 @@ def attr_sql(name: str, attrs: str = "attrs", token: str | None = None) -> str:
     """
     this_name = literal(rf"(?i)^{name}(?:[\s=]|$)")
     if token:
-        return f"CASE WHEN contains(lower({token}), '{name}') THEN {attr_sql(name, attrs)} END"
+        return choose(f"contains(lower({token}), '{name}')", attr_sql(name, attrs))
     found = f"try_element_at(filter({attrs}, a -> startswith(lower(a), '{name}') AND a RLIKE {this_name}), -1)"
     return f"regexp_replace(regexp_replace({found}, {_UP_TO_VALUE}, ''), {_IN_QUOTES}, '$2')"
 
@@ -124,11 +127,12 @@ def page_tokens(pages: DataFrame) -> DataFrame:
 
 def string_sql(token: str, kind: str) -> tuple[str, str]:
     """The string of a text token, still encoded, and the one of an instruction or doctype."""
-    string = f"CASE {kind} WHEN 'text' THEN {token} WHEN 'cdata' THEN substring({token}, 10, length({token}) - 12) END"
-    aside = (
-        f"CASE WHEN {kind} = 'decl' THEN CASE WHEN startswith({token}, '<?') THEN substring({token}, 3, length({token}) - 3) "
-        f"WHEN startswith(lower({token}), '<!doctype') THEN substring({token}, 11, length({token}) - 11) END END"
-    )
+    string = choose(f"{kind} = 'text'", token, f"{kind} = 'cdata'", f"substring({token}, 10, length({token}) - 12)")
+    written = choose(
+        f"startswith({token}, '<?')", f"substring({token}, 3, length({token}) - 3)",
+        f"startswith(lower({token}), '<!doctype')", f"substring({token}, 11, length({token}) - 11)",
+    )
+    aside = choose(f"{kind} = 'decl'", written)
     return string, aside
 
 
@@ -140,7 +144,7 @@ def end_sql(token: str) -> str:
 def blank_sql(token: str) -> str:
     """True for comments and blank strings, which no element's place depends on."""
     # Most strings begin with a visible ASCII character, which is cheap to see.
-    return f"CASE WHEN startswith({token}, '<') THEN startswith({token}, '<!--') WHEN ascii({token}) BETWEEN 33 AND 126 THEN false ELSE {strip_sql(token)} = '' END"
+    return choose(f"startswith({token}, '<')", f"startswith({token}, '<!--')", f"ascii({token}) BETWEEN 33 AND 126", "false", f"{strip_sql(token)} = ''")
 
 
 def nodes(pages: DataFrame) -> DataFrame:

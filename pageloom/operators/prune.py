@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions.selectors import has_class_sql, keys_sql, rank_sql, rule_sql, split_parents
-from pageloom.functions.sql import add, literal, literals
+from pageloom.functions.sql import add, choose, literal, literals
 from pageloom.functions.text import decode_sql, normalize_sql, strip_sql
 from pageloom.operators.intervals import KEYS, ordered_text
 from pageloom.operators.marks import AREA_SHIFT, BIT, BOX_SHIFT, FRAME_SHIFT, FREE_BIT, RANK_MASK, has, pack
@@ -90,7 +90,7 @@ class Marks:
             marks["caption_0"] = f"{tag} IN ('figcaption', 'div') AND {has_class_sql(*CAPTION_CLASSES, at=at)}"
             marks["caption_1"] = f"contains(array_join({at}cls, ' '), 'caption')"
         sides = " | ".join(
-            f"CASE WHEN {rule_sql([selector], at)} THEN {1 << place}L ELSE 0L END" for (selector, _), place in self.sides.items()
+            f"if({rule_sql([selector], at)}, {1 << place}L, 0L)" for (selector, _), place in self.sides.items()
         )
         area = f"shiftleft(CAST(coalesce({rank_sql(self.profile.areas, at)} + 1, 0) AS BIGINT), {AREA_SHIFT})"
         box = rank_sql(self.profile.infobox if self.keep_infobox else (), at)
@@ -98,7 +98,7 @@ class Marks:
         cases = [f"WHEN {rule_sql([rule], at)} THEN {i + 1}" for i, rule in enumerate(self.frames) if " > " not in rule]
         frame = f"shiftleft(CAST(CASE {' '.join(cases)} ELSE 0 END AS BIGINT), {FRAME_SHIFT})" if cases else ""
         own = " | ".join(filter(None, [f"CAST({pack(marks)} AS BIGINT)", sides, area, box, frame]))
-        return f"CASE WHEN {node} IS NULL THEN 0L ELSE {own} END"
+        return f"if({node} IS NULL, 0L, {own})"
 
     def bare_tags(self) -> list[str]:
         """Names of elements that rules pick without looking at attributes."""
@@ -127,14 +127,10 @@ def _parsed(token: str, tag: str, telling: str) -> str:
     none, no_list = "CAST(NULL AS STRING)", "CAST(NULL AS ARRAY<STRING>)"
     uncut = f"'name', {none}, 'value', {none}"
     single = f"named_struct('tag', {tag}, 'token', {none}, 'attrs', {no_list}, 'decl', false, {cut})"
-    attrs = f"CASE WHEN {asked} THEN {attributes_sql(token)} END"
+    attrs = choose(asked, attributes_sql(token))
     read = f"named_struct('tag', {tag}, 'token', {token}, 'attrs', {attrs}, 'decl', false, {uncut})"
     blank = f"named_struct('tag', {none}, 'token', {none}, 'attrs', {no_list}, 'decl', true, {uncut})"
-    return (
-        f"CASE WHEN NOT startswith({token}, '<') THEN NULL "
-        f"WHEN {letter} THEN CASE WHEN {lone} THEN {single} WHEN {telling} OR {asked} THEN {read} END "
-        f"WHEN {decl} THEN {blank} END"
-    )
+    return choose(f"NOT startswith({token}, '<')", "NULL", letter, choose(lone, single, f"{telling} OR {asked}", read), decl, blank)
 
 
 def _named(node: str) -> str:
@@ -142,13 +138,11 @@ def _named(node: str) -> str:
         return attr_sql(name, f"{node}.attrs", f"{node}.token")
 
     def alone(name: str) -> str:
-        return f"CASE WHEN {node}.name = '{name}' THEN {node}.value END"
+        return choose(f"{node}.name = '{name}'", f"{node}.value")
 
     classes = f"filter(split({value('class')}, {BLANKS}), c -> c <> '')"
-    one_class = (
-        f"CASE WHEN {node}.name <> 'class' THEN NULL WHEN {node}.value = '' OR {node}.value RLIKE {BLANKS} "
-        f"THEN filter(split({node}.value, {BLANKS}), c -> c <> '') ELSE array({node}.value) END"
-    )
+    several = f"filter(split({node}.value, {BLANKS}), c -> c <> '')"
+    one_class = choose(f"{node}.name <> 'class'", "NULL", f"{node}.value = '' OR {node}.value RLIKE {BLANKS}", several, f"array({node}.value)")
     none = "CAST(NULL AS STRING)"
     with_keys = (
         f"named_struct('tag', {node}.tag, 'decl', {node}.decl, 'cls', {classes}, 'id', nullif({value('id')}, ''), "
@@ -161,10 +155,7 @@ def _named(node: str) -> str:
         f"named_struct('tag', {node}.tag, 'decl', false, 'cls', {one_class}, 'id', nullif({alone('id')}, ''), "
         f"'style', {alone('style')}, 'rel', {alone('rel')})"
     )
-    return (
-        f"CASE WHEN {node} IS NULL THEN NULL WHEN {node}.name IS NOT NULL THEN {single} "
-        f"WHEN {node}.attrs IS NULL THEN {bare} ELSE {with_keys} END"
-    )
+    return choose(f"{node} IS NULL", "NULL", f"{node}.name IS NOT NULL", single, f"{node}.attrs IS NULL", bare, with_keys)
 
 
 def heading_sql(texts: str, headline: str, separator: str) -> str:
@@ -190,7 +181,7 @@ def _shown(marks: Marks, *, text: bool) -> tuple[str, str]:
         speaks = f"x.tags IS NULL OR x.place = x.unit OR {has('headline', 'x.own')}"
         below = "x.place > area.pos AND x.place <= area.last"
         live.append(f"({_live('x')} AND {below} AND x.unit >= 0 AND NOT {framed} AND NOT {has('picture', 'x.mask')} AND ({speaks}))")
-    zone = f"CASE WHEN {titled} THEN 'title' WHEN {boxed} THEN 'box' WHEN {framed} THEN 'live' ELSE 'text' END"
+    zone = choose(titled, "'title'", boxed, "'box'", framed, "'live'", "'text'")
     alive = f"NOT coalesce(x.tags IN ('script', 'style'), false) AND NOT ({end_sql('x.tokens')})"
     return f"({' OR '.join(live)}) AND {alive}", zone
 
@@ -217,7 +208,7 @@ def _with_trailing(folded: DataFrame, keywords: tuple[str, ...]) -> DataFrame:
     )
     kind = kind_sql("x.tokens")
     string, _ = string_sql("x.tokens", kind)
-    string = f"CASE WHEN {kind} = 'text' THEN {decode_sql('x.tokens')} ELSE {string} END"
+    string = choose(f"{kind} = 'text'", decode_sql("x.tokens"), string)
     strings = f"filter(h.inner, x -> x.tags IS NULL AND NOT {has('quiet', 'x.mask')} AND NOT ({end_sql('x.tokens')}))"
     texts = f"transform({strings}, x -> named_struct('pos', x.place, 's', {strip_sql(string)}))"
     spans = f"transform(filter(h.inner, x -> {has('headline', 'x.own')}), x -> named_struct('pos', x.place, 'last', x.last))"
@@ -255,17 +246,17 @@ def live_nodes(
     # Keys that no rule names are no match for any; all that rules name are among the strings of their tests.
     known = ", ".join(sorted(set(_STRING.findall(own))))
     with_keys = (
-        "transform(parsed, n -> CASE WHEN n IS NULL THEN NULL ELSE named_struct('tag', n.tag, 'decl', n.decl, 'cls', n.cls, 'id', n.id, "
-        f"'style', n.style, 'rel', n.rel, 'keys', filter({keys_sql('n.')}, k -> k IN ({known}))) END)"
+        "transform(parsed, n -> if(n IS NULL, NULL, named_struct('tag', n.tag, 'decl', n.decl, 'cls', n.cls, 'id', n.id, "
+        f"'style', n.style, 'rel', n.rel, 'keys', filter({keys_sql('n.')}, k -> k IN ({known})))))"
     )
     read = add(page_tokens(pages), tokens=f"filter(tokens, t -> NOT ({blank_sql('t')}))")
     # A page says the same few tags again and again.
     read = add(read, vocabulary="array_distinct(filter(tokens, t -> startswith(t, '<')))")
-    read = add(read, names=f"transform(vocabulary, t -> CASE WHEN upper(substring(t, 2, 1)) BETWEEN 'A' AND 'Z' THEN {tag_sql('t')} END)")
+    read = add(read, names=f"transform(vocabulary, t -> if(upper(substring(t, 2, 1)) BETWEEN 'A' AND 'Z', {tag_sql('t')}, NULL))")
     read = add(read, parsed=parsed)
     read = add(read, parsed=with_keys)
     read = add(read, own=f"transform(parsed, n -> {own})")
-    words = F.expr("transform(tokens, t -> CASE WHEN startswith(t, '<') THEN t ELSE '' END)")
+    words = F.expr("transform(tokens, t -> if(startswith(t, '<'), t, ''))")
     ops = F.expr(f"zip_with(vocabulary, names, (t, g) -> {op_sql('t', 'g')})")
     nest = live_nesting(marks.links)(words, F.col("vocabulary"), ops, F.col("own"))
     scanned = read.drop("parsed").withColumn("nest", nest).drop("vocabulary")
@@ -293,15 +284,15 @@ def live_nodes(
         areas = f"filter(tokens_left, x -> ({rank}) > 0 AND {_live('x')} AND NOT {gone})"
         folded = add(folded, area=f"array_min(transform({areas}, x -> named_struct('rank', {rank}, 'pos', x.place, 'last', x.last)))")
     shown, zone = _shown(marks, text=text)
-    quiet = f"CASE WHEN {has('quiet', 'x.mask')} THEN {BIT['in_quiet']} ELSE 0 END"
+    quiet = f"if({has('quiet', 'x.mask')}, {BIT['in_quiet']}, 0)"
     columns = {
         "pos": ("INT", "x.place"),
         "last": ("INT", "x.last"),
         "parent": ("INT", "x.parent"),
         "tag": ("STRING", "x.tags"),
-        "list": ("INT", "CASE x.ptag WHEN 'ul' THEN 1 WHEN 'ol' THEN 2 END"),
+        "list": ("INT", "if(x.ptag = 'ul', 1, if(x.ptag = 'ol', 2, NULL))"),
         "marks": ("INT", f"CAST(x.own & {(1 << AREA_SHIFT) - 1} AS INT) | {quiet}"),
-        "token": ("STRING", "CASE WHEN x.tags IS NULL OR x.tags = 'img' THEN x.tokens END"),
+        "token": ("STRING", "if(x.tags IS NULL OR x.tags = 'img', x.tokens, NULL)"),
         "text_unit": ("INT", "x.unit"),
         "zone": ("STRING", zone),
     }

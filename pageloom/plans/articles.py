@@ -7,6 +7,8 @@ container) and then into one row per page.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,19 @@ from pageloom.operators.prune import live_nodes
 from pageloom.profiles import WIKI, Profile
 
 
+_COLLECTED = re.compile(r"(flatten\()?collect_list\((.*?)\)(\))?", re.S)
+
+
 def _aggregate(frame: DataFrame, keys: list[str], aggregates: dict[str, str]) -> DataFrame:
-    return frame.groupBy(*keys).agg(*(F.expr(f"{text} AS {name}") for name, text in aggregates.items()))
+    """What is collected is a column of its own before: there it is compiled, in the aggregate it would be interpreted for every row."""
+    each, parts = {}, []
+    for name, text in aggregates.items():
+        found = _COLLECTED.fullmatch(text)
+        if found and not found[2].isidentifier():
+            each[f"{name}_each"] = found[2]
+            text = f"{found[1] or ''}collect_list({name}_each){found[3] or ''}"
+        parts.append(F.expr(f"{text} AS {name}"))
+    return (add(frame, **each) if each else frame).groupBy(*keys).agg(*parts)
 
 
 def _pages(
@@ -109,10 +122,18 @@ def articles(
     )
 
 
+def _listed(page: DataFrame, values: str, item: str) -> DataFrame:
+    """`page_id, ord` and one value per row; pages without any give none.
+
+    Inner generators make the planner filter on the size of the list first, which works the whole list out twice.
+    """
+    return page.select("page_id", F.posexplode_outer(values).alias("ord", item)).filter("ord IS NOT NULL")
+
+
 def infobox_rows(pages: DataFrame, profile: Profile = WIKI) -> DataFrame:
     """`page_id, ord, key, is_list, vals`: infobox pairs in page order."""
     page = _pages(pages, profile, text=False, keep_images=False, keep_infobox=True)
-    return page.select("page_id", F.posexplode("entries").alias("ord", "e")).select(
+    return _listed(page, "entries", "e").select(
         "page_id", "ord", F.col("e.key"), F.col("e.is_list"), F.col("e.vals")
     )
 
@@ -120,14 +141,12 @@ def infobox_rows(pages: DataFrame, profile: Profile = WIKI) -> DataFrame:
 def image_rows(pages: DataFrame, profile: Profile = WIKI) -> DataFrame:
     """`page_id, ord, src, alt, caption`: images in extraction order."""
     page = _pages(pages, profile, text=False, keep_images=True, keep_infobox=False)
-    return page.select("page_id", F.posexplode("images").alias("ord", "i")).select("page_id", "ord", "i.*")
+    return _listed(page, "images", "i").select("page_id", "ord", "i.*")
 
 
 def section_rows(pages: DataFrame, profile: Profile = WIKI) -> DataFrame:
     """`page_id, ord, section`: section names in page order."""
-    return articles(pages, profile).select(
-        "page_id", F.posexplode("sections").alias("ord", "section")
-    )
+    return _listed(articles(pages, profile), "sections", "section")
 
 
 def page_counters(pages: DataFrame, profile: Profile = WIKI) -> DataFrame:
