@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions.selectors import has_class_sql, keys_sql, rank_sql, rule_sql, split_parents
-from pageloom.functions.sql import add, choose, literal, literals
+from pageloom.functions.sql import add, choose, drop, literal, literals
 from pageloom.functions.text import decode_sql, normalize_sql, strip_sql
 from pageloom.operators.intervals import KEYS, ordered_text
 from pageloom.operators.marks import AREA_SHIFT, BIT, BOX_SHIFT, FRAME_SHIFT, FREE_BIT, RANK_MASK, has, pack
-from pageloom.operators.nesting import live_nesting
+from pageloom.operators.nesting import ENTRIES, GATHERED, live_nesting
 from pageloom.operators.nodes import (
     BLANKS, attr_sql, attributes_sql, blank_sql, end_sql, kind_sql, op_sql, page_tokens, string_sql, tag_sql,
 )
@@ -171,7 +171,7 @@ def _shown(marks: Marks, *, text: bool) -> tuple[str, str]:
     telling = "x.tags IS NULL OR x.ptag IN ('ul', 'ol') OR x.tags IN ({}) OR (x.own & {}) <> 0".format(
         literals(SHAPING_TAGS), sum(BIT[n] for n in ("note", "caption_0", "caption_1", "quiet"))
     )
-    live = [f"({titled} AND x.tags IS NULL AND NOT {quiet})"]
+    live = [f"({titled} AND x.tags IS NULL AND NOT {quiet})"] if text else []
     if marks.keep_infobox:
         live.append(f"({boxed} AND NOT {titled} AND ({telling}))")
     framed = f"({has('frame', 'x.mask')} OR x.tags <=> 'img')" if marks.keep_images else "false"
@@ -183,7 +183,7 @@ def _shown(marks: Marks, *, text: bool) -> tuple[str, str]:
         live.append(f"({_live('x')} AND {below} AND x.unit >= 0 AND NOT {framed} AND NOT {has('picture', 'x.mask')} AND ({speaks}))")
     zone = choose(titled, "'title'", boxed, "'box'", framed, "'live'", "'text'")
     alive = f"NOT coalesce(x.tags IN ('script', 'style'), false) AND NOT ({end_sql('x.tokens')})"
-    return f"({' OR '.join(live)}) AND {alive}", zone
+    return f"({' OR '.join(live) or 'false'}) AND {alive}", zone
 
 
 _IN_BOX = "x.place BETWEEN box_pos AND box_last"
@@ -235,9 +235,9 @@ def live_nodes(
 ) -> DataFrame:
     """One row per node that has a part in the result, and one of zone `page` per page with the page's own columns.
 
-    Zones: `title`, `box` (the infobox), `live` (images and their containers), `text` (what the content area puts out). Text rows
-    have `text_unit`, the position of the heading, paragraph, definition item or own position their output belongs to. With
-    `count_trailing` rows also carry `n_trailing`, the number of headings that started a removed section.
+    Zones: `title`, `box` (the infobox), `live` (images and their containers), `text` (what the content area puts out). A text row is
+    a unit, a heading, a paragraph, a definition item or a node on its own, with its strings in `texts` and the headline span of a
+    heading; the title is one row. With `count_trailing` rows also carry `n_trailing`, the number of headings that started a removed section.
     """
     marks = Marks(profile, keep_images=keep_images, keep_infobox=keep_infobox)
     telling = f"coalesce(g IN ({literals(marks.bare_tags())}), false)"
@@ -296,6 +296,21 @@ def live_nodes(
         "text_unit": ("INT", "x.unit"),
         "zone": ("STRING", zone),
     }
+    if text:
+        # The strings of a unit lie below it; a unit with a wall around it ends before the next of its kind, so each is looked at twice at most.
+        below = "slice(shown, i + 2, x.last - x.place)"
+        zone_below, string = zone.replace("x.", "y."), "named_struct('pos', y.place, 'token', y.tokens)"
+        strings = f"transform(filter({below}, y -> y.unit = x.place AND y.tags IS NULL AND {zone_below} = 'text'), y -> {string})"
+        spans = f"filter({below}, y -> y.unit = x.place AND {has('headline', 'y.own')} AND {zone_below} = 'text')"
+        texts = choose("x.tags IS NULL", f"array({string.replace('y.', 'x.')})", f"x.tags IN ({literals(sorted(GATHERED | ENTRIES))})", strings)
+        headline = f"array_min(transform({spans}, y -> named_struct('pos', y.place, 'last', y.last)))"
+        columns["texts"] = ("ARRAY<STRUCT<pos: INT, token: STRING>>", choose(f"{zone} = 'text'", texts))
+        columns["headline"] = ("STRUCT<pos: INT, last: INT>", choose(f"{zone} = 'text' AND x.tags IN ('h1', 'h2', 'h3', 'h4', 'h5', 'h6')", headline))
+        if keep_images or keep_infobox:
+            columns["token"] = ("STRING", f"if({zone} <> 'text' AND (x.tags IS NULL OR x.tags = 'img'), x.tokens, NULL)")
+        else:
+            del columns["token"], columns["marks"]
+    of_title = {"pos": "-1", "zone": "'title'", "texts": f"transform(filter(shown, y -> {zone.replace('x.', 'y.')} = 'title'), y -> named_struct('pos', y.place, 'token', y.tokens))"}
     if keep_images:
         columns["owner"] = ("BIGINT", "x.owner")
     if keep_infobox:
@@ -303,7 +318,16 @@ def live_nodes(
     own = {"pos": "-1", "zone": "'page'"}
     page = ", ".join(f"'{name}', {own.get(name, f'CAST(NULL AS {kind})')}" for name, (kind, _) in columns.items())
     node = ", ".join(f"'{name}', {value}" for name, (_, value) in columns.items())
-    rows = f"concat(array(named_struct({page})), coalesce(transform(filter(tokens_left, x -> {shown}), x -> named_struct({node})), array()))"
+    if text:
+        folded = add(folded, shown=f"coalesce(filter(tokens_left, x -> {shown}), array())")
+        title = ", ".join(f"'{name}', {of_title.get(name, f'CAST(NULL AS {kind})')}" for name, (kind, _) in columns.items())
+        kept = choose(f"{zone} = 'title' OR {zone} = 'text' AND x.place <> x.unit", "NULL", f"named_struct({node})")
+        rows = (
+            f"concat(array(named_struct({page})), filter(array(named_struct({title})), n -> size(n.texts) > 0), "
+            f"filter(transform(shown, (x, i) -> {kept}), n -> n IS NOT NULL))"
+        )
+    else:
+        rows = f"concat(array(named_struct({page})), coalesce(transform(filter(tokens_left, x -> {shown}), x -> named_struct({node})), array()))"
     carried = {"box_pos": "box_pos"} if keep_infobox else {}
     if text:
         carried["area_pos"] = "area.pos"
@@ -321,17 +345,33 @@ def live_nodes(
     return _decoded(unfolded, keep_images=keep_images, keep_infobox=keep_infobox, text=text)
 
 
+def _not_blank(string: str) -> str:
+    return f"{strip_sql(string)} <> ''"
+
+
 def _decoded(rows: DataFrame, *, keep_images: bool, keep_infobox: bool, text: bool) -> DataFrame:
-    """Strings and image attributes of the rows; a string that is blank once decoded is null."""
-    kind = kind_sql("token")
-    read = add(rows, kind=f"CASE WHEN tag IS NULL THEN {kind} END")
-    string, aside = string_sql("token", "kind")
-    read = add(read, string=string, aside=aside)
-    read = add(read, string=f"CASE WHEN kind = 'text' THEN {decode_sql('string')} ELSE string END")
-    # Instructions and doctypes are strings of the text around them, but of no title, heading or paragraph.
-    shown = f"CASE WHEN {strip_sql('string')} <> '' THEN string WHEN {strip_sql('aside')} <> '' THEN aside END"
-    # No filter here: it would move below the decoding and repeat it.
-    read = add(read, text=shown).drop("string", "aside", "kind")
+    """Strings and image attributes of the rows; a string that is blank once decoded is null, and left out of `texts`."""
+    read = rows
+    if text:
+        string, aside = string_sql("t.token", "t.kind")
+        decoded = choose("t.kind = 'text'", decode_sql("t.token"), string)
+        for each in (
+            f"named_struct('pos', t.pos, 'token', t.token, 'kind', {kind_sql('t.token')})",
+            f"named_struct('pos', t.pos, 'string', {decoded}, 'aside', {aside})",
+            f"named_struct('pos', t.pos, 's', {choose(_not_blank('t.string'), 't.string', _not_blank('t.aside'), 't.aside')})",
+        ):
+            read = add(read, texts=f"transform(texts, t -> {each})")
+        read = add(read, texts="coalesce(filter(texts, t -> t.s IS NOT NULL), array())")
+    if not text or keep_images or keep_infobox:
+        kind = kind_sql("token")
+        read = add(read, kind=f"CASE WHEN tag IS NULL THEN {kind} END")
+        string, aside = string_sql("token", "kind")
+        read = add(read, string=string, aside=aside)
+        read = add(read, string=f"CASE WHEN kind = 'text' THEN {decode_sql('string')} ELSE string END")
+        # Instructions and doctypes are strings of the text around them, but of no title, heading or paragraph.
+        shown = f"CASE WHEN {_not_blank('string')} THEN string WHEN {_not_blank('aside')} THEN aside END"
+        # No filter here: it would move below the decoding and repeat it.
+        read = add(read, text=shown).drop("string", "aside", "kind")
     if keep_images:
         read = add(read, attrs=f"CASE WHEN tag = 'img' THEN {attributes_sql('token')} END")
         read = add(read, src=attr_sql("src"), alt=attr_sql("alt")).drop("attrs")
@@ -340,4 +380,4 @@ def _decoded(rows: DataFrame, *, keep_images: bool, keep_infobox: bool, text: bo
         read = add(read, box_pos="CASE WHEN zone = 'box' THEN box_pos END")
     if text:
         read = add(read, is_root="zone = 'text' AND parent = area_pos", has_area="area_pos IS NOT NULL").drop("area_pos")
-    return read.drop("token")
+    return drop(read, "token")

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pageloom.functions.sql import add, literals
 from pageloom.functions.text import normalize_sql, strip_sql
 from pageloom.operators.intervals import BY_PAGE, collect, ordered_text
-from pageloom.operators.marks import has
 from pageloom.operators.prune import heading_sql
 from pageloom.profiles import Profile
 
@@ -19,21 +18,26 @@ HEADINGS = "'h1', 'h2', 'h3', 'h4', 'h5', 'h6'"
 UNIT = "text_unit"
 
 
-def unit_aggregates() -> dict[str, str]:
-    own = "zone = 'text' AND pos = text_unit"
+def unit_columns() -> dict[str, str]:
+    """What a unit says by its own row."""
     return {
-        "tag": f"max(CASE WHEN {own} THEN coalesce(tag, '#text') END)",
-        "last": f"max(CASE WHEN {own} THEN last END)",
-        "parent": f"max(CASE WHEN {own} THEN parent END)",
-        "list": f"max(CASE WHEN {own} THEN list END)",
-        "is_root": f"coalesce(bool_or(CASE WHEN {own} THEN is_root END), false)",
-        "headline": f"min(CASE WHEN zone = 'text' AND {has('headline')} THEN named_struct('pos', pos, 'last', last) END)",
-        "texts": collect(
-            f"text IS NOT NULL AND (zone = 'text' OR (zone = 'title' AND NOT {has('in_quiet')}))", "pos AS pos", "text AS s"
-        ),
+        "tag": "CASE WHEN zone = 'text' THEN coalesce(tag, '#text') END",
+        "last": "CASE WHEN zone = 'text' THEN last END",
+        "parent": "CASE WHEN zone = 'text' THEN parent END",
+        "list": "CASE WHEN zone = 'text' THEN list END",
+        "is_root": "coalesce(is_root, false)",
+        "headline": "headline",
+        "texts": "texts",
     }
 
 
+def unit_aggregates() -> dict[str, str]:
+    """The same where rows of other zones are gathered too; a unit of text is one row."""
+    columns = unit_columns()
+    found = {name: f"max({columns[name]})" for name in ("tag", "last", "parent", "list", "headline")}
+    return found | {"is_root": "bool_or(coalesce(is_root, false))", "texts": "flatten(collect_list(texts))"}
+
+
 def mark_strings(units: DataFrame, profile: Profile) -> DataFrame:
     """`opening` and `closing` strings of each unit, and `section` for top-level second-rank headings.
 

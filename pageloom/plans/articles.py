@@ -72,7 +72,13 @@ def _pages(
     # A row of its own carries the page's columns.
     unit.append("WHEN zone = 'page' THEN -2")
     placed = add(marked, unit=f"CASE {' '.join(unit)} END")
-    units = _aggregate(placed.filter("unit IS NOT NULL"), [*KEYS, "zone", "unit"], per_unit)
+    placed = placed.filter("unit IS NOT NULL")
+    if keep_images or keep_infobox:
+        units = _aggregate(placed, [*KEYS, "zone", "unit"], per_unit)
+    else:
+        # Units of text are one row each already.
+        columns = render.unit_columns() | {"page": "page", "has_area": "has_area"}
+        units = placed.selectExpr(*KEYS, "zone", "unit", *(f"{value} AS {name}" for name, value in columns.items()))
     if keep_images:
         units = add(units, image=images.unit_image())
     if keep_infobox:

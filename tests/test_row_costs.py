@@ -54,3 +54,15 @@ def test_tokens_alike_are_looked_up(monkeypatch):
     found = nesting.nesting().func(lists, pa.array([[], []], pa.list_(pa.int64())))
     assert len(calls) == 3
     assert found.field("parent").to_pylist() == [[-1, *[at for k in range(500) for at in (0, 6 * k + 1, 6 * k + 1, 6 * k + 3, 6 * k + 3, 6 * k + 1)], 0]] * 2
+
+
+def test_a_unit_of_text_is_one_row_before_the_shuffle(spark):
+    """Strings meet in their unit while the page is a row; only pages are gathered after the shuffle."""
+    html = (
+        '<div class="mw-parser-output"><p>a <h1 id="firstHeading">T <b>U</b></h1><i>b</i></p><dl>x<dt>k <i>l</i></dt>y<dd>v</dd></dl>'
+        "<h2>one<span class='mw-headline'>N <i>M</i></span></h2><ul><li>s<br>t</li></ul>u</div>"
+    )
+    frame = articles(_page(spark, html))
+    assert _plan(frame).count("ObjectHashAggregate") == 2
+    row = frame.collect()[0]
+    assert (row.title, row.content, row.sections) == ("T U", "a b **k l**: v ## NM * s t", ["Introduction", "NM"])
