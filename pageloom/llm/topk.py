@@ -183,8 +183,9 @@ def top_k(
     blocks = blocks.withColumn("c", F.expr(f"cast(pmod(xxhash64(q_ids), {columns}) AS int)")).withColumn(
         "r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long")))
     )
+    # Merged, never broadcast: Spark sizes both sides as they were before their copies were made for each row or column.
     lists = (
-        tiles.join(blocks, ["dim", "r", "c"])
+        tiles.join(blocks.hint("merge"), ["dim", "r", "c"])
         .select("dim", "q_ids", "q_matrix", "ids", "matrix")
         .mapInArrow(_scored(k), "query_id long, part int, best array<struct<minus:long,id:long>>")
     )

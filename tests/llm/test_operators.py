@@ -57,6 +57,18 @@ def test_top_k(spark):
     assert topk.top_k(frame.limit(1), frame.limit(0)).count() == 0
 
 
+def test_top_k_broadcasts_no_tiles(spark, tmp_path):
+    """Both sides are copied for each row or column of the grid after Spark has sized them, so small tables tell nothing of what a broadcast holds."""
+    rng = np.random.default_rng(5)
+    made = vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(rng.integers(-3, 4, (60, 2)).astype(float))])
+    made.write.parquet(f"{tmp_path}/vectors")
+    for frame in (made, spark.read.parquet(f"{tmp_path}/vectors")):  # of unknown and of known size before it runs
+        found = topk.top_k(frame.where("vec_id % 20 = 0"), frame, k=5, tile_rows=16, block_rows=2)
+        assert len(found.collect()) == 15
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_embedding_near_duplicates(spark, monkeypatch):
     monkeypatch.setattr(itq, "BLOCK", 8)  # buckets of several blocks
     rng = np.random.default_rng(1)
